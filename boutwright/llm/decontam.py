@@ -97,8 +97,8 @@ def op9_decontamination(spark, sf_dir):
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
 iw AS (SELECT *, least(len(ws), 5) AS w FROM i WHERE len(ws) > 0),
 ish AS (SELECT DISTINCT iid, item_id, w, array_to_string(list_slice(ws, k, k + w - 1), ' ') AS s
         FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS k FROM iw)),
