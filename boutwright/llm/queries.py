@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, repeats, simhash
+from . import decontam, html_text, licenses, packing, quality, repeats, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_licenses": licenses.op3_licenses,
         "op4_repeats": repeats.op4_repeats,
+        "op5_html_text": html_text.op5_html_text,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_sharding": sharding.op7_sharding,
         "op8_packing": packing.op8_packing,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_simhash": simhash.op10_simhash,
