@@ -12,8 +12,9 @@ place of the same text included; matches never cross texts).
    and the hash of the whole dictionary string that holds them (``f``).
 3. Corpus order is only needed down to equality over 400 bytes, so suffixes are put in classes
    rather than sorted: where z occurs once nothing repeats; where (z, f) occurs twice all its
-   windows do; only rows that share z but differ in f (the ends of repeats) are opened into
-   single windows, once for each distinct (z, f), and those are counted by hash.
+   windows do; only rows that share z but differ in f (the ends of repeats) are opened, once for
+   each distinct (z, f): first into parts of 64 windows by the string these share, then, where
+   that occurs again, into single windows, which are counted by hash.
 4. Covered bytes are cut out of each distinct text, and every document takes its text's result.
 
 A suffix array of the whole dictionary or parse would have to stand in one task; classes by
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir, table, text_key, text_or_empty
@@ -43,6 +44,8 @@ GRAM = 16
 REACH = 320
 RARE, COMMON = 96, 24
 SEGMENT = 1 << 20
+#: Windows that are opened together if the string they share occurs again.
+PART = 64
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -91,8 +94,8 @@ def _next(marks: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def parse(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """z, f, first and last window start of each row of the parse of one segment."""
+def parse(seg: np.ndarray) -> tuple[np.ndarray, ...]:
+    """z, f, first and last window start and distance from there to the trigger of each row of one segment's parse, whether the segment itself repeats it, and spans of windows it repeats."""
     roll, n = Rolling(seg), len(seg) - WINDOW + 1
     level = roll.at(np.arange(len(seg) - GRAM + 1), GRAM) >> np.uint64(32)
     starts = np.arange(n)
@@ -105,49 +108,85 @@ def parse(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     last = np.append(first[1:], n) - 1
     own = anchor[first]
     f = roll.at(first, last - first + WINDOW) ^ ((last - first).astype(np.uint64) * _MIX) ^ ((own - first).astype(np.uint64) << np.uint64(17)) * (own >= 0)
-    z = np.where(own >= 0, roll.at(np.maximum(own, 0), WINDOW - REACH), f)
-    return z, f, first, last
+    alone = own < 0
+    z = np.where(alone, f, roll.at(np.where(alone, 0, own), WINDOW - REACH))
+    if not alone.any():
+        return z, f, first, last, own - last, np.zeros(len(z), np.int64), np.zeros((0, 2), np.int64)
+    # windows without a trigger (short periods): one row for each distinct one, known repeats as spans
+    at = np.flatnonzero(alone)
+    _, one, inverse, times = np.unique(f[at], return_index=True, return_inverse=True, return_counts=True)
+    keep = np.sort(np.append(np.flatnonzero(~alone), at[one]))
+    twice = np.zeros(len(z), np.int64)
+    twice[at] = times[inverse] > 1
+    i = first[at[times[inverse] > 1]]
+    edge = np.flatnonzero(np.diff(i, prepend=-9) != 1)
+    sure = np.stack([i[edge], i[np.append(edge[1:], len(i)) - 1]], axis=1) if len(i) else np.zeros((0, 2), np.int64)
+    gap = np.where(alone, 0, own - last)
+    return z[keep], f[keep], first[keep], last[keep], gap[keep], twice[keep], sure
 
 
 def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the parse; ``at`` packs first, last - first, trigger - last and "occurs twice already" (20, 10 and 9 bits up, and 1). Spans known to repeat have no z."""
     for b in batches:
-        out, own, held = [], [], 0
-        for i, (x, many) in enumerate(zip(b.column("text"), b.column("many").to_pylist())):
-            data = x.as_py().encode("utf-8", "surrogatepass")
-            for at, seg in segments(data):
-                z, f, first, last = parse(seg)
-                out.append((z, f, (first + at) * 1024 + (last - first) * 2 + many))
-                own.append(np.full(len(z), i))
+        out, held = [], 0
+        for key, x, many in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist()):
+            for at, seg in segments(x.as_py().encode("utf-8", "surrogatepass")):
+                z, f, first, last, gap, twice, sure = parse(seg)
+                out.append((np.full(len(z), key), z.view(np.int64), f.view(np.int64), ((first + at) << 20) + ((last - first) << 10) + (gap << 1) + (twice | many), np.zeros(len(z), bool)))
+                if len(sure) and not many:
+                    a = np.concatenate([np.arange(i, j + 1, WINDOW) for i, j in sure])
+                    end = np.concatenate([np.minimum(np.arange(i, j + 1, WINDOW) + WINDOW - 1, j) for i, j in sure])
+                    none = np.zeros(len(a), np.int64)
+                    out.append((np.full(len(a), key), none, none, ((a + at) << 20) + ((end - a) << 10), np.ones(len(a), bool)))
                 held += len(z)
                 if held > 1 << 20:
-                    yield _packed(b, out, own)
-                    out, own, held = [], [], 0
+                    yield _packed(out)
+                    out, held = [], 0
         if out:
-            yield _packed(b, out, own)
+            yield _packed(out)
 
 
-def _packed(b: pa.RecordBatch, out: list, own: list) -> pa.RecordBatch:
-    z, f, at = (np.concatenate(c) for c in zip(*out))
-    key = b.column("key").take(pa.array(np.concatenate(own)))
-    return pa.RecordBatch.from_pydict({"key": key, "z": pa.array(z.view(np.int64)), "f": pa.array(f.view(np.int64)), "at": pa.array(at.astype(np.int64))})
+def _packed(out: list) -> pa.RecordBatch:
+    key, z, f, at, none = (np.concatenate(c) for c in zip(*out))
+    return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "z": pa.array(z, mask=none), "f": pa.array(f), "at": pa.array(at.astype(np.int64))})
 
 
-def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single windows of the opened rows of each text."""
+def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """key, segment start, its hashes and the opened rows that start in it."""
     for b in batches:
-        for key, x, rows in zip(b.column("key"), b.column("text"), b.column("rows").to_pylist()):
+        for key, x, rows in zip(b.column("key").to_pylist(), b.column("text"), b.column("rows").to_pylist()):
             rows.sort(key=lambda r: r["first"])
-            todo, k = rows, 0
+            k = 0
             for at, seg in segments(x.as_py().encode("utf-8", "surrogatepass")):
-                roll, got = Rolling(seg), []
-                while k < len(todo) and todo[k]["first"] < at + SEGMENT:
-                    r = todo[k]
-                    i = np.arange(r["first"], r["last"] + 1)
-                    got.append((np.full(len(i), r["z"]), roll.at(i - at, WINDOW).view(np.int64), i, np.full(len(i), r["n"])))
+                here = []
+                while k < len(rows) and rows[k]["first"] < at + SEGMENT:
+                    here.append(rows[k])
                     k += 1
-                if got:
-                    z, h, i, n = (np.concatenate(c) for c in zip(*got))
-                    yield pa.RecordBatch.from_pydict({"key": pa.array([key.as_py()] * len(z), pa.binary()), "z": pa.array(z), "h": pa.array(h), "i": pa.array(i), "n": pa.array(n)})
+                if here:
+                    yield key, at, Rolling(seg), here
+
+
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Opened rows in parts of up to PART windows by distance to the trigger, each with the hash of the core its windows share."""
+    for key, at, roll, rows in _by_segment(batches):
+        out = []
+        for r in rows:
+            top = r["last"] + r["gap"]
+            for k in range(r["gap"] // PART, (top - r["first"]) // PART + 1):
+                hi = top - k * PART
+                out.append((r["z"], max(r["first"], hi - PART + 1), min(r["last"], hi), hi, r["n"], k))
+        z, first, last, hi, n, k = (np.array(c, np.int64) for c in zip(*out))
+        core = roll.at(hi - at, WINDOW - PART + 1) ^ (k.astype(np.uint64) * _MIX)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(z), key)), "z": pa.array(z), "c": pa.array(core.view(np.int64)), "first": pa.array(first), "last": pa.array(last), "n": pa.array(n)})
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single windows of the opened parts of each text; ``i`` is start * 2 + (occurs twice already)."""
+    for key, at, roll, rows in _by_segment(batches):
+        i = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in rows])
+        size = [r["last"] - r["first"] + 1 for r in rows]
+        z, n = (np.repeat(np.array([r[c] for r in rows], np.int64), size) for c in ("z", "n"))
+        yield pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(i), key)), "z": pa.array(z), "h": pa.array(roll.at(i - at, WINDOW).view(np.int64)), "i": pa.array(i * 2 + (n > 1))})
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -185,50 +224,66 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": b.column("key"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(text, pa.string())})
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key, text, many (1 if several documents have it), bucketed by key as the session shuffles."""
+def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """key, text, many (1 if several documents have it), bucketed by key as the session shuffles; and the key's seed.
+
+    The key is a 64-bit hash. Should two texts ever share one, the next seed is taken.
+    """
     spark = docs.sparkSession
-    name = f"boutwright_texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(text_key(text).alias("key"), text_or_empty(text).alias("text")).groupBy("key")
-    texts = texts.agg(F.first("text").alias("text"), F.when(F.count(F.lit(1)) > 1, 1).otherwise(0).cast("long").alias("many"))
-    path = f"{shared_dir(spark)}/{name}"
-    texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "key").saveAsTable(name)
-    return spark.table(name)
+    for seed in range(8):
+        name = f"boutwright_texts_{uuid.uuid4().hex}"
+        texts = docs.select(_key(text, seed), text_or_empty(text).alias("text"), text_key(text).alias("sum")).groupBy("key")
+        many = F.when(F.count(F.lit(1)) > 1, 1).otherwise(0).cast("long")
+        texts = texts.agg(F.first("text").alias("text"), many.alias("many"), (F.min("sum") != F.max("sum")).alias("clash"))
+        texts.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "key").saveAsTable(name)
+        if spark.table(name).where("clash").isEmpty():
+            return spark.table(name).drop("clash"), seed
+    raise RuntimeError("texts share a key under every seed")
+
+
+def _key(text: str, seed: int) -> Column:
+    return F.xxhash64(text_or_empty(text), F.lit(seed)).alias("key")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """key and its spans (first, last window start) that start elsewhere too; texts with copies are left out."""
-    rows = materialise(texts.where(F.length("text") > 0).mapInArrow(_parse_rows, "key binary, z long, f long, at long"), "parse")
+    parsed = materialise(texts.where(F.length("text") > 0).mapInArrow(_parse_rows, "key long, z long, f long, at long"), "parse")
+    first = F.shiftright("at", 20)
+    last = first + F.shiftright("at", 10) % 1024
+    gap = F.shiftright("at", 1) % 512
     weight = F.sum(1 + F.col("at") % 2)
-    again = rows.groupBy("z").agg(weight.alias("n")).where("n > 1").select("z")
-    rows = rows.join(again, "z", "left_semi").withColumn("rid", F.xxhash64("key", "at"))
-    rows = materialise(rows, "parse-again")
+    again = parsed.where("z is not null").groupBy("z").agg(weight.alias("n")).where("n > 1").select("z")
+    rows = materialise(parsed.join(again, "z", "left_semi"), "parse-again").withColumn("rid", F.xxhash64("key", "at"))
     pairs = rows.groupBy("z", "f").agg(weight.alias("n"), F.min("rid").alias("rep"))
     kinds = pairs.groupBy("z").agg((F.count(F.lit(1)) > 1).alias("mixed"))
-    pairs = pairs.join(kinds, "z")
-    known = rows.join(pairs, ["z", "f"]).where((F.col("n") > 1) | F.col("mixed"))
-    first = F.floor(F.col("at") / 1024).cast("long")
-    known = known.select("key", "z", "n", "mixed", (F.col("rid") == F.col("rep")).alias("one"), first.alias("first"), (first + F.floor(F.col("at") % 1024 / 2)).cast("long").alias("last"), (F.col("at") % 2 == 1).alias("many"))
+    pairs = pairs.join(kinds, "z").where("n > 1 or mixed")
+    known = rows.join(pairs, ["z", "f"]).select("key", "z", "n", "mixed", (F.col("rid") == F.col("rep")).alias("one"), first.alias("first"), last.alias("last"), gap.alias("gap"), (F.col("at") % 2 == 1).alias("many"))
     known = materialise(known.where("one or not many"), "parse-known")
     sure = known.where("n > 1 and not many").select("key", "first", "last")
-    opened = known.where("mixed and one").groupBy("key").agg(F.collect_list(F.struct("z", "first", "last", "n")).alias("rows"))
-    single = texts.select("key", "text").join(opened, "key").mapInArrow(_open_rows, "key binary, z long, h long, i long, n long")
+    sure = sure.unionByName(parsed.where("z is null").select("key", first.alias("first"), last.alias("last")))
+    listed = lambda df, *more: df.groupBy("key").agg(F.collect_list(F.struct("z", "first", "last", "n", *more)).alias("rows"))
+    parts = texts.select("key", "text").join(listed(known.where("mixed and one"), "gap"), "key").mapInArrow(_part_rows, "key long, z long, c long, first long, last long, n long")
+    parts = materialise(parts, "parts")
+    shared = parts.groupBy("z", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("z", "c")
+    parts = parts.join(shared, ["z", "c"], "left_semi")
+    single = texts.select("key", "text").join(listed(parts), "key").mapInArrow(_open_rows, "key long, z long, h long, i long")
     single = materialise(single, "windows")
-    met = single.groupBy("z", "h").agg(F.sum("n").alias("m")).where("m > 1").select("z", "h")
-    ends = single.where("n = 1").join(met, ["z", "h"], "left_semi").select("key", F.col("i").alias("first"), F.col("i").alias("last"))
+    met = single.groupBy("z", "h").agg(F.sum(1 + F.col("i") % 2).alias("m")).where("m > 1").select("z", "h")
+    start = F.floor(F.col("i") / 2).cast("long")
+    ends = single.where("i % 2 = 0").join(met, ["z", "h"], "left_semi").select("key", start.alias("first"), start.alias("last"))
     return sure.unionByName(ends).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
     """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of each document."""
-    texts = distinct_texts(docs, text)
+    texts, seed = distinct_texts(docs, text)
     spans = repeated_spans(texts)
     joined = texts.join(spans, "key", "left").select("key", "text", "many", "spans")
-    found = joined.mapInArrow(_cut_rows, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    found = joined.mapInArrow(_cut_rows, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     found = found if with_text else found.drop("kept_text")
     found = materialise(found.withColumnRenamed("key", "__key"), "kept")
-    own = docs.select(*keep, text_key(text).alias("__own"))
+    own = docs.select(*keep, _key(text, seed).alias("__own"))
     return own.join(found, F.col("__own") == F.col("__key")).drop("__own", "__key")
 
 
