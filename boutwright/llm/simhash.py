@@ -87,14 +87,17 @@ def _split(keyed: DataFrame, masks: list[int]) -> tuple[DataFrame, list[int]]:
     spark = keyed.sparkSession
     finer = {m: [m | p for p in _parts(ALL & ~m)] for m in masks}
     rows = [(_signed(m), [_signed(x) for x in xs]) for m, xs in finer.items()]
-    ways = F.broadcast(spark.createDataFrame(rows, "mask long, finer array<long>"))  # 4 ** depth rows
-    out = keyed.join(ways, "mask").select("fp", F.explode("finer").alias("mask"))
+    if len(rows) == 1:
+        out = keyed.select("fp", F.explode(F.array(*map(F.lit, rows[0][1]))).alias("mask"))
+    else:
+        ways = F.broadcast(spark.createDataFrame(rows, "mask long, finer array<long>"))  # 4 ** depth rows
+        out = keyed.join(ways, "mask").select("fp", F.explode("finer").alias("mask"))
     return out.withColumn("val", F.col("fp").bitwiseAND(F.col("mask"))), sorted({x for xs in finer.values() for x in xs})
 
 
 def candidate_buckets(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``(fp, mask, val)``: all pairs within the radius share a bucket; none holds more than ``max_bucket`` (or 4,096)."""
-    keyed, masks = _split(fps.select("fp").distinct().withColumn("mask", F.lit(0).cast("long")), [0])
+    keyed, masks = _split(fps.select("fp").distinct(), [0])
     done = None
     while True:
         left = 64 - max(bin(m).count("1") for m in masks)
