@@ -203,8 +203,8 @@ def scan(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in keep} | {"found": pa.array(found, kind)})
 
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    item = "array<struct<paragraph:int,family:string,probability:double,similarity:double>>"
-    return src.mapInArrow(run, T.StructType([src.schema[k] for k in keep] + [T.StructField("found", T._parse_datatype_string(item))]))
+    item = T.StructType([T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("similarity", T.DoubleType())])
+    return src.mapInArrow(run, T.StructType([src.schema[k] for k in keep] + [T.StructField("found", T.ArrayType(item))]))
 
 
 def licences(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
