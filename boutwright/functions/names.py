@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 #: Letters that carry no separable accent, and what they fold to.
 SPECIAL_FROM, SPECIAL_TO = "łŁøØđĐðÐıİ", "lLoOdDdDiI"
@@ -23,7 +24,7 @@ def normalise(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"['’.]", ""), r"[^\p{L}\p{N}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_exact(names: pd.Series) -> pd.Series:
     """As normalise, by full compatibility decomposition and case folding."""
     import unicodedata
@@ -82,7 +83,7 @@ def victory_method(text: Column) -> Column:
     return F.when(v.rlike(r"decision|points|scorecards"), "dec").when(v.rlike(r"submission|tap|choke"), "sub").when(v.rlike(r"\b(t?ko|knockout|stoppage)\b"), "ko").otherwise("other")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def fuzzy_same(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of 0.92 or more, with both outer tokens alike."""
     from difflib import SequenceMatcher
