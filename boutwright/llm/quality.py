@@ -87,29 +87,33 @@ def host_verdicts(figures: DataFrame, host: str = "source") -> DataFrame:
     return hosts
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.7) -> DataFrame:
-    """``docs`` with rule figures, ``base_failed``, ``host_rejected`` and ``kept``.
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default) with rule figures, ``base_failed``, ``host_rejected`` and ``kept``.
 
-    The text is read twice (host sums, then verdicts) instead of being shuffled to its host, so a
-    host with a third of all rows costs no more than any other.
+    Figures are made once and written beside the columns kept; host sums and verdicts read them
+    back. No text is shuffled to its host, so a host with a third of all rows costs no more than
+    any other.
     """
-    rates = host_verdicts(rule_figures(docs, text), host)
+    figures = rule_figures(docs.withColumn("__host", F.col(host)), text)
+    keep = [c for c in figures.columns if c != "__host" and (keep is None or c in {*keep, *FIGURES, "n_lines", "base_failed"})]
+    figures = materialise(figures.select(*[F.col(f"`{c}`") for c in keep], "__host"), "figures")
+    rates = host_verdicts(figures, "__host")
     bad = rates.where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) > max_rate)
-    bad = small(bad.select(F.col(host).alias("__host"), F.lit(True).alias("__bad")))
-    out = rule_figures(docs, text).join(bad, F.col(host) == F.col("__host"), "left")
+    bad = small(bad.select("__host", F.lit(True).alias("__bad")))
+    out = figures.join(bad, "__host", "left")
     out = out.withColumn("host_rejected", F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(docs: DataFrame, max_rate: float = 0.7) -> DataFrame:
     """The pipeline's stage: rejected documents go, the others keep their columns."""
-    tagged = docs.withColumn("__whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__whole", "text", "source")
-    return quality_rules(tagged, max_rate=max_rate).where("kept").select("__whole.*")
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"), "text", "source")
+    return quality_rules(tagged, max_rate=max_rate, keep=["__whole"]).where("kept").select("__whole.*")
 
 
 def op2_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality_rules(docs).select("doc_id", *FIGURES, "base_failed", "kept")
+    return quality_rules(docs, keep=["doc_id"]).select("doc_id", *FIGURES, "base_failed", "kept")
 
 
 OP2_SQL = r"""
