@@ -2,7 +2,7 @@
 
 Folding lower-cases, drops accents and zero-width characters, and turns homoglyphs and digits
 that stand for letters into the letters. The lexicon is learned from labelled rows of the
-training folds: folded words, and word beginnings of 3 to 6 letters, that are far likelier in
+training folds: folded words, and word beginnings of 5 to 9 letters, that are far likelier in
 toxic documents, weighted by log odds. A phrase of an entry and its neighbour that occurs in
 clean training documents and in no toxic one is an exception and cancels the entry. The sum of
 weights over a text, divided by the logarithm of its length, goes through a logistic curve
@@ -35,8 +35,8 @@ from .common import table
 SAMPLE = 20_000
 #: An entry needs so many toxic training documents, such log odds and such a likelihood ratio (chance
 #: gives about 2 ln of the number of candidates); the lexicon has so many entries at most.
-LEAST_DOCS, LEAST_WEIGHT, LEAST_RATIO, ENTRIES = 5, 3.5, 30.0, 4000
-PREFIXES = range(3, 7)
+LEAST_DOCS, LEAST_WEIGHT, LEAST_RATIO, ENTRIES = 5, 3.0, 25.0, 4000
+PREFIXES = range(5, 10)
 FOLDS = 5
 
 #: Letters of other scripts that look like Latin ones.
@@ -66,7 +66,7 @@ def fold(text: str | None) -> str:
 
 
 def features(folded: str) -> set[str]:
-    """Lexicon candidates of a text: whole words (" word ") and word beginnings (" wor")."""
+    """Lexicon candidates of a text: whole words (" word ") and word beginnings (" worth")."""
     out = set()
     for w in set(folded.split()):
         out.add(f" {w} ")
