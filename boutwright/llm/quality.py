@@ -87,6 +87,12 @@ def host_verdicts(figures: DataFrame, host: str = "source") -> DataFrame:
     return hosts
 
 
+def bad_hosts(rates: DataFrame, max_rate: float) -> DataFrame:
+    """Hosts with a shrunk rate above ``max_rate`` for any rule."""
+    bad = rates.where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) > max_rate)
+    return small(bad.select("__host", F.lit(True).alias("__bad")))
+
+
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (all by default) with rule figures, ``base_failed``, ``host_rejected`` and ``kept``.
 
@@ -98,17 +104,23 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     keep = [c for c in figures.columns if c != "__host" and (keep is None or c in {*keep, *FIGURES, "n_lines", "base_failed"})]
     figures = materialise(figures.select(*[F.col(f"`{c}`") for c in keep], "__host"), "figures")
     rates = host_verdicts(figures, "__host")
-    bad = rates.where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) > max_rate)
-    bad = small(bad.select("__host", F.lit(True).alias("__bad")))
-    out = figures.join(bad, "__host", "left")
+    out = figures.join(bad_hosts(rates, max_rate), "__host", "left")
     out = out.withColumn("host_rejected", F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(docs: DataFrame, max_rate: float = 0.7) -> DataFrame:
-    """The pipeline's stage: rejected documents go, the others keep their columns."""
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"), "text", "source")
-    return quality_rules(tagged, max_rate=max_rate, keep=["__whole"]).where("kept").select("__whole.*")
+    """The pipeline's stage: rejected documents go, the others keep their columns.
+
+    No text is written on the way: hosts are judged in one pass, documents in a second one.
+    """
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"), "text", F.col("source").alias("__host"))
+    flags = materialise(rule_figures(tagged.drop("__whole")).drop("text"), "figures")
+    bad = bad_hosts(host_verdicts(flags, "__host"), max_rate)
+    # the row number keeps the filter above the figures; pushed below, it would copy their expressions
+    out = rule_figures(tagged).select("__whole", "__host", "base_failed", F.monotonically_increasing_id().alias("__row"))
+    out = out.where(~F.col("base_failed") & (F.col("__row") >= 0)).join(bad, "__host", "left")
+    return out.where(F.col("__bad").isNull()).select("__whole.*")
 
 
 def op2_quality_rules(spark, sf_dir):

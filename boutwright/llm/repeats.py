@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table, text_key, text_or_empty
+from .common import discard, materialise, shared_dir, table, text_key, text_or_empty
 
 WINDOW = 400
 GRAM = 16
@@ -236,9 +236,12 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]
         texts = docs.select(_key(text, seed), text_or_empty(text).alias("text"), text_key(text).alias("sum")).groupBy("key")
         many = F.when(F.count(F.lit(1)) > 1, 1).otherwise(0).cast("long")
         texts = texts.agg(F.first("text").alias("text"), many.alias("many"), (F.min("sum") != F.max("sum")).alias("clash"))
-        texts.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "key").saveAsTable(name)
+        path = f"{shared_dir(spark)}/{name}"
+        texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "key").saveAsTable(name)
         if spark.table(name).where("clash").isEmpty():
-            return spark.table(name).drop("clash"), seed
+            texts = spark.table(name).drop("clash")
+            texts.stored_at = path
+            return texts, seed
     raise RuntimeError("texts share a key under every seed")
 
 
@@ -254,21 +257,26 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     gap = F.shiftright("at", 1) % 512
     weight = F.sum(1 + F.col("at") % 2)
     again = parsed.where("z is not null").groupBy("z").agg(weight.alias("n")).where("n > 1").select("z")
-    rows = materialise(parsed.join(again, "z", "left_semi"), "parse-again").withColumn("rid", F.xxhash64("key", "at"))
+    twice = materialise(parsed.join(again, "z", "left_semi"), "parse-again")
+    rows = twice.withColumn("rid", F.xxhash64("key", "at"))
     pairs = rows.groupBy("z", "f").agg(weight.alias("n"), F.min("rid").alias("rep"))
     kinds = pairs.groupBy("z").agg((F.count(F.lit(1)) > 1).alias("mixed"))
     pairs = pairs.join(kinds, "z").where("n > 1 or mixed")
     known = rows.join(pairs, ["z", "f"]).select("key", "z", "n", "mixed", (F.col("rid") == F.col("rep")).alias("one"), first.alias("first"), last.alias("last"), gap.alias("gap"), (F.col("at") % 2 == 1).alias("many"))
     known = materialise(known.where("one or not many"), "parse-known")
+    discard(twice)
     sure = known.where("n > 1 and not many").select("key", "first", "last")
-    sure = sure.unionByName(parsed.where("z is null").select("key", first.alias("first"), last.alias("last")))
+    within = materialise(parsed.where("z is null").select("key", first.alias("first"), last.alias("last")), "within-segments")
+    discard(parsed)
+    sure = sure.unionByName(within)
     listed = lambda df, *more: df.groupBy("key").agg(F.collect_list(F.struct("z", "first", "last", "n", *more)).alias("rows"))
     parts = texts.select("key", "text").join(listed(known.where("mixed and one"), "gap"), "key").mapInArrow(_part_rows, "key long, z long, c long, first long, last long, n long")
-    parts = materialise(parts, "parts")
+    parts = cores = materialise(parts, "parts")
     shared = parts.groupBy("z", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("z", "c")
     parts = parts.join(shared, ["z", "c"], "left_semi")
     single = texts.select("key", "text").join(listed(parts), "key").mapInArrow(_open_rows, "key long, z long, h long, i long")
     single = materialise(single, "windows")
+    discard(cores)
     met = single.groupBy("z", "h").agg(F.sum(1 + F.col("i") % 2).alias("m")).where("m > 1").select("z", "h")
     start = F.floor(F.col("i") / 2).cast("long")
     ends = single.where("i % 2 = 0").join(met, ["z", "h"], "left_semi").select("key", start.alias("first"), start.alias("last"))
@@ -283,6 +291,7 @@ def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_t
     found = joined.mapInArrow(_cut_rows, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     found = found if with_text else found.drop("kept_text")
     found = materialise(found.withColumnRenamed("key", "__key"), "kept")
+    discard(texts)
     own = docs.select(*keep, _key(text, seed).alias("__own"))
     return own.join(found, F.col("__own") == F.col("__key")).drop("__own", "__key")
 
