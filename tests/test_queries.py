@@ -7,6 +7,8 @@ from tests.compare import connect, same
 from tests.conftest import DATA
 
 SF = f"{DATA}/sf0.001"
+#: Queries with no row on the smallest tables, in Spark and SQL alike; held to rows on the next size.
+SPARSE, WIDER = {"conflict_reconcile"}, f"{DATA}/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows_as_sql(spark, con, name):
-    assert same(spark, con, registry.queries()[name], registry.oracle_sql()[name], SF) == ""
+    if name in SPARSE:
+        assert same(spark, connect(WIDER), registry.queries()[name], registry.oracle_sql()[name], WIDER) == ""
+    else:
+        assert same(spark, con, registry.queries()[name], registry.oracle_sql()[name], SF) == ""
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries().keys() - registry.oracle_sql().keys()))
