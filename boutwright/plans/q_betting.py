@@ -201,7 +201,7 @@ def realistic_fill(spark, d):
 def paired_bootstrap(spark, d):
     """Hash-drawn Poisson bootstrap; tested for its interval against the exact variance."""
     b = bets(spark, d)
-    out = E.paired_bootstrap(b.where("bet_id % 2 = 0"), b.where("bet_id % 3 = 0"), "event_date", 200)
+    out = E.paired_bootstrap(b.where("strategy <= '3-MEDIUM'"), b.where("strategy >= '3-MEDIUM'"), "event_date", 200)
     return rounded(out, "mean_diff", "low", "high", "p_value")
 
 

@@ -23,12 +23,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH {BOUTS}, m AS (SELECT fight_id * 2 row_id, event_date, a_id x, b_id y, weight_class org FROM bouts UNION ALL SELECT fight_id * 2 + 1, event_date, b_id, a_id, weight_class || ' tour' FROM bouts WHERE fight_id % 3 = 0)
+@query(f"""WITH {BOUTS}, m AS (SELECT fight_id * 2 row_id, event_date, a_id x, b_id y, weight_class org FROM bouts UNION ALL SELECT fight_id * 2 + 1, event_date, b_id, a_id, weight_class || ' tour' FROM bouts WHERE status = 'F')
 SELECT row_id, event_date, least(x, y) lo, greatest(x, y) hi, org FROM m QUALIFY row_number() OVER (PARTITION BY event_date, least(x, y), greatest(x, y) ORDER BY length(org) DESC, row_id) = 1""")
 def mirror_dedupe(spark, d):
     b = bouts(spark, d)
     one = b.select((F.col("fight_id") * 2).alias("row_id"), "event_date", F.col("a_id").alias("x"), F.col("b_id").alias("y"), F.col("weight_class").alias("org"))
-    two = b.where("fight_id % 3 = 0").select((F.col("fight_id") * 2 + 1).alias("row_id"), "event_date", F.col("b_id").alias("x"), F.col("a_id").alias("y"), F.concat("weight_class", F.lit(" tour")).alias("org"))
+    two = b.where("status = 'F'").select((F.col("fight_id") * 2 + 1).alias("row_id"), "event_date", F.col("b_id").alias("x"), F.col("a_id").alias("y"), F.concat("weight_class", F.lit(" tour")).alias("org"))
     rows = one.unionByName(two).withColumn("lo", F.least("x", "y")).withColumn("hi", F.greatest("x", "y"))
     return D.keep_best(rows, ["event_date", "lo", "hi"], [F.desc(F.length("org")), F.asc("row_id")]).select("row_id", "event_date", "lo", "hi", "org")
 
@@ -47,23 +47,26 @@ def conflict_reconcile(spark, d):
     return D.reconcile(H.long_rows(bouts(spark, d)), ["entity", "opponent"])
 
 
-@query("""WITH u AS (SELECT l_orderkey, l_linenumber, l_extendedprice v, 0 p FROM lineitem WHERE l_orderkey % 2 = 0 UNION ALL SELECT l_orderkey, l_linenumber, l_extendedprice + 1, 1 FROM lineitem WHERE l_orderkey % 3 = 0
-UNION ALL SELECT l_orderkey, l_linenumber, l_extendedprice + 2, 2 FROM lineitem WHERE l_linenumber % 2 = 1)
+@query("""WITH u AS (SELECT l_orderkey, l_linenumber, l_extendedprice v, 0 p FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_extendedprice + 1, 1 FROM lineitem WHERE l_linestatus = 'F'
+UNION ALL SELECT l_orderkey, l_linenumber, l_extendedprice + 2, 2 FROM lineitem WHERE l_returnflag = 'R')
 SELECT l_orderkey, l_linenumber, round(v, 6) v, p priority FROM u QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY p DESC, v) = 1""")
 def keep_last_priority(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("v"))
-    parts = [li.where("l_orderkey % 2 = 0"), li.where("l_orderkey % 3 = 0").withColumn("v", F.col("v") + 1), li.where("l_linenumber % 2 = 1").withColumn("v", F.col("v") + 2)]
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", F.col("l_extendedprice").alias("v"))
+    parts = [li, li.where("l_linestatus = 'F'").withColumn("v", F.col("v") + 1), li.where("l_returnflag = 'R'").withColumn("v", F.col("v") + 2)]
+    parts = [p.drop("l_linestatus", "l_returnflag") for p in parts]
     return D.keep_last_source(parts, ["l_orderkey", "l_linenumber"], F.asc("v")).withColumn("v", r6("v"))
 
 
-_OLD = "SELECT o_orderkey k, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END price, o_orderpriority prio FROM orders WHERE o_orderkey % 3 <> 0"
-_NEW = "SELECT o_orderkey k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice + 1 END price, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END prio FROM orders WHERE o_orderkey % 2 = 0"
+#: Two versions of the orders that overlap in time: every order is in one or both.
+_OLD_DAYS, _NEW_DAYS = "o_orderdate < TIMESTAMP '1999-01-01'", "o_orderdate >= TIMESTAMP '1997-01-01'"
+_OLD = f"SELECT o_orderkey k, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END price, o_orderpriority prio FROM orders WHERE {_OLD_DAYS}"
+_NEW = f"SELECT o_orderkey k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice + 1 END price, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END prio FROM orders WHERE {_NEW_DAYS}"
 
 
 def _versions(spark, d):
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    old = o.where(k % 3 != 0).select(k.alias("k"), F.when(k % 5 != 0, F.col("o_totalprice")).alias("price"), F.col("o_orderpriority").alias("prio"))
-    new = o.where(k % 2 == 0).select(k.alias("k"), F.when(k % 7 != 0, F.col("o_totalprice") + 1).alias("price"), F.when(k % 4 != 0, F.col("o_orderstatus")).alias("prio"))
+    old = o.where(_OLD_DAYS).select(k.alias("k"), F.when(k % 5 != 0, F.col("o_totalprice")).alias("price"), F.col("o_orderpriority").alias("prio"))
+    new = o.where(_NEW_DAYS).select(k.alias("k"), F.when(k % 7 != 0, F.col("o_totalprice") + 1).alias("price"), F.when(k % 4 != 0, F.col("o_orderstatus")).alias("prio"))
     return old, new
 
 
@@ -80,8 +83,8 @@ def field_overlap(spark, d):
     return D.field_overlap(*_versions(spark, d), "k", ["price", "prio"])
 
 
-@query("""WITH o AS (SELECT o_orderkey k, o_custkey p, CAST(o_orderdate AS DATE) dd FROM orders WHERE o_orderkey % 5 <> 0), n AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END k, o_custkey p,
- CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 13 = 0 THEN 7 ELSE 0 END AS INTEGER) dd FROM orders WHERE o_orderkey % 7 <> 0),
+@query(f"""WITH o AS (SELECT o_orderkey k, o_custkey p, CAST(o_orderdate AS DATE) dd FROM orders WHERE {_OLD_DAYS}), n AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END k, o_custkey p,
+ CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 13 = 0 THEN 7 ELSE 0 END AS INTEGER) dd FROM orders WHERE {_NEW_DAYS}),
 b AS (SELECT coalesce(o.k, n.k) k, coalesce(n.p, o.p) p, o.dd od, n.dd nd FROM o FULL JOIN n ON o.k = n.k),
 g AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY k) i FROM b WHERE nd IS NULL), c AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY k) i FROM b WHERE od IS NULL),
 m AS (SELECT coalesce(c.k, g.k) k, coalesce(c.p, g.p) p, g.od, c.nd FROM g FULL JOIN c ON g.p = c.p AND g.i = c.i)
@@ -90,17 +93,17 @@ UNION ALL SELECT k, p, od, nd, CASE WHEN od IS NULL THEN 'added' WHEN nd IS NULL
 def version_diff(spark, d):
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
     day = F.to_date("o_orderdate")
-    old = o.where(k % 5 != 0).select(k.alias("k"), F.col("o_custkey").alias("p"), day.alias("d"))
-    new = o.where(k % 7 != 0).select(F.when(k % 11 == 0, k + 10000000).otherwise(k).alias("k"), F.col("o_custkey").alias("p"), F.date_add(day, F.when(k % 13 == 0, 7).otherwise(0)).alias("d"))
+    old = o.where(_OLD_DAYS).select(k.alias("k"), F.col("o_custkey").alias("p"), day.alias("d"))
+    new = o.where(_NEW_DAYS).select(F.when(k % 11 == 0, k + 10000000).otherwise(k).alias("k"), F.col("o_custkey").alias("p"), F.date_add(day, F.when(k % 13 == 0, 7).otherwise(0)).alias("d"))
     return D.version_diff(old, new, "k", "p", "d")
 
 
-@query("""WITH a AS (SELECT o_custkey k, o_orderstatus s FROM orders WHERE o_orderkey % 4 <> 0), b AS (SELECT o_custkey k, o_orderstatus s FROM orders WHERE o_orderkey % 5 <> 0)
+@query(f"""WITH a AS (SELECT o_custkey k, o_orderstatus s FROM orders WHERE {_OLD_DAYS}), b AS (SELECT o_custkey k, o_orderstatus s FROM orders WHERE {_NEW_DAYS})
 SELECT k, s, 'lost' change FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT k, s, 'new' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def row_changes(spark, d):
     o = table(spark, d, "orders")
-    pick = lambda m: o.where(F.col("o_orderkey") % m != 0).select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"))
-    return D.row_changes(pick(4), pick(5))
+    pick = lambda days: o.where(days).select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    return D.row_changes(pick(_OLD_DAYS), pick(_NEW_DAYS))
 
 
 @query(f"WITH {BOUTS} SELECT event_date, a_id, b_id, count(*) n_rows FROM bouts GROUP BY 1, 2, 3 HAVING count(*) > 1")
@@ -108,12 +111,12 @@ def dup_report(spark, d):
     return D.duplicate_keys(bouts(spark, d), ["event_date", "a_id", "b_id"])
 
 
-@query("""WITH o AS (SELECT user_id id, min(event_id) v FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1), n AS (SELECT user_id id, event_id v FROM events WHERE event_id % 2 = 1)
+@query("""WITH o AS (SELECT user_id id, min(event_id) v FROM events WHERE event_type = 'signup' AND value > 50 GROUP BY 1), n AS (SELECT user_id id, event_id v FROM events)
 SELECT id, v FROM o UNION ALL SELECT id, v FROM (SELECT * FROM n WHERE id NOT IN (SELECT id FROM o) QUALIFY row_number() OVER (PARTITION BY id ORDER BY v) = 1)""")
 def append_unique(spark, d):
     e = table(spark, d, "events")
-    old = e.where("event_id % 2 = 0 and user_id % 3 <> 0").groupBy(F.col("user_id").alias("id")).agg(F.min("event_id").alias("v"))
-    return D.append_unique(old, e.where("event_id % 2 = 1").select(F.col("user_id").alias("id"), F.col("event_id").alias("v")), "id", F.asc("v"))
+    old = e.where("event_type = 'signup' and value > 50").groupBy(F.col("user_id").alias("id")).agg(F.min("event_id").alias("v"))
+    return D.append_unique(old, e.select(F.col("user_id").alias("id"), F.col("event_id").alias("v")), "id", F.asc("v"))
 
 
 @query("""WITH x AS (SELECT l_orderkey k, l_linenumber n, l_quantity landed, l_quantity + (l_partkey % 9) - 2 attempted, l_discount * 1200 pct, l_tax p FROM lineitem)

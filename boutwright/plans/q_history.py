@@ -121,11 +121,11 @@ def available_history(spark, d):
 
 
 _RANKS = """ranks AS (SELECT DISTINCT l_suppkey entity, CAST(date_trunc('month', l_shipdate) AS DATE) as_of,
-  CAST(1 + (l_suppkey * 7 + month(l_shipdate) * 3) % 15 AS INTEGER) rank FROM lineitem WHERE l_linenumber = 1)"""
+  CAST(1 + (l_suppkey * 7 + month(l_shipdate) * 3) % 15 AS INTEGER) rank FROM lineitem)"""
 
 
 def _ranks(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     return li.select(F.col("l_suppkey").alias("entity"), F.trunc("l_shipdate", "month").alias("as_of"), (1 + (F.col("l_suppkey") * 7 + F.month("l_shipdate") * 3) % 15).cast("int").alias("rank")).distinct()
 
 

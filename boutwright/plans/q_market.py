@@ -68,19 +68,19 @@ def history_health(spark, d):
 
 
 @query("""WITH l AS (SELECT user_id k, CAST(ts AS DATE) \"day\", count(*) n FROM events GROUP BY 1, 2),
-r0 AS (SELECT user_id k, CAST(ts AS DATE) \"day\", avg(value) v, max(CASE WHEN event_type = 'click' THEN value END) c FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
+r0 AS (SELECT user_id k, CAST(ts AS DATE) \"day\", avg(value) v, max(CASE WHEN event_type = 'click' THEN value END) c FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
 r AS (SELECT *, 0 pri FROM r0 UNION ALL SELECT k, \"day\" - 1, v, c, 1 FROM r0),
 b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k, \"day\" ORDER BY CASE WHEN v IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 0 ELSE 1 END DESC, pri) = 1)
 SELECT l.k, l.\"day\", n, round(v, 6) v, round(c, 6) c, b.pri shifted FROM l LEFT JOIN b ON l.k = b.k AND l.\"day\" = b.\"day\"""")
 def prev_day_fallback(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.to_date("ts").alias("day"), "event_type", "value", "event_id")
     left = e.groupBy("k", "day").agg(F.count(F.lit(1)).alias("n"))
-    right = e.where("event_id % 3 = 0").groupBy("k", "day").agg(F.avg("value").alias("v"), F.max(F.when(F.col("event_type") == "click", F.col("value"))).alias("c"))
+    right = e.where("event_type in ('click', 'view')").groupBy("k", "day").agg(F.avg("value").alias("v"), F.max(F.when(F.col("event_type") == "click", F.col("value"))).alias("c"))
     return rounded(M.with_previous_day(left, right, "k", "day", ["v", "c"]), "v", "c")
 
 
 @query(f"""WITH {BOUTS}, o AS (SELECT event_date, CASE WHEN fight_id % 2 = 0 THEN b_id ELSE a_id END a_id, CASE WHEN fight_id % 2 = 0 THEN a_id ELSE b_id END b_id,
-  1.05 + 20 * CASE WHEN fight_id % 2 = 0 THEN b_d ELSE a_d END a_price, 1.05 + 20 * CASE WHEN fight_id % 2 = 0 THEN a_d ELSE b_d END b_price, fight_id % 30 offset_days, fight_id oid FROM bouts WHERE fight_id % 5 <> 0),
+  1.05 + 20 * CASE WHEN fight_id % 2 = 0 THEN b_d ELSE a_d END a_price, 1.05 + 20 * CASE WHEN fight_id % 2 = 0 THEN a_d ELSE b_d END b_price, fight_id % 30 offset_days, fight_id oid FROM bouts WHERE status <> 'P'),
 p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY event_date, least(a_id, b_id), greatest(a_id, b_id) ORDER BY offset_days DESC, oid) = 1)
 SELECT b.fight_id, round(CASE WHEN p.a_id = b.a_id THEN p.a_price ELSE p.b_price END, 6) a_price, round(CASE WHEN p.a_id = b.a_id THEN p.b_price ELSE p.a_price END, 6) b_price
 FROM bouts b LEFT JOIN p ON p.event_date = b.event_date AND least(p.a_id, p.b_id) = least(b.a_id, b.b_id) AND greatest(p.a_id, p.b_id) = greatest(b.a_id, b.b_id)""")
@@ -88,7 +88,7 @@ def moneyline_overlay(spark, d):
     b = bouts(spark, d)
     swap = F.col("fight_id") % 2 == 0
     flip = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    odds = b.where("fight_id % 5 <> 0").select("event_date", flip("a_id", "b_id").alias("a_id"), flip("b_id", "a_id").alias("b_id"), (1.05 + 20 * flip("a_d", "b_d")).alias("a_price"), (1.05 + 20 * flip("b_d", "a_d")).alias("b_price"), (F.col("fight_id") % 30).alias("offset_days"), F.col("fight_id").alias("oid"))
+    odds = b.where("status <> 'P'").select("event_date", flip("a_id", "b_id").alias("a_id"), flip("b_id", "a_id").alias("b_id"), (1.05 + 20 * flip("a_d", "b_d")).alias("a_price"), (1.05 + 20 * flip("b_d", "a_d")).alias("b_price"), (F.col("fight_id") % 30).alias("offset_days"), F.col("fight_id").alias("oid"))
     out = M.overlay_reoriented(b.select("fight_id", "event_date", "a_id", "b_id"), odds, [F.desc("offset_days"), F.asc("oid")])
     return rounded(out.select("fight_id", "a_price", "b_price"), "a_price", "b_price")
 

@@ -29,12 +29,12 @@ def query(sql: str | None = None):
 
 
 @query("""SELECT l_orderkey k, l_linenumber n, CAST(l_quantity AS INTEGER)::DOUBLE landed, (CAST(l_quantity AS INTEGER) + 10)::DOUBLE attempted, CAST((l_linenumber - 1) * 300 + (l_partkey % 5) * 60 + l_suppkey % 60 AS INTEGER) "seconds",
- round(((5 + l_partkey % 2) * 12 + l_suppkey % 12) * 2.54, 2) height, round((60 + l_partkey % 20) * 2.54, 2) reach, CASE WHEN l_partkey % 2 = 0 THEN (l_suppkey % 101)::DOUBLE ELSE round(l_discount * 100, 6) END pct,
- CASE l_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 END flag, CASE l_orderkey % 3 WHEN 0 THEN 'dec' WHEN 1 THEN 'sub' ELSE 'ko' END grp FROM lineitem WHERE l_partkey % 2 = 1 OR l_suppkey % 101 > 1""")
+ round(((5 + l_partkey % 2) * 12 + l_suppkey % 12) * 2.54, 2) height, round((60 + l_partkey % 20) * 2.54, 2) reach, CASE WHEN l_partkey % 2 = 0 THEN (CASE WHEN l_suppkey % 101 = 1 THEN 100 ELSE l_suppkey % 101 END)::DOUBLE ELSE round(l_discount * 100, 6) END pct,
+ CASE l_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 END flag, CASE l_orderkey % 3 WHEN 0 THEN 'dec' WHEN 1 THEN 'sub' ELSE 'ko' END grp FROM lineitem""")
 def parsed_figures(spark, d):
     k, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     q = F.col("l_quantity").cast("int")
-    li = table(spark, d, "lineitem").where((p % 2 == 1) | (s % 101 > 1))
+    li = table(spark, d, "lineitem")
     of = F.concat_ws(" of ", q, q + 10)
     clock = F.concat(p % 5, F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
     height = F.concat(5 + p % 2, F.lit("' "), s % 12, F.lit('"'))
@@ -83,14 +83,14 @@ def selection_tree(spark, d):
     return e.lateralJoin(tree).select("event_id", "path", "name", "value")
 
 
-_TRACK = f"""{LONG}, tr AS (SELECT entity, event_date, fight_id % 4 <> 0 tracked FROM long WHERE fight_id % 2 = 0), sp AS (SELECT fight_id, entity, event_date, result, method, CAST(fight_id % 3 + 1 AS INTEGER) tier FROM long WHERE fight_id % 2 = 1)"""
+_TRACK = f"""{LONG}, tr AS (SELECT entity, event_date, event_date >= DATE '1998-01-01' AND method <> 'Submission' tracked FROM long), sp AS (SELECT fight_id, entity, event_date, result, method, CAST(fight_id % 3 + 1 AS INTEGER) tier FROM long)"""
 
 
 def _supplement(spark, d):
     long = H.long_rows(bouts(spark, d))
     f = F.col("fight_id")
-    tracked = long.where(f % 2 == 0).select("entity", "event_date", (f % 4 != 0).alias("tracked"))
-    extra = long.where(f % 2 == 1).select("fight_id", "entity", "event_date", "result", "method", (f % 3 + 1).cast("int").alias("tier"))
+    tracked = long.select("entity", "event_date", F.expr("event_date >= DATE '1998-01-01' AND method <> 'Submission'").alias("tracked"))
+    extra = long.select("fight_id", "entity", "event_date", "result", "method", (f % 3 + 1).cast("int").alias("tier"))
     return tracked, extra
 
 
@@ -109,10 +109,10 @@ def career_summary(spark, d):
     return out.select("entity", "fights", "wins", "losses", *[r6(c).alias(c) for c in ("ko_rate", "sub_rate", "dec_rate")], "best_tier")
 
 
-@query(f"""WITH {_TRACK}, q AS (SELECT fight_id ask_id, entity, event_date FROM long WHERE fight_id % 2 = 0)
+@query(f"""WITH {_TRACK}, q AS (SELECT fight_id ask_id, entity, event_date FROM long)
 SELECT q.entity, ask_id, CAST(coalesce(sum(CASE WHEN result = 'win' THEN 1 ELSE 0 END), 0) AS BIGINT) wins, CAST(coalesce(sum(CASE WHEN result = 'loss' THEN 1 ELSE 0 END), 0) AS BIGINT) losses FROM q LEFT JOIN sp ON sp.entity = q.entity AND sp.event_date < q.event_date GROUP BY 1, 2""")
 def summary_at_date(spark, d):
-    asks = H.long_rows(bouts(spark, d)).where("fight_id % 2 = 0").select("entity", F.col("event_date").alias("as_of"), F.col("fight_id").alias("ask_id"))
+    asks = H.long_rows(bouts(spark, d)).select("entity", F.col("event_date").alias("as_of"), F.col("fight_id").alias("ask_id"))
     return C.summary_at(_supplement(spark, d)[1], asks).select("entity", "ask_id", "wins", "losses")
 
 
