@@ -12,6 +12,7 @@ an empty table gives an empty result; other input columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +35,7 @@ SLICE_ROWS = 200_000
 # token ids ------------------------------------------------------------------------------------
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads over tiny chunks cost more than they give
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -41,6 +43,12 @@ def _tokenizer(path: str):
     return tok
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, with what it remembers."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, remembered by chunk.
 
@@ -78,7 +86,7 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """A row a piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
+        enc, end = _encoder(path), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows, own = [], []
             for i, x in enumerate(b.column("text")):
