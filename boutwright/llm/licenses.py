@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier with template confirmation.
 
-Each paragraph (line with a word) that holds a licence word is scored by a multinomial logistic
+Each paragraph (line with a word) that holds a word of ``SCORED`` is scored by a multinomial logistic
 regression over sparse word 1- to 3-grams, with one class a licence family and one for unknown.
 It is trained here on the templates below, on their variants (names filled in, words dropped,
 notices joined), and on paragraphs of a bounded sample of the corpus, which form the unknown
@@ -8,8 +8,9 @@ class. The unknown class is calibrated on held-out variants: a temperature by le
 a threshold that at most 1 in 1,000 held-out unknowns pass. A prediction stands only if the
 paragraph also holds 0.8 of the word 3-grams of a template of that family.
 
-Paragraphs without any of ``GATES`` share too little with every template to be confirmed (tests
-hold each template to that), so they are unknown without being scored.
+``SCORED`` is ``GATES`` and, derived from the templates, the words without which less than
+``CONFIRM`` of a template's 3-grams are left; so paragraphs without any of it cannot be confirmed
+and are not scored. Found are paragraphs with a word of ``GATES``, and all that are confirmed.
 
 Defined cases: null and empty texts have no paragraphs; of families of equal probability the
 first by name wins; repeated rows are scanned each; an empty table gives an empty result; other
@@ -35,7 +36,7 @@ SAMPLE = 500
 DIMS = 1 << 15
 UNKNOWN = "unknown"
 CONFIRM = 0.8
-GATES = ("licen", "copyright", "permission", "public domain", "warranty", "redistribution", "spdx")
+GATES = ("licen", "copyright", "permission", "public domain", "warranty", "redistribution", "spdx", "rights reserved")
 
 #: Short notices of public licences, by family.
 TEMPLATES = {
@@ -51,7 +52,7 @@ TEMPLATES = {
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the LGPL-2.1 license."],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
-    "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission."],
+    "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission."],
 }
 #: Words that lead into notices in training variants, and unknown paragraphs that only mention licences.
 LEADS = ("", "Note: ", "This project is ", "The text: ", "Copyright 2020 the authors. ")
@@ -68,6 +69,25 @@ def grams(ws: list[str], sizes: tuple[int, ...] = (1, 2, 3)) -> set[str]:
     return {" ".join(ws[i : i + n]) for n in sizes for i in range(len(ws) - n + 1)}
 
 
+def shape(template: str) -> set[str]:
+    """What a paragraph is compared with: the 3-grams, or all grams of a shorter template."""
+    ws = tokens(template)
+    return grams(ws, (3,)) or grams(ws)
+
+
+def scored_words() -> tuple[str, ...]:
+    out = list(GATES)
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        grams_ = shape(t)
+        # only within a word: what stands between the words of a paragraph is not known
+        while len(left := [g for g in grams_ if not any(x in w for w in g.split() for x in out)]) / len(grams_) >= CONFIRM:
+            out.append(max({w for g in left for w in g.split()}, key=lambda w: (len(w), w)))
+    return tuple(out)
+
+
+SCORED = scored_words()
+
+
 def hashed(paragraph: str) -> np.ndarray:
     """Sparse features of a paragraph: distinct columns."""
     return np.array(sorted({zlib.crc32(g.encode()) % DIMS for g in grams(tokens(paragraph))}), np.int64)
@@ -99,7 +119,7 @@ class Sparse:
 class Classifier:
     def __init__(self, classes: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.5):
         self.classes, self.weights, self.bias, self.temperature, self.threshold = classes, weights, bias, temperature, threshold
-        self.shapes = {f: [grams(tokens(t), (3,)) or grams(tokens(t)) for t in ts] for f, ts in TEMPLATES.items()}
+        self.shapes = {f: [shape(t) for t in ts] for f, ts in TEMPLATES.items()}
 
     def logits(self, examples: list[np.ndarray]) -> np.ndarray:
         return Sparse(examples).times(self.weights) + self.bias
@@ -169,14 +189,17 @@ def fit(negatives: list[str], rounds: int = 200, rate: float = 2.0, decay: float
     return model
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, str]]:
-    """(number, paragraph) of the lines that hold a gate word."""
+def holds(text: str, gates: tuple[str, ...]) -> bool:
     low = text.lower()
-    if not any(g in low for g in GATES):
+    return any(g in low for g in gates)
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, str]]:
+    """(number, paragraph) of the lines that can be confirmed or hold a licence word."""
+    if not holds(text, SCORED):
         return
     for k, line in enumerate(text.split("\n")):
-        own = line.lower()
-        if any(g in own for g in GATES):
+        if holds(line, SCORED):
             yield k, line.strip()
 
 
@@ -191,7 +214,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str
 
 
 def scan(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns and found: the paragraphs (number, family, probability, similarity) with a licence word."""
+    """``keep`` columns and found: the paragraphs (number, family, probability, similarity) with a licence word or confirmed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
@@ -199,7 +222,7 @@ def scan(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)
             found = []
             for x in b.column("__text"):
                 got = list(paragraphs(x.as_py() or ""))
-                found.append([{"paragraph": k, "family": f, "probability": p, "similarity": s} for (k, _), (f, p, s) in zip(got, model.predict([q for _, q in got]))])
+                found.append([{"paragraph": k, "family": f, "probability": p, "similarity": s} for (k, q), (f, p, s) in zip(got, model.predict([q for _, q in got])) if f != UNKNOWN or holds(q, GATES)])
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in keep} | {"found": pa.array(found, kind)})
 
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -208,7 +231,7 @@ def scan(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)
 
 
 def licences(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """doc_id, license, probability, n_paragraphs (with a licence word) and n_confirmed of every document."""
+    """doc_id, license, probability, n_paragraphs (with a licence word or confirmed) and n_confirmed of every document."""
     found = scan(docs, model or train(docs))
     sure = F.filter("found", lambda x: x["family"] != UNKNOWN)
     best = F.array_max(F.transform(sure, lambda x: F.struct(x["probability"].alias("p"), x["similarity"].alias("s"), (-x["paragraph"]).alias("n"), x["family"].alias("f"))))

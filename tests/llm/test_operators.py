@@ -121,6 +121,26 @@ def test_licences_are_named_and_mentions_are_not(spark, docs, none):
     assert licenses.licences(none, model).count() == 0
 
 
+def test_no_confirmable_paragraph_is_left_unscored():
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        grams = licenses.shape(t)
+        ungated = [g for g in grams if not any(x in w for w in g.split() for x in licenses.SCORED)]
+        assert len(ungated) / len(grams) < licenses.CONFIRM
+        assert [p for _, p in licenses.paragraphs(t)] == [t]
+
+
+def test_every_licence_form_of_the_tables(spark):
+    """The five forms planted in the tables, on every line of sf0.1 that holds one, and notices with names in them."""
+    forms = {"This work is licensed under the GNU General Public License, version 3.": "gpl", "All rights reserved.": "proprietary", "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache"}
+    d = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    model = licenses.train(d)
+    want = Counter(f for r in d.select("text").collect() for x in (r.text or "").split("\n") if (f := forms.get(x.strip())))
+    got = Counter(x.family for r in licenses.scan(d, model).collect() for x in r.found if x.family != licenses.UNKNOWN)
+    assert got == want and sum(want.values()) == 328
+    for t in ("Copyright (c) 2020 Acme. All rights reserved.", "All rights reserved", "ALL RIGHTS RESERVED."):
+        assert model.predict([p for _, p in licenses.paragraphs(t)])[0][0] == "proprietary"
+
+
 # 4 --------------------------------------------------------------------------------------------
 def cut_all(texts):
     data = [(t or "").encode() for t in texts]
