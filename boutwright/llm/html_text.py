@@ -4,10 +4,13 @@ The page becomes a tree. Each node has characters C, link characters LC, tags T
 its composite density is C/T times a logarithm that falls with links:
 log_base(C/T * T/LT), base ln(C * LC / (C - LC) + lc * C / c + e), over the page's own lc / c.
 A node's density sum adds its children's densities. The path from the body to the node of the
-highest sum gives the threshold, the least density on that path; the main subtree is the highest
-node of that path which is no page frame (body, html) where content stands in one subtree.
-Text of scripts, styles, forms, navigation, headers, footers, asides and of blocks whose class or
-id names an advert, a notice, a menu or comments never counts.
+highest sum (or the article element around it) gives the threshold, the least density on that
+path. That node is kept whole. From the body down, so is every other subtree, or run of text
+between blocks, at or above the threshold, and every heading that leads a kept one of its siblings.
+Text of scripts, styles, forms, navigation, headers, footers and asides never counts. A block whose
+class or id names an advert, a notice, a menu or comments counts only where its figures speak
+against the name: less than half of its text is links and its density sum is above that of all
+that has no such name.
 
 Defined cases: null and empty pages, and pages without text, have empty text; unclosed and stray
 tags are repaired; very long pages are read once, left to right; repeated rows stay repeated; an
@@ -45,24 +48,25 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "drop", "chars", "links", "tags", "link_tags", "density", "sums")
+    __slots__ = ("tag", "up", "items", "drop", "chars", "links", "tags", "link_tags", "density", "sums", "named")
 
     def __init__(self, tag: str, up: Node | None, drop: bool):
-        self.tag, self.up, self.items, self.drop = tag, up, [], drop or (up is not None and up.drop)
+        self.tag, self.up, self.items, self.drop, self.named = tag, up, [], drop or (up is not None and up.drop), False
 
 
-def _dropped(tag: str, attrs: str) -> bool:
+def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element never counts, and whether its name says that it is no main text."""
     if tag in DROP:
-        return True
+        return True, False
     if tag in ("body", "html", "article", "main") or not attrs.strip():
-        return False
+        return False, False
+    named = False
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NAMED.search(value) or name == "role" and value.lower() in ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none", value):
-            return True
-    return False
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none", value):
+            return True, False
+        named = named or name in ("class", "id") and NAMED.search(value) is not None
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -89,7 +93,9 @@ def parse(page: str) -> Node:
             continue
         if tag in CLOSES or tag in CLOSE_P:
             node = _implied(node, tag)
-        child = Node(tag, node, _dropped(tag, m[3]))
+        drop, named = _marks(tag, m[3])
+        child = Node(tag, node, drop)
+        child.named = named
         node.items.append(child)
         if tag in RAW:
             end = raw_end(rf"(?i)</{tag}\s*[^>]*>").search(page, at)
@@ -141,7 +147,7 @@ def _measure(root: Node) -> list[Node]:
         n.chars += sum(len(x.strip()) for x in n.items if isinstance(x, str))
         if n.tag == "a":
             n.links, n.link_tags = n.chars, n.link_tags + 1
-        if n.up is not None:
+        if n.up is not None and not n.named:
             n.up.chars += n.chars
             n.up.links += n.links
             n.up.tags += n.tags + 1
@@ -151,45 +157,113 @@ def _measure(root: Node) -> list[Node]:
         n.density = 0.0
         if n.drop or not n.chars:
             continue
-        per = n.chars / max(n.tags, 1)
-        plain = max(n.chars - n.links, 1)
-        base = math.log(n.chars / plain * n.links + lc / c * n.chars + math.e)
-        arg = n.chars / max(n.links, 1) * max(n.tags, 1) / max(n.link_tags, 1)
-        n.density = per * math.log(max(arg, 1.0)) / max(math.log(max(base, 1.0001) + 1), 1e-6)
-        if n.up is not None and not n.up.drop:
+        n.density = _density(n.chars, n.links, n.tags, n.link_tags, lc, c)
+        if n.up is not None and not n.up.drop and not n.named:
             n.up.sums += n.density
     return nodes
 
 
+def _density(chars: int, links: int, tags: int, link_tags: int, lc: int, c: int) -> float:
+    plain = max(chars - links, 1)
+    base = math.log(chars / plain * links + lc / c * chars + math.e)
+    arg = chars / max(links, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * math.log(max(arg, 1.0)) / max(math.log(max(base, 1.0001) + 1), 1e-6)
+
+
+def _regions(root: Node) -> dict[Node, Node]:
+    """The node of the highest density sum (of equal sums, density) of the page and of each named block, without the named blocks inside."""
+    best, home = {}, {}
+    for n in _measure(root):
+        home[n] = at = n if n.named or n.up is None else home[n.up]
+        if not n.drop and n.chars and (at not in best or (n.sums, n.density) > (best[at].sums, best[at].density)):
+            best[at] = n
+    return best
+
+
 def main_node(root: Node) -> Node | None:
-    """The subtree of the highest density sum, raised over nodes as dense as the path's threshold."""
-    nodes = [n for n in _measure(root) if not n.drop and n.chars]
-    if not nodes:
+    """The block of the highest density sum, raised to the article it stands in; names that their figures contradict are cleared."""
+    best = _regions(root)
+    top = best.get(root)
+    wrong = [at for at, n in best.items() if at.named and 2 * at.links < at.chars and (top is None or (n.sums, n.density) > (top.sums, top.density))]
+    for at in wrong:
+        while at is not None and at.named is not None:  # None: this way up is cleared already
+            at.named, at = None, at.up
+    if wrong:
+        top = _regions(root).get(root)
+    if top is None:
         return None
-    best = max(nodes, key=lambda n: n.sums)
-    if best.sums == 0:
-        best = max(nodes, key=lambda n: n.density)
-    path = [n for n in _path(best) if n.tag not in ("html", "body")]
-    limit = min((n.density for n in path), default=0.0)
-    for n in path:  # towards the body
-        if n.density >= limit:
-            best = n
-    if best.tag in ("html", "body"):
-        return best
-    # blocks beside it that reach the threshold belong to the same text: their parent is the subtree
-    around = best.up
-    if around is not None and sum(n.chars for n in around.items if isinstance(n, Node) and not n.drop and n is not best and n.density >= limit) > best.chars:
-        return around
-    return best
+    top = next((n for n in _path(top) if n.tag in BLOCK or n.up is None), top)
+    return next((n for n in _path(top) if n.tag == "article"), top)
+
+
+def _parts(node: Node, path: set[Node]) -> list[list]:
+    """The items of a node that count: blocks one by one, and runs of text and inline elements between them."""
+    out, run = [], None
+    for x in node.items:
+        if isinstance(x, Node) and (x.drop or x.named):
+            run = None if x.tag in BLOCK else run
+        elif isinstance(x, Node) and (x.tag in BLOCK or x in path):
+            out.append([x])
+            run = None
+        elif run is None:
+            out.append(run := [x])
+        else:
+            run.append(x)
+    return out
+
+
+def kept(root: Node, top: Node) -> dict[Node, list[list]]:
+    """Of ``top``'s ancestors and of blocks less dense than its path: their parts that count, in order; a part that is a key is not whole."""
+    path = list(_path(top))
+    framed = any(n.tag == "body" for n in path)
+    limit = min(n.density for n in path if n.up is not None or not framed)
+    on, lc, c = set(path), root.links, max(root.chars, 1)
+    parts, todo, sure = {}, [root] if top is not root else [], {id(top)}
+    while todo:
+        node = todo.pop()
+        parts[node] = _parts(node, on)
+        for part in parts[node]:
+            x = part[0]
+            if isinstance(x, Node) and len(part) == 1 and (x.tag in BLOCK or x in on):
+                if x is top or x not in on and x.density >= limit:
+                    sure.add(id(x))
+                else:
+                    todo.append(x)
+            else:
+                of = [y for y in part if isinstance(y, Node)]
+                chars = sum(y.chars if isinstance(y, Node) else len(y.strip()) for y in part)
+                figures = sum(y.links for y in of), sum(y.tags + 1 for y in of), sum(y.link_tags for y in of)
+                # beside the path only: elsewhere such a run is the text of a block that was found too thin
+                if node in on and chars and _density(chars, *figures, lc, c) >= limit:
+                    sure.add(id(x))
+    for node in reversed(parts):  # children first
+        out, led = [], [False] * 7
+        for part in reversed(parts[node]):
+            x = part[0]
+            level = int(x.tag[1]) if isinstance(x, Node) and re.fullmatch("h[1-6]", x.tag) else 0
+            good = id(x) in sure or isinstance(x, Node) and bool(parts.get(x))
+            if level and not good and led[level]:
+                good = True
+                parts[x] = [x.items]
+            if good:
+                out.append(part)
+            if level:
+                led[level:] = [False] * (7 - level)
+            elif good:
+                led = [True] * 7
+        parts[node] = out[::-1]
+    return parts
 
 
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, one a line."""
     if not page:
         return ""
-    top = main_node(parse(page))
+    root = parse(page)
+    top = main_node(root)
     if top is None:
         return ""
+    parts = kept(root, top)
     blocks, line = [], []
 
     def close() -> None:
@@ -197,18 +271,22 @@ def main_text(page: str | None) -> str:
             blocks.append(text)
         line.clear()
 
-    todo: list = [top]
+    todo: list = [root]
     while todo:
         x = todo.pop()
         if x is None:
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif not x.drop:
+        elif not x.drop and not x.named:
             if x.tag in BLOCK:
                 close()
                 todo.append(None)
-            todo += reversed(x.items)
+            if x in parts:  # what is left out ends a line
+                for part in reversed(parts[x]):
+                    todo += [None, *reversed(part)]
+            else:
+                todo += reversed(x.items)
     close()
     return "\n".join(blocks)
 

@@ -185,6 +185,32 @@ def test_main_text_of_a_page():
     assert got.split("\n") == ["Title & more", one, f"Second <b> bold text. {one}", "item one", "item two"]
 
 
+def _story(*names, n=300):
+    return {x: (f"{x} says this much of the story. " * 40)[:n].strip() for x in names}
+
+
+def test_an_article_in_sibling_blocks_keeps_all_of_them_and_its_heading():
+    s = _story(*"abcde")
+    p = {k: f"<p>{v}</p>" for k, v in s.items()}
+    page = f"<body><h1>Head</h1><div>{p['a']}{p['b']}{p['c']}</div><h2>More</h2><div>{p['d']}{p['e']}</div><div class=x1><p>Side</p><a href=/1>one</a><a href=/2>two</a></div></body>"
+    assert html_text.main_text(page).split("\n") == ["Head", s["a"], s["b"], s["c"], "More", s["d"], s["e"]]
+
+
+def test_a_wrapper_and_unlisted_names_do_not_bring_side_text():
+    s = _story(*"abcde")
+    side = "<div class=x7><h3>Hot now</h3><p>Top ten.</p><ul><li><a href=/1>First of them</a><li><a href=/2>Second of them</a></ul></div>"
+    page = f"<body><div id=w>{side}<h1>Head</h1><div class=x8>{''.join(f'<p>{x}</p>' for x in s.values())}</div>{side}</div></body>"
+    assert html_text.main_text(page).split("\n") == ["Head", *s.values()]
+
+
+def test_a_class_name_alone_drops_no_article():
+    s = _story(*"abcde")
+    story = "".join(f"<p>{x}</p>" for x in s.values())
+    for name in ("page right-sidebar", "search", "widget legal"):
+        page = f"<body><div class='{name}'><div>{story}</div><div class=ad><p>Buy this.</p></div></div><div class=side><a href=/1>one</a> <a href=/2>two</a></div><p>Foot</p></body>"
+        assert html_text.main_text(page).split("\n") == [*s.values()], name
+
+
 def test_odd_pages(spark):
     rows = [(0, "u", None), (1, "u", ""), (2, "u", "<p>"), (3, "u", "only text"), (4, "u", "<div>" * 3000 + "deep &eacute;"), (5, "u", "<script>x"), (6, "u", "<body><p>a<p>b</body>"), (6, "u", "<body><p>a<p>b</body>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
