@@ -172,7 +172,7 @@ def stream_tumbling(spark, d):
 @query("""SELECT user_id, arg_min(value, (ts, event_id)) opening, min(ts) seen_at FROM events GROUP BY 1""")
 def stream_first_seen(spark, d):
     name = "first_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    got = streams.run_to_table(spark, streams.first_seen(_stream(spark, d), "user_id", "ts", "value"), name, f"{_checkpoints(spark)}/{name}")
+    got = streams.run_to_table(spark, streams.first_seen(_stream(spark, d), "user_id", "ts", "value"), name, f"{_checkpoints(spark)}/{name}", "complete")
     return got.withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
 
 

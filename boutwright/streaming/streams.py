@@ -21,24 +21,11 @@ def tumbling(stream: DataFrame, time: str, key: str, width: str = "5 minutes", l
     return s.groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.min_by("value", at).alias("open_price"), F.max_by("value", at).alias("close_price")).select(F.col("w.start").alias("window_start"), key, "n", "open_price", "close_price")
 
 
-def first_seen(stream: DataFrame, key: str, time: str, value: str, keep: str = "30 days") -> DataFrame:
-    """The first quote of each key; a key is forgotten ``keep`` after its last event time, so state is bounded."""
-    days = int(keep.split()[0])
-    schema = f"{key} {dict(stream.dtypes)[key]}, opening double, seen_at timestamp"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames))
-        if not state.exists:
-            first = rows.sort_values(time).iloc[0]
-            yield pd.DataFrame({key: [k[0]], "opening": [float(first[value])], "seen_at": [first[time]]})
-        state.update((int(rows[time].max().timestamp()),))
-        state.setTimeoutTimestamp(int((rows[time].max() + pd.Timedelta(days=days)).timestamp() * 1000))
-
-    s = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, "1 day")
-    return s.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+def first_seen(stream: DataFrame, key: str, time: str, value: str, tie: str = "event_id") -> DataFrame:
+    """The earliest known quote of each key over all rows, in whatever order they come; for complete mode, with one row of state a key."""
+    s = stream.withColumn(time, F.col(time).cast("timestamp"))
+    at = F.when(F.col(time).isNotNull() & F.col(value).isNotNull(), F.struct(time, tie))
+    return s.groupBy(key).agg(F.min_by(value, at).alias("opening"), F.min(time).alias("seen_at"))
 
 
 def realerts(stream: DataFrame, key: str, order: str, magnitude: str, step_size: float = 0.05) -> DataFrame:

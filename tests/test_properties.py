@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,19 @@ def test_realerts_and_unique_sink(spark, tmp_path):
         src = spark.readStream.schema("k int, o int, m double").parquet(str(tmp_path / "in"))
         streams.append_unique(src, str(tmp_path / "out"), str(tmp_path / f"cp{i}x"), "k").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_first_seen_over_files_out_of_order(spark, tmp_path):
+    """A user with late rows only, an earlier opening in a later file, and a user who returns after months."""
+    from boutwright.plans import registry
+    from tests.compare import same
+
+    d, day = tmp_path / "sf", lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    files = [[(1, day(100), 1, 5.0), (2, day(100), 4, 9.0)], [(3, day(10), 2, 6.0), (4, day(20), 1, 7.0)], [(5, day(200), 4, 8.0), (6, day(10), 2, 1.0)], [(7, day(300), 3, 2.0), (8, day(1), 4, 3.0)]]
+    for i, rows in enumerate(files):
+        f = spark.createDataFrame([(e, t, u, "view", v) for e, t, u, v in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+        f.coalesce(1).write.mode("append").parquet(str(d / "events.parquet"))
+        time.sleep(0.05)  # files are read in the order of their times
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet')")
+    assert same(spark, con, registry.queries()["stream_first_seen"], registry.oracle_sql()["stream_first_seen"], str(d)) == ""
