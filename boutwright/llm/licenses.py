@@ -1,10 +1,11 @@
 """Licence scans: a trained paragraph classifier with template confirmation.
 
-Each paragraph (line with a word) that holds a word of ``SCORED`` is scored by a multinomial logistic
+A paragraph is a line with a word; lines that a notice is wrapped over are also joined and read as
+one. Each paragraph that holds a word of ``SCORED`` is scored by a multinomial logistic
 regression over sparse word 1- to 3-grams, with one class a licence family and one for unknown.
 It is trained here on the templates below, on their variants (names filled in, words dropped,
-notices joined), and on paragraphs of a bounded sample of the corpus, which form the unknown
-class. The unknown class is calibrated on held-out variants: a temperature by least log loss, and
+notices joined), and, as the unknown class, on the scored
+paragraphs and first lines of bounded samples of the corpus that are unlike every template. The unknown class is calibrated on held-out variants: a temperature by least log loss, and
 a threshold that at most 1 in 1,000 held-out unknowns pass. A prediction stands only if the
 paragraph also holds 0.8 of the word 3-grams of a template of that family.
 
@@ -86,6 +87,14 @@ def scored_words() -> tuple[str, ...]:
 
 
 SCORED = scored_words()
+SHAPES = [(f, shape(t)) for f, ts in TEMPLATES.items() for t in ts]
+#: A notice is wrapped over as many lines with a word as the longest template has words, at most.
+WRAP = max(len(tokens(t)) for ts in TEMPLATES.values() for t in ts)
+#: The templates of a gram.
+INDEX: dict[str, list[int]] = {}
+for _t, (_, _s) in enumerate(SHAPES):
+    for _g in _s:
+        INDEX.setdefault(_g, []).append(_t)
 
 
 def hashed(paragraph: str) -> np.ndarray:
@@ -203,11 +212,80 @@ def paragraphs(text: str) -> Iterator[tuple[int, str]]:
             yield k, line.strip()
 
 
+def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, lines joined) where following lines together hold ``CONFIRM`` of a template, and none of a family's spans holds another."""
+    if "\n" not in text or not holds(text, SCORED):
+        return
+    block = []
+    for k, line in enumerate([*text.split("\n"), ""]):
+        if ws := tokens(line):
+            block.append((k, line.strip(), ws))
+            continue
+        if len(block) > 1 and any(holds(x, SCORED) for _, x, _ in block):
+            for start, end in _spans([x for *_, x in block]):
+                yield block[start][0], block[end][0], " ".join(x for _, x, _ in block[start : end + 1])
+        block = []
+
+
+def _spans(lines: list[list[str]]) -> list[tuple[int, int]]:
+    words = [w for ws in lines for w in ws]
+    at = [k for k, ws in enumerate(lines) for _ in ws]
+    hits: dict[int, list[tuple[int, int, str]]] = {}  # by template: first and last line of its grams, in order
+    for i in range(len(words)):
+        for n in (1, 2, 3):
+            if i + n <= len(words) and (g := " ".join(words[i : i + n])) in INDEX:
+                for t in INDEX[g]:
+                    hits.setdefault(t, []).append((at[i], at[i + n - 1], g))
+    spans: dict[str, set[tuple[int, int]]] = {}
+    for t, found in hits.items():
+        family, grams_ = SHAPES[t]
+        count, low, met = {}, 0, 0
+        for k, (_, _, g) in enumerate(found):  # a sliding window over the grams, as short as it can be
+            count[g] = count.get(g, 0) + 1
+            met += count[g] == 1
+            while met / len(grams_) >= CONFIRM:
+                start, _, h = found[low]
+                if count[h] == 1 and (met - 1) / len(grams_) < CONFIRM:
+                    end = max(x for _, x, _ in found[max(low, k - 8) : k + 1])  # at most 9 grams end within 3 words
+                    if end - start < WRAP:
+                        spans.setdefault(family, set()).add((start, end))
+                count[h] -= 1
+                met -= count[h] == 0
+                low += 1
+    out = set()
+    for own in spans.values():
+        least = None
+        for start, end in sorted(own, key=lambda x: (-x[0], x[1])):  # those that start later come first
+            if least is None or end < least:
+                least = end
+                if start < end:
+                    out.add((start, end))
+    return sorted(out)
+
+
+def found_in(text: str, model: Classifier) -> list[dict]:
+    """The paragraphs with a licence word and all confirmed ones; lines of a confirmed span that are unknown alone are part of it."""
+    lines, spans = list(paragraphs(text)), list(wrapped(text))
+    got = model.predict([q for _, q in lines] + [q for *_, q in spans])
+    sure = [(a, b, x) for (a, b, _), x in zip(spans, got[len(lines) :]) if x[0] != UNKNOWN]
+    inside = {k for a, b, _ in sure for k in range(a, b + 1)}
+    out = [(k, x) for (k, q), x in zip(lines, got) if x[0] != UNKNOWN or holds(q, GATES) and k not in inside]
+    out += [(a, x) for a, _, x in sure]
+    return [{"paragraph": k, "family": f, "probability": p, "similarity": s} for k, (f, p, s) in sorted(out)]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> Classifier:
-    """The classifier, with unknowns from at most ``sample`` documents: lines unlike every template."""
-    ids = docs.select(F.col(doc_id).alias("__id")).where(F.col("__id").isNotNull()).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("t")).join(F.broadcast(ids), "__id").select(F.element_at(F.split("t", "\n"), 1).alias("line"))
-    lines = sorted({r["line"][:2000] for r in rows.where(F.length("line") > 0).dropDuplicates().limit(sample).collect()})
+    """The classifier, with unknowns unlike every template: all scored lines of at most ``sample`` documents that hold one, and first lines of as many of all."""
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("t")).where(F.col("__id").isNotNull())
+    scored = lambda c: F.lower(c).rlike("|".join(map(re.escape, SCORED)))
+
+    def some(source: DataFrame) -> DataFrame:
+        ids = source.select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
+        return rows.join(F.broadcast(ids), "__id")
+
+    first = some(rows).select(F.element_at(F.split("t", "\n"), 1).alias("line")).where(F.length("line") > 0).dropDuplicates().limit(sample)
+    mentions = some(rows.where(scored("t"))).select(F.explode(F.split("t", "\n")).alias("line")).where(scored("line"))
+    lines = sorted({r["line"].strip() for r in first.unionByName(mentions.dropDuplicates()).collect()})
     shapes = [s for f in TEMPLATES.values() for t in f if (s := grams(tokens(t), (3,)))]
     negatives = [x for x in lines if (own := grams(tokens(x), (3,))) is not None and not any(len(s & own) >= 0.5 * len(s) for s in shapes)]
     return fit(negatives)
@@ -219,10 +297,7 @@ def scan(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
         for b in batches:
-            found = []
-            for x in b.column("__text"):
-                got = list(paragraphs(x.as_py() or ""))
-                found.append([{"paragraph": k, "family": f, "probability": p, "similarity": s} for (k, q), (f, p, s) in zip(got, model.predict([q for _, q in got])) if f != UNKNOWN or holds(q, GATES)])
+            found = [found_in(x.as_py() or "", model) for x in b.column("__text")]
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in keep} | {"found": pa.array(found, kind)})
 
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -231,12 +306,12 @@ def scan(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)
 
 
 def licences(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """doc_id, license, probability, n_paragraphs (with a licence word or confirmed) and n_confirmed of every document."""
+    """doc_id, license, probability, n_paragraphs (with a licence word or confirmed), n_confirmed and confirmed (all that are) of every document."""
     found = scan(docs, model or train(docs))
     sure = F.filter("found", lambda x: x["family"] != UNKNOWN)
     best = F.array_max(F.transform(sure, lambda x: F.struct(x["probability"].alias("p"), x["similarity"].alias("s"), (-x["paragraph"]).alias("n"), x["family"].alias("f"))))
     none = F.when(F.size("found") > 0, UNKNOWN).otherwise("none")
-    return found.select("doc_id", F.coalesce(best["f"], none).alias("license"), F.round(best["p"], 4).alias("probability"), F.size("found").alias("n_paragraphs"), F.size(sure).alias("n_confirmed"))
+    return found.select("doc_id", F.coalesce(best["f"], none).alias("license"), F.round(best["p"], 4).alias("probability"), F.size("found").alias("n_paragraphs"), F.size(sure).alias("n_confirmed"), sure.alias("confirmed"))
 
 
 def op3_licenses(spark, sf_dir):

@@ -141,6 +141,24 @@ def test_every_licence_form_of_the_tables(spark):
         assert model.predict([p for _, p in licenses.paragraphs(t)])[0][0] == "proprietary"
 
 
+def test_wrapped_licences_and_all_families_are_found(spark, docs):
+    model = licenses.train(docs)
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms,\nwith or without modification, are permitted\nprovided that the following conditions are met:"
+    texts = [f"Intro.\n\n{grant}\n\nEnd.", f"Intro.\n{bsd}\nEnd.\n\nLicensed under CC BY 4.0.\nLicensed under the\nApache License, Version 2.0.", "Licensed under the\n\nMIT License.", "Released under the MIT License."]
+    rows = licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [[(x.family, x.paragraph) for x in r.confirmed] for r in rows] == [[("mit", 2)], [("bsd", 1), ("cc-by", 6), ("apache", 7)], [], [("mit", 0)]]
+    assert [r.n_confirmed for r in rows] == [1, 3, 0, 1]
+
+
+def test_unknown_licence_lines_after_the_first_are_trained_on(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(licenses, "fit", seen.extend)
+    long = "word " * 500 + "and a fishing license"
+    licenses.train(spark.createDataFrame([(1, f"First.\nplain\n{long}\nReleased under the MIT License."), (2, "Other.")], "doc_id long, text string"))
+    assert sorted(seen) == sorted(["First.", "Other.", long])
+
+
 # 4 --------------------------------------------------------------------------------------------
 def cut_all(texts):
     data = [(t or "").encode() for t in texts]
