@@ -37,11 +37,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*written: DataFrame) -> None:
-    """Delete the files of materialised tables that nothing reads any more."""
+def discard(*written: DataFrame | tuple[SparkSession, str]) -> None:
+    """Delete the files of materialised tables (or of a session's path) that nothing reads any more."""
     for df in written:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        spark, stored_at = df if isinstance(df, tuple) else (df.sparkSession, df.stored_at)
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(stored_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 

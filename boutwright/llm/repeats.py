@@ -1,29 +1,32 @@
 """Removal of long repeated substrings by prefix-free parsing.
 
-A byte goes if a 400-byte string that covers it also starts anywhere else in the corpus (another
-place of the same text included; matches never cross texts).
+A byte goes if a string of ``window`` bytes that covers it also starts anywhere else in the corpus
+(another place of the same text included; matches never cross texts). The window is 400 bytes by
+default; the pipeline takes ``PASSAGE``.
 
 1. Equal texts collapse to one row with a count: a table bucketed by the text's key, so no later
    step shuffles texts again.
 2. A rolling hash over 16 bytes triggers phrase starts, which depend on those bytes alone. Each
-   400-byte window belongs to the first trigger it holds within ``REACH`` bytes (a rarer kind
-   first, then a commoner kind; a window without any stands for itself). The windows of one
-   trigger are one row of the parse: the hash of what they all share from the trigger on (``z``)
-   and the hash of the whole dictionary string that holds them (``f``).
-3. Corpus order is only needed down to equality over 400 bytes, so suffixes are put in classes
+   window belongs to the first trigger it holds within ``reach`` bytes (a rarer kind first, then a
+   commoner kind; a window without any stands for itself). The windows of one trigger are one row
+   of the parse: the hash of what they all share from the trigger on (``z``) and the hash of the
+   whole dictionary string that holds them (``f``).
+3. Corpus order is only needed down to equality over a window, so suffixes are put in classes
    rather than sorted: where z occurs once nothing repeats; where (z, f) occurs twice all its
    windows do; only rows that share z but differ in f (the ends of repeats) are opened, once for
-   each distinct (z, f): first into parts of 64 windows by the string these share, then, where
-   that occurs again, into single windows, which are counted by hash.
+   each distinct (z, f), into parts of 64 windows, which are classed in the same way by the string
+   they share and by their whole string; then into parts of 8 and into single windows.
 4. Covered bytes are cut out of each distinct text, and every document takes its text's result.
 
 A suffix array of the whole dictionary or parse would have to stand in one task; classes by
 (z, f) give the same equalities with partial aggregation, and skewed keys only meet in joins,
-which Spark splits. Hashes are pairs of 64 bits.
+which Spark splits. z is a 64-bit polynomial hash, f the XXH3 of all bytes: a wrong z costs time,
+and only a pair of both that is wrong would cost bytes.
 
-Defined cases: a null text is empty; texts under 400 bytes lose nothing; very long texts are
-parsed in overlapping segments of bounded memory; repeated rows are copies of each other and go
-whole; an empty table gives an empty result.
+Defined cases: a null text is empty; texts shorter than the window lose nothing; very long texts
+are parsed in overlapping segments of bounded memory; repeated rows are copies of each other and
+go whole; an empty table gives an empty result; a column of the input that has the name of an
+output column is replaced by it, all other columns are kept.
 """
 
 from __future__ import annotations
@@ -31,21 +34,25 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, shared_dir, table, text_key, text_or_empty
 
 WINDOW = 400
+#: The pipeline's window: 50 tokens of four bytes, the least length at which repeated training text is
+#: usually cut; a passage of more than 50 words is longer than that in any language of short words.
+PASSAGE = 200
 GRAM = 16
-REACH = 320
 RARE, COMMON = 96, 24
 SEGMENT = 1 << 20
 #: Windows that are opened together if the string they share occurs again.
-PART = 64
+PARTS = (64, 8, 1)
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -53,35 +60,48 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        both.append(np.multiply.accumulate(out))
+    return both[0], both[1]
 
 
-_UP = _powers(_BASE, SEGMENT + WINDOW + 1)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), SEGMENT + WINDOW + 1)
+def reach_of(window: int) -> int:
+    """How far into a window its trigger may stand."""
+    return window * 4 // 5
 
 
 class Rolling:
     """Hashes of any substring of one segment, alike wherever it stands."""
 
     def __init__(self, seg: np.ndarray):
+        up, self.down = _powers(1 << (len(seg) + 1).bit_length())
         self.sums = np.zeros(len(seg) + 1, np.uint64)
-        np.cumsum(_BYTE[seg] * _UP[: len(seg)], out=self.sums[1:])
+        np.cumsum(_BYTE[seg] * up[: len(seg)], out=self.sums[1:])
+        self.view = memoryview(np.ascontiguousarray(seg))
 
     def at(self, start: np.ndarray, length) -> np.ndarray:
-        h = (self.sums[start + length] - self.sums[start]) * _DOWN[start]
+        h = (self.sums[start + length] - self.sums[start]) * self.down[start]
         h ^= h >> np.uint64(29)
         h *= _MIX
         return h ^ (h >> np.uint64(32))
 
+    def exact(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """XXH3 of the bytes from each start to its stop."""
+        view, digest = self.view, xxhash.xxh3_64_intdigest
+        return np.array([digest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist())], np.uint64)
 
-def segments(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+
+def segments(data: bytes, window: int = WINDOW) -> Iterator[tuple[int, np.ndarray]]:
     """Overlapping pieces: each window starts in exactly one."""
     raw = np.frombuffer(data, np.uint8)
-    for at in range(0, max(0, len(raw) - WINDOW + 1), SEGMENT):
-        yield at, raw[at : at + SEGMENT + WINDOW - 1]
+    for at in range(0, max(0, len(raw) - window + 1), SEGMENT):
+        yield at, raw[at : at + SEGMENT + window - 1]
 
 
 def _next(marks: np.ndarray, n: int) -> np.ndarray:
@@ -94,22 +114,22 @@ def _next(marks: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def parse(seg: np.ndarray) -> tuple[np.ndarray, ...]:
+def parse(seg: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """z, f, first and last window start and distance from there to the trigger of each row of one segment's parse, whether the segment itself repeats it, and spans of windows it repeats."""
-    roll, n = Rolling(seg), len(seg) - WINDOW + 1
+    roll, n, reach = Rolling(seg), len(seg) - window + 1, reach_of(window)
     level = roll.at(np.arange(len(seg) - GRAM + 1), GRAM) >> np.uint64(32)
     starts = np.arange(n)
     rare = _next(np.flatnonzero(level < (1 << 32) // RARE), n)
-    anchor = np.where(rare - starts <= REACH, rare, -1)
+    anchor = np.where(rare - starts <= reach, rare, -1)
     if (open_ := np.flatnonzero(anchor < 0)).size:
         common = _next(np.flatnonzero(level < (1 << 32) // COMMON), n)[open_]
-        anchor[open_] = np.where(common - open_ <= REACH, common, -1 - open_)
+        anchor[open_] = np.where(common - open_ <= reach, common, -1 - open_)
     first = np.flatnonzero(np.diff(anchor, prepend=-(1 << 41)))
     last = np.append(first[1:], n) - 1
     own = anchor[first]
-    f = roll.at(first, last - first + WINDOW) ^ ((last - first).astype(np.uint64) * _MIX) ^ ((own - first).astype(np.uint64) << np.uint64(17)) * (own >= 0)
+    f = roll.exact(first, last + window) ^ ((own - first).astype(np.uint64) << np.uint64(17)) * (own >= 0)
     alone = own < 0
-    z = np.where(alone, f, roll.at(np.where(alone, 0, own), WINDOW - REACH))
+    z = np.where(alone, f, roll.at(np.where(alone, 0, own), window - reach))
     if not alone.any():
         return z, f, first, last, own - last, np.zeros(len(z), np.int64), np.zeros((0, 2), np.int64)
     # windows without a trigger (short periods): one row for each distinct one, known repeats as spans
@@ -125,68 +145,89 @@ def parse(seg: np.ndarray) -> tuple[np.ndarray, ...]:
     return z[keep], f[keep], first[keep], last[keep], gap[keep], twice[keep], sure
 
 
-def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the parse; ``at`` packs first, last - first, trigger - last and "occurs twice already" (20, 10 and 9 bits up, and 1). Spans known to repeat have no z."""
-    for b in batches:
-        out, held = [], 0
-        for key, x, many in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist()):
-            for at, seg in segments(x.as_py().encode("utf-8", "surrogatepass")):
-                z, f, first, last, gap, twice, sure = parse(seg)
-                out.append((np.full(len(z), key), z.view(np.int64), f.view(np.int64), ((first + at) << 20) + ((last - first) << 10) + (gap << 1) + (twice | many), np.zeros(len(z), bool)))
-                if len(sure) and not many:
-                    a = np.concatenate([np.arange(i, j + 1, WINDOW) for i, j in sure])
-                    end = np.concatenate([np.minimum(np.arange(i, j + 1, WINDOW) + WINDOW - 1, j) for i, j in sure])
-                    none = np.zeros(len(a), np.int64)
-                    out.append((np.full(len(a), key), none, none, ((a + at) << 20) + ((end - a) << 10), np.ones(len(a), bool)))
-                held += len(z)
-                if held > 1 << 20:
-                    yield _packed(out)
-                    out, held = [], 0
-        if out:
-            yield _packed(out)
-
-
-def _packed(out: list) -> pa.RecordBatch:
+ROW = "key long, z long, f long, at long"
+
+
+def _packed_at(first: np.ndarray, last: np.ndarray, top: np.ndarray, twice) -> np.ndarray:
+    """first, last - first, top - last and "occurs twice already" in one number (31, 16, 15 bits and 1)."""
+    return (first << 32) + ((last - first) << 16) + ((top - last) << 1) + twice
+
+
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    first = at >> 32
+    last = first + ((at >> 16) & 0xFFFF)
+    return first, last, last + ((at >> 1) & 0x7FFF), at & 1
+
+
+def _span(at: Column) -> list[Column]:
+    first = F.shiftright(at, 32)
+    return [first.alias("first"), (first + F.shiftright(at, 16).bitwiseAND(0xFFFF)).alias("last")]
+
+
+def _batch(out: list) -> pa.RecordBatch:
     key, z, f, at, none = (np.concatenate(c) for c in zip(*out))
-    return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "z": pa.array(z, mask=none), "f": pa.array(f), "at": pa.array(at.astype(np.int64))})
-
-
-def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """key, segment start, its hashes and the opened rows that start in it."""
-    for b in batches:
-        for key, x, rows in zip(b.column("key").to_pylist(), b.column("text"), b.column("rows").to_pylist()):
-            rows.sort(key=lambda r: r["first"])
-            k = 0
-            for at, seg in segments(x.as_py().encode("utf-8", "surrogatepass")):
-                here = []
-                while k < len(rows) and rows[k]["first"] < at + SEGMENT:
-                    here.append(rows[k])
-                    k += 1
-                if here:
-                    yield key, at, Rolling(seg), here
-
-
-def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Opened rows in parts of up to PART windows by distance to the trigger, each with the hash of the core its windows share."""
-    for key, at, roll, rows in _by_segment(batches):
-        out = []
-        for r in rows:
-            top = r["last"] + r["gap"]
-            for k in range(r["gap"] // PART, (top - r["first"]) // PART + 1):
-                hi = top - k * PART
-                out.append((r["z"], max(r["first"], hi - PART + 1), min(r["last"], hi), hi, r["n"], k))
-        z, first, last, hi, n, k = (np.array(c, np.int64) for c in zip(*out))
-        core = roll.at(hi - at, WINDOW - PART + 1) ^ (k.astype(np.uint64) * _MIX)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(z), key)), "z": pa.array(z), "c": pa.array(core.view(np.int64)), "first": pa.array(first), "last": pa.array(last), "n": pa.array(n)})
-
-
-def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single windows of the opened parts of each text; ``i`` is start * 2 + (occurs twice already)."""
-    for key, at, roll, rows in _by_segment(batches):
-        i = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in rows])
-        size = [r["last"] - r["first"] + 1 for r in rows]
-        z, n = (np.repeat(np.array([r[c] for r in rows], np.int64), size) for c in ("z", "n"))
-        yield pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(i), key)), "z": pa.array(z), "h": pa.array(roll.at(i - at, WINDOW).view(np.int64)), "i": pa.array(i * 2 + (n > 1))})
+    return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "z": pa.array(z.view(np.int64), mask=none), "f": pa.array(f.view(np.int64)), "at": pa.array(at.astype(np.int64))})
+
+
+def _parse_rows(window: int):
+    """Rows of the parse; spans known to repeat within their segment have no z."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, held = [], 0
+            for key, x, many in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist()):
+                for at, seg in segments(x.as_py().encode("utf-8", "surrogatepass"), window):
+                    z, f, first, last, gap, twice, sure = parse(seg, window)
+                    out.append((np.full(len(z), key), z, f, _packed_at(first + at, last + at, last + gap + at, twice | many), np.zeros(len(z), bool)))
+                    if len(sure) and not many:
+                        a = np.concatenate([np.arange(i, j + 1, window) for i, j in sure])
+                        end = np.concatenate([np.minimum(np.arange(i, j + 1, window) + window - 1, j) for i, j in sure])
+                        none = np.zeros(len(a), np.uint64)
+                        out.append((np.full(len(a), key), none, none, _packed_at(a + at, end + at, end + at, 0), np.ones(len(a), bool)))
+                    held += len(z)
+                    if held > 1 << 20:
+                        yield _batch(out)
+                        out, held = [], 0
+            if out:
+                yield _batch(out)
+
+    return run
+
+
+def _part_rows(window: int, size: int):
+    """Opened rows in parts of up to ``size`` windows by distance to the trigger; z is made of the row's z and the string the part's windows share, f of the part's whole string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("rows")
+            ends = rows.offsets.to_numpy()
+            flat = rows.flatten()
+            all_z, all_at = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("z", "at"))
+            ends = ends - ends[0]
+            for i, (key, x) in enumerate(zip(b.column("key").to_pylist(), b.column("text"))):
+                at, zs = all_at[ends[i] : ends[i + 1]], all_z[ends[i] : ends[i + 1]]
+                order = np.argsort(at)
+                at, zs = at[order], zs[order].view(np.uint64)
+                first = at >> 32
+                for base, seg in segments(x.as_py().encode("utf-8", "surrogatepass"), window):
+                    a, b_ = np.searchsorted(first, [base, base + SEGMENT])
+                    if a < b_:
+                        yield _batch([_parts(key, base, Rolling(seg), zs[a:b_], at[a:b_], window, size)])
+
+    return run
+
+
+def _parts(key: int, base: int, roll: Rolling, z: np.ndarray, at: np.ndarray, window: int, size: int) -> tuple:
+    first, last, top, twice = _unpacked(at)
+    low, high = (top - last) // size, (top - first) // size
+    many = high - low + 1
+    row = np.repeat(np.arange(len(z)), many)
+    k = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    hi = top[row] - k * size
+    start, stop = np.maximum(first[row], hi - size + 1), np.minimum(last[row], hi)
+    core = roll.at(hi - base, window - size + 1) ^ ((k.astype(np.uint64) + z[row]) * _MIX)
+    f = roll.exact(start - base, stop - base + window) ^ ((hi - start).astype(np.uint64) << np.uint64(17))
+    return np.full(len(row), key), core, f, _packed_at(start, stop, hi.clip(stop), twice[row]), np.zeros(len(row), bool)
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -207,21 +248,24 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(left), removed, runs
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size, gone, runs, sha, text = [], [], [], [], []
-        for x, many, spans in zip(b.column("text"), b.column("many").to_pylist(), b.column("spans").to_pylist()):
-            data = x.as_py().encode("utf-8", "surrogatepass")
-            found = [(s["first"], s["last"] + WINDOW) for s in spans or ()]
-            if many and len(data) >= WINDOW:
-                found = [(0, len(data))]
-            kept, removed, n = cut(data, found)
-            size.append(len(data))
-            gone.append(removed)
-            runs.append(n)
-            sha.append(hashlib.sha256(kept).hexdigest())
-            text.append(kept.decode("utf-8", "ignore"))  # a cut inside a character leaves no half of it
-        yield pa.RecordBatch.from_pydict({"key": b.column("key"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(text, pa.string())})
+def _cut_rows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, gone, runs, sha, text = [], [], [], [], []
+            for x, many, spans in zip(b.column("text"), b.column("many").to_pylist(), b.column("spans").to_pylist()):
+                data = x.as_py().encode("utf-8", "surrogatepass")
+                found = [(s["first"], s["last"] + window) for s in spans or ()]
+                if many and len(data) >= window:
+                    found = [(0, len(data))]
+                kept, removed, n = cut(data, found)
+                size.append(len(data))
+                gone.append(removed)
+                runs.append(n)
+                sha.append(hashlib.sha256(kept).hexdigest())
+                text.append(kept.decode("utf-8", "ignore"))  # a cut inside a character leaves no half of it
+            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(text, pa.string())})
+
+    return run
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
@@ -240,71 +284,79 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]
         texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "key").saveAsTable(name)
         if spark.table(name).where("clash").isEmpty():
             texts = spark.table(name).drop("clash")
-            texts.stored_at = path
+            texts.stored_at, texts.name = path, name
             return texts, seed
+        _forget(spark, name, path)
     raise RuntimeError("texts share a key under every seed")
 
 
+def _forget(spark, name: str, path: str) -> None:
+    """Drop the catalogue's entry of a table and delete its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    discard((spark, path))
+
+
 def _key(text: str, seed: int) -> Column:
     return F.xxhash64(text_or_empty(text), F.lit(seed)).alias("key")
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """key and its spans (first, last window start) that start elsewhere too; texts with copies are left out."""
-    parsed = materialise(texts.where(F.length("text") > 0).mapInArrow(_parse_rows, "key long, z long, f long, at long"), "parse")
-    first = F.shiftright("at", 20)
-    last = first + F.shiftright("at", 10) % 1024
-    gap = F.shiftright("at", 1) % 512
-    weight = F.sum(1 + F.col("at") % 2)
-    again = parsed.where("z is not null").groupBy("z").agg(weight.alias("n")).where("n > 1").select("z")
-    twice = materialise(parsed.join(again, "z", "left_semi"), "parse-again")
-    rows = twice.withColumn("rid", F.xxhash64("key", "at"))
-    pairs = rows.groupBy("z", "f").agg(weight.alias("n"), F.min("rid").alias("rep"))
+def _classed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Spans whose (z, f) occurs again, and one row of each (z, f) whose z has others too, written."""
+    rows = rows.withColumn("rid", F.xxhash64("key", "at"))
+    pairs = rows.groupBy("z", "f").agg(F.sum(1 + F.col("at") % 2).alias("n"), F.min("rid").alias("rep"))
     kinds = pairs.groupBy("z").agg((F.count(F.lit(1)) > 1).alias("mixed"))
     pairs = pairs.join(kinds, "z").where("n > 1 or mixed")
-    known = rows.join(pairs, ["z", "f"]).select("key", "z", "n", "mixed", (F.col("rid") == F.col("rep")).alias("one"), first.alias("first"), last.alias("last"), gap.alias("gap"), (F.col("at") % 2 == 1).alias("many"))
-    known = materialise(known.where("one or not many"), "parse-known")
-    discard(twice)
-    sure = known.where("n > 1 and not many").select("key", "first", "last")
-    within = materialise(parsed.where("z is null").select("key", first.alias("first"), last.alias("last")), "within-segments")
+    known = rows.join(pairs, ["z", "f"]).withColumn("open", F.expr("mixed and rid = rep")).where("open or at % 2 = 0")
+    known = materialise(known.select("key", "z", "at", "n", "open"), name)
+    sure = known.where("n > 1 and at % 2 = 0").select("key", *_span(F.col("at")))
+    return sure, known.where("open").select("key", "z", F.when(F.col("n") > 1, F.col("at").bitwiseOR(1)).otherwise(F.col("at")).alias("at"))
+
+
+def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """key and its spans (first, last window start) that start elsewhere too; texts with copies are left out."""
+    parsed = materialise(texts.where(F.octet_length("text") >= window).mapInArrow(_parse_rows(window), ROW), "parse")
+    again = parsed.where("z is not null").groupBy("z").agg(F.sum(1 + F.col("at") % 2).alias("n")).where("n > 1").select("z")
+    rows = materialise(parsed.join(again, "z", "left_semi"), "parse-again")
+    sure = [materialise(parsed.where("z is null").select("key", *_span(F.col("at"))), "within-segments")]
     discard(parsed)
-    sure = sure.unionByName(within)
-    listed = lambda df, *more: df.groupBy("key").agg(F.collect_list(F.struct("z", "first", "last", "n", *more)).alias("rows"))
-    parts = texts.select("key", "text").join(listed(known.where("mixed and one"), "gap"), "key").mapInArrow(_part_rows, "key long, z long, c long, first long, last long, n long")
-    parts = cores = materialise(parts, "parts")
-    shared = parts.groupBy("z", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("z", "c")
-    parts = parts.join(shared, ["z", "c"], "left_semi")
-    single = texts.select("key", "text").join(listed(parts), "key").mapInArrow(_open_rows, "key long, z long, h long, i long")
-    single = materialise(single, "windows")
-    discard(cores)
-    met = single.groupBy("z", "h").agg(F.sum(1 + F.col("i") % 2).alias("m")).where("m > 1").select("z", "h")
-    start = F.floor(F.col("i") / 2).cast("long")
-    ends = single.where("i % 2 = 0").join(met, ["z", "h"], "left_semi").select("key", start.alias("first"), start.alias("last"))
-    return sure.unionByName(ends).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-
-
-def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
-    """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of each document."""
+    for size in PARTS:
+        found, open_ = _classed(rows, "classes")
+        sure.append(found)
+        discard(rows)
+        listed = open_.groupBy("key").agg(F.collect_list(F.struct("z", "at")).alias("rows"))
+        rows = materialise(texts.select("key", "text").join(listed, "key").mapInArrow(_part_rows(window, size), ROW), "parts")
+    sure.append(_classed(rows, "windows")[0])
+    discard(rows)
+    spans = sure[0]
+    for more in sure[1:]:
+        spans = spans.unionByName(more)
+    return spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+
+
+OUTPUT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+
+
+def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each document."""
     texts, seed = distinct_texts(docs, text)
-    spans = repeated_spans(texts)
+    spans = repeated_spans(texts, window)
     joined = texts.join(spans, "key", "left").select("key", "text", "many", "spans")
-    found = joined.mapInArrow(_cut_rows, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    found = found if with_text else found.drop("kept_text")
-    found = materialise(found.withColumnRenamed("key", "__key"), "kept")
-    discard(texts)
-    own = docs.select(*keep, _key(text, seed).alias("__own"))
-    return own.join(found, F.col("__own") == F.col("__key")).drop("__own", "__key")
+    found = joined.mapInArrow(_cut_rows(window), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    found = materialise(found.select(F.col("key").alias("__key"), F.struct(*OUTPUT).alias("__out")), "kept")
+    _forget(docs.sparkSession, texts.name, texts.stored_at)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep if c not in OUTPUT] or [F.lit(0).alias("__none")]).alias("__doc"), _key(text, seed).alias("__own"))
+    return own.join(found, F.col("__own") == F.col("__key")).select("__doc.*", "__out.*").drop("__none")
 
 
-def cut_documents(docs: DataFrame) -> DataFrame:
+def cut_documents(docs: DataFrame, window: int = PASSAGE) -> DataFrame:
     """The pipeline's stage: all documents, each with what is left of its text (and n_chars, where there is one)."""
-    rest = [c for c in docs.columns if c != "text"]
-    out = without_repeats(docs, rest, with_text=True).withColumn("text", F.col("kept_text"))
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__whole"), "text")
+    out = without_repeats(whole, ["__whole"], window=window)
+    cols = {c: F.col(f"__whole.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept_text")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[cols[c].alias(c) for c in docs.columns])
 
 
 def op4_repeats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return without_repeats(docs, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])

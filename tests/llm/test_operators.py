@@ -160,26 +160,38 @@ def test_unknown_licence_lines_after_the_first_are_trained_on(spark, monkeypatch
 
 
 # 4 --------------------------------------------------------------------------------------------
-def cut_all(texts):
+def cut_all(texts, window=400):
     data = [(t or "").encode() for t in texts]
-    seen = Counter(x[i : i + 400] for x in data for i in range(len(x) - 399))
+    seen = Counter(x[i : i + window] for x in data for i in range(len(x) - window + 1))
     out = []
     for x in data:
         gone = np.zeros(len(x) + 1, bool)
-        for i in range(len(x) - 399):
-            if seen[x[i : i + 400]] > 1:
-                gone[i : i + 400] = True
+        for i in range(len(x) - window + 1):
+            if seen[x[i : i + window]] > 1:
+                gone[i : i + window] = True
         out.append((len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), bytes(b for b, c in zip(x, gone) if not c)))
     return out
 
 
-def test_repeats(docs, none):
-    got = repeats.without_repeats(docs, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    want = [(i, *r[:3], hashlib.sha256(r[3]).hexdigest()) for (i, _), r in zip(ROWS, cut_all(t for _, t in ROWS))]
+@pytest.mark.parametrize("window", [repeats.WINDOW, repeats.PASSAGE])
+def test_repeats(docs, none, window):
+    got = repeats.without_repeats(docs, ["doc_id"], window=window).collect()
+    want = [(i, *r[:3], hashlib.sha256(r[3]).hexdigest(), r[3].decode("utf-8", "ignore")) for (i, _), r in zip(ROWS, cut_all((t for _, t in ROWS), window))]
     assert bag(got) == bag(want)
     assert repeats.without_repeats(none, ["doc_id"]).count() == 0
 
 
+def test_repeats_beside_columns_of_the_same_names(docs):
+    names = ["n_bytes", "kept_text", "__key", "__own", "__out", "key", "n_removed"]
+    clash = docs.select("doc_id", "text", *[docs["n"].alias(c) for c in names])
+    out = repeats.without_repeats(clash, ["doc_id", "n_bytes", "__key", "__own"])
+    assert out.columns == ["doc_id", "__key", "__own", *repeats.OUTPUT]
+    assert Counter(r.n_bytes for r in out.collect()) == Counter(len((t or "").encode()) for _, t in ROWS)
+    staged = repeats.cut_documents(clash)
+    assert staged.columns == clash.columns
+    assert sorted((r["n_bytes"], r["__key"]) for r in staged.collect()) == [(k, k) for k in range(len(ROWS))]
+
+
 def test_repeats_at_the_window_and_over_segments(spark):
     rng = random.Random(1)
     noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
@@ -187,7 +199,7 @@ def test_repeats_at_the_window_and_over_segments(spark):
     texts = [a, "q" + a[1:], noise(399), "é" + noise(700), noise(300) + far[:600] + noise(300), noise((1 << 20) + 500) + far + noise(900)]
     texts += [texts[2] + "!", "ab" * 450, "c" * 399, "c" * 400, "d" * 401]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = repeats.without_repeats(df, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = repeats.without_repeats(df, ["doc_id"]).drop("kept_text").collect()
     assert bag(got) == bag((i, *r[:3], hashlib.sha256(r[3]).hexdigest()) for i, r in enumerate(cut_all(texts)))
 
 

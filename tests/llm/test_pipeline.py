@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force; its guard in the entry point."""
 
 import corpus_pipeline
+from boutwright.llm import repeats
 from boutwright.llm.common import materialise
 from tests.conftest import DATA
 from tests.llm.test_operators import cut_all, figures, low_words, shingles, slow_components, slow_fingerprint
@@ -25,7 +26,7 @@ def test_stages_against_brute_force(spark):
 
     left = took("suffix_array_dedup", single)
     rows = sorted((r.doc_id, r.text) for r in single.collect())
-    want = {i: (n - gone, data) for (i, _), (n, gone, _, data) in zip(rows, cut_all(t for _, t in rows))}
+    want = {i: (n - gone, data) for (i, _), (n, gone, _, data) in zip(rows, cut_all((t for _, t in rows), repeats.PASSAGE))}
     for r in left.collect():
         assert r.text == want[r.doc_id][1].decode("utf-8", "ignore") and r.n_chars == len(r.text)
     assert left.columns == docs.columns and left.count() == len(want)
