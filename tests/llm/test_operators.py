@@ -318,7 +318,7 @@ def test_packing(docs, none):
 
 
 @pytest.mark.parametrize("text", ["a  b", " a \n b ", "  x  y", "a\x1c b \x1cb", "it's  we'll 12 345", "<|endoftext|> x", "tab\t tab", "  ", "日本 語\r\n x"])
-def test_chunked_ids_equal_whole_ids(text):
+def test_ids_equal_the_tokenizer(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -328,6 +328,19 @@ def test_chunked_ids_equal_whole_ids(text):
     assert packing.Encoder(path).ids(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_equal_the_tokenizer_for_every_character():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    assert enc.fast is not None
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{c}1 {c} {c}b\n" for c in chars[k : k + 512]) for k in range(0, len(chars), 512)] + [" " * 3_000_000 + "x"]
+    for t, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False)):
+        assert enc.ids(t) == np.array(e.ids, "<u4").tobytes()
+
+
 def test_plan_uses_exact_complements():
     assert sorted(sorted(p) for p, _ in packing.plan({1000: 1, 1048: 1, 1500: 1, 300: 1, 248: 1, 2048: 2})) == [[248, 300, 1500], [1000, 1048], [2048]]
 
