@@ -4,21 +4,23 @@ Aho-Corasick finds every vocabulary piece that ends at each place of a word; dyn
 carries the best score and how many pieces it has. Ties follow the tokenizer: of equal scores the
 piece that starts first stays, a character that no piece matches alone scores the least score
 less 10 where nothing longer reaches, neighbouring unknown characters fuse, and unknown text is
-spelled in byte pieces. Words (a "▁" and what follows it) are counted once and remembered, in a
-table of bounded size.
+spelled in byte pieces. No piece of the vocabulary reaches from another character into a space, so
+words (a run of "▁" and what follows it) are counted apart, once, and remembered in a table of
+bounded size; under a vocabulary with such pieces whole texts are walked.
 
 None of the public vocabularies is a unigram model, and none may be trained here, so the pieces of
 piece_bpe_32k.model are used with log-probabilities by Zipf's law from their rank. Counts are
 equal to those of the tokenizers library's Unigram model over the same pieces.
 
 Defined cases: null and empty texts have no tokens; repeated rows are counted each; an empty
-table gives an empty result; very long texts are split at spaces and words over ``LONG``
-characters are walked with the same recurrence; other input columns are not read.
+table gives an empty result; very long texts and words take memory in proportion to their length;
+other input columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +34,11 @@ from pyspark.sql import types as T
 from .common import table
 
 SPACE_MARK = "▁"
+#: A run of spaces and what follows it.
+WORD = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*")
 UNKNOWN_PENALTY = 10.0
-CACHE = 1 << 18
+#: The memory of words, in characters (an entry counts ENTRY_CHARS more); longer words than CACHE_WORD are not remembered.
+CACHE_CHARS, ENTRY_CHARS, CACHE_WORD = 1 << 25, 120, 256
 
 
 def zipf_pieces(path: str) -> list[tuple[str, float]]:
@@ -47,9 +52,9 @@ def zipf_pieces(path: str) -> list[tuple[str, float]]:
 
 
 class Counting:
-    """Best piece count of a word under a unigram vocabulary with byte fallback."""
+    """Best piece count of a text under a unigram vocabulary with byte fallback."""
 
-    def __init__(self, pieces: list[tuple[str, float]], unknown: str = "<unk>"):
+    def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
 
         self.found = ahocorasick.Automaton()
@@ -57,26 +62,30 @@ class Counting:
             self.found.add_word(p, (len(p), score))
         self.found.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        # a text may be cut before a run of spaces only if no piece reaches over that point
+        self.whole = any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p, _ in pieces) or all(p != SPACE_MARK for p, _ in pieces)
         self.known: dict[str, tuple[int, float]] = {}
+        self.held = 0
 
     def word(self, w: str) -> tuple[int, float]:
         """(pieces, score) of the best segmentation."""
         n = len(w)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        alone = [False] * n
-        for last, (size, score) in self.found.iter(w):
-            ends[last].append((size, score))
-            if size == 1:
-                alone[last] = True
+        ends: list[list[tuple[int, float]] | None] = [None] * n
+        for last, match in self.found.iter(w):
+            if ends[last] is None:
+                ends[last] = [match]
+            else:
+                ends[last].append(match)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            top, many = None, 0
+        for i, matches in enumerate(ends):
+            top, many, alone = None, 0, False
             # the earliest start first: a later one must be strictly better
-            for size, score in sorted(ends[i], reverse=True):
+            for size, score in sorted(matches, reverse=True) if matches else ():
+                alone = alone or size == 1
                 total = best[i + 1 - size] + score
                 if top is None or total > top:
                     top, many = total, count[i + 1 - size] + 1
-            if not alone[i]:
+            if not alone:
                 total = best[i] + self.unknown
                 if top is None or total > top:
                     top, many = total, count[i] + len(w[i].encode("utf-8", "surrogatepass"))
@@ -89,12 +98,18 @@ class Counting:
             return 0, 0.0
         if not marked.startswith(SPACE_MARK):
             marked = SPACE_MARK + marked
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if self.whole:
+            return self.word(marked)
         many, total = 0, 0.0
-        for w, k in Counter(marked.split(SPACE_MARK)[1:]).items():
+        for w, k in Counter(WORD.findall(marked)).items():
             if (got := self.known.get(w)) is None:
-                got = self.known[w] = self.word(SPACE_MARK + w)
+                if self.held > CACHE_CHARS:
+                    self.known.clear()
+                    self.held = 0
+                got = self.word(w)
+                if len(w) <= CACHE_WORD:
+                    self.known[w] = got
+                    self.held += len(w) + ENTRY_CHARS
             many += k * got[0]
             total += k * got[1]
         return many, total

@@ -69,8 +69,12 @@ def test_token_counts_equal_the_tokenizer(docs, none):
         marked = (text or "").replace(" ", "▁")
         if marked and not marked.startswith("▁"):
             marked = "▁" + marked
-        return sum(len(tok.encode("▁" + w, add_special_tokens=False).ids) for w in marked.split("▁")[1:])
+        return len(tok.encode(marked, add_special_tokens=False).ids)  # the whole text, unsplit
 
+    counting = token_counts.Counting(pieces)
+    for t in ("x    y", "    indented", " ", "     ", "a \n  b", "語  ▁▁ x", "\t  " * 40, "word" * 300 + "  end", "  é\u0301  " * 20):
+        assert counting.text(t)[0] == brute(t), t
+    assert not counting.whole and token_counts.Counting(pieces + [("a▁b", -1.0)]).whole
     got = token_counts.token_counts(docs).select("doc_id", "n_tokens").collect()
     assert bag(got) == bag((i, brute(t)) for i, t in ROWS)
     assert token_counts.token_counts(none).count() == 0
