@@ -23,6 +23,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,22 @@ from pyspark.sql import types as T
 from .common import table
 
 SAMPLE = 20_000
-#: An entry needs so many toxic training documents, such log odds and such a likelihood ratio (chance
-#: gives about 2 ln of the number of candidates); the lexicon has so many entries at most.
-LEAST_DOCS, LEAST_WEIGHT, LEAST_RATIO, ENTRIES = 5, 3.0, 25.0, 4000
-PREFIXES = range(5, 10)
 FOLDS = 5
 
+
+@dataclass(frozen=True)
+class Settings:
+    """An entry needs so many toxic training documents, such log odds and such a likelihood ratio (chance
+    gives about 2 ln of the number of candidates); word beginnings of ``prefixes`` letters are candidates
+    too. The defaults are those that ``choose_toxicity`` ranks first on the training folds of sf0.1."""
+
+    least_docs: int = 5
+    least_weight: float = 2.0
+    least_ratio: float = 12.0
+    prefixes: tuple[int, ...] = (5, 6, 7, 8, 9)
+
+
+
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o",
@@ -65,12 +77,12 @@ def fold(text: str | None) -> str:
     return f" {_GAP.sub(' ', s).strip()} "
 
 
-def features(folded: str) -> set[str]:
+def features(folded: str, prefixes: tuple[int, ...] = Settings.prefixes) -> set[str]:
     """Lexicon candidates of a text: whole words (" word ") and word beginnings (" worth")."""
     out = set()
     for w in set(folded.split()):
         out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in PREFIXES if k < len(w))
+        out.update(f" {w[:k]}" for k in prefixes if k < len(w))
     return out
 
 
@@ -169,7 +181,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, settings: Settings = Settings()) -> Model:
     rows = training_rows(docs, labels, sample).persist()
     try:
         n = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
@@ -177,12 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         if not p or not q:
             return Model({}, set(), 0.0, 0.0)
         odds = F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("neg") + 0.5) / (q + 1.0))
-        best = _totals(rows, features).where(F.col("pos") >= LEAST_DOCS).withColumn("w", odds).where((F.col("w") >= LEAST_WEIGHT) & (_ratio(p, q) >= LEAST_RATIO))
-        lexicon = {r["f"]: r["w"] for r in best.orderBy(F.desc("pos"), F.desc("w"), "f").limit(ENTRIES).collect()}
+        best = _totals(rows, partial(features, prefixes=settings.prefixes)).where(F.col("pos") >= settings.least_docs)
+        best = best.withColumn("w", odds).where((F.col("w") >= settings.least_weight) & (_ratio(p, q) >= settings.least_ratio))
+        lexicon = {r["f"]: r["w"] for r in best.collect()}  # words of ``sample`` texts that have passed the tests
         if not lexicon:
             return Model({}, set(), 0.0, 0.0)
         near = _totals(rows, _Phrases(lexicon)).where((F.col("pos") == 0) & (F.col("neg") >= 3))
-        exceptions = {r["f"] for r in near.orderBy(F.desc("neg"), "f").limit(ENTRIES).collect()}
+        exceptions = {r["f"] for r in near.collect()}
         seen = rows.mapInArrow(_Evidence(lexicon, exceptions), "x double, toxic int").toPandas()  # ``sample`` rows at most
         return Model(lexicon, exceptions, *fit_curve(seen["x"].to_numpy(), (seen["toxic"] > 0).to_numpy()))
     finally:

@@ -267,6 +267,33 @@ def test_toxicity_on_held_out_labels(spark):
     assert n[1, 1] >= 0.8 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.03 * (n[0, 1] + n[0, 0])
 
 
+def test_matching_equals_a_plain_search():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 6)))
+    lexicon = {f" {word()}" + rng.choice(["", " "]): rng.uniform(0.5, 3) for _ in range(60)} | {" aa": 1.0, " aab": 1.0}
+    texts = [" " + " ".join(word() for _ in range(rng.randint(0, 80))) + " " for _ in range(60)] + ["  "]
+    ban = {x for t in texts[:20] for s in toxicity.Matcher(lexicon).hits(t) for x in toxicity.Matcher(lexicon).phrases(t, s) if rng.random() < 0.2 and " " in x}
+    m = toxicity.Matcher(lexicon, ban)
+    for t in texts:
+        ws, total = t.split(), 0.0
+        for i, w in enumerate(ws):
+            best = max((x for k, x in lexicon.items() if f" {w} ".startswith(k)), default=0.0)
+            around = {" ".join(ws[max(i - 1, 0) : i + 1]), " ".join(ws[i : i + 2])}
+            total += 0.0 if around & ban else best
+        assert m.evidence(t) == pytest.approx(total / np.log2(16 + t.count(" ")))
+
+
+def test_toxicity_of_odd_labels(spark):
+    """Null labels and ids teach nothing; equal texts get equal scores; extra columns do not matter."""
+    rows = [(i, "foul nastyword here" if i % 2 else "a kind word here", i % 2, "x") for i in range(40)] + [(None, "foul", 1, "x"), (41, None, None, None), (2, "a kind word here", 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, score string")
+    labels = docs.select("doc_id", docs["n"].cast("int").alias("quality"), docs["n"].cast("int").alias("toxic"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id is not None and r.doc_id < 40 and r.doc_id % 2}) == 1
+    assert min(r.score for r in got if r.doc_id in (1, 3, 5)) > 0.5 > max(r.score for r in got if r.doc_id in (2, 4, 41))
+
+
 def test_toxicity_without_labels(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, empty)
