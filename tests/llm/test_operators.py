@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boutwright.llm import decontam, html_text, licenses, packing, quality, queries, repeats, sharding, simhash, token_counts, toxicity
 from tests.compare import connect, same
@@ -320,6 +321,22 @@ def test_shards(spark, docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_schedule_equals_one_item_at_a_time():
+    rng = random.Random(2)
+    for sizes in ([rng.randint(1, 40) for _ in range(3000)], [5000] + [3] * 4000 + [2] * 77, [7] * 15, [], [9, 9, 9], [10**9] + [rng.randint(1, 9) for _ in range(500)]):
+        plain = [0] * 16
+        for x in sorted(sizes, reverse=True):
+            plain[plain.index(min(plain))] += x
+        dealt = sharding.longest_first([(k, float(k), n) for k, n in Counter(sizes).items()], 16)
+        assert {k: sum(g) for k, g in dealt.items()} == Counter(sizes)
+        assert sorted(sum(k * g[s] for k, g in dealt.items()) for s in range(16)) == sorted(plain)
+
+
+def test_size_classes(spark):
+    rows = spark.createDataFrame([(x,) for x in (1, 8191, 8192, 8193, 16385, 16386, 10**9 + 7)], "s long").select("s", sharding.size_class(F.col("s")).alias("c")).collect()
+    assert all(0 <= r.s - r.c <= r.s / 4096 for r in rows) and rows[0].c == 1 and rows[1].c == 8191
+
+
 # 8 --------------------------------------------------------------------------------------------
 def test_packing(docs, none):
     import public_tokenizers
