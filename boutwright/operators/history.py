@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import method_group
+
 ORDER = ("event_date", "fight_id")
 
 
@@ -60,12 +62,12 @@ def prior_counts(rows: DataFrame) -> DataFrame:
     def count(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)).over(w), F.lit(0)).cast("long")
 
-    won = F.col("result") == "win"
+    won, group = F.col("result") == "win", method_group(F.col("method"))
     return rows.select(
         "*",
         (F.row_number().over(entity()) - 1).cast("long").alias("num_fights"),
         count(won).alias("wins"), count(F.col("result") == "loss").alias("losses"), count(F.col("result") == "draw").alias("draws"),
-        count(won & F.col("method").contains("KO")).alias("wins_ko"), count(won & F.col("method").contains("Sub")).alias("wins_sub"), count(won & F.col("method").contains("Dec")).alias("wins_dec"),
+        *[count(won & (group == m)).alias(f"wins_{m}") for m in ("ko", "sub", "dec")],
         F.coalesce(F.sum("n_rounds").over(w), F.lit(0)).cast("long").alias("total_rounds"),
         F.datediff("event_date", F.lag("event_date").over(entity())).cast("long").alias("days_since"),
     )
@@ -83,10 +85,10 @@ def streaks(rows: DataFrame) -> DataFrame:
 
 def loss_methods(rows: DataFrame) -> DataFrame:
     """Earlier losses by method and whether one of the last two bouts was lost by knockout."""
-    lost = F.col("result") == "loss"
-    hit = lambda m: F.when(lost & F.col("method").contains(m), 1).otherwise(0)
+    lost, group = F.col("result") == "loss", method_group(F.col("method"))
+    hit = lambda m: F.when(lost & (group == m), 1).otherwise(0)
     zero = F.lit(0)
-    return rows.select("*", *[F.coalesce(F.sum(hit(m)).over(before()), zero).cast("long").alias(n) for n, m in (("losses_ko", "KO"), ("losses_sub", "Sub"), ("losses_dec", "Dec"))], F.coalesce(F.max(hit("KO")).over(last(2)), zero).cast("long").alias("recent_ko_loss"))
+    return rows.select("*", *[F.coalesce(F.sum(hit(m)).over(before()), zero).cast("long").alias(f"losses_{m}") for m in ("ko", "sub", "dec")], F.coalesce(F.max(hit("ko")).over(last(2)), zero).cast("long").alias("recent_ko_loss"))
 
 
 def both_sides(bouts: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
