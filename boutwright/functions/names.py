@@ -2,51 +2,78 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 #: Letters that carry no separable accent, and what they fold to.
-SPECIAL_FROM, SPECIAL_TO = "łŁøØđĐðÐıİ", "lLoOdDdDiI"
-#: Accented letters and their base letters, for keys without Python.
-ACCENTED = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįĺľñńňòóôõöōőŕřśšșşťțţùúûüūůűýÿžźż"
-PLAIN = "aaaaaaaaacccdeeeeeeeegiiiiiillnnnooooooorrsssstttuuuuuuuyyzzz"
-SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
+SPECIAL = {"ß": "ss", "æ": "ae", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "œ": "oe", "þ": "th", "ı": "i", "ħ": "h"}
+#: Generation suffixes that a canonical name leaves out.
+SUFFIXES = ("jr", "sr", "junior", "senior", "ii", "iii", "iv", "v", "2nd", "3rd")
 #: Short first names and the long form that stands for both.
-NICKNAMES = {"alex": "alexander", "ben": "benjamin", "chris": "christopher", "dan": "daniel", "dave": "david", "joe": "joseph", "josh": "joshua", "matt": "matthew", "mike": "michael", "nick": "nicholas", "rob": "robert", "sam": "samuel", "tim": "timothy", "tom": "thomas", "will": "william"}
+NICKNAMES = {
+    "joe": "joseph", "joey": "joseph", "mike": "michael", "mikey": "michael", "alex": "alexander", "dan": "daniel", "danny": "daniel", "matt": "matthew", "rob": "robert", "bob": "robert", "bobby": "robert", "will": "william",
+    "bill": "william", "billy": "william", "nick": "nicholas", "tony": "anthony", "chris": "christopher", "ed": "edward", "eddie": "edward", "ben": "benjamin", "benny": "benjamin", "greg": "gregory", "tom": "thomas", "tommy": "thomas",
+    "tim": "timothy", "timmy": "timothy", "dave": "david", "jim": "james", "jimmy": "james", "pat": "patrick", "paddy": "patrick", "sam": "samuel", "sammy": "samuel", "jake": "jacob", "charlie": "charles", "chuck": "charles",
+    "dick": "richard", "rick": "richard", "ricky": "richard", "steve": "steven", "stevie": "steven", "nate": "nathaniel", "vince": "vincent", "vinny": "vincent", "len": "leonard", "lenny": "leonard", "andy": "andrew", "drew": "andrew",
+    "jack": "john", "johnny": "john", "jon": "john", "kenny": "kenneth", "larry": "lawrence", "marty": "martin", "ray": "raymond", "ronnie": "ronald", "ted": "theodore", "wes": "wesley", "zach": "zachary", "zack": "zachary",
+}
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with accents, and their base letters, by Unicode's own decomposition."""
+    pairs = []
+    for c in (chr(x) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for x in block):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)).lower()
+        if len(base) == 1 and base != c:
+            pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def normalise(name: Column) -> Column:
-    """Lower case, no accents, words of letters and digits, single spaces."""
-    s = F.translate(F.lower(F.translate(name, SPECIAL_FROM, SPECIAL_TO)), ACCENTED, PLAIN)
-    s = F.replace(F.replace(F.replace(s, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"['’.]", ""), r"[^\p{L}\p{N}]+", " "))
+    """Lower case, no accents, words of letters, digits and underscores, single spaces."""
+    s = F.lower(F.translate(F.regexp_replace(name, r"\p{M}+", ""), ACCENTED, PLAIN))
+    single = {k: v for k, v in SPECIAL.items() if len(v) == 1}
+    s = F.translate(s, "".join(single), "".join(single.values()))
+    for k, v in SPECIAL.items():
+        s = F.replace(s, F.lit(k), F.lit(v)) if len(v) > 1 else s
+    return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", " "))
 
 
 @F.pandas_udf(StringType())
 def normalise_exact(names: pd.Series) -> pd.Series:
     """As normalise, by full compatibility decomposition and case folding."""
-    import unicodedata
-
-    table = str.maketrans(SPECIAL_FROM, SPECIAL_TO)
+    table = str.maketrans(SPECIAL)
 
     def one(s):
-        if s is None:
-            return None
         s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-        s = s.translate(table).casefold().replace("æ", "ae").replace("œ", "oe")
-        s = "".join(c for c in s if c not in "'’.")
-        return " ".join("".join(c if c.isalnum() else " " for c in s).split())
+        s = s.lower().translate(table).casefold()
+        return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in s).split())
 
     return names.map(one, na_action="ignore")
 
 
-def canonical(name: Column) -> Column:
-    """Normalised name without generation suffixes and with the long form of the first name."""
+def canonical(name: Column, tokens: dict[str, str] | None = None, names: dict[str, str] | None = None) -> Column:
+    """Normalised name without generation suffixes, with the long form of the first name, then other spellings of tokens and of whole names."""
+    out = _long_form(name)
+    if tokens:
+        out = F.array_join(F.transform(F.split(out, " "), lambda t: _looked_up(t, tokens)), " ")
+    return _looked_up(out, names) if names else out
+
+
+def _looked_up(x: Column, table: dict[str, str]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), x), x)
+
+
+def _long_form(name: Column) -> Column:
     tokens = F.filter(F.split(normalise(name), " "), lambda t: ~t.isin(*SUFFIXES))
-    first = F.element_at(tokens, 1)
-    long = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv]), first), first)
+    long = _looked_up(F.get(tokens, 0), NICKNAMES)
     return F.when(F.size(tokens) > 0, F.array_join(F.concat(F.array(long), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))), " "))
 
 

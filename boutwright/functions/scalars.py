@@ -61,9 +61,18 @@ def required_edge(odds: Column, base: float = BASE_EDGE) -> Column:
     return F.when(odds <= 2, base).otherwise(base + 0.02 * (odds - 2))
 
 
-def newcomer_extra(fights_a: Column, fights_b: Column, tier: Column) -> Column:
-    """Extra edge asked where a side has fewer than two bouts, by the better tier (1 best)."""
-    return F.when((fights_a >= 2) & (fights_b >= 2), 0.0).otherwise(F.when(tier <= 1, 0.02).when(tier == 2, 0.03).otherwise(0.04))
+def newcomer(fights: Column, tier: Column, least: int = 3) -> Column:
+    """Struct of extra edge and whether a bet is allowed, for one side: fewer than ``least`` bouts ask more edge by tier; a debut needs tier 1 or 2."""
+    new = F.coalesce(fights, F.lit(0)) < least
+    extra = F.when(~new, 0.0).when(tier == 1, 0.02).when(tier == 2, 0.03).otherwise(0.04)
+    debut = (F.coalesce(fights, F.lit(0)) <= 0) & ~F.coalesce(tier.isin(1, 2), F.lit(False))
+    return F.struct(extra.alias("extra"), (~debut).alias("allowed"), F.when(new & ~debut, 0.5).otherwise(1.0).alias("size"))
+
+
+def newcomer_rule(fights_a: Column, fights_b: Column, tier_a: Column, tier_b: Column, least: int = 3) -> Column:
+    """The stricter side governs: both must be allowed, the larger extra edge and the smaller size hold."""
+    a, b = newcomer(fights_a, tier_a, least), newcomer(fights_b, tier_b, least)
+    return F.struct(F.greatest(a["extra"], b["extra"]).alias("extra"), (a["allowed"] & b["allowed"]).alias("allowed"), F.least(a["size"], b["size"]).alias("size"))
 
 
 def kelly_fraction(p: Column, odds: Column, share: float = 0.25, cap: float = 0.04) -> Column:
@@ -133,10 +142,18 @@ def method_group(s: Column) -> Column:
 
 
 def official_result(outcome: Column, method: Column) -> Column:
-    """Struct of result and validity of a 'W/L'-style outcome."""
-    v = F.upper(F.trim(outcome))
-    kind = F.when(F.lower(method).contains("dq") & v.isin("W/L", "L/W"), "disqualification").when(v == "W/L", "first_won").when(v == "L/W", "second_won").when(v == "D/D", "draw").when(v == "NC/NC", "no_contest").otherwise("contradictory")
-    return F.struct(kind.alias("kind"), (kind != "contradictory").alias("valid"))
+    """Struct of kind, winning side, fitness as a target and quarantine of a 'W/L'-style pair of statuses.
+
+    A disqualification keeps its winner but is no target. Anything but two known statuses is
+    unknown; two known ones that cannot stand together are contradictory.
+    """
+    v = F.transform(F.split(F.upper(F.trim(outcome)), "/"), lambda t: F.trim(t))
+    known = (F.size(v) == 2) & F.forall(v, lambda t: t.isin("W", "L", "D", "NC"))
+    pair = F.array_join(v, "/")
+    won = F.when(pair == "W/L", "a").when(pair == "L/W", "b")
+    out = method.rlike(r"(?i)\b(?:DQ|DISQUALIFICATION)\b")
+    kind = F.when(~F.coalesce(known, F.lit(False)), "unknown").when(won.isNotNull() & F.coalesce(out, F.lit(False)), "disqualification").when(won.isNotNull(), "normal").when(pair == "D/D", "draw").when(pair == "NC/NC", "no_contest").otherwise("contradictory")
+    return F.struct(kind.alias("kind"), won.alias("winner_side"), (kind == "normal").alias("is_target"), kind.isin("unknown", "contradictory").alias("quarantined"))
 
 
 def entry_window(event: Column, now: Column, opens_h: float = 48, closes_h: float = 1) -> Column:

@@ -21,9 +21,9 @@ def calibration_error(bins: DataFrame, keys: list[str]) -> DataFrame:
     return bins.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("mean_prob") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
-def auc(df: DataFrame, keys: list[str], y: str = "target", p: str = "prob_a", places: int = 6) -> DataFrame:
+def auc(df: DataFrame, keys: list[str], y: str = "target", p: str = "prob_a") -> DataFrame:
     """Rank-sum AUC from counts by distinct score: no window over all rows, ties count a half."""
-    by = df.groupBy(*keys, F.round(p, places).alias("__p")).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
+    by = df.groupBy(*keys, F.col(p).alias("__p")).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
     w = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     below = by.withColumn("__below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
     return below.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * (F.col("__below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
@@ -73,13 +73,15 @@ def fold_summary(bets: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, event: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
-    """Event-clustered Poisson bootstrap of profit a less profit b; an absent event counts nothing.
+    """Observed profit and ROI differences, and an event-clustered Poisson bootstrap of the former; an absent event counts nothing.
 
     Each event draws its own Poisson weight a round from a hash, so rounds are sums that combine
     before the shuffle; no resample is ever materialised.
     """
-    pa, pb = a.groupBy(event).agg(F.sum("pnl").alias("pa")), b.groupBy(event).agg(F.sum("pnl").alias("pb"))
-    d = pa.join(pb, event, "full").select(F.col(event), (F.coalesce("pa", F.lit(0.0)) - F.coalesce("pb", F.lit(0.0))).alias("d"))
+    sums = lambda df, s: df.groupBy(event).agg(F.sum("pnl").alias(f"p{s}"), F.sum("stake").alias(f"s{s}"))
+    d = sums(a, "a").join(sums(b, "b"), event, "full").na.fill(0.0, ["pa", "pb", "sa", "sb"]).withColumn("d", F.col("pa") - F.col("pb"))
+    roi = lambda s: F.coalesce(F.try_divide(F.sum(f"p{s}"), F.sum(f"s{s}")), F.lit(0.0))
+    seen = d.agg(F.count(F.lit(1)).alias("n_events"), F.sum("d").alias("profit_diff"), (roi("a") - roi("b")).alias("roi_diff"))
     draws = d.select("d", F.col(event), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     u = (F.pmod(F.xxhash64(event, "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     weight, total, term = None, 0.0, 0.36787944117144233
@@ -88,7 +90,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, event: str, rounds: int = 2000,
         weight = F.when(u < total, k) if weight is None else weight.when(u < total, k)
         term /= k + 1
     per = draws.withColumn("u", weight.otherwise(8)).groupBy("round").agg(F.sum(F.col("u") * F.col("d")).alias("diff"))
-    return per.agg(F.avg("diff").alias("mean_diff"), F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high"), F.avg((F.col("diff") <= 0).cast("double")).alias("p_value"))
+    drawn = per.agg(F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high"), F.avg((F.col("diff") <= 0).cast("double")).alias("p_value"))
+    return seen.crossJoin(F.broadcast(drawn))  # one row beside one row
 
 
 def promotion(metrics: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ an order, so Catalyst sorts and shuffles once for all of them.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +43,6 @@ def long_rows(bouts: DataFrame) -> DataFrame:
     return bouts.select("fight_id", "event_date", "weight_class", "method", "n_rounds", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("x")).select("fight_id", "event_date", "weight_class", "method", "n_rounds", "x.*")
 
 
-def ewm(value: str, half_life: float = 3.0) -> Column:
-    """Exponentially weighted mean of earlier values, halving every ``half_life`` rows; positions of unknown values count.
-
-    The frame ends where a weight falls below the last bit of a double, so neither the frame nor
-    the powers grow with the history.
-    """
-    items = F.collect_list(F.struct(F.col(value).alias("v"))).over(entity().rowsBetween(-int(64 * half_life), -1))
-    decay = 2.0 ** (-1.0 / half_life)
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    step = lambda a, x: F.struct((a["s"] * decay + F.coalesce(x["v"], F.lit(0.0))).alias("s"), (a["w"] * decay + F.when(x["v"].isNull(), 0.0).otherwise(1.0)).alias("w"))
-    return F.aggregate(items, zero, step, lambda a: F.when(a["w"] > 0, a["s"] / a["w"]))
-
-
 def prior_counts(rows: DataFrame) -> DataFrame:
     """Counters over earlier bouts: results, wins by method, rounds, days since the last one."""
     w = before()
@@ -176,26 +164,42 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     return out.select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in columns], F.col("__r.__rt").alias(f"{right_time}_used"))
 
 
-def elo(bouts: DataFrame, group: str = "weight_class", k: float = 32.0, start: float = 1500.0) -> DataFrame:
-    """Ratings of both sides before each bout; K is half as much again below five bouts, a draw counts a half.
+def elo(bouts: DataFrame, pool: str | None = None, k: float = 32.0, start: float = 1500.0) -> DataFrame:
+    """fight_id, event_date and each side's id and rating before and after its bout; K is half as much again below five bouts, a draw counts a half.
 
-    A rating couples both participants, so the bouts of one pool are folded in order; pools (by
-    default weight classes) run side by side.
+    A rating couples both participants, so bouts are folded in time order; one rating holds over all
+    bouts. Bouts are sorted on the cluster and streamed through the fold, which keeps two numbers a
+    participant and no bouts: memory grows with the participants alone. ``pool`` names a column that
+    splits participants who never meet (leagues), whose bouts are then folded side by side.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["event_date", "fight_id"])
-        rating, seen, out = {}, {}, []
-        for a, b, w in zip(pdf["a_id"], pdf["b_id"], pdf["winner"]):
-            ra, rb = rating.get(a, start), rating.get(b, start)
-            out.append((ra, rb))
-            want = 1 / (1 + 10 ** ((rb - ra) / 400))
-            got = 1.0 if w == a else 0.0 if w == b else 0.5
-            na, nb = seen.get(a, 0), seen.get(b, 0)
-            rating[a] = ra + k * (1.5 if na < 5 else 1.0) * (got - want)
-            rating[b] = rb + k * (1.5 if nb < 5 else 1.0) * (want - got)
-            seen[a], seen[b] = na + 1, nb + 1
-        return pd.DataFrame({"fight_id": pdf["fight_id"].to_numpy(), "elo_a": [x for x, _ in out], "elo_b": [y for _, y in out]})
-
-    return bouts.select(group, "fight_id", "event_date", "a_id", "b_id", "winner").groupBy(group).applyInPandas(fold, "fight_id long, elo_a double, elo_b double")
+
+    def fold(batches):
+        state: dict = {}
+        for b in batches:
+            keys = b.column("pool").to_pylist()
+            ids = list(zip(keys, b.column("a_id").to_pylist())), list(zip(keys, b.column("b_id").to_pylist()))
+            out = [[], [], [], []]
+            for x, y, w in zip(*ids, b.column("winner").to_pylist()):
+                (rx, nx), (ry, ny) = state.get(x, (start, 0)), state.get(y, (start, 0))
+                want = 1 / (1 + 10 ** ((ry - rx) / 400))
+                got = 1.0 if w == x[1] else 0.0 if w == y[1] else 0.5
+                change = got - want
+                state[x] = rx + k * (1.5 if nx < 5 else 1.0) * change, nx + 1
+                state[y] = ry - k * (1.5 if ny < 5 else 1.0) * change, ny + 1
+                for col, v in zip(out, (rx, ry, state[x][0], state[y][0])):
+                    col.append(v)
+            kept = {c: b.column(c) for c in ("fight_id", "event_date", "a_id", "b_id")}
+            yield pa.RecordBatch.from_pydict(kept | {n: pa.array(c, pa.float64()) for n, c in zip(("elo_a", "elo_b", "after_a", "after_b"), out)})
+
+    cols = bouts.select((F.col(pool) if pool else F.lit(0)).alias("pool"), "fight_id", "event_date", "a_id", "b_id", "winner")
+    ordered = cols.repartition("pool").sortWithinPartitions("event_date", "fight_id") if pool else cols.repartition(1).sortWithinPartitions("event_date", "fight_id")
+    kept = cols.select("fight_id", "event_date", "a_id", "b_id").schema
+    for n in ("elo_a", "elo_b", "after_a", "after_b"):
+        kept = kept.add(n, "double")
+    return ordered.mapInArrow(fold, kept)
+
+
+def rating_rows(ratings: DataFrame) -> DataFrame:
+    """Two rows a bout: participant, opponent, rating before, the opponent's before, rating after."""
+    side = lambda s, o: F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("entity"), F.col(f"{o}_id").alias("opponent"), F.col(f"elo_{s}").alias("rating"), F.col(f"elo_{o}").alias("opp_rating"), F.col(f"after_{s}").alias("after"))
+    return ratings.select("fight_id", "event_date", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("x")).select("fight_id", "event_date", "x.*")

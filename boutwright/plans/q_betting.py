@@ -201,16 +201,22 @@ def realistic_fill(spark, d):
 def paired_bootstrap(spark, d):
     """Hash-drawn Poisson bootstrap; tested for its interval against the exact variance."""
     b = bets(spark, d)
-    out = E.paired_bootstrap(b.where("strategy <= '3-MEDIUM'"), b.where("strategy >= '3-MEDIUM'"), "event_date", 200)
-    return rounded(out, "mean_diff", "low", "high", "p_value")
+    out = E.paired_bootstrap(b.where("strategy <= '3-MEDIUM'"), b.where("strategy >= '3-MEDIUM'"), "event_date")
+    return rounded(out, "profit_diff", "roi_diff", "low", "high", "p_value")
 
 
-@query(f"""WITH {PREDICTIONS}, m AS (SELECT slice, avg(pow(prob_a - target, 2)) bn, avg(pow(market_a - target, 2)) bo, avg(-(target * ln(prob_a) + (1 - target) * ln(1 - prob_a))) ln_, avg(-(target * ln(market_a) + (1 - target) * ln(1 - market_a))) lo FROM predictions GROUP BY 1)
-SELECT slice, bn < bo model_bar, round(-(bn - bo) - greatest(0, ln_ - lo), 6) score FROM m""")
+@query(f"""WITH {PREDICTIONS}, m AS (SELECT slice, avg(pow(prob_a - target, 2)) bn, avg(pow(market_a - target, 2)) bo, avg(-(target * ln(prob_a) + (1 - target) * ln(1 - prob_a))) ln_, avg(-(target * ln(market_a) + (1 - target) * ln(1 - market_a))) lo FROM predictions GROUP BY 1),
+cb AS (SELECT slice, which, b, count(*) n, avg(p) mp, avg(target) rt FROM (SELECT slice, target, 'n' which, prob_a p, least(floor(round(prob_a * 10, 9)), 9) b FROM predictions UNION ALL SELECT slice, target, 'o', market_a, least(floor(round(market_a * 10, 9)), 9) FROM predictions) z GROUP BY 1, 2, 3),
+ec AS (SELECT slice, sum(n * abs(mp - rt)) FILTER (WHERE which = 'n') / sum(n) FILTER (WHERE which = 'n') en, sum(n * abs(mp - rt)) FILTER (WHERE which = 'o') / sum(n) FILTER (WHERE which = 'o') eo FROM cb GROUP BY 1)
+SELECT m.slice, (bn < bo AND en <= 1.1 * eo) OR (en < eo AND bn <= 1.1 * bo) model_bar, round(-(bn - bo) - (en - eo) - greatest(0, ln_ - lo), 6) score FROM m JOIN ec ON m.slice = ec.slice""")
 def promotion_gate(spark, d):
     p = predictions(spark, d)
-    new, old = E.losses(p, ["slice"]), E.losses(p, ["slice"], p="market_a")
-    m = new.select("slice", F.col("brier").alias("brier_new"), F.col("log_loss").alias("ll_new"), F.lit(0.0).alias("ece_new")).join(old.select("slice", F.col("brier").alias("brier_old"), F.col("log_loss").alias("ll_old"), F.lit(0.0).alias("ece_old")), "slice")
+    m = None
+    for kind, col in (("new", "prob_a"), ("old", "market_a")):
+        loss = E.losses(p, ["slice"], p=col).select("slice", F.col("brier").alias(f"brier_{kind}"), F.col("log_loss").alias(f"ll_{kind}"))
+        ece = E.calibration_error(E.calibration_bins(p, ["slice"], p=col), ["slice"]).withColumnRenamed("ece", f"ece_{kind}")
+        part = loss.join(ece, "slice")
+        m = part if m is None else m.join(part, "slice")
     return rounded(E.promotion(m).select("slice", "model_bar", "score"), "score")
 
 

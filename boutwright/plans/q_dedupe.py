@@ -142,10 +142,11 @@ def parity_classes(spark, d):
     return x.groupBy(Q.parity(F.col("live"), F.col("train"), 0.01).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH x AS (SELECT o_orderkey k, CASE o_orderkey % 6 WHEN 0 THEN 'W/L' WHEN 1 THEN 'L/W' WHEN 2 THEN 'D/D' WHEN 3 THEN 'NC/NC' WHEN 4 THEN 'W/W' END o, CASE WHEN o_orderkey % 5 = 0 THEN 'DQ' ELSE 'Decision' END m FROM orders)
-SELECT CASE WHEN lower(m) LIKE '%dq%' AND o IN ('W/L', 'L/W') THEN 'disqualification' WHEN o = 'W/L' THEN 'first_won' WHEN o = 'L/W' THEN 'second_won' WHEN o = 'D/D' THEN 'draw' WHEN o = 'NC/NC' THEN 'no_contest' ELSE 'contradictory' END kind, count(*) n FROM x GROUP BY 1""")
+@query("""WITH x AS (SELECT o_orderkey k, CASE o_orderkey % 6 WHEN 0 THEN 'W/L' WHEN 1 THEN 'L/W' WHEN 2 THEN 'D/D' WHEN 3 THEN 'NC/NC' WHEN 4 THEN 'W/W' END o, CASE WHEN o_orderkey % 5 = 0 THEN 'Overturned (DQ)' ELSE 'Decision' END m FROM orders),
+y AS (SELECT CASE WHEN o IS NULL THEN 'unknown' WHEN o IN ('W/L', 'L/W') THEN (CASE WHEN m LIKE '%DQ%' THEN 'disqualification' ELSE 'normal' END) WHEN o = 'D/D' THEN 'draw' WHEN o = 'NC/NC' THEN 'no_contest' ELSE 'contradictory' END kind, CASE o WHEN 'W/L' THEN 'a' WHEN 'L/W' THEN 'b' END winner_side FROM x)
+SELECT kind, winner_side, kind = 'normal' is_target, kind IN ('unknown', 'contradictory') quarantined, count(*) n FROM y GROUP BY 1, 2, 3, 4""")
 def official_results(spark, d):
     k = F.col("o_orderkey")
-    o = F.when(k % 6 == 0, "W/L").when(k % 6 == 1, "L/W").when(k % 6 == 2, "D/D").when(k % 6 == 3, "NC/NC").when(k % 6 == 4, "W/W")
-    m = F.when(k % 5 == 0, "DQ").otherwise("Decision")
-    return table(spark, d, "orders").groupBy(S.official_result(o, m)["kind"].alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    o = F.when(k % 6 == 0, " w / l").when(k % 6 == 1, "L/W").when(k % 6 == 2, "D/D").when(k % 6 == 3, "NC/NC").when(k % 6 == 4, "W/W")
+    m = F.when(k % 5 == 0, "Overturned (DQ)").otherwise("Decision")
+    return table(spark, d, "orders").select(S.official_result(o, m).alias("r")).groupBy("r.kind", "r.winner_side", "r.is_target", "r.quarantined").agg(F.count(F.lit(1)).alias("n"))

@@ -111,7 +111,7 @@ _DIFF = ("slpm", "sapm", "str_def", "td_def", "opp_kd", "won")
 @query(f"""WITH {_ROWS}, {_N}, {_ewm_sql(_NEED)},
 cc AS (SELECT fight_id, side, coalesce(sum((result = 'win')::INT) {_CW}, 0) wins, coalesce(sum((result = 'loss')::INT) {_CW}, 0) losses, {', '.join(f"coalesce(sum((result = 'win' AND {_MG} = '{m}')::INT) {_CW}, 0) wins_{m}" for m in ('ko', 'sub', 'dec'))},
  date_diff('day', lag(event_date) OVER (PARTITION BY entity ORDER BY event_date, fight_id), event_date) gap FROM pr)
-SELECT b.fight_id, {', '.join(f'round({_DA[k]}, 6) a_{k}, round({_DB[k]}, 6) b_{k}, round({_DA[k]} - {_DB[k]}, 6) diff_{k}' for k in X.DERIVED)}, {', '.join(f'round(ea.roll_{k} - eb.roll_{k}, 6) diff_roll_{k}' for k in _DIFF)},
+SELECT b.fight_id, {', '.join(f'round({_DA[k]}, 6) a_{k}, round({_DB[k]}, 6) b_{k}, round(({_DA[k]}) - ({_DB[k]}), 6) diff_{k}' for k in X.DERIVED)}, {', '.join(f'round(ea.roll_{k} - eb.roll_{k}, 6) diff_roll_{k}' for k in _DIFF)},
  round(abs({_DA['fight_pace']} - {_DB['fight_pace']}), 6) pace_mismatch
 FROM sb b JOIN ro ea ON ea.fight_id = b.fight_id AND ea.side = 'a' JOIN ro eb ON eb.fight_id = b.fight_id AND eb.side = 'b' JOIN cc ca ON ca.fight_id = b.fight_id AND ca.side = 'a' JOIN cc cb ON cb.fight_id = b.fight_id AND cb.side = 'b'""")
 def feature_matrix(spark, d):

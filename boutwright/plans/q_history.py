@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as X
 from ..operators import history as H
 from .fixtures import BOUTS, LONG, bouts, r6, table
 
@@ -39,7 +40,7 @@ FROM bouts b LEFT JOIN e ea ON ea.fight_id = b.fight_id AND ea.side = 'a' LEFT J
 def ewm_diff(spark, d):
     b = bouts(spark, d)
     rows = H.long_rows(b).withColumn("won", F.when(F.col("result") == "win", 1.0).otherwise(0.0))
-    rows = rows.select("fight_id", "side", H.ewm("won").alias("ewm_won"), H.ewm("landed").alias("ewm_landed"))
+    rows = X.rolled(rows, ("won", "landed")).withColumnsRenamed({"roll_won": "ewm_won", "roll_landed": "ewm_landed"})
     names = ["ewm_won", "ewm_landed"]
     out = H.differences(H.both_sides(b.select("fight_id"), rows, names), names)
     return out.select("fight_id", *[r6(f"{p}_{n}").alias(f"{p}_{n}") for n in names for p in ("a", "b", "diff")])
@@ -80,12 +81,12 @@ def head_to_head(spark, d):
     return H.head_to_head(bouts(spark, d)).select("fight_id", "is_rematch", "h2h_diff")
 
 
-@query(f"""WITH {LONG}, w AS (SELECT *, avg(CASE WHEN result = 'win' THEN 1.0 ELSE 0.0 END) {_W} rate, row_number() {_E} i FROM long),
+@query(f"""WITH {LONG}, {_EWM}, w AS (SELECT n.*, e.ewm_won rate FROM n JOIN e ON n.fight_id = e.fight_id AND n.side = e.side),
 o AS (SELECT w.*, v.rate orate FROM w JOIN w v ON v.fight_id = w.fight_id AND v.entity = w.opponent),
 p AS (SELECT x.fight_id, x.side, y.orate, y.i - greatest(x.i - 6, 0) k FROM o x LEFT JOIN o y ON x.entity = y.entity AND y.i < x.i AND y.i >= x.i - 5)
 SELECT fight_id, side, round(sum(k * orate) / sum(CASE WHEN orate IS NOT NULL THEN k END), 6) opp_strength FROM p GROUP BY 1, 2""")
 def sos_last5(spark, d):
-    rows = _long(spark, d).withColumn("rate", F.avg(F.when(F.col("result") == "win", 1.0).otherwise(0.0)).over(H.before()))
+    rows = X.rolled(_long(spark, d).withColumn("won", F.when(F.col("result") == "win", 1.0).otherwise(0.0)), ("won",)).withColumnRenamed("roll_won", "rate")
     return H.schedule_strength(rows, "rate").select("fight_id", "side", r6("opp_strength").alias("opp_strength"))
 
 
@@ -146,4 +147,12 @@ def asof_strict_precedence(spark, d):
 @query()
 def elo_ratings(spark, d):
     """Sequential two-sided state: no SQL; tested against a plain loop."""
-    return H.elo(bouts(spark, d)).select("fight_id", r6("elo_a").alias("elo_a"), r6("elo_b").alias("elo_b"))
+    return H.elo(bouts(spark, d)).select("fight_id", *[r6(c).alias(c) for c in ("elo_a", "elo_b", "after_a", "after_b")])
+
+
+@query()
+def elo_momentum(spark, d):
+    """Slope of the last five ratings and mean rating of the last five opponents, from Elo: no SQL; tested against a plain loop."""
+    rows = H.rating_rows(H.elo(bouts(spark, d)))
+    out = H.opponents_mean(H.momentum(rows, "after"), "opp_rating")
+    return out.select("fight_id", "side", r6("momentum").alias("momentum"), r6("opponents_mean").alias("opponents_mean"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -147,10 +148,11 @@ def symmetrised_score(spark, d):
     return predictions(spark, d).select("bout_id", r6(L.symmetrised(F.col("prob_a"), F.col("prob_b"))).alias("p"))
 
 
-@query(f"""WITH {PREDICTIONS}, f AS (SELECT CAST(unnest(generate_series(DATE '1993-01-01', DATE '1998-07-01', INTERVAL 6 MONTH)) AS DATE) fold_start),
+@query(f"""WITH {PREDICTIONS}, lim AS (SELECT date_trunc('year', min(event_date)) a, max(event_date) b FROM predictions), f AS (SELECT CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 6 MONTH)) AS DATE) fold_start FROM lim),
 g AS (SELECT fold_start, CAST(fold_start + INTERVAL 6 MONTH AS DATE) fold_end FROM f) SELECT fold_start, fold_end, count(*) n FROM g JOIN predictions p ON p.event_date >= fold_start AND p.event_date < fold_end GROUP BY 1, 2""")
 def walk_forward_folds(spark, d):
-    f = L.folds("1993-01-01", "1998-07-01", spark)
+    first, last = predictions(spark, d).agg(F.trunc(F.min("event_date"), "year"), F.max("event_date")).first()
+    f = L.folds(str(first), str(last), spark)
     per = predictions(spark, d).groupBy("event_date").count()  # days, not rows, meet the folds
     return per.join(F.broadcast(f), (F.col("event_date") >= F.col("fold_start")) & (F.col("event_date") < F.col("fold_end"))).groupBy("fold_start", "fold_end").agg(F.sum("count").alias("n"))
 
@@ -164,27 +166,28 @@ def _stream(spark, d, columns=("event_id", "ts", "user_id", "event_type", "value
 @query("""SELECT CAST(to_timestamp(floor(epoch(ts) / 3600) * 3600) AT TIME ZONE 'UTC' AS TIMESTAMP) window_start, event_type, count(*) n, arg_min(value, (ts, event_id)) open_price, arg_max(value, (ts, event_id)) close_price FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark, d):
     out = streams.tumbling(_stream(spark, d), "ts", "event_type", "1 hour", "60 days")
-    name = "tumbling_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    got = streams.run_to_table(spark, out, name, f"{_checkpoints(spark)}/{name}", "complete")
+    got = streams.run_to_files(spark, out, f"{_checkpoints(spark)}/tumbling-{uuid.uuid4().hex}")
     return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("""SELECT user_id, arg_min(value, (ts, event_id)) opening, min(ts) seen_at FROM events GROUP BY 1""")
 def stream_first_seen(spark, d):
-    name = "first_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    got = streams.run_to_table(spark, streams.first_seen(_stream(spark, d), "user_id", "ts", "value"), name, f"{_checkpoints(spark)}/{name}", "complete")
+    got = streams.run_to_files(spark, streams.first_seen(_stream(spark, d), "user_id", "ts", "value"), f"{_checkpoints(spark)}/first-{uuid.uuid4().hex}")
     return got.withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
 
 
 def _checkpoints(spark) -> str:
     sc = spark.sparkContext
-    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="boutwright-streams-")
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="boutwright-streams-")
 
 
 @query("""WITH t AS (SELECT event_date, 'x' x, pnl FROM (SELECT CAST(o_orderdate AS DATE) event_date, o_totalprice pnl FROM orders)) SELECT year(event_date)::INTEGER AS "year", round(sum(pnl), 2) total FROM t GROUP BY 1""")
 def published_totals(spark, d):
     """Through an atomic publication and back."""
     o = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
-    root = f"{_checkpoints(spark)}/published-{next(tempfile._get_candidate_names())}"
+    root = f"{_checkpoints(spark)}/published-{uuid.uuid4().hex}"
     tables.publish(spark, {"totals": o}, root)
     return tables.read_published(spark, root, "totals")

@@ -64,8 +64,13 @@ def append_unique(stream: DataFrame, path: str, checkpoint: str, key: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(spark: SparkSession, df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is available through a memory sink; for checks, not for volume."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(spark: SparkSession, df: DataFrame, root: str) -> DataFrame:
+    """All that is available, in complete mode: each batch writes the whole result under its own id, and the last one counts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/result/batch={batch_id}")  # a replayed batch replaces itself
+
+    q = df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return spark.read.schema(df.schema).parquet(f"{root}/result/batch={last}")
