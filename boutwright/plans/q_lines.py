@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 _N = 4
 _ODDS = " UNION ALL ".join(
     f"""SELECT fight_id * {_N} + {i} row_id, event_date, CASE WHEN (fight_id + {i}) % 3 = 0 THEN b_id ELSE a_id END a_id, CASE WHEN (fight_id + {i}) % 3 = 0 THEN a_id ELSE b_id END b_id, CAST({7 - 2 * i} AS INT) offset_days, CAST(fight_id % 5 AS INT) query_date,
- CASE WHEN (fight_id + {i}) % 19 = 0 THEN NULL ELSE 0.3 + ((fight_id * 7 + {i} * 13) % 40) / 100.0 END a_prob, CASE WHEN (fight_id + {i}) % 19 = 0 THEN NULL ELSE 0.7 - ((fight_id * 7 + {i} * 13) % 40) / 100.0 END b_prob,
+ CASE WHEN (fight_id + {i}) % 19 = 0 THEN NULL ELSE CAST(16 + (fight_id * 7 + {i} * 13) % 40 AS DOUBLE) / 64 END a_prob, CASE WHEN (fight_id + {i}) % 19 = 0 THEN NULL ELSE CAST(48 - (fight_id * 7 + {i} * 13) % 40 AS DOUBLE) / 64 END b_prob,
  CASE WHEN fight_id % 10 = 0 THEN 1.06 ELSE 1 + (fight_id % 9) / 4.0 END a_odds, CASE WHEN fight_id % 10 = 0 THEN 1.06 WHEN fight_id % 10 <> 1 THEN 3.5 - (fight_id % 4) END b_odds FROM bouts"""
     + (f" WHERE fight_id % {_N} >= {i - 1}" if i > 1 else "")
     for i in range(_N)
