@@ -97,3 +97,17 @@ bets0 AS (SELECT o_orderkey bet_id, CAST(o_orderdate AS DATE) event_date, o_orde
   CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END won, o_custkey % 11 / 100 edge, o_orderkey FROM orders),
 bets AS (SELECT bet_id, event_date, strategy, stake, odds, won, CASE WHEN won = 1 THEN stake * (odds - 1) ELSE -stake END pnl, edge, 1 / odds fill_prob,
   1 / odds + (o_orderkey % 9 - 4) / 100 close_prob FROM bets0)"""
+
+
+def run_sql(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) -> DataFrame:
+    """A fixture's SQL over the test tables and ``views``; the same text serves as a part of the oracle."""
+    import re
+
+    names = {m for m in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b", text)}
+    known = views | {n: table(spark, sf_dir, n) for n in names - views.keys() if n in TABLES}
+    for n in known:
+        text = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{{{n}}}", text)
+    return spark.sql(text, **known)
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
