@@ -106,3 +106,98 @@ def confusion(df: DataFrame, keys: list[str], y: str = "target", p: str = "prob_
     hit: Column = (F.col(p) >= 0.5).cast("int")
     one = lambda a, b: F.sum(((hit == a) & (F.col(y) == b)).cast("long"))
     return df.groupBy(*keys).agg(one(1, 1).alias("tp"), one(1, 0).alias("fp"), one(0, 1).alias("fn"), one(0, 0).alias("tn"))
+
+
+def bootstrap_metrics(df: DataFrame, row: str, y: str = "target", probs: tuple[str, ...] = ("prob_a",), rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """round, model and accuracy, brier, log_loss, ece of Poisson bootstrap samples of the rows.
+
+    Each row draws its weights from a hash of its id, alike for all models (paired) and wherever it
+    stands. A task adds up weights, losses and calibration bins of its rows for all rounds and hands
+    on only these sums, so nothing is resampled and nothing grows with the rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    width, cdf = 3 + 3 * 10 + 1, np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(12)])
+
+    def weights(ids: np.ndarray) -> np.ndarray:
+        h = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(rounds, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
+        for shift, mix in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(mix)
+        return np.searchsorted(cdf, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53, side="right").astype(float)
+
+    def sums(frames):
+        total = np.zeros((len(probs), rounds, width))
+        for f in frames:
+            for at in range(0, len(f), 4096):
+                g = f.iloc[at : at + 4096]
+                w, t = weights(g["id"].to_numpy()), g["y"].to_numpy(float)
+                for i in range(len(probs)):
+                    p = g[f"p{i}"].to_numpy(float)
+                    q = np.clip(p, 1e-15, 1 - 1e-15)
+                    x = np.zeros((len(g), width))
+                    x[:, 0], x[:, 1], x[:, 2], x[:, 3] = 1, (p > 0.5) == (t > 0.5), (p - t) ** 2, -(t * np.log(q) + (1 - t) * np.log(1 - q))
+                    b = np.minimum(np.floor(np.round(p * 10, 9)), 9).astype(int)
+                    for k, v in enumerate((np.ones_like(p), p, t)):
+                        x[np.arange(len(g)), 4 + 10 * k + b] = v
+                    total[i] += w.T @ x
+        rows = [(r, i, total[i, r].tolist()) for i in range(len(probs)) for r in range(rounds)]
+        yield pd.DataFrame(rows, columns=["round", "model", "s"])
+
+    src = df.select(F.xxhash64(row).alias("id"), F.col(y).cast("double").alias("y"), *[F.col(p).cast("double").alias(f"p{i}") for i, p in enumerate(probs)])
+    part = src.mapInPandas(sums, "round int, model int, s array<double>")
+    s = part.groupBy("round", "model").agg(*[F.sum(F.get("s", i)).alias(f"s{i}") for i in range(width)])
+    n = F.col("s0")
+    ece = sum((F.abs(F.col(f"s{14 + b}") - F.col(f"s{24 + b}")) for b in range(10)), F.lit(0.0)) / n
+    name = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("model") + 1)
+    return s.where(n > 0).select("round", name.alias("model"), (F.col("s1") / n).alias("accuracy"), (F.col("s2") / n).alias("brier"), (F.col("s3") / n).alias("log_loss"), ece.alias("ece"))
+
+
+METRICS = ("accuracy", "brier", "log_loss", "ece")
+
+
+def metric_intervals(samples: DataFrame) -> DataFrame:
+    """95 % intervals of each model's metrics over bootstrap rounds."""
+    return samples.groupBy("model").agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in METRICS for q, n in ((0.025, "lo"), (0.975, "hi"))])
+
+
+def metric_comparison(samples: DataFrame, base: str, challenger: str) -> DataFrame:
+    """Mean paired difference of each metric, its interval and the share of rounds in which the challenger is no better."""
+    a, b = samples.where(F.col("model") == base), samples.where(F.col("model") == challenger)
+    d = a.alias("a").join(b.alias("b"), "round").select(*[(F.col(f"b.{m}") - F.col(f"a.{m}")).alias(m) for m in METRICS])
+    worse = lambda m: F.col(m) <= 0 if m == "accuracy" else F.col(m) >= 0
+    out = [F.struct(F.lit(m).alias("metric"), F.avg(m).alias("diff"), F.percentile(m, F.lit(0.025)).alias("lo"), F.percentile(m, F.lit(0.975)).alias("hi"), F.avg(worse(m).cast("double")).alias("p_value")) for m in METRICS]
+    return d.agg(F.array(*out).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def drawdown_length(bets: DataFrame, keys: list[str], order: list[str], start: float = 1000.0) -> DataFrame:
+    """Longest run of bets below an earlier peak of the bankroll."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    bank = bets.withColumn("__b", F.lit(start) + F.sum("pnl").over(w)).withColumn("__i", F.row_number().over(w))
+    low = bank.withColumn("__under", F.col("__b") < F.greatest(F.lit(start), F.max("__b").over(w)))
+    run = low.withColumn("__g", F.sum((~F.col("__under")).cast("int")).over(w)).where("__under").groupBy(*keys, "__g").count()
+    return bets.select(*keys).distinct().join(run.groupBy(*keys).agg(F.max("count").alias("longest")), keys, "left").na.fill(0, ["longest"])
+
+
+def outlier_years(bets: DataFrame, keys: list[str], limit: float = 1.5) -> DataFrame:
+    """ROI by year and whether it lies more than ``limit`` sample deviations from the key's mean year."""
+    per = bets.groupBy(*keys, F.year("event_date").alias("year")).agg(F.count(F.lit(1)).alias("n"), (F.sum("pnl") / F.sum("stake")).alias("roi"))
+    w = Window.partitionBy(*keys)
+    far = F.abs(F.col("roi") - F.avg("roi").over(w)) > limit * F.stddev_samp("roi").over(w)
+    return per.withColumn("outlier", F.coalesce(far, F.lit(False)))
+
+
+def with_baselines(df: DataFrame, keys: list[str], models: dict[str, str], y: str = "target") -> DataFrame:
+    """Losses and calibration of several probability columns side by side, a row a key and model; rows a model does not cover are left out of it."""
+    out = None
+    for name, col in models.items():
+        own = df.where(F.col(col).isNotNull())
+        part = losses(own, keys, y, col).join(calibration_error(calibration_bins(own, keys, y, col), keys), keys).join(auc(own, keys, y, col), keys).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sliced(df: DataFrame, slices: dict[str, Column]) -> DataFrame:
+    """Every row once for each slice it is in, with the slice's name."""
+    hit = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in slices.items()]), lambda s: s.isNotNull())
+    return df.withColumn("slice", F.explode(hit))

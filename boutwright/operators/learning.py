@@ -68,3 +68,88 @@ def logistic(df: DataFrame, features: list[str], target: str = "target"):
 
     steps = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features"), LogisticRegression(labelCol=target, regParam=0.01, maxIter=30)]
     return Pipeline(stages=steps).fit(df)
+
+
+def time_series_folds(df: DataFrame, group: str, day: str, splits: int = 5) -> DataFrame:
+    """(fold, part, group): expanding training groups and the next block of test groups; mirrored rows of a group stay together.
+
+    Groups are numbered by day, then group: days are counted first, so no window spans all groups.
+    """
+    groups = df.groupBy(group).agg(F.min(day).alias("__d"))
+    counts = groups.groupBy("__d").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__d", F.coalesce(F.sum("__n").over(Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    test = total // (splits + 1)
+    at = groups.join(before, "__d").withColumn("__i", F.col("__before") + F.row_number().over(Window.partitionBy("__d").orderBy(group)) - 1)
+    begin = lambda k: total - (splits - k) * test
+    parts = [F.when(F.col("__i") < begin(k), F.struct(F.lit(k + 1).alias("fold"), F.lit("train").alias("part"))).when(F.col("__i") < begin(k) + test, F.struct(F.lit(k + 1).alias("fold"), F.lit("test").alias("part"))) for k in range(splits)]
+    return at.select(group, F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).select("x.fold", "x.part", group)
+
+
+def odds_noise(df: DataFrame, columns: list[str], key: str, sd: float = 0.03, seed: int = 7) -> DataFrame:
+    """Independent noise from hashes of the key on each column, clipped to [0.02, 0.98]; unknown stays unknown."""
+
+    def z(i: int) -> Column:
+        u = lambda s: (F.pmod(F.xxhash64(F.col(key), F.lit(i), F.lit(s)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        return F.sqrt(-2 * F.log(u(seed))) * F.cos(2 * 3.141592653589793 * u(seed + 1))
+
+    noisy = lambda c, i: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col(c) + sd * z(i))))
+    return df.withColumns({c: noisy(c, i) for i, c in enumerate(columns)})
+
+
+def boosted(df: DataFrame, features: list[str], target: str = "target", rounds: int = 20, depth: int = 4):
+    """A fitted gradient-boosted tree model over the features; unknown values keep a level of their own (-999)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+
+    fill = SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(`{f}`, -999D) AS `__{f}`" for f in features) + " FROM __THIS__")
+    steps = [fill, VectorAssembler(inputCols=[f"__{f}" for f in features], outputCol="features"), GBTClassifier(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=0.15, seed=7)]
+    return Pipeline(stages=steps).fit(df)
+
+
+def predicted(model, df: DataFrame, columns: list[str], out: str = "prob") -> DataFrame:
+    """``columns`` and the model's probability of the target."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(df).select(*columns, F.get(vector_to_array("probability"), 1).alias(out))
+
+
+def calibrated(scores: DataFrame, target: str = "target", prob: str = "prob"):
+    """A monotone calibration of probabilities, fitted by isotonic regression on held-out rows; transform() adds ``prediction``."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    return IsotonicRegression(featuresCol=prob, labelCol=target).fit(scores)
+
+
+def permutation_ranking(model, df: DataFrame, features: list[str], key: str, target: str = "target") -> DataFrame:
+    """Rise of the log loss when a feature's values are exchanged among rows, the largest first.
+
+    Values move to the row of the next key hash, so a permutation is one window over hash slices.
+    """
+    from .evaluation import losses
+
+    base = losses(predicted(model, df, [target]), [], target, "prob").first()["log_loss"]
+    out = []
+    w = Window.partitionBy("__s").orderBy("__h", key)
+    mixed = df.withColumn("__h", F.xxhash64(key)).withColumn("__s", F.pmod("__h", F.lit(64)))
+    for f in features:
+        moved = mixed.withColumn(f, F.coalesce(F.lead(f).over(w), F.first(f).over(w))).drop("__h", "__s")
+        out.append((f, losses(predicted(model, moved, [target]), [], target, "prob").first()["log_loss"] - base))
+    return df.sparkSession.createDataFrame(sorted(out, key=lambda x: (-x[1], x[0])), "feature string, importance double")
+
+
+def grid_search(df: DataFrame, features: list[str], folds: DataFrame, group: str, grid: dict[str, list], target: str = "target") -> DataFrame:
+    """Mean Brier score of boosted trees over the folds for every combination of ``grid`` (rounds, depth), the best first."""
+    from itertools import product
+
+    from .evaluation import losses
+
+    out = []
+    for combo in product(*grid.values()):
+        scores = []
+        for k in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):
+            part = lambda p: df.join(folds.where((F.col("fold") == k) & (F.col("part") == p)).select(group), group)  # noqa: B023, E731
+            scores.append(losses(predicted(boosted(part("train"), features, target, **dict(zip(grid, combo))), part("test"), [target]), [], target, "prob").first()["brier"])
+        out.append((*[str(x) for x in combo], sum(scores) / len(scores)))
+    return df.sparkSession.createDataFrame(sorted(out, key=lambda x: x[-1]), ", ".join(f"{k} string" for k in grid) + ", brier double")
