@@ -19,6 +19,14 @@ def sides(predictions: DataFrame) -> DataFrame:
     return out.withColumn("odds", S.prob_to_decimal(F.col("market"))).withColumn("edge", F.col("blended") - F.col("market"))
 
 
+def line_gates(base_edge: float = S.BASE_EDGE, extra: float = 0.02) -> list[tuple[str, Column]]:
+    """Gates for a line that moves against the side (movement over 0.02 the other way): more edge, and never a sharp or steam move."""
+    move = F.col("line_movement")
+    against = F.coalesce(F.when(F.col("side") == "a", move < -0.02).otherwise(move > 0.02), F.lit(False))
+    quick = F.coalesce((F.col("line_is_sharp") == 1) | (F.col("line_steam_move") == 1), F.lit(False))
+    return [("line_against", ~against | (F.col("edge") >= S.required_edge(F.col("odds"), base_edge) + extra)), ("sharp_against", ~(against & quick))]
+
+
 def gates(base_edge: float = S.BASE_EDGE) -> list[tuple[str, Column]]:
     """Ordered gates; the first that fails is the reason."""
     need = S.required_edge(F.col("odds"), base_edge)
@@ -31,9 +39,9 @@ def gates(base_edge: float = S.BASE_EDGE) -> list[tuple[str, Column]]:
     ]
 
 
-def rejection_reason(base_edge: float = S.BASE_EDGE) -> Column:
+def rejection_reason(base_edge: float = S.BASE_EDGE, more: list[tuple[str, Column]] = ()) -> Column:
     out = None
-    for name, ok in gates(base_edge):
+    for name, ok in [*gates(base_edge), *more]:
         fails = ~F.coalesce(ok, F.lit(False))
         out = F.when(fails, name) if out is None else out.when(fails, name)
     return out.otherwise("accepted")

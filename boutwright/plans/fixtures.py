@@ -104,6 +104,7 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) ->
     import re
 
     names = {m for m in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b", text)}
+    text = text.replace("{", "{{").replace("}", "}}")  # braces of the text are no placeholders
     known = views | {n: table(spark, sf_dir, n) for n in names - views.keys() if n in TABLES}
     for n in known:
         text = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{{{n}}}", text)

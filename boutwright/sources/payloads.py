@@ -18,12 +18,70 @@ def odds_rows(df: DataFrame, payload: str) -> DataFrame:
     return out.select("id", "commence_time", "bookmaker", a["name"].alias("a_name"), b["name"].alias("b_name"), a["price"].alias("a_odds"), b["price"].alias("b_odds"), (1 / a["price"] / (1 / a["price"] + 1 / b["price"])).alias("a_fair"))
 
 
+MARKET = "struct<id:string,home_od:string,away_od:string,over_od:string,under_od:string,draw_od:string,handicap:string,ss:string,add_time:string>"
+BOOKS = f"map<string,struct<matching_dir:string,odds_update:map<string,string>,odds:map<string,map<string,{MARKET}>>>>"
+PRICES = {"home_odds": "home_od", "away_odds": "away_od", "over_odds": "over_od", "under_odds": "under_od", "draw_odds": "draw_od"}
+
+
+def seconds(s) -> F.Column:
+    """A time given as epoch seconds in text; null where it is none."""
+    return F.timestamp_seconds(s.try_cast("bigint"))
+
+
 def summary_rows(df: DataFrame, payload: str, key: str) -> DataFrame:
-    """bookmaker -> phase -> market maps to rows."""
-    kind = "map<string,map<string,map<string,struct<home_od:double,away_od:double,add_time:long>>>>"
-    a = df.select(key, F.explode(F.from_json(payload, kind)).alias("bookmaker", "x"))
-    b = a.select(key, "bookmaker", F.explode("x").alias("phase", "y"))
-    return b.select(key, "bookmaker", "phase", F.explode("y").alias("market", "o")).select(key, "bookmaker", "phase", "market", "o.*")
+    """Bookmaker, phase and market maps of ``results`` to rows with all prices; a market without any price has no row."""
+    books = df.select(key, F.explode(F.from_json(F.get_json_object(payload, "$.results"), BOOKS)).alias("bookmaker", "x"))
+    last = F.array_max(F.transform(F.map_values("x.odds_update"), seconds))
+    phases = books.select(key, "bookmaker", F.col("x.matching_dir").try_cast("int").alias("matching_dir"), last.alias("updated_at"), F.explode("x.odds").alias("market_phase", "y"))
+    rows = phases.select(key, "bookmaker", "matching_dir", "updated_at", "market_phase", F.explode("y").alias("market_key", "o"))
+    prices = {n: F.col(f"o.{c}").try_cast("double") for n, c in PRICES.items()}
+    out = rows.select(key, "bookmaker", "matching_dir", "market_phase", "market_key", F.col("o.id").alias("line_id"), *[v.alias(n) for n, v in prices.items()], F.col("o.handicap").alias("handicap"), F.col("o.ss").alias("score_state"), seconds(F.col("o.add_time")).alias("added_at"), "updated_at")
+    return out.where(F.coalesce(*PRICES).isNotNull())
+
+
+EVENT = "array<struct<id:string,our_event_id:string,sport_id:string,league:struct<name:string>,home:struct<name:string>,away:struct<name:string>,time:string,time_status:string,odds_updated_at:string,updated_at:string>>"
+
+
+def event_rows(df: DataFrame, payload: str, source: str) -> DataFrame:
+    """Events of ``results`` as flat rows with their fight key (empty where a name or the time is missing)."""
+    from ..functions.identity import fight_key
+
+    e = df.drop(payload).columns
+    rows = df.select(*e, F.explode(F.from_json(F.get_json_object(payload, "$.results"), EVENT)).alias("e"))
+    out = rows.select(*e, F.lit(source).alias("source"), F.col("e.id").alias("event_id"), F.col("e.our_event_id").alias("our_event_id"), F.col("e.league.name").alias("league"), F.col("e.home.name").alias("a_name"), F.col("e.away.name").alias("b_name"), seconds(F.col("e.time")).alias("starts_at"), F.col("e.time_status").alias("time_status"), seconds(F.col("e.odds_updated_at")).alias("odds_updated_at"))
+    return out.withColumn("fight_key", fight_key(F.col("a_name"), F.col("b_name"), F.col("starts_at").cast("date")))
+
+
+def raw_files(spark, folder: str) -> DataFrame:
+    """Every JSON file of a folder: its path, time, payload and metadata; a file may be an envelope {payload, metadata} or the payload itself."""
+    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified_at"), "value")
+    inner = F.get_json_object("value", "$.payload")
+    return files.select("file", "modified_at", F.coalesce(inner, "value").alias("payload"), F.when(inner.isNotNull(), F.get_json_object("value", "$.metadata")).alias("metadata"))
+
+
+@F.udtf(returnType="market_group string, market_name string, selection_id string, selection_name string, header string, handicap string, decimal_odds double")
+class Selections:
+    """Priced selections of a prematch payload: whatever holds ``odds``, with its group and path."""
+
+    def eval(self, payload: str):
+        import json
+
+        root = json.loads(payload) if payload else {}
+        for group, x in sorted(root.items() if isinstance(root, dict) else []):
+            markets = x.get("sp") if isinstance(x, dict) else None
+            todo = [(k, v) for k, v in sorted(markets.items(), reverse=True)] if isinstance(markets, dict) else []
+            while todo:
+                path, v = todo.pop()
+                if isinstance(v, dict) and "odds" in v:
+                    try:
+                        odds = float(v["odds"])
+                    except (TypeError, ValueError):
+                        odds = None
+                    yield group, path, str(v.get("id", "")), v.get("name", ""), v.get("header", ""), str(v.get("handicap", "")), odds
+                elif isinstance(v, dict):
+                    todo += [(f"{path}.{k}", y) for k, y in sorted(v.items(), reverse=True)]
+                elif isinstance(v, list):
+                    todo += [(path, y) for y in reversed(v)]
 
 
 def page_figures(df: DataFrame, html: str) -> DataFrame:

@@ -27,11 +27,85 @@ def read_csv(spark: SparkSession, path: str, schema: str, aliases: dict[str, str
     return aliased(df, aliases or {})
 
 
-def with_provenance(df: DataFrame, kind: str, observed: str, start: str) -> DataFrame:
-    """Source kind and file, observation time, hours to the start and whether it was surely before it."""
-    hours = (F.unix_micros(F.col(start).cast("timestamp")) - F.unix_micros(F.try_to_timestamp(F.col(observed)))) / 3.6e9
-    return df.withColumn("source_kind", F.lit(kind)).withColumn("hours_to_start", hours).withColumn("verified_prefight", F.coalesce(hours > 0, F.lit(False)))
+def with_provenance(df: DataFrame, kind: str, file: str | None = None, proven: tuple[str, ...] = ("odds_api",)) -> DataFrame:
+    """Source kind and file, observation time, hours to the start and whether the price surely stood before it.
 
+    Only sources that prove their day offset (``proven``) can be verified.
+    """
+    name = F.lit(file) if file else F.col("_metadata.file_name")
+    ok = F.lit(kind in proven) & F.coalesce(F.col("offset_days") > 0, F.lit(False))
+    return df.withColumns({"source_kind": F.lit(kind), "source_file": name, "observed_at": F.try_to_timestamp(F.col("query_date").cast("string")), "hours_to_start": F.col("offset_days") * 24.0, "verified_prefight": ok})
+
+
+#: Historical odds sources from the weakest to the strongest; of equal rows the strongest stands.
+ODDS_SOURCES = ("legacy", "bfo", "bfo_recovered", "odds_api")
+
+
+def historical_odds(sources: dict[str, DataFrame]) -> DataFrame:
+    """All sources with provenance, one row for each date, pair (as written) and offset: the strongest source, then its last row."""
+    from ..functions.names import normalise
+    from ..operators.dedupe import keep_best
+    from ..operators.lines import valid_moneyline
+
+    out = None
+    for i, kind in enumerate(k for k in ODDS_SOURCES if k in sources):
+        part = with_provenance(sources[kind], kind, kind).withColumn("__p", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    keyed = valid_moneyline(out).withColumns({"__a": normalise(F.col("a_name")), "__b": normalise(F.col("b_name"))})
+    return keep_best(keyed, ["event_date", "__a", "__b", "offset_days"], [F.desc("__p"), F.desc("row_id")]).drop("__p", "__a", "__b")
+
+
+#: Other names of a bout file's columns (any case, spaces or underscores).
+BOUT_ALIASES = {"date": "event_date", "r_fighter": "fighter_a", "red fighter": "fighter_a", "b_fighter": "fighter_b", "blue fighter": "fighter_b", "winner": "winner", "weight class": "weight_class", "r_height": "a_height", "b_height": "b_height", "r_reach": "a_reach", "b_reach": "b_reach", "r_avg_sig_str_pct": "a_str_acc", "b_avg_sig_str_pct": "b_str_acc", "title bout": "title_bout", "r_odds": "a_odds", "b_odds": "b_odds", "no of rounds": "num_rounds"}
+
+
+def bouts_of(raw: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """A bout file's text columns under canonical names, parsed: dates, heights, reaches, percentages, flags, the winner's name (from Red or Blue too) and the target (1 where side a won, null where no side did)."""
+    from ..functions import scalars as S
+
+    df = aliased(raw, {**BOUT_ALIASES, **(aliases or {})})
+    has = set(df.columns)
+    parsers = {"event_date": lambda c: F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")), F.try_to_timestamp(c, F.lit("M/d/yyyy")), F.try_to_timestamp(c, F.lit("MMMM d, yyyy"))).cast("date"), "title_bout": S.nullable_binary, "num_rounds": lambda c: c.try_cast("double")}
+    for s in "ab":
+        parsers |= {f"{s}_height": S.height_cm, f"{s}_reach": S.reach_cm, f"{s}_str_acc": S.percent, f"{s}_odds": lambda c: c.try_cast("double")}
+    out = df.withColumns({c: f(F.trim(F.col(c))) for c, f in parsers.items() if c in has})
+    w = F.lower(F.trim("winner"))
+    winner = F.when(w == "red", F.col("fighter_a")).when(w == "blue", F.col("fighter_b")).otherwise(F.col("winner"))
+    out = out.withColumn("winner", winner)
+    return out.withColumn("target", F.when(F.col("winner") == F.col("fighter_a"), 1).when(F.col("winner") == F.col("fighter_b"), 0)).where("event_date is not null and fighter_a is not null and fighter_b is not null")
+
+
+def save_snapshot(df: DataFrame, root: str, key: str, time: str) -> None:
+    """Quotes appended by day, and the opening line of every key not seen before."""
+    spark = df.sparkSession
+    df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(f"{root}/snapshots")
+    first = df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct(time, "row_id")).alias("x")).select(key, "x.*")
+    version = 0
+    known = spark.createDataFrame([], first.schema)
+    if _exists(spark, f"{root}/openings"):
+        known = spark.read.parquet(f"{root}/openings").select(*first.columns)
+        version = spark.read.parquet(f"{root}/openings").agg(F.max("version")).first()[0] + 1
+    first.join(known.select(key), key, "left_anti").withColumn("version", F.lit(version)).write.mode("append").parquet(f"{root}/openings")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def digest(df: DataFrame) -> tuple[int, str]:
+    """Rows and an order-free checksum of a table."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h")).first()
+    return r["n"], r["h"]
+
+
+def read_verified(spark: SparkSession, paths: dict[str, str], manifest: dict[str, tuple[int, str]]) -> dict[str, DataFrame]:
+    """Tables whose rows and checksums agree with the manifest, all of them or none."""
+    out = {n: spark.read.parquet(p) for n, p in paths.items()}
+    wrong = [n for n, df in out.items() if digest(df) != tuple(manifest[n])]
+    if wrong:
+        raise ValueError(f"not what the manifest says: {', '.join(wrong)}")
+    return out
 
 
 def publish(spark: SparkSession, frames: dict[str, DataFrame], root: str, refuse_empty: bool = True) -> str:
