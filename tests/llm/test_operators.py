@@ -246,6 +246,93 @@ def test_a_class_name_alone_drops_no_article():
         assert html_text.main_text(page).split("\n") == [*s.values()], name
 
 
+def _naive(node, own_named):
+    """Characters, link characters, tags and link tags under a node, counted by walking it."""
+    chars = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+    links = tags = link_tags = 0
+    for x in node.items:
+        if isinstance(x, str) or x.drop:
+            continue
+        c, l, t, lt = _naive(x, own_named)
+        if not x.named:
+            chars, links, tags, link_tags = chars + c, links + l, tags + t + 1, link_tags + lt
+    if node.tag == "a":
+        links, link_tags = chars, link_tags + 1
+    return chars, links, tags, link_tags
+
+
+def test_densities_equal_a_plain_walk(spark):
+    """Every node's composite density and density sum, and the node chosen, against counts by walking each subtree."""
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/sf0.001/pages.parquet").limit(60).collect() if r.html]
+    pages += ["<body><div class=wrap><ul>" + "<li><a href=/x>link text</a>" * 9 + "</ul><div><p>" + "Words of the story. " * 40 + "<p>" + "More of it. " * 50 + "</div></div></body>"]
+    for page in pages:
+        root = html_text.parse(page)
+        nodes = [n for n in html_text._measure(root) if not n.drop]
+        c0, l0, _, _ = _naive(root, True)
+        sums = {}
+        for n in nodes:
+            c, l, t, lt = _naive(n, True)
+            assert (n.chars, n.links, n.tags, n.link_tags) == (c, l, t, lt)
+            plain, density = max(c - l, 1), 0.0
+            if c:
+                base = np.log(c / plain * l + l0 / max(c0, 1) * c + np.e)
+                density = c / max(t, 1) * np.log(max(c / max(l, 1) * max(t, 1) / max(lt, 1), 1.0)) / max(np.log(max(base, 1.0001) + 1), 1e-6)
+            assert n.density == pytest.approx(density, rel=1e-9, abs=1e-12)
+            sums[id(n)] = density
+        for n in nodes:
+            assert n.sums == pytest.approx(sum(sums[id(x)] for x in n.items if not isinstance(x, str) and not x.drop and not x.named), rel=1e-9, abs=1e-9)
+
+
+def test_main_text_of_long_pages_and_headings_with_telling_ids():
+    story = "".join(f"<p>Sentence {i} of a very long page that goes on.</p>" for i in range(40_000))
+    assert html_text.main_text(f"<body><div>{story}</div></body>").count("\n") == 39_999
+    page = f"<body><article><h2 id=copyright>On rights</h2><section class=legal>{''.join(f'<p>{x}</p>' for x in _story(*'abcde').values())}</section></article></body>"
+    assert html_text.main_text(page).split("\n") == ["On rights", *_story(*"abcde").values()]
+
+
+def test_clashing_columns_and_empty_tables(spark, none):
+    """Extra columns that have the names of outputs or of columns used inside change nothing."""
+    more = ["text_crc32", "size", "score", "n_tokens", "found", "license", "fp", "root", "key", "ws", "h", "shingle", "item", "piece", "length", "rank", "class", "shard", "predicted", "toxic", "n_chars", "base_failed", "kept"]
+    rows = [(i, f"text number {i} with some words in it", "h", *["?"] * len(more)) for i in range(6)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in more))
+    slim = wide.select("doc_id", "text", "source")
+    labels = slim.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    items = slim.select(F.col("doc_id").alias("item_id"), "text")
+    runs = {
+        1: token_counts.token_counts, 2: quality.quality_rules, 3: lambda d: licenses.licences(d, licenses.train(slim)), 6: lambda d: toxicity.score(d, toxicity.train(slim, labels)), 7: sharding.shard,
+        8: packing.pack_documents, 9: lambda d: decontam.contaminated(d, items), 10: simhash.component_ids,
+    }
+    for n, run in runs.items():
+        a, b = run(slim), run(wide)
+        shared = [c for c in a.columns if c in b.columns]
+        rows_of = lambda df: Counter(str(r) for r in df.select(*shared).drop("sequence_id", "offset").collect())  # noqa: B023, E731
+        assert rows_of(a) == rows_of(b), n
+        assert run(wide.limit(0)).count() == 0, n
+    pages = wide.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "text", "n_chars")
+    assert [r.text for r in html_text.extract(pages).orderBy("page_id").collect()] == [r[1] for r in rows]
+    assert html_text.extract(pages.limit(0)).count() == 0
+    for f in (quality.keep_good, simhash.one_of_each, lambda d: decontam.drop_contaminated(d, items)):
+        assert f(wide).columns == wide.columns
+
+
+def test_very_long_texts(spark):
+    """Texts beyond every inner chunk: 90,000 words."""
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 6))) for _ in range(90_000))
+    df = spark.createDataFrame([(1, long, "h"), (2, long + " end", "h"), (3, "short text", "h")], "doc_id long, text string, source string")
+    fig = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert fig[1].n_words == 90_000 and fig[2].n_words == 90_001
+    got = simhash.component_ids(df).collect()
+    want = slow_components([(i, slow_fingerprint(t)) for i, t in ((1, long), (2, long + " end"), (3, "short text"))])
+    assert bag((r.doc_id, r.fingerprint, r.component_id) for r in got) == bag(want)
+    counts = token_counts.token_counts(df).collect()
+    assert min(r.n_tokens for r in counts if r.doc_id < 3) > 90_000
+    pieces = packing.pack_documents(df).where("doc_id = 1").collect()
+    assert sum(r.length for r in pieces) > 90_000 and max(r.length for r in pieces) <= 2048
+    item = spark.createDataFrame([(7, " ".join(long.split()[70_000:70_040]))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.contaminated(df, item).collect()) == [1, 2]
+
+
 def test_odd_pages(spark):
     rows = [(0, "u", None), (1, "u", ""), (2, "u", "<p>"), (3, "u", "only text"), (4, "u", "<div>" * 3000 + "deep &eacute;"), (5, "u", "<script>x"), (6, "u", "<body><p>a<p>b</body>"), (6, "u", "<body><p>a<p>b</body>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
