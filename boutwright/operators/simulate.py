@@ -1,32 +1,63 @@
 """Sequential bankroll simulations: one ordered fold a (strategy, parameter) group.
 
-State couples all bets of a group, so groups are the unit of parallel work. Days are first folded
-into arrays (each bounded by a day's bets), and the fold walks the days.
+State couples all bets of a group, so groups are the unit of parallel work. Bets are streamed in
+order through their group's fold; batched settlement sums each day first and folds the days.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kelly_fold(bets: DataFrame, keys: list[str], order: list[str], share: Column | float = 0.25, cap: float = 0.04, start: float = 1000.0, stop: float = 0.4) -> DataFrame:
-    """Immediate settlement: stake min(share * f, cap) of equity, none under 1 or once equity falls below ``stop`` of the start."""
+    """Immediate settlement: stake min(share * f, cap) of equity, none under 1 or once equity falls below ``stop`` of the start.
+
+    Bets are sorted by group and order on the cluster and streamed through the fold, which keeps five
+    numbers of the group at hand, however many bets it has.
+    """
     share = share if isinstance(share, Column) else F.lit(share)
-    item = F.struct(*order, F.col("prob").alias("p"), F.col("odds").alias("o"), F.col("won").alias("w"), share.cast("double").alias("k"))
-    seq = F.sort_array(F.collect_list(item))
-    zero = F.struct(F.lit(start).alias("cash"), F.lit(start).alias("peak"), F.lit(0.0).alias("staked"), F.lit(0).alias("n"), F.lit(0.0).alias("drawdown"))
-
-    def step(s, x):
-        f = ((x["o"] - 1) * x["p"] - (1 - x["p"])) / (x["o"] - 1)
-        want = s["cash"] * F.least(F.greatest(x["k"] * f, F.lit(0.0)), F.lit(cap))
-        stake = F.when((want < 1) | (s["cash"] < stop * start), 0.0).otherwise(want)
-        cash = s["cash"] + F.when(x["w"] == 1, stake * (x["o"] - 1)).otherwise(-stake)
-        peak = F.greatest(s["peak"], cash)
-        return F.struct(cash.alias("cash"), peak.alias("peak"), (s["staked"] + stake).alias("staked"), (s["n"] + (stake > 0).cast("int")).alias("n"), F.greatest(s["drawdown"], peak - cash).alias("drawdown"))
-
-    out = bets.groupBy(*keys).agg(F.aggregate(seq, zero, step).alias("s"))
-    return out.select(*keys, F.col("s.cash").alias("final"), F.col("s.peak").alias("peak"), F.col("s.staked").alias("staked"), F.col("s.n").alias("n_bets"), F.col("s.drawdown").alias("max_drawdown"))
+    f = ((F.col("odds") - 1) * F.col("prob") - (1 - F.col("prob"))) / (F.col("odds") - 1)
+    part = F.least(F.greatest(share * f, F.lit(0.0)), F.lit(cap)).cast("double")
+    gain = F.when(F.col("won") == 1, F.col("odds") - 1).otherwise(-1.0).cast("double")
+    cols = bets.select(*keys, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], part.alias("__f"), gain.alias("__g"))
+    ordered = cols.repartition(*keys).sortWithinPartitions(*keys, *[f"__o{i}" for i in range(len(order))])
+    names, schema = ("final", "peak", "staked", "n_bets", "max_drawdown"), cols.select(*keys).schema
+    for n in names:
+        schema = schema.add(n, T.IntegerType() if n == "n_bets" else T.DoubleType())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cash, peak, staked, n, low = None, start, start, 0.0, 0, 0.0
+
+        def done(groups: list) -> pa.RecordBatch:
+            flat = [(*k, *v) for k, v in groups]
+            return pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in flat], types[c]) for i, c in enumerate((*keys, *names))})
+
+        types = {n: pa.int32() if n == "n_bets" else pa.float64() for n in names}
+        for batch in batches:
+            types |= {k: batch.schema.field(k).type for k in keys}
+            ended = []
+            for key, f, g in zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column("__f").to_pylist(), batch.column("__g").to_pylist()):
+                if key != at:
+                    if at is not None:
+                        ended.append((at, (cash, peak, staked, n, low)))
+                    at, cash, peak, staked, n, low = key, start, start, 0.0, 0, 0.0
+                stake = cash * f if f is not None else 0.0
+                if stake < 1 or cash < stop * start:
+                    continue
+                cash += stake * g
+                peak, staked, n = max(peak, cash), staked + stake, n + 1
+                low = max(low, peak - cash)
+            if ended:
+                yield done(ended)
+        if at is not None:
+            yield done([(at, (cash, peak, staked, n, low))])
+
+    return ordered.mapInArrow(fold, schema)
 
 
 def batched_settlement(bets: DataFrame, keys: list[str], day: str, share: float = 0.25, cap: float = 0.04, start: float = 1000.0) -> DataFrame:
