@@ -137,3 +137,16 @@ def visible(history: DataFrame, as_of: Column, time: str = "snapshot_time") -> D
     cut = F.try_to_timestamp(as_of)
     end = F.when(as_of.rlike("[T ]"), cut).otherwise(cut + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND"))
     return history.where(F.col(time).cast("timestamp") <= end)
+
+
+def moneyline_snapshots(rows: DataFrame, key: str) -> DataFrame:
+    """Snapshots, last prices of both sides, staleness and moves since the first snapshot; rows have side, odds, snapshot_time, updated_at, row_id."""
+    p = 1 / F.col("odds")
+    first = lambda s: F.min_by(F.when(F.col("side") == s, p), F.when((F.col("side") == s) & F.col("odds").isNotNull(), F.col("row_id"))).alias(f"{s}_prob")
+    snaps = rows.where(F.col("side").isin("a", "b") & F.col("odds").isNotNull()).groupBy(key, "snapshot_time", "updated_at").agg(first("a"), first("b"))
+    at = F.struct("snapshot_time", "updated_at")
+    ends = F.struct("a_prob", "b_prob", "snapshot_time", "updated_at")
+    out = snaps.groupBy(key).agg(F.count(F.lit(1)).alias("n_snapshots"), F.min_by(ends, at).alias("f"), F.max_by(ends, at).alias("l"))
+    stale = (F.unix_micros(F.col("l.snapshot_time").cast("timestamp")) - F.unix_micros(F.col("l.updated_at").cast("timestamp"))) / 3.6e9
+    a, b = F.col("l.a_prob") - F.col("f.a_prob"), F.col("l.b_prob") - F.col("f.b_prob")
+    return out.select(key, "n_snapshots", F.col("l.a_prob").alias("a_prob"), F.col("l.b_prob").alias("b_prob"), (F.col("l.a_prob") - F.col("l.b_prob")).alias("diff_prob"), stale.alias("stale_hours"), a.alias("move_a"), b.alias("move_b"), (F.abs(a) + F.abs(b)).alias("move_abs"))

@@ -30,3 +30,30 @@ def schema_report(df: DataFrame, expected: dict[str, str]) -> dict[str, list[str
     """Columns missing, unexpected or of another type."""
     own = dict(df.dtypes)
     return {"missing": [c for c in expected if c not in own], "unexpected": [c for c in own if c not in expected], "type": [c for c in expected if c in own and own[c] != expected[c]]}
+
+
+def named_faults(df: DataFrame, date: str, sides: tuple[str, str], target: str) -> DataFrame:
+    """Rows with a fault that their columns' names let one see: no date, no or equal participants, a target that is not 0 or 1, shares and probabilities outside [0, 1], percentages outside [0, 100], landed over attempted."""
+    c, names = F.col, df.columns
+    rules = {"no_date": c(date).isNull(), "participants": c(sides[0]).isNull() | c(sides[1]).isNull() | (c(sides[0]) == c(sides[1])), "target": c(target).isNotNull() & ~c(target).isin(0, 1)}
+    rules |= {n: ~c(n).between(0, 1) for n in names if n.endswith(("_share", "_prob"))} | {n: ~c(n).between(0, 100) for n in names if n.endswith(("_pct", "_acc", "_def"))}
+    rules |= {n: c(n) > c(n.replace("_landed", "_attempted")) for n in names if n.endswith("_landed") and n.replace("_landed", "_attempted") in names}
+    hits = F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), n) for n, cond in rules.items()]), lambda x: x.isNotNull())
+    return df.withColumn("faults", hits).where(F.size("faults") > 0)
+
+
+def incoming_results(accepted: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
+    """Classes of the results that are new in the candidate, and whether any must be quarantined."""
+    from ..functions.scalars import official_result
+
+    new = candidate.join(accepted.select(key), key, "left_anti").withColumn("r", official_result(F.col("outcome"), F.col("method")))
+    return new.groupBy(F.col("r.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("r.is_target"), 1)).alias("n_targets"), F.max("r.quarantined").alias("quarantined"))
+
+
+def publication_bundle(reports: dict[str, DataFrame]) -> DataFrame:
+    """One row a report and whether it passed; each report is one row with ``passed``."""
+    out = None
+    for name, df in reports.items():
+        part = df.select(F.lit(name).alias("report"), "passed")
+        out = part if out is None else out.unionByName(part)
+    return out

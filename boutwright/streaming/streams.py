@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def quote_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -28,11 +29,14 @@ def first_seen(stream: DataFrame, key: str, time: str, value: str, tie: str = "e
     return s.groupBy(key).agg(F.min_by(value, at).alias("opening"), F.min(time).alias("seen_at"))
 
 
-def realerts(stream: DataFrame, key: str, order: str, magnitude: str, step_size: float = 0.05) -> DataFrame:
-    """An alert the first time and then whenever the magnitude has grown by ``step_size`` since the last."""
+def realerts(stream: DataFrame, key: str, order: str, magnitude: str, step_size: float = 0.05, idle_ms: int | None = None) -> DataFrame:
+    """An alert the first time and then whenever the magnitude has grown by ``step_size`` since the last; a key without news for ``idle_ms`` is forgotten (for streams that run on; None keeps keys)."""
     schema = f"{key} {dict(stream.dtypes)[key]}, {order} {dict(stream.dtypes)[order]}, magnitude double"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
         for o, m in sorted(zip(*(pd.concat(list(frames))[[order, magnitude]].T.values.tolist()))):
@@ -41,29 +45,78 @@ def realerts(stream: DataFrame, key: str, order: str, magnitude: str, step_size:
                 out.append((k[0], o, m))
         if last is not None:
             state.update((float(last),))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, order, "magnitude"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def append_unique(stream: DataFrame, path: str, checkpoint: str, key: str):
-    """A started query that appends only rows whose key the sink has not seen; replayed batches add nothing."""
+def append_unique(stream: DataFrame, path: str, checkpoint: str, key: str, buckets: int = 64):
+    """A started query that appends only rows whose key the sink has not seen; replayed batches add nothing.
+
+    The sink is partitioned by a hash of the key, and a batch reads the partitions of its own keys alone.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
         try:
-            old = spark.read.parquet(path).select(key)
-        except Exception as e:  # the first batch finds no sink
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(old, key, "left_anti")
-        fresh.write.mode("append").parquet(path)
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # ``buckets`` at most
+            try:
+                old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(key)
+            except Exception as e:  # the first batch finds no sink
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                new = fresh
+            else:
+                new = fresh.join(old, key, "left_anti")
+            new.write.mode("append").partitionBy("bucket").parquet(path)
+        finally:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def unique_activity(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
+    """Each activity once: repeats of a key within ``late`` of its time are dropped, and their state with them."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def line_pass(stream: DataFrame, root: str, key: str, step: float = 0.05):
+    """A started query that saves each batch of quotes, works out the lines of its markets from all their snapshots, and appends an alert the first time a line has moved by ``step`` and whenever it has moved by another one since its last alert.
+
+    A replayed batch overwrites its own files; alerts of later batches are not read.
+    """
+    from ..operators.lines import snapshot_movement
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{root}/quotes/batch={batch_id}")
+        keys = batch.select(key).distinct()
+        seen = spark.read.schema(_with_batch(batch)).parquet(f"{root}/quotes").where(F.col("batch") <= batch_id)
+        moved = snapshot_movement(seen.join(keys, key, "left_semi"), key).select(key, "line_movement", "line_abs_movement", "line_steam_move")
+        big = moved.where(F.col("line_abs_movement") >= step)
+        if batch_id > 0:
+            old = spark.read.schema(_with_batch(big)).parquet(f"{root}/alerts").where(F.col("batch") < batch_id).groupBy(key).agg(F.max("line_abs_movement").alias("__last"))
+            big = big.join(old, key, "left").where("__last is null or line_abs_movement >= __last + " + str(step)).drop("__last")
+        big.write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+
+
+def _with_batch(df: DataFrame) -> StructType:
+    return StructType([*df.schema.fields, StructField("batch", IntegerType())])
+
+
+def retained(snapshots: DataFrame, time: str, now, full_days: int, keep_days: int, daily: int = 1) -> DataFrame:
+    """Snapshots to keep: all of the last ``full_days``, the last ``daily`` of each older day, none beyond ``keep_days``; undated ones stay."""
+    age = F.datediff(F.lit(now).cast("date"), F.to_date(time))
+    n = F.row_number().over(Window.partitionBy(F.to_date(time)).orderBy(F.desc(time), F.desc("row_id")))
+    ranked = snapshots.withColumn("__age", age).where("__age is null or __age < " + str(keep_days)).withColumn("__n", n)
+    return ranked.where((F.col("__age") < full_days) | (F.col("__n") <= daily) | F.col("__age").isNull()).drop("__age", "__n")
+
+
 def run_to_files(spark: SparkSession, df: DataFrame, root: str) -> DataFrame:
     """All that is available, in complete mode: each batch writes the whole result under its own id, and the last one counts."""
 
