@@ -69,25 +69,22 @@ class Counting:
 
     def word(self, w: str) -> tuple[int, float]:
         """(pieces, score) of the best segmentation."""
-        n = len(w)
-        ends: list[list[tuple[int, float]] | None] = [None] * n
+        n, worst = len(w), -math.inf
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for last, match in self.found.iter(w):
-            if ends[last] is None:
-                ends[last] = [match]
-            else:
-                ends[last].append(match)
+            ends[last].append(match)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
         for i, matches in enumerate(ends):
-            top, many, alone = None, 0, False
-            # the earliest start first: a later one must be strictly better
-            for size, score in sorted(matches, reverse=True) if matches else ():
-                alone = alone or size == 1
+            top, many, size = worst, 0, 0
+            if len(matches) > 1:
+                matches.sort(reverse=True)  # the earliest start first: a later one must be strictly better
+            for size, score in matches:
                 total = best[i + 1 - size] + score
-                if top is None or total > top:
+                if total > top:
                     top, many = total, count[i + 1 - size] + 1
-            if not alone:
+            if size != 1:  # no piece is this character alone
                 total = best[i] + self.unknown
-                if top is None or total > top:
+                if total > top:
                     top, many = total, count[i] + len(w[i].encode("utf-8", "surrogatepass"))
             best[i + 1], count[i + 1] = top, many
         return count[n], best[n]
@@ -100,13 +97,15 @@ class Counting:
             marked = SPACE_MARK + marked
         if self.whole:
             return self.word(marked)
+        # words without their first mark; a split will do where no two marks meet
+        words = [w[1:] for w in WORD.findall(marked)] if SPACE_MARK * 2 in marked else marked.split(SPACE_MARK)[1:]
         many, total = 0, 0.0
-        for w, k in Counter(WORD.findall(marked)).items():
+        for w, k in Counter(words).items():
             if (got := self.known.get(w)) is None:
                 if self.held > CACHE_CHARS:
                     self.known.clear()
                     self.held = 0
-                got = self.word(w)
+                got = self.word(SPACE_MARK + w)
                 if len(w) <= CACHE_WORD:
                     self.known[w] = got
                     self.held += len(w) + ENTRY_CHARS
