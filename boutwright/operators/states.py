@@ -173,3 +173,10 @@ def window_status(event: Column, now: Column, opens_h: float = 48, closes_h: flo
     """As scalars.entry_window; with ``fail_closed`` an unknown time is closed."""
     out = S.entry_window(event, now, opens_h, closes_h)
     return F.when(out == "unknown", "closed").otherwise(out) if fail_closed else out
+
+
+def best_source(rows: DataFrame, keys: list[str], precedence: str, value: str) -> DataFrame:
+    """Of each key the value of the source that comes first, and ``conflict`` where sources of that rank differ; callers refuse conflicts."""
+    first = rows.groupBy(*keys).agg(F.min(precedence).alias("__p"))
+    top = rows.join(first, keys).where(F.col(precedence) == F.col("__p"))
+    return top.groupBy(*keys).agg(F.min(value).alias(value), F.min("__p").alias(precedence), (F.count_distinct(value) > 1).alias("conflict"))

@@ -130,3 +130,11 @@ SELECT b.fight_id, snapshot, aw.rank a_wc_rank, bw.rank b_wc_rank, ap.rank a_pfp
 def rankings_at_bouts(spark, d):
     out = T.rankings_at(bouts(spark, d).select("fight_id", "event_date", "weight_class", "a_id", "b_id"), run_sql(spark, d, _RANKS))
     return out.select("fight_id", "snapshot", "a_wc_rank", "b_wc_rank", "a_pfp_rank", "b_pfp_rank")
+
+
+_SOURCES = "SELECT l_suppkey entity, CAST(date_trunc('month', l_shipdate) AS DATE) as_of, l_linenumber % 3 precedence, CAST(l_quantity AS INT) % 15 AS rank FROM lineitem"
+
+
+@query(f"WITH s AS ({_SOURCES}), m AS (SELECT entity, as_of, min(precedence) p FROM s GROUP BY 1, 2) SELECT s.entity, s.as_of, min(rank) AS rank, any_value(p) precedence, count(DISTINCT rank) > 1 conflict FROM s JOIN m ON s.entity = m.entity AND s.as_of = m.as_of AND precedence = p GROUP BY 1, 2")
+def source_precedence(spark, d):
+    return T.best_source(run_sql(spark, d, _SOURCES), ["entity", "as_of"], "precedence", "rank")
