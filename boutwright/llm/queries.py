@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontam, html_text, licenses, packing, periods, quality, repeats, sharding, simhash, token_counts, toxicity
+from . import alignment, decontam, html_text, jaccard, licenses, packing, periods, quality, repeats, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontamination": decontam.op9_decontamination,
         "op10_simhash": simhash.op10_simhash,
         "op11_alignment": alignment.op11_alignment,
+        "op12_jaccard": jaccard.op12_jaccard,
         "op13_periods": periods.op13_periods,
     }
 
