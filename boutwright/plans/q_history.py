@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import history as H
+from ..operators import visible as V
 from .fixtures import BOUTS, LONG, bouts, r6, table
 
 QUERIES, SQL = {}, {}
@@ -121,6 +122,18 @@ def available_history(spark, d):
     return H.available_history(rows, "captured", "landed").select("fight_id", "entity", "n_visible", r6("mean_visible").alias("mean_visible"))
 
 
+@query(f"""WITH {LONG}, c AS (SELECT *, row_number() {_E} i, CASE WHEN fight_id % 5 > 0 THEN event_date + CAST(fight_id % 900 AS INTEGER) END captured, CASE WHEN fight_id % 7 > 0 THEN opp_landed END opp FROM long),
+p AS (SELECT x.fight_id, x.side, y.landed, y.opp, pow(2, -(row_number() OVER (PARTITION BY x.fight_id, x.side ORDER BY y.i DESC) - 1) / 3.0) w FROM c x JOIN c y ON x.entity = y.entity AND y.i < x.i AND (y.captured IS NULL OR y.captured < x.event_date)),
+e AS (SELECT fight_id, side, count(*) n, avg(landed) ml, sum(w * landed) / sum(w) el, avg(opp) mo, sum(w * opp) / sum(CASE WHEN opp IS NOT NULL THEN w END) eo FROM p GROUP BY 1, 2)
+SELECT c.fight_id, c.side, coalesce(n, 0) n_visible, round(ml, 6) mean_landed, round(el, 6) ewm_landed, round(mo, 6) mean_opp, round(eo, 6) ewm_opp FROM c LEFT JOIN e ON e.fight_id = c.fight_id AND e.side = c.side""")
+def visible_rolling(spark, d):
+    """Means and decayed means of what had been captured before each bout; captures come up to 900 days late, a fifth are undated."""
+    captured = F.when(F.col("fight_id") % 5 > 0, F.date_add("event_date", (F.col("fight_id") % 900).cast("int")))
+    rows = _long(spark, d).withColumns({"captured": captured, "opp": F.when(F.col("fight_id") % 7 > 0, F.col("opp_landed"))})
+    out = V.visible_rolling(rows, "captured", ("landed", "opp"))
+    return out.select("fight_id", "side", "n_visible", *[r6(c).alias(c) for c in ("mean_landed", "ewm_landed", "mean_opp", "ewm_opp")])
+
+
 _RANKS = """ranks AS (SELECT DISTINCT l_suppkey entity, CAST(date_trunc('month', l_shipdate) AS DATE) as_of,
   CAST(1 + (l_suppkey * 7 + month(l_shipdate) * 3) % 15 AS INTEGER) rank FROM lineitem)"""
 

@@ -107,10 +107,10 @@ def snapshot_sink(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("market"), F.col("ts").alias("at"), "value", F.col("event_id").alias("row_id"))
     root = f"{_checkpoints(spark)}/snapshots-{uuid.uuid4().hex}"
     cut = "timestamp_ntz'2024-01-12 00:00:00'"
-    for part in (e.where(f"at < {cut}"), e.where(f"at >= {cut}")):
-        tables.save_snapshot(part, root, "market", "at")
-    saved = spark.read.parquet(f"{root}/snapshots").groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("days"))
-    return saved.join(spark.read.parquet(f"{root}/openings").select("market", F.col("value").alias("opening")), "market")
+    for i, part in enumerate((e.where(f"at < {cut}"), e.where(f"at < {cut}"), e.where(f"at >= {cut}"))):
+        tables.save_snapshot(part, root, "market", "at", max(0, i - 1))  # the first pass is repeated
+    saved = tables.saved_snapshots(spark, root, e.schema).groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("days"))
+    return saved.join(tables.saved_openings(spark, root, e.schema).select("market", F.col("value").alias("opening")), "market")
 
 
 @query(f"""WITH {PREDICTIONS}, q AS (SELECT bout_id, 'verified' kind, CASE WHEN bout_id % 3 > 0 THEN 'f' END file, CASE WHEN bout_id % 4 > 0 THEN event_date END observed_at, bout_id % 60 AS "hours", prob_a + 0.05 prob FROM predictions) SELECT bout_id FROM q WHERE file IS NOT NULL AND observed_at IS NOT NULL AND "hours" >= 24 AND prob > 0 AND prob < 1""")

@@ -46,15 +46,6 @@ def stream_unique_sink(spark, d):
     return spark.read.parquet(f"{root}/out").select("k")
 
 
-@query("""WITH q AS (SELECT user_id market, date_trunc('hour', ts) t, 1 / (1 + value) p FROM events), m AS (SELECT market, t, avg(p) p FROM q GROUP BY 1, 2), g AS (SELECT market, count(*) n, arg_min(p, t) op, arg_max(p, t) cp FROM m GROUP BY 1) SELECT market, round(cp - op, 6) line_movement FROM g WHERE n >= 2 AND abs(cp - op) >= 0.05""")
-def stream_line_pass(spark, d):
-    """Quotes polled, saved, analysed and alerted on; one file is one batch."""
-    s = _stream(spark, d).select(F.col("user_id").alias("market"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("snapshot_time"), (1 / (1 + F.col("value"))).alias("a_prob"))
-    root = f"{_checkpoints(spark)}/lines-{uuid.uuid4().hex}"
-    streams.line_pass(s, root, "market").awaitTermination()
-    return spark.read.parquet(f"{root}/alerts").select("market", r6("line_movement").alias("line_movement"))
-
-
 @query("""WITH x AS (SELECT event_id row_id, ts, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') age FROM events), y AS (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, row_id DESC) n FROM x WHERE age < 20) SELECT row_id FROM y WHERE age < 5 OR n <= 2""")
 def snapshot_retention(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("row_id"), "ts")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits
+
 
 def aliased(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Columns under their canonical names; matching ignores case, spaces and underscores, the first alias wins."""
@@ -75,22 +74,30 @@ def bouts_of(raw: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame
     return out.withColumn("target", F.when(F.col("winner") == F.col("fighter_a"), 1).when(F.col("winner") == F.col("fighter_b"), 0)).where("event_date is not null and fighter_a is not null and fighter_b is not null")
 
 
-def save_snapshot(df: DataFrame, root: str, key: str, time: str) -> None:
-    """Quotes appended by day, and the opening line of every key not seen before."""
+def save_snapshot(df: DataFrame, root: str, key: str, time: str, batch: int) -> bool:
+    """Quotes by day and the opening line of every key that no earlier batch holds, committed together as ``batch``.
+
+    The opening is the first row by ``time``, then row_id. A batch that stands already is left alone
+    (False), so a pass that died half-way or is repeated leaves each row once.
+    """
     spark = df.sparkSession
-    df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(f"{root}/snapshots")
     first = df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct(time, "row_id")).alias("x")).select(key, "x.*")
-    version = 0
-    known = spark.createDataFrame([], first.schema)
-    if _exists(spark, f"{root}/openings"):
-        known = spark.read.parquet(f"{root}/openings").select(*first.columns)
-        version = spark.read.parquet(f"{root}/openings").agg(F.max("version")).first()[0] + 1
-    first.join(known.select(key), key, "left_anti").withColumn("version", F.lit(version)).write.mode("append").parquet(f"{root}/openings")
+    known = commits.read_committed(spark, f"{root}", "openings", first.schema, before=batch)
+    frames = {"snapshots": df.withColumn("day", F.to_date(time)), "openings": first.join(known.select(key), key, "left_anti")}
+    return commits.commit_frames(frames, root, batch)
+
 
+def saved_snapshots(spark: SparkSession, root: str, schema) -> DataFrame:
+    """Committed quotes, with the day they belong to."""
+    return commits.read_committed(spark, root, "snapshots", f"{_ddl(schema)}, day date")
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+def saved_openings(spark: SparkSession, root: str, schema) -> DataFrame:
+    return commits.read_committed(spark, root, "openings", schema)
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def digest(df: DataFrame) -> tuple[int, str]:
@@ -108,17 +115,22 @@ def read_verified(spark: SparkSession, paths: dict[str, str], manifest: dict[str
     return out
 
 
-def publish(spark: SparkSession, frames: dict[str, DataFrame], root: str, refuse_empty: bool = True) -> str:
-    """Write all frames under a new version, then point at it: readers see all of them or none."""
-    version = uuid.uuid4().hex
-    for name, df in frames.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-        if refuse_empty and spark.read.parquet(f"{root}/{version}/{name}").isEmpty():
-            raise ValueError(f"{name} is empty")
-    spark.createDataFrame([(version, json.dumps(sorted(frames)))], "version string, names string").coalesce(1).write.mode("append").json(f"{root}/_versions")
-    return version
+def publish(spark: SparkSession, frames: dict[str, DataFrame], root: str, refuse_empty: bool = True, version: int | None = None) -> int:
+    """Write all frames and commit them as the next version (or as ``version``): readers see all of them or none.
 
-
-def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    latest = spark.read.schema("version string, names string").json(f"{root}/_versions").select("version", F.col("_metadata.file_modification_time").alias("t")).orderBy(F.desc("t")).first()
-    return spark.read.parquet(f"{root}/{latest['version']}/{name}")
+    A version that stands already is not written again; of two writers of one next version the
+    second one takes the version after it.
+    """
+    while True:
+        last = commits.latest(spark, root)
+        number = version if version is not None else last["batch"] + 1 if last else 0
+        if commits.commit_frames(frames, root, number, {"names": sorted(frames)}, refuse_empty=refuse_empty) or version is not None:
+            return number
+
+
+def read_published(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A frame of the latest version, or of the one asked for."""
+    known = [e for e in commits.entries(spark, root) if version is None or e["batch"] == version]
+    if not known:
+        raise ValueError(f"nothing is published under {root}")
+    return commits.read_frame(spark, root, known[-1], name)

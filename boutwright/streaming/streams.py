@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def quote_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -83,32 +82,6 @@ def unique_activity(stream: DataFrame, key: str, time: str, late: str = "1 day")
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def line_pass(stream: DataFrame, root: str, key: str, step: float = 0.05):
-    """A started query that saves each batch of quotes, works out the lines of its markets from all their snapshots, and appends an alert the first time a line has moved by ``step`` and whenever it has moved by another one since its last alert.
-
-    A replayed batch overwrites its own files; alerts of later batches are not read.
-    """
-    from ..operators.lines import snapshot_movement
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{root}/quotes/batch={batch_id}")
-        keys = batch.select(key).distinct()
-        seen = spark.read.schema(_with_batch(batch)).parquet(f"{root}/quotes").where(F.col("batch") <= batch_id)
-        moved = snapshot_movement(seen.join(keys, key, "left_semi"), key).select(key, "line_movement", "line_abs_movement", "line_steam_move")
-        big = moved.where(F.col("line_abs_movement") >= step)
-        if batch_id > 0:
-            old = spark.read.schema(_with_batch(big)).parquet(f"{root}/alerts").where(F.col("batch") < batch_id).groupBy(key).agg(F.max("line_abs_movement").alias("__last"))
-            big = big.join(old, key, "left").where("__last is null or line_abs_movement >= __last + " + str(step)).drop("__last")
-        big.write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-
-
-def _with_batch(df: DataFrame) -> StructType:
-    return StructType([*df.schema.fields, StructField("batch", IntegerType())])
-
-
 def retained(snapshots: DataFrame, time: str, now, full_days: int, keep_days: int, daily: int = 1) -> DataFrame:
     """Snapshots to keep: all of the last ``full_days``, the last ``daily`` of each older day, none beyond ``keep_days``; undated ones stay."""
     age = F.datediff(F.lit(now).cast("date"), F.to_date(time))
