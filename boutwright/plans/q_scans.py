@@ -45,15 +45,24 @@ def summary_payloads(spark, d):
     return out.select("k", "bookmaker", "matching_dir", "market_phase", "market_key", "line_id", "home_odds", "away_odds", "over_odds", "handicap", F.col("added_at").cast("timestamp_ntz").alias("added_at"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
-_PRE = "SELECT event_id k, concat('{\"FI\":\"', CAST(event_id AS VARCHAR(19)), '\",\"main\":{\"sp\":{\"fight_lines\":{\"odds\":[{\"id\":1,\"name\":\"A\",\"odds\":\"', CAST(1 + event_id % 8 AS VARCHAR(9)), '.5\"},{\"id\":2,\"name\":\"B\",\"header\":\"To Win\",\"odds\":\"n/a\"}]}}},\"others\":{\"sp\":{\"rounds\":{\"deep\":{\"id\":\"x\",\"handicap\":2.5,\"odds\":\"2.0\"}}}}}') p FROM events"
-
-
-@query("""SELECT event_id k, 'main' market_group, 'fight_lines.odds' market_name, '1' selection_id, 'A' selection_name, '' header, '' handicap, CAST(1 + event_id % 8 AS DOUBLE) + 0.5 decimal_odds FROM events UNION ALL SELECT event_id, 'main', 'fight_lines.odds', '2', 'B', 'To Win', '', NULL FROM events UNION ALL SELECT event_id, 'others', 'rounds.deep', 'x', '', '', '2.5', 2.0 FROM events""")
+#: Payloads as they come: a market whose odds are a list, one that is a selection, a list of selections, a nested tree, an unpriced selection and a block that is no group.
+_PRE = (
+    "SELECT event_id k, concat('{\"success\":1,\"results\":[{\"FI\":\"', CAST(event_id AS VARCHAR(19)), '\",\"event_id\":', CAST(user_id AS VARCHAR(19)), "
+    "',\"main\":{\"sp\":{\"fight_lines\":{\"id\":\"9\",\"name\":\"Fight Lines\",\"odds\":[{\"id\":1,\"name\":\"A\",\"odds\":\"', CAST(1 + event_id % 8 AS VARCHAR(9)), '.5\"},{\"id\":2,\"name\":\"B\",\"header\":\"To Win\",\"odds\":\"n/a\"},{\"id\":3,\"name\":\"no price\"}]},\"to_win\":{\"id\":4,\"name\":\"C\",\"odds\":1.25}}},"
+    "\"schedule\":{\"sp\":{\"main\":[{\"id\":5,\"name\":\"A\",\"odds\":\"3.0\"},{\"id\":6,\"name\":\"B\",\"odds\":\"1.4\"}]}},', "
+    "CASE WHEN event_id % 2 = 0 THEN '\"others\":[{\"sp\":{\"rounds\":{\"deep\":{\"id\":\"x\",\"handicap\":2.5,\"odds\":\"2.0\"}}}},{\"sp\":{\"method\":{\"odds\":[{\"id\":7,\"name\":\"KO\",\"odds\":\"4\"}]}}},null]' ELSE '\"others\":{\"sp\":{\"rounds\":{\"deep\":{\"id\":\"x\",\"handicap\":2.5,\"odds\":\"2.0\"}}}}' END, "
+    "',\"extra\":{\"sp\":{\"none\":{\"id\":8,\"name\":\"Z\",\"odds\":2}}}}]}') p FROM events"
+)
+
+
+@query("""WITH e AS (SELECT event_id k, CAST(event_id AS VARCHAR) fi, CAST(user_id AS VARCHAR) event_id, CAST(1 + event_id % 8 AS DOUBLE) + 0.5 o, event_id % 2 = 0 even FROM events)
+SELECT k, fi, event_id, 'main' market_group, 'fight_lines' market_name, '1' selection_id, 'A' selection_name, '' header, '' handicap, o decimal_odds FROM e UNION ALL SELECT k, fi, event_id, 'main', 'fight_lines', '2', 'B', 'To Win', '', NULL FROM e
+UNION ALL SELECT k, fi, event_id, 'main', 'to_win', '4', 'C', '', '', 1.25 FROM e UNION ALL SELECT k, fi, event_id, 'schedule', 'main', '5', 'A', '', '', 3.0 FROM e UNION ALL SELECT k, fi, event_id, 'schedule', 'main', '6', 'B', '', '', 1.4 FROM e
+UNION ALL SELECT k, fi, event_id, 'others', 'rounds.deep', 'x', '', '', '2.5', 2.0 FROM e UNION ALL SELECT k, fi, event_id, 'others', 'method', '7', 'KO', '', '', 4.0 FROM e WHERE even""")
 def prematch_selections(spark, d):
-    """Selections of irregular market trees by a Python table function; a market that is itself called odds is a list, not a price."""
-    p = run_sql(spark, d, _PRE).withColumn("p", F.replace("p", F.lit('"fight_lines":{"odds":['), F.lit('"fight_lines.odds":{"x":[')))
-    out = p.lateralJoin(payloads.Selections(F.col("p").outer())).drop("p")
-    return out.withColumn("market_name", F.replace("market_name", F.lit(".x"), F.lit("")))
+    """Selections of irregular market trees by a Python table function."""
+    p = run_sql(spark, d, _PRE)
+    return p.lateralJoin(payloads.Selections(F.col("p").outer())).drop("p")
 
 
 @query("""SELECT 'f' || (o_orderkey % 50) || '.json' file, count(*) n, sum(o_totalprice)::DECIMAL(18, 2)::DOUBLE total, o_orderkey % 50 < 25 enveloped FROM orders GROUP BY 1, 4""")

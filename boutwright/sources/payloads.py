@@ -59,29 +59,54 @@ def raw_files(spark, folder: str) -> DataFrame:
     return files.select("file", "modified_at", F.coalesce(inner, "value").alias("payload"), F.when(inner.isNotNull(), F.get_json_object("value", "$.metadata")).alias("metadata"))
 
 
-@F.udtf(returnType="market_group string, market_name string, selection_id string, selection_name string, header string, handicap string, decimal_odds double")
+def _number(x) -> float | None:
+    try:
+        return None if x is None or x == "" else float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def _priced(x) -> bool:
+    """Whether a node is a selection: its odds are no container, and it has a header, a handicap, or an id, a name and a price."""
+    if not isinstance(x, dict) or isinstance(x.get("odds"), (list, dict)):
+        return False
+    return "header" in x or "handicap" in x or "id" in x and "name" in x and _number(x.get("odds")) is not None
+
+
+@F.udtf(returnType="fi string, event_id string, market_group string, market_name string, selection_id string, selection_name string, header string, handicap string, decimal_odds double")
 class Selections:
-    """Priced selections of a prematch payload: whatever holds ``odds``, with its group and path."""
+    """Selections of a prematch payload, with their group and market path.
+
+    ``results`` is the payload's tree or a list that starts with it. Its groups are main and schedule
+    (one block each) and others (one block or a list of them); the markets of a block stand under
+    ``sp``. A market is a selection, a list, or a tree of markets; where ``odds`` is a list, its
+    selections belong to the market that has it.
+    """
 
     def eval(self, payload: str):
         import json
 
         root = json.loads(payload) if payload else {}
-        for group, x in sorted(root.items() if isinstance(root, dict) else []):
-            markets = x.get("sp") if isinstance(x, dict) else None
-            todo = [(k, v) for k, v in sorted(markets.items(), reverse=True)] if isinstance(markets, dict) else []
+        root = root.get("results") if isinstance(root, dict) else None
+        root = root[0] if isinstance(root, list) and root else root
+        if not isinstance(root, dict):
+            return
+        others = root.get("others")
+        blocks = [(g, root.get(g)) for g in ("main", "schedule")] + [("others", x) for x in (others if isinstance(others, list) else [others])]
+        for group, block in blocks:
+            markets = block.get("sp") if isinstance(block, dict) else None
+            todo = [(str(k), v) for k, v in reversed(markets.items())] if isinstance(markets, dict) else []
             while todo:
-                path, v = todo.pop()
-                if isinstance(v, dict) and "odds" in v:
-                    try:
-                        odds = float(v["odds"])
-                    except (TypeError, ValueError):
-                        odds = None
-                    yield group, path, str(v.get("id", "")), v.get("name", ""), v.get("header", ""), str(v.get("handicap", "")), odds
-                elif isinstance(v, dict):
-                    todo += [(f"{path}.{k}", y) for k, y in sorted(v.items(), reverse=True)]
-                elif isinstance(v, list):
-                    todo += [(path, y) for y in reversed(v)]
+                path, x = todo.pop()
+                if isinstance(x, dict) and isinstance(x.get("odds"), list):
+                    x = x["odds"]
+                if _priced(x):
+                    text = {k: "" if x.get(k) is None else str(x[k]) for k in ("id", "name", "header", "handicap")}
+                    yield str(root.get("FI", "")), str(root.get("event_id", "")), group, path, *text.values(), _number(x.get("odds"))
+                elif isinstance(x, dict):
+                    todo += [(f"{path}.{k}", y) for k, y in reversed(x.items())]
+                elif isinstance(x, list):
+                    todo += [(path, y) for y in reversed(x)]
 
 
 def page_figures(df: DataFrame, html: str) -> DataFrame:

@@ -97,8 +97,11 @@ def test_window_status_and_selections(spark):
     df = spark.createDataFrame([(None, "2020-01-02 00:00:00"), ("2020-01-02 12:00:00", "2020-01-02 00:00:00")], "e string, n string")
     status = lambda closed: [r[0] for r in df.select(T.window_status(F.to_timestamp("e"), F.to_timestamp("n"), fail_closed=closed)).collect()]
     assert status(False) == ["unknown", "open"] and status(True) == ["closed", "open"]
-    t = spark.createDataFrame([(1, '{"main":{"sp":{"m":[{"id":1,"odds":"1.5"},{"x":{"odds":"bad"}}]}},"n":3}'), (2, None)], "k int, p string")
-    assert [(r.market_name, r.decimal_odds) for r in t.lateralJoin(payloads.Selections(F.col("p").outer())).orderBy("market_name").collect()] == [("m", 1.5), ("m.x", None)]
+    tree = '"main":{"sp":{"m":[{"id":1,"name":"A","odds":"1.5"},{"id":2,"name":"B","odds":"bad"},{"x":{"handicap":"","odds":"bad"}}],"l":{"name":"L","id":3,"odds":[{"header":"1","odds":2},{"odds":9}]}}},"other":{"sp":{"z":{"id":1,"name":"Z","odds":1}}}'
+    t = spark.createDataFrame([(1, f'{{"results":[{{{tree}}}]}}'), (2, None), (3, f'{{"results":{{{tree},"others":[null,{{"sp":{{"q":{{"header":"h"}}}}}}]}}}}'), (4, f"{{{tree}}}"), (5, '{"results":[]}')], "k int, p string")
+    got = [(r.k, r.market_group, r.market_name, r.decimal_odds) for r in t.lateralJoin(payloads.Selections(F.col("p").outer())).collect()]
+    main = [("main", "l", 2.0), ("main", "m", 1.5), ("main", "m.x", None)]
+    assert sorted(got, key=str) == [(1, *m) for m in main] + [(3, *m) for m in main] + [(3, "others", "q", None)]
 
 
 def test_summary_of_duplicates_and_priorities(spark):
