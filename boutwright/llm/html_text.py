@@ -13,7 +13,8 @@ against the name: less than half of its text is links and its density sum is abo
 that has no such name.
 
 Defined cases: null and empty pages, and pages without text, have empty text; unclosed and stray
-tags are repaired; very long pages are read once, left to right; repeated rows stay repeated; an
+tags are repaired; very long pages take time and memory in proportion to their length, broken
+markup included (a < without its > is text); repeated rows stay repeated; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ from pyspark.sql import types as T
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+SPECIAL = re.compile(r"[>\"']")
+OPAQUE = re.compile(r"<!--|<!\[CDATA\[")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "noembed"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body br canvas center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -45,13 +49,20 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSE_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "dialog", "canvas"}
 SPACES = re.compile(r"\s+")
+#: Leading zeros and numbers beyond all characters, which need not be read as numbers.
+ZEROS, HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "drop", "chars", "links", "tags", "link_tags", "density", "sums", "named")
+    __slots__ = ("tag", "up", "items", "drop", "chars", "links", "tags", "link_tags", "density", "sums", "named", "block", "list_block", "option_block")
 
     def __init__(self, tag: str, up: Node | None, drop: bool):
         self.tag, self.up, self.items, self.drop, self.named = tag, up, [], drop or (up is not None and up.drop), False
+        # the nearest element from here up that can end or be closed by an implied end: of any, a list's and an option's
+        holds = tag in BLOCK or up is None
+        self.block = self if holds else up.block
+        self.list_block = self if holds or tag == "menu" else up.list_block
+        self.option_block = self if holds or tag in ("option", "select") else up.option_block
 
 
 def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
@@ -69,39 +80,109 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
     return False, named
 
 
+class Tokens:
+    """Tags of a page, left to right, in time proportional to the page however broken it is.
+
+    A tag reaches to the first > outside quotes; where there is none, or a quote is not closed, its <
+    is text. What was found out on the way to a failure is remembered, so no stretch is read again
+    from each of the < in it.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.failed: set[int] = set()  # quotes that open, outside of others, on the way to no >
+        self.seen = (0, -1)  # no special character stands between these two but the second
+
+    def _close(self, at: int) -> int:
+        """Where the > of a tag stands whose attributes start at ``at``; -1 where there is none."""
+        low, high = self.seen
+        if not low <= at <= high:
+            m = SPECIAL.search(self.page, at)
+            low, high = self.seen = at, m.start() if m else len(self.page)
+        way, at = [], high
+        while at < len(self.page) and (c := self.page[at]) != ">":
+            if at in self.failed or self.last[c] <= at:
+                break
+            way.append(at)
+            m = SPECIAL.search(self.page, self.page.index(c, at + 1) + 1)
+            at = m.start() if m else len(self.page)
+        else:
+            if at < len(self.page):
+                return at
+        self.failed.update(way)
+        self.failed.add(at)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """From ``at``: start, stop, whether it is an end tag, name (None: a comment or declaration) and attributes of the next tag."""
+        page = self.page
+        while True:
+            if at > self.last[">"]:  # only what may run to the end of the page is left
+                m = OPAQUE.search(page, at)
+                return (m.start(), len(page), False, None, "") if m else None
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            for mark, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(mark, start):
+                    stop = page.find(end, start + len(mark))
+                    return start, stop + len(end) if stop >= 0 else len(page), False, None, ""
+            at = start + 1
+            if page.startswith(("!", "?"), at):
+                if start < self.last[">"]:
+                    return start, page.index(">", start) + 1, False, None, ""
+                continue
+            ends = page.startswith("/", at)
+            if name := NAME.match(page, at + ends):
+                stop = self._close(name.end())
+                if stop >= 0:
+                    return start, stop + 1, ends, name[0].lower(), page[name.end() : stop]
+
+
 def parse(page: str) -> Node:
     """A tree of the page; text items are strings, still encoded."""
     root = Node("html", None, False)
     node, at = root, 0
-    raw_end = re.compile
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            node.items.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    tokens, open_ = Tokens(page), Counter()
+
+    def leave(to: Node) -> Node:
+        """Close all elements from the current one up to below ``to``."""
+        x = node
+        while x is not to:
+            open_[x.tag] -= 1
+            x = x.up
+        return to
+
+    while (token := tokens.next(at)) is not None:
+        start, stop, ends, tag, attrs = token
+        if start > at:
+            node.items.append(page[at:start])
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:  # an end tag closes the nearest such element, if one is open within the block
-            x = node
-            while x is not None and x.tag != tag:
-                x = x.up
-            if x is not None and x.up is not None:
-                node = x.up
+        if ends:  # closes the nearest such element, if one is open
+            if open_[tag]:
+                x = node
+                while x.tag != tag:
+                    x = x.up
+                node = leave(x.up)
             continue
-        if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in _path(node))):
+        if tag == "html" or tag == "body" and open_["body"]:
             continue
         if tag in CLOSES or tag in CLOSE_P:
-            node = _implied(node, tag)
-        drop, named = _marks(tag, m[3])
+            node = leave(_implied(node, tag))
+        drop, named = _marks(tag, attrs)
         child = Node(tag, node, drop)
         child.named = named
         node.items.append(child)
         if tag in RAW:
-            end = raw_end(rf"(?i)</{tag}\s*[^>]*>").search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag not in VOID:
+            end = re.compile(rf"(?i)</{tag}").search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else len(page)
+        elif tag not in VOID and not attrs.endswith("/") or tag in BLOCK and tag not in VOID:
             node = child
+            open_[tag] += 1
     if at < len(page):
         node.items.append(page[at:])
     return root
@@ -114,15 +195,16 @@ def _path(node: Node | None) -> Iterator[Node]:
 
 
 def _implied(node: Node, tag: str) -> Node:
+    """The node that a start tag goes into after the ends that it implies."""
     shut, stop = CLOSES.get(tag, (set(), set()))
-    out = node
-    for x in _path(node):
-        if x.tag in stop or x.up is None:
-            break
+    near = "list_block" if tag == "li" else "option_block" if tag == "option" else "block"
+    out, x = node, getattr(node, near)
+    while x.up is not None and x.tag not in stop:
         if x.tag in shut or x.tag == "p" and tag in CLOSE_P:
             out = x.up
-        if x.tag in BLOCK and x.tag not in shut and x.tag != "p":
+        elif x.tag in BLOCK and x.tag != "p":
             break
+        x = getattr(x.up, near)
     return out
 
 
@@ -267,7 +349,7 @@ def main_text(page: str | None) -> str:
     blocks, line = [], []
 
     def close() -> None:
-        if text := SPACES.sub(" ", html.unescape("".join(line))).strip():
+        if text := SPACES.sub(" ", html.unescape(HUGE.sub("\ufffd", ZEROS.sub("&#", "".join(line))))).strip():
             blocks.append(text)
         line.clear()
 
