@@ -115,7 +115,7 @@ def fuzzy_same(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of 0.92 or more, with both outer tokens alike."""
     from difflib import SequenceMatcher
 
-    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    ratio = lambda x, y: SequenceMatcher(None, x, y, autojunk=False).ratio()
 
     def one(x, y):
         if not x or not y or len(x) < 8 or len(y) < 8 or " " not in x or " " not in y or ratio(x, y) < 0.92:

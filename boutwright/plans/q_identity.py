@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import names as N
 from ..functions import scalars as S
+from ..operators import name_matching as M
 from .fixtures import run_sql, table
 
 QUERIES, SQL = {}, {}
@@ -90,3 +91,17 @@ def newcomer_rule(spark, d):
     x = table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("fa"), (F.col("l_partkey") % 5).alias("fb"), (F.col("l_orderkey") % 4).alias("ta"), (F.col("l_linenumber") % 4).alias("tb"), (1.1 + F.col("l_discount") * 20).alias("odds"))
     x = x.withColumn("r", S.newcomer_rule(F.col("fa"), F.col("fb"), F.col("ta"), F.col("tb")))
     return x.groupBy("fa", "fb", F.col("r.allowed").alias("allowed"), F.col("r.size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(S.required_edge(F.col("odds")) + F.col("r.extra")), 4).alias("need"))
+
+
+@query()
+def fuzzy_names(spark, d):
+    """Names of two sources with typing errors, turned tokens and dropped letters; no SQL knows the ratio: tested against all pairs."""
+    w = F.split(N.normalise(F.substring("text", 1, 200)), " ")
+    left = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.slice(w, 1, 3)).alias("name"))
+    n, k = F.length("name"), F.col("doc_id") % 7
+    edited = (
+        F.when(k == 0, F.col("name")).when(k == 1, F.array_join(F.reverse(F.split("name", " ")), " ")).when(k == 2, F.concat(F.substring("name", 1, 4), F.expr("substring(name, 6)")))
+        .when(k == 3, F.concat(F.substring("name", 1, 5), F.expr("substring(name, 5)"))).when(k == 4, F.concat(F.expr("left(name, length(name) - 1)"), F.lit("x"))).when(k == 5, F.concat(F.lit("zz"), F.expr("substring(name, 3)"))).otherwise(F.upper("name"))
+    )
+    right = left.where(n > 0).select(edited.alias("name"))
+    return M.matches(left, right)

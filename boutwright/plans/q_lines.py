@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import lines as P
-from .fixtures import BOUTS, QUOTES, bouts, quotes, r6, table
+from ..sources import line_store
+from .fixtures import BOUTS, QUOTES, bouts, quotes, r6, run_sql, table
+from .q_parsing import _checkpoints
 
 QUERIES, SQL = {}, {}
 
@@ -149,3 +153,20 @@ def as_of_cutoff(spark, d):
     e = table(spark, d, "events")
     cut = F.when(F.col("user_id") % 2 == 0, "2024-01-10").otherwise("2024-01-10T12:30:00")
     return P.visible(e, cut, "ts").select("event_id")
+
+
+_SAID = "SELECT event_id row_id, CASE WHEN event_id % 3 > 0 THEN concat('Ánn ', CAST(user_id % 40 AS VARCHAR(9))) ELSE concat('Bo-', CAST(event_id % 25 AS VARCHAR(9))) END fighter_a, CASE WHEN event_id % 3 = 0 THEN concat('ann ', CAST(user_id % 40 AS VARCHAR(9))) ELSE concat('Bo ', CAST(event_id % 25 AS VARCHAR(9))) END fighter_b, CAST(NULL AS VARCHAR(9)) event_id, date_trunc('MONTH', ts) + INTERVAL 40 DAY starts_at, ts snapshot_time, 1 / (1 + value) a_prob, value / (1 + value) b_prob, user_id % 40 x, event_id % 25 y FROM events"
+
+
+@query(f"""WITH s AS ({_SAID}), p AS (SELECT x, y FROM s GROUP BY 1, 2 ORDER BY count(*) DESC, x, y LIMIT 1), h AS (SELECT s.* FROM s JOIN p ON p.x = s.x AND p.y = s.y WHERE snapshot_time < TIMESTAMP '2024-01-21 00:00:00')
+SELECT row_id, snapshot_time, round(CASE WHEN row_id % 3 = 0 THEN b_prob ELSE a_prob END, 6) prob FROM h WHERE starts_at = (SELECT max(starts_at) FROM h)""")
+def pair_line_history(spark, d):
+    """All quotes stored in two batches, the first one twice; then the history of the pair that is quoted most, as of a day, from its bucket and days alone."""
+    s = run_sql(spark, d, _SAID)
+    top = s.groupBy("x", "y").count().orderBy(F.desc("count"), "x", "y").first()  # one pair is asked for
+    root = f"{_checkpoints(spark)}/line-store-{uuid.uuid4().hex}"
+    early = F.col("snapshot_time") < F.lit("2024-01-12").cast("timestamp_ntz")
+    for part, batch in ((s.where(early), 0), (s.where(early), 0), (s.where(~early), 1)):
+        line_store.save(part.drop("x", "y"), root, batch)
+    got = line_store.line_history(spark, root, f"Ann {top['x']}", f"Bo {top['y']}", as_of="2024-01-20")
+    return got.select("row_id", "snapshot_time", r6("a_prob").alias("prob"))

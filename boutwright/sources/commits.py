@@ -67,27 +67,29 @@ def commit_frames(frames: dict[str, DataFrame], root: str, batch: int, note: dic
     spark = next(iter(frames.values())).sparkSession
     if committed(spark, root, batch):
         return False
-    path = f"data/{batch:020d}-{uuid.uuid4().hex}"
+    path = f"pass={batch:020d}-{uuid.uuid4().hex}"
     for name, df in frames.items():
-        df.write.partitionBy(*partition_by).parquet(f"{root}/{path}/{name}")
-        if refuse_empty and spark.read.parquet(f"{root}/{path}/{name}").isEmpty():
+        df.write.partitionBy(*partition_by).parquet(f"{root}/{name}/{path}")
+        if refuse_empty and spark.read.parquet(f"{root}/{name}/{path}").isEmpty():
             raise ValueError(f"{name} is empty")
     if _claim(spark, f"{root}/{LOG}/{batch:020d}.json", json.dumps({"batch": batch, "path": path, "note": json.dumps(note or {})})):
         return True
-    _, p, fs = _fs(spark, f"{root}/{path}")  # another writer was first
-    fs.delete(p, True)
+    for name in frames:  # another writer was first
+        _, p, fs = _fs(spark, f"{root}/{name}/{path}")
+        fs.delete(p, True)
     return False
 
 
 def read_frame(spark: SparkSession, root: str, entry: dict, name: str, schema=None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{root}/{entry['path']}/{name}")
+    return reader.parquet(f"{root}/{name}/{entry['path']}")
 
 
 def read_committed(spark: SparkSession, root: str, name: str, schema, before: int | None = None) -> DataFrame:
     """Rows of ``name`` in all committed batches (those before ``before``, if given); empty if there are none."""
-    paths = [f"{root}/{e['path']}/{name}" for e in entries(spark, root) if before is None or e["batch"] < before]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    paths = [f"{root}/{name}/{e['path']}" for e in entries(spark, root) if before is None or e["batch"] < before]
+    none = spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*paths).select(*none.columns) if paths else none
 
 
 def latest(spark: SparkSession, root: str, before: int | None = None) -> dict | None:
