@@ -100,7 +100,8 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
 def links_of(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (A, B) of all pairs of tokens whose byte ranges overlap, in order; both sides span the same bytes."""
     ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
-    starts = np.concatenate(([0], np.union1d(ends_a, ends_b)[:-1]))
+    ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")  # two sorted runs
+    starts = np.concatenate(([0], ends[:-1][ends[1:] != ends[:-1]]))
     return np.searchsorted(ends_a, starts, "right"), np.searchsorted(ends_b, starts, "right")
 
 

@@ -153,3 +153,20 @@ def grid_search(df: DataFrame, features: list[str], folds: DataFrame, group: str
             scores.append(losses(predicted(boosted(part("train"), features, target, **dict(zip(grid, combo))), part("test"), [target]), [], target, "prob").first()["brier"])
         out.append((*[str(x) for x in combo], sum(scores) / len(scores)))
     return df.sparkSession.createDataFrame(sorted(out, key=lambda x: x[-1]), ", ".join(f"{k} string" for k in grid) + ", brier double")
+
+
+def cross_calibrated(train: DataFrame, test: DataFrame, features: list[str], group: str, columns: list[str], target: str = "target", inner: int = 3, fit=None) -> DataFrame:
+    """``columns``, prob and calibrated of the test rows.
+
+    The calibration is fitted on the training rows' scores by models that did not see them: groups
+    are dealt into ``inner`` parts by hash, and each part is scored by a model of the others. The
+    test rows' scores come from a model of all training rows.
+    """
+    fit = fit or boosted
+    part = F.pmod(F.xxhash64(group), F.lit(inner))
+    held = None
+    for k in range(inner):
+        scores = predicted(fit(train.where(part != k), features, target), train.where(part == k), [target])
+        held = scores if held is None else held.unionByName(scores)
+    monotone = calibrated(held, target)
+    return monotone.transform(predicted(fit(train, features, target), test, columns)).withColumnRenamed("prediction", "calibrated")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
+#: Columns that the newcomer tiers and the line gates read.
+GATED = ("tier_a", "tier_b", "line_movement", "line_is_sharp", "line_steam_move")
+
+
 def sides(predictions: DataFrame) -> DataFrame:
     """A row a side with its blended probability (normalised over both), odds and edge."""
     wa = S.blend_weight(F.col("prob_a"), F.col("second_a"), F.col("market_a"))
@@ -15,47 +19,57 @@ def sides(predictions: DataFrame) -> DataFrame:
     p = predictions.withColumn("__ba", S.blended(F.col("prob_a"), F.col("market_a"), wa)).withColumn("__bb", S.blended(F.col("prob_b"), F.col("market_b"), wb))
     total = F.col("__ba") + F.col("__bb")
     side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"prob_{s}").alias("prob"), F.col(f"second_{s}").alias("second"), F.col(f"market_{s}").alias("market"), F.try_divide(F.col(f"__b{s}"), total).alias("blended"))
-    out = p.select("bout_id", "event_id", "event_date", "fights_a", "fights_b", "target", F.explode(F.array(side("a"), side("b"))).alias("x")).select("bout_id", "event_id", "event_date", "fights_a", "fights_b", "target", "x.*")
+    more = [c for c in GATED if c in predictions.columns]
+    out = p.select("bout_id", "event_id", "event_date", "fights_a", "fights_b", "target", *more, F.explode(F.array(side("a"), side("b"))).alias("x")).select("bout_id", "event_id", "event_date", "fights_a", "fights_b", "target", *more, "x.*")
     return out.withColumn("odds", S.prob_to_decimal(F.col("market"))).withColumn("edge", F.col("blended") - F.col("market"))
 
 
-def line_gates(base_edge: float = S.BASE_EDGE, extra: float = 0.02) -> list[tuple[str, Column]]:
-    """Gates for a line that moves against the side (movement over 0.02 the other way): more edge, and never a sharp or steam move."""
+def line_gates(base_edge: float = S.BASE_EDGE, extra: float = 0.02, newcomer: Column | None = None) -> list[tuple[str, Column]]:
+    """Gates for a line that moves against the side (movement over 0.02 the other way): more edge than is needed anyway (``newcomer`` adds to that), and never a sharp or steam move."""
     move = F.col("line_movement")
+    need = S.required_edge(F.col("odds"), base_edge) + (F.lit(0.0) if newcomer is None else newcomer)
     against = F.coalesce(F.when(F.col("side") == "a", move < -0.02).otherwise(move > 0.02), F.lit(False))
     quick = F.coalesce((F.col("line_is_sharp") == 1) | (F.col("line_steam_move") == 1), F.lit(False))
-    return [("line_against", ~against | (F.col("edge") >= S.required_edge(F.col("odds"), base_edge) + extra)), ("sharp_against", ~(against & quick))]
+    return [("line_against", ~against | (F.col("edge") >= need + extra)), ("sharp_against", ~(against & quick))]
+
 
+def gates(base_edge: float = S.BASE_EDGE, tiers: bool = False, lines: bool = False) -> list[tuple[str, Column]]:
+    """Ordered gates; the first that fails is the reason.
 
-def gates(base_edge: float = S.BASE_EDGE) -> list[tuple[str, Column]]:
-    """Ordered gates; the first that fails is the reason."""
-    need = S.required_edge(F.col("odds"), base_edge)
+    With ``tiers`` the newcomer rule of both sides' tiers decides who may be backed and adds to the
+    edge that is needed; without, both sides need two bouts. With ``lines`` a line that moves against
+    the side is judged before the edge.
+    """
+    rule = S.newcomer_rule(F.col("fights_a"), F.col("fights_b"), F.col("tier_a"), F.col("tier_b")) if tiers else None
+    extra = rule["extra"] if tiers else F.lit(0.0)
     return [
-        ("newcomer", (F.col("fights_a") >= 2) & (F.col("fights_b") >= 2)),
+        ("newcomer", rule["allowed"] if tiers else (F.col("fights_a") >= 2) & (F.col("fights_b") >= 2)),
         ("low_probability", F.col("blended") >= S.MIN_BLEND),
         ("long_odds", F.col("odds") <= S.MAX_ODDS),
         ("second_model", F.col("second") - F.col("market") >= 0.01),
-        ("edge", F.col("edge") >= need),
+        *(line_gates(base_edge, newcomer=extra) if lines else []),
+        ("edge", F.col("edge") >= S.required_edge(F.col("odds"), base_edge) + extra),
     ]
 
 
-def rejection_reason(base_edge: float = S.BASE_EDGE, more: list[tuple[str, Column]] = ()) -> Column:
+def rejection_reason(base_edge: float = S.BASE_EDGE, more: list[tuple[str, Column]] = (), tiers: bool = False, lines: bool = False) -> Column:
     out = None
-    for name, ok in [*gates(base_edge), *more]:
+    for name, ok in [*gates(base_edge, tiers, lines), *more]:
         fails = ~F.coalesce(ok, F.lit(False))
         out = F.when(fails, name) if out is None else out.when(fails, name)
     return out.otherwise("accepted")
 
 
-def value_bets(predictions: DataFrame, base_edge: float = S.BASE_EDGE) -> DataFrame:
-    """The passing side of the larger edge of each bout (side a where equal)."""
-    ok = sides(predictions).where(rejection_reason(base_edge) == "accepted")
-    return ok.withColumn("__n", F.row_number().over(Window.partitionBy("bout_id").orderBy(F.desc("edge"), "side"))).where("__n = 1").drop("__n")
+def value_bets(predictions: DataFrame, base_edge: float = S.BASE_EDGE, tiers: bool = False, lines: bool = False) -> DataFrame:
+    """The passing side of the larger edge of each bout (side a where equal), with the size that the newcomer rule leaves."""
+    size = S.newcomer_rule(F.col("fights_a"), F.col("fights_b"), F.col("tier_a"), F.col("tier_b"))["size"] if tiers else F.lit(1.0)
+    ok = sides(predictions).where(rejection_reason(base_edge, tiers=tiers, lines=lines) == "accepted").withColumn("size", size)
+    return ok.withColumn("__n", F.row_number().over(Window.partitionBy("bout_id").orderBy(F.desc("edge"), "side", F.desc("size")))).where("__n = 1").drop("__n")
 
 
-def near_misses(predictions: DataFrame, low: float = 0.0, base_edge: float = S.BASE_EDGE) -> DataFrame:
+def near_misses(predictions: DataFrame, low: float = 0.0, base_edge: float = S.BASE_EDGE, tiers: bool = False, lines: bool = False) -> DataFrame:
     """Sides that fail only by their edge, which is still at least ``low``."""
-    return sides(predictions).where((rejection_reason(base_edge) == "edge") & (F.col("edge") >= low))
+    return sides(predictions).where((rejection_reason(base_edge, tiers=tiers, lines=lines) == "edge") & (F.col("edge") >= low))
 
 
 def backtest_candidates(predictions: DataFrame, base_edge: float = S.BASE_EDGE) -> DataFrame:
@@ -74,11 +88,11 @@ def conviction_bets(predictions: DataFrame, bankroll: float = 1000.0) -> DataFra
     return s.withColumn("ev", ev).where((F.col("prob") >= 0.65) & (F.col("second") >= 0.50) & (F.col("ev") > 0)).withColumn("stake", S.conviction_stake(F.col("prob"), F.lit(bankroll)))
 
 
-def funnel(predictions: DataFrame) -> DataFrame:
+def funnel(predictions: DataFrame, tiers: bool = False, lines: bool = False) -> DataFrame:
     """How many sides survive each gate in turn, in one pass."""
     s = sides(predictions)
     passed, aggs = F.lit(True), [F.count(F.lit(1)).alias("all")]
-    for name, ok in gates():
+    for name, ok in gates(tiers=tiers, lines=lines):
         passed = passed & F.coalesce(ok, F.lit(False))
         aggs.append(F.sum(passed.cast("long")).alias(name))
     return s.agg(*aggs)

@@ -42,20 +42,45 @@ judged AS (SELECT *, CASE WHEN NOT (fights_a >= 2 AND fights_b >= 2) THEN 'newco
  WHEN NOT edge >= CASE WHEN odds <= 2 THEN 0.02 ELSE 0.02 + 0.02 * (odds - 2) END THEN 'edge' ELSE 'accepted' END reason FROM sides)"""
 
 
-@query(f"WITH {_SIDES} SELECT reason, side, count(*) n, round(avg(edge), 6) mean_edge FROM judged GROUP BY 1, 2")
+#: The same sides with tiers and lines, judged by all gates in order.
+_GATED = f"""{_SIDES},
+gated AS (SELECT *, event_id % 4 ta, bout_id % 10 % 4 tb, CAST(bout_id % 11 - 5 AS DOUBLE) / 64 m, bout_id % 5 = 0 OR bout_id % 3 = 0 quick, CASE WHEN odds <= 2 THEN 0.02 ELSE 0.02 + 0.02 * (odds - 2) END need FROM sides),
+ruled AS (SELECT *, NOT (fights_a <= 0 AND ta NOT IN (1, 2)) AND NOT (fights_b <= 0 AND tb NOT IN (1, 2)) allowed, CASE WHEN side = 'a' THEN m < -0.02 ELSE m > 0.02 END against,
+ greatest(CASE WHEN fights_a >= 3 THEN 0 WHEN ta = 1 THEN 0.02 WHEN ta = 2 THEN 0.03 ELSE 0.04 END, CASE WHEN fights_b >= 3 THEN 0 WHEN tb = 1 THEN 0.02 WHEN tb = 2 THEN 0.03 ELSE 0.04 END) extra, CASE WHEN fights_a < 3 OR fights_b < 3 THEN 0.5 ELSE 1.0 END size FROM gated),
+verdicts AS (SELECT *, CASE WHEN NOT allowed THEN 'newcomer' WHEN NOT blended >= 0.40 THEN 'low_probability' WHEN NOT odds <= 3.0 THEN 'long_odds' WHEN NOT sec - market >= 0.01 THEN 'second_model'
+ WHEN against AND NOT edge >= need + extra + 0.02 THEN 'line_against' WHEN against AND quick THEN 'sharp_against' WHEN NOT edge >= need + extra THEN 'edge' ELSE 'accepted' END reason FROM ruled)"""
+
+
+def _gated(spark, d):
+    c = F.col
+    more = {"tier_a": c("event_id") % 4, "tier_b": c("bout_id") % 10 % 4, "line_movement": (c("bout_id") % 11 - 5).cast("double") / 64, "line_is_sharp": F.when(c("bout_id") % 5 == 0, 1).otherwise(0), "line_steam_move": F.when(c("bout_id") % 3 == 0, 1)}
+    return predictions(spark, d).withColumns(more)
+
+
+_ALL = {"tiers": True, "lines": True}
+
+
+@query(f"WITH {_GATED} SELECT reason, side, count(*) n, round(avg(edge), 6) mean_edge FROM verdicts GROUP BY 1, 2")
 def rejection_reason(spark, d):
-    s = X.sides(predictions(spark, d)).withColumn("reason", X.rejection_reason())
+    s = X.sides(_gated(spark, d)).withColumn("reason", X.rejection_reason(**_ALL))
     return s.groupBy("reason", "side").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("edge")).alias("mean_edge"))
 
 
-@query(f"WITH {_SIDES}, v AS (SELECT * FROM judged WHERE reason = 'accepted' QUALIFY row_number() OVER (PARTITION BY bout_id ORDER BY edge DESC, side) = 1) SELECT bout_id, side, round(blended, 6) blended, round(odds, 6) odds, round(edge, 6) edge FROM v")
+@query(f"WITH {_GATED}, v AS (SELECT * FROM verdicts WHERE reason = 'accepted' QUALIFY row_number() OVER (PARTITION BY bout_id ORDER BY edge DESC, side, size DESC) = 1) SELECT bout_id, side, round(blended, 6) blended, round(odds, 6) odds, round(edge, 6) edge, size::DOUBLE size FROM v")
 def value_side(spark, d):
-    return rounded(X.value_bets(predictions(spark, d)).select("bout_id", "side", "blended", "odds", "edge"), "blended", "odds", "edge")
+    return rounded(X.value_bets(_gated(spark, d), **_ALL).select("bout_id", "side", "blended", "odds", "edge", "size"), "blended", "odds", "edge")
 
 
-@query(f"WITH {_SIDES} SELECT bout_id, side, round(edge, 6) edge FROM judged WHERE reason = 'edge' AND edge >= 0.005")
+@query(f"WITH {_GATED} SELECT bout_id, side, round(edge, 6) edge FROM verdicts WHERE reason = 'edge' AND edge >= 0.005")
 def near_miss(spark, d):
-    return rounded(X.near_misses(predictions(spark, d), 0.005).select("bout_id", "side", "edge"), "edge")
+    return rounded(X.near_misses(_gated(spark, d), 0.005, **_ALL).select("bout_id", "side", "edge"), "edge")
+
+
+@query(f"WITH {_SIDES} SELECT reason, side, count(*) n, round(avg(edge), 6) mean_edge FROM judged GROUP BY 1, 2")
+def flat_gate_reason(spark, d):
+    """The gates without tiers and lines: two bouts on both sides."""
+    s = X.sides(predictions(spark, d)).withColumn("reason", X.rejection_reason())
+    return s.groupBy("reason", "side").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("edge")).alias("mean_edge"))
 
 
 @query(f"""WITH {_SIDES}, g AS (SELECT bout_id, max(edge) FILTER (WHERE side = 'a') ea, max(edge) FILTER (WHERE side = 'b') eb, bool_or(reason = 'accepted') FILTER (WHERE side = 'a') oa, bool_or(reason = 'accepted') FILTER (WHERE side = 'b') ob FROM judged GROUP BY 1)
@@ -69,10 +94,12 @@ def conviction(spark, d):
     return rounded(X.conviction_bets(predictions(spark, d)).select("bout_id", "side", "ev", "stake"), "ev")
 
 
-@query(f"""WITH {_SIDES} SELECT count(*) AS "all", CAST(sum(CASE WHEN fights_a >= 2 AND fights_b >= 2 THEN 1 ELSE 0 END) AS BIGINT) newcomer, CAST(sum(CASE WHEN reason NOT IN ('newcomer', 'low_probability') THEN 1 ELSE 0 END) AS BIGINT) low_probability,
- CAST(sum(CASE WHEN reason IN ('second_model', 'edge', 'accepted') THEN 1 ELSE 0 END) AS BIGINT) long_odds, CAST(sum(CASE WHEN reason IN ('edge', 'accepted') THEN 1 ELSE 0 END) AS BIGINT) second_model, CAST(sum(CASE WHEN reason = 'accepted' THEN 1 ELSE 0 END) AS BIGINT) edge FROM judged""")
+_GATES = ("newcomer", "low_probability", "long_odds", "second_model", "line_against", "sharp_against", "edge")
+
+
+@query(f"""WITH {_GATED} SELECT count(*) AS "all", {", ".join(f"count(*) FILTER (WHERE reason NOT IN ({', '.join(repr(x) for x in _GATES[: i + 1])})) {g}" for i, g in enumerate(_GATES))} FROM verdicts""")
 def filter_funnel(spark, d):
-    return X.funnel(predictions(spark, d))
+    return X.funnel(_gated(spark, d), **_ALL)
 
 
 @query(f"""WITH {PREDICTIONS}, p AS (SELECT bout_id, CASE WHEN prob_a >= prob_b THEN 'a' ELSE 'b' END side, greatest(prob_a, prob_b) prob, CASE WHEN prob_a >= prob_b THEN market_a ELSE market_b END m, fights_a, fights_b FROM predictions)
