@@ -72,28 +72,59 @@ def fold_summary(bets: DataFrame, folds: DataFrame) -> DataFrame:
     return folds.join(got, ["strategy", "fold"], "left").na.fill(0, ["n"]).na.fill(0.0, ["pnl"])
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, event: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
-    """Observed profit and ROI differences, and an event-clustered Poisson bootstrap of the former; an absent event counts nothing.
+def poisson_weights(ids, rounds: int, seed: int):
+    """[row, round]: Poisson weights drawn from hashes of the ids (uint64), alike wherever a row stands."""
+    import numpy as np
 
-    Each event draws its own Poisson weight a round from a hash, so rounds are sums that combine
-    before the shuffle; no resample is ever materialised.
-    """
+    cdf = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(12)])
+    h = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(rounds, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
+    for shift, mix in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(mix)
+    return np.searchsorted(cdf, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53, side="right").astype(float)
+
+
+def bootstrap_sums(df: DataFrame, row: str, columns: list[str], rounds: int, seed: int) -> DataFrame:
+    """round and the weighted sums of ``columns`` in it: a task adds up its rows for all rounds and hands on the sums alone."""
+    import numpy as np
+    import pandas as pd
+
+    def sums(frames):
+        total = np.zeros((rounds, len(columns)))
+        for f in frames:
+            for at in range(0, len(f), 1024):
+                g = f.iloc[at : at + 1024]
+                total += poisson_weights(g["id"].to_numpy(), rounds, seed).T @ g[[f"c{i}" for i in range(len(columns))]].to_numpy(float)
+        yield pd.DataFrame({"round": np.arange(rounds, dtype=np.int32), **{f"c{i}": total[:, i] for i in range(len(columns))}})
+
+    src = df.select(F.xxhash64(row).alias("id"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    part = src.mapInPandas(sums, "round int, " + ", ".join(f"c{i} double" for i in range(len(columns))))
+    return part.groupBy("round").agg(*[F.sum(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def _interval(diff: str) -> list[Column]:
+    return [F.percentile(diff, F.lit(0.025)).alias("low"), F.percentile(diff, F.lit(0.975)).alias("high"), F.avg((F.col(diff) <= 0).cast("double")).alias("p_value")]
+
+
+def paired_bootstrap(a: DataFrame, b: DataFrame, event: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """Observed profit and ROI differences, and an event-clustered Poisson bootstrap of the former; an absent event counts nothing."""
     sums = lambda df, s: df.groupBy(event).agg(F.sum("pnl").alias(f"p{s}"), F.sum("stake").alias(f"s{s}"))
     d = sums(a, "a").join(sums(b, "b"), event, "full").na.fill(0.0, ["pa", "pb", "sa", "sb"]).withColumn("d", F.col("pa") - F.col("pb"))
     roi = lambda s: F.coalesce(F.try_divide(F.sum(f"p{s}"), F.sum(f"s{s}")), F.lit(0.0))
     seen = d.agg(F.count(F.lit(1)).alias("n_events"), F.sum("d").alias("profit_diff"), (roi("a") - roi("b")).alias("roi_diff"))
-    draws = d.select("d", F.col(event), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = (F.pmod(F.xxhash64(event, "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, total, term = None, 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        weight = F.when(u < total, k) if weight is None else weight.when(u < total, k)
-        term /= k + 1
-    per = draws.withColumn("u", weight.otherwise(8)).groupBy("round").agg(F.sum(F.col("u") * F.col("d")).alias("diff"))
-    drawn = per.agg(F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high"), F.avg((F.col("diff") <= 0).cast("double")).alias("p_value"))
+    drawn = bootstrap_sums(d, event, ["d"], rounds, seed).agg(*_interval("d"))
     return seen.crossJoin(F.broadcast(drawn))  # one row beside one row
 
 
+def unpaired_bootstrap(a: DataFrame, b: DataFrame, bet: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """Observed ROI difference of two independent sets of bets, its 95 % interval and the share of rounds in which the first is no better; each bet draws its own weights, apart for either set."""
+    roi = lambda p, s: F.coalesce(F.try_divide(p, s), F.lit(0.0))
+    arm = lambda df: df.agg(F.count(F.lit(1)).alias("n"), roi(F.sum("pnl"), F.sum("stake")).alias("roi"))
+    seen = arm(a).withColumnsRenamed({"n": "n_a", "roi": "roi_a"}).crossJoin(F.broadcast(arm(b).withColumnsRenamed({"n": "n_b", "roi": "roi_b"})))  # one row beside one row
+    draw = lambda df, s, x: bootstrap_sums(df, bet, ["pnl", "stake"], rounds, s).select("round", roi(F.col("pnl"), F.col("stake")).alias(x))
+    drawn = draw(a, seed, "ra").join(draw(b, seed + 1, "rb"), "round").select((F.col("ra") - F.col("rb")).alias("d")).agg(*_interval("d"))
+    return seen.withColumn("roi_diff", F.col("roi_a") - F.col("roi_b")).crossJoin(F.broadcast(drawn))
+
+
 def promotion(metrics: DataFrame) -> DataFrame:
     """Model bar: Brier or calibration better, the other at most a tenth worse; and the selection score."""
     better_b, better_e = F.col("brier_new") < F.col("brier_old"), F.col("ece_new") < F.col("ece_old")
@@ -118,20 +149,14 @@ def bootstrap_metrics(df: DataFrame, row: str, y: str = "target", probs: tuple[s
     import numpy as np
     import pandas as pd
 
-    width, cdf = 3 + 3 * 10 + 1, np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(12)])
-
-    def weights(ids: np.ndarray) -> np.ndarray:
-        h = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(rounds, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
-        for shift, mix in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(mix)
-        return np.searchsorted(cdf, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53, side="right").astype(float)
+    width = 3 + 3 * 10 + 1
 
     def sums(frames):
         total = np.zeros((len(probs), rounds, width))
         for f in frames:
             for at in range(0, len(f), 4096):
                 g = f.iloc[at : at + 4096]
-                w, t = weights(g["id"].to_numpy()), g["y"].to_numpy(float)
+                w, t = poisson_weights(g["id"].to_numpy(), rounds, seed), g["y"].to_numpy(float)
                 for i in range(len(probs)):
                     p = g[f"p{i}"].to_numpy(float)
                     q = np.clip(p, 1e-15, 1 - 1e-15)

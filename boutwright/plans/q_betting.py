@@ -232,6 +232,13 @@ def paired_bootstrap(spark, d):
     return rounded(out, "profit_diff", "roi_diff", "low", "high", "p_value")
 
 
+@query()
+def unpaired_bootstrap(spark, d):
+    """ROI of two sets of bets against each other; drawn, so no SQL: tested for its interval against the exact variance."""
+    b = bets(spark, d)
+    return rounded(E.unpaired_bootstrap(b.where("strategy <= '3-MEDIUM'"), b.where("strategy > '3-MEDIUM'"), "bet_id"), "roi_a", "roi_b", "roi_diff", "low", "high", "p_value")
+
+
 @query(f"""WITH {PREDICTIONS}, m AS (SELECT slice, avg(pow(prob_a - target, 2)) bn, avg(pow(market_a - target, 2)) bo, avg(-(target * ln(prob_a) + (1 - target) * ln(1 - prob_a))) ln_, avg(-(target * ln(market_a) + (1 - target) * ln(1 - market_a))) lo FROM predictions GROUP BY 1),
 cb AS (SELECT slice, which, b, count(*) n, avg(p) mp, avg(target) rt FROM (SELECT slice, target, 'n' which, prob_a p, least(floor(round(prob_a * 10, 9)), 9) b FROM predictions UNION ALL SELECT slice, target, 'o', market_a, least(floor(round(market_a * 10, 9)), 9) FROM predictions) z GROUP BY 1, 2, 3),
 ec AS (SELECT slice, sum(n * abs(mp - rt)) FILTER (WHERE which = 'n') / sum(n) FILTER (WHERE which = 'n') en, sum(n * abs(mp - rt)) FILTER (WHERE which = 'o') / sum(n) FILTER (WHERE which = 'o') eo FROM cb GROUP BY 1)

@@ -48,6 +48,26 @@ def card_pages(spark, d):
     return P.card(_html(spark, d, parts, "orders", "o_orderkey"), "page", "html")
 
 
+@query(f"""WITH p AS (SELECT o_orderkey page, CASE WHEN o_orderkey % 13 = 0 THEN 'title' WHEN o_orderkey % 17 = 0 THEN 'date' WHEN o_orderkey % 11 = 0 THEN 'incomplete_pair' WHEN o_orderkey % 19 = 0 THEN 'repeated_pair' WHEN o_orderkey % 23 = 0 THEN 'no_class' END fault, o_orderkey k, o_custkey c FROM orders)
+SELECT page, fault, NULL::INTEGER "position", NULL a_ref, NULL a_name, NULL b_ref, NULL b_name, NULL::BOOLEAN title_bout, NULL::INTEGER num_rounds, NULL weight_class, NULL::BOOLEAN main_event FROM p WHERE fault IS NOT NULL
+UNION ALL SELECT page, NULL, 0, {_REF('k')}, 'Ann ' || c, {_REF('c + 500000')}, 'Bo', k % 3 = 0, 5, 'Light Heavyweight', true FROM p WHERE fault IS NULL
+UNION ALL SELECT page, NULL, 1, {_REF('k + 900000')}, 'Cy', {_REF('k + 800000')}, 'Di', false, 3, 'Women''s Flyweight', false FROM p WHERE fault IS NULL""")
+def reviewed_cards(spark, d):
+    """Cards that confirm their event or are refused whole: another title, another date, a missing side, a pair that stands twice, a bout without a class."""
+    row = '<tr class="b-fight-details__table-row">'
+    who = lambda ref, name: f"'<a class=\"b-link\" href=\"http://s.example/fighter-details/', {ref}, '\">', {name}, '</a>'"
+    title = "CASE WHEN o_orderkey % 13 = 0 THEN 'Other' ELSE concat('Night ', CAST(o_custkey AS VARCHAR(19))) END"
+    date = f"CASE WHEN o_orderkey % 17 = 0 THEN 'May 01, 1900' ELSE concat({_MONTH}, ' ', lpad(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0'), ', ', CAST(year(o_orderdate) AS VARCHAR(4))) END"
+    first = [f"'{row}<td></td><td>'", who(_REF("o_orderkey"), "concat('Ann ', CAST(o_custkey AS VARCHAR(19)))"), f"CASE WHEN o_orderkey % 11 > 0 THEN concat({who(_REF('o_custkey + 500000'), chr(39) + 'Bo' + chr(39))}) ELSE '' END", "CASE WHEN o_orderkey % 3 = 0 THEN '<img src=\"/belt.png\">' ELSE '' END", "CASE WHEN o_orderkey % 23 > 0 THEN '</td><td>Light Heavyweight' ELSE '' END", "'</td></tr>'"]
+    second = [f"'{row}<td></td><td>'", who(_REF("o_orderkey + 900000"), "'Cy'"), who(_REF("o_orderkey + 800000"), "'Di'"), "'</td><td>Women&#39;s Flyweight</td></tr>'"]
+    again = [f"CASE WHEN o_orderkey % 19 = 0 THEN concat('{row}<td></td><td>Lightweight ', {who(_REF('o_orderkey + 800000'), chr(39) + 'Di' + chr(39))}, {who(_REF('o_orderkey + 900000'), chr(39) + 'Cy' + chr(39))}, '</td></tr>') ELSE '' END"]
+    done = [f"'{row}<td>win</td><td>'", who(_REF("1"), "'X'"), "'</td></tr>'"]
+    parts = ["'<h2 class=\"b-content__title\"><span>'", title, "'</span></h2><li class=\"b-list__box-list-item\"><i>Date:</i> '", date, f"'</li><table>{row}<th>W/L</th></tr>'", *first, *second, *again, *done, "'</table>'"]
+    html = _html(spark, d, parts, "orders", "o_orderkey")
+    events = run_sql(spark, d, "SELECT o_orderkey page, concat('Night ', CAST(o_custkey AS VARCHAR(19))) title, CAST(o_orderdate AS DATE) event_date FROM orders")
+    return P.reviewed_card(html.join(events, "page"), "page", "html", "title", "event_date")
+
+
 @query(f"SELECT c_custkey page, c_name AS name, '10-' || (c_custkey % 9) record, (5 + c_custkey % 2) || '\\' ' || (c_custkey % 12) || '\"' height, '' weight, '72\"' reach, CASE WHEN c_custkey % 4 > 0 THEN 'Southpaw' ELSE '' END stance, '' dob, '' slpm, CAST(c_custkey % 100 AS VARCHAR) str_acc, {', '.join(chr(39) * 2 + ' ' + v for v in ('sapm', 'str_def', 'td_avg', 'td_acc', 'td_def', 'sub_avg'))} FROM customer WHERE c_custkey % 13 > 0".replace("\\' '", "'' '"))
 def profile_pages(spark, d):
     item = lambda label, value: f"'<li class=\"b-list__box-list-item\"><i>{label}:</i> ', {value}, '</li>'"

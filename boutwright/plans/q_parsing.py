@@ -157,10 +157,12 @@ def walk_forward_folds(spark, d):
     return per.join(F.broadcast(f), (F.col("event_date") >= F.col("fold_start")) & (F.col("event_date") < F.col("fold_end"))).groupBy("fold_start", "fold_end").agg(F.sum("count").alias("n"))
 
 
-def _stream(spark, d, columns=("event_id", "ts", "user_id", "event_type", "value")):
-    src = f"{d}/events.parquet"
-    schema = spark.read.parquet(src).schema
-    return streams.quote_stream(spark, src if not src.endswith(".parquet") else d + "/events.parquet*", schema).select(*columns)
+def _stream(spark, d, columns=("event_id", "ts", "user_id", "event_type", "value"), files=4):
+    """Events as a stream of several files, one a batch, each with rows of all days in no order."""
+    e = table(spark, d, "events")
+    root = f"{_checkpoints(spark)}/feed-{uuid.uuid4().hex}"
+    e.repartition(files, F.xxhash64("event_id")).write.parquet(root)
+    return streams.quote_stream(spark, root, e.schema).select(*columns)
 
 
 @query("""SELECT CAST(to_timestamp(floor(epoch(ts) / 3600) * 3600) AT TIME ZONE 'UTC' AS TIMESTAMP) window_start, event_type, count(*) n, arg_min(value, (ts, event_id)) open_price, arg_max(value, (ts, event_id)) close_price FROM events GROUP BY 1, 2""")

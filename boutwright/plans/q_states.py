@@ -30,7 +30,7 @@ def _long(spark, d):
     return H.long_rows(bouts(spark, d)).withColumn("won", F.when(F.col("result") == "win", 1.0).otherwise(0.0))
 
 
-_ASKS = "SELECT o_orderkey ask_id, o_custkey % 100 + 1 entity, CAST(o_orderdate AS DATE) as_of FROM orders WHERE o_orderkey % 4 = 0"
+_ASKS = "SELECT o_orderkey ask_id, o_custkey % 100 + 1 entity, CAST(o_orderdate AS DATE) as_of FROM orders"
 
 
 @query(f"""WITH {LONG}, ak AS ({_ASKS}), n AS (SELECT *, CASE WHEN result = 'win' THEN 1.0 ELSE 0.0 END won, row_number() OVER (PARTITION BY entity ORDER BY event_date, fight_id) i FROM long)

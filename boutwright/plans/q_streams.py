@@ -83,8 +83,11 @@ def incoming_results(spark, d):
     return Q.incoming_results(run_sql(spark, d, _OLDR), run_sql(spark, d, _NEWR), "k")
 
 
-@query(f"""WITH a AS ({_ACC}), c AS ({_CAND}) SELECT 'duplicates' report, false passed UNION ALL SELECT 'preserved', (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM c)) = 0 UNION ALL SELECT 'unchanged', true""")
+@query(f"""WITH a AS ({_ACC}), c AS ({_CAND}), x AS (SELECT za r, count(*) n FROM a za GROUP BY 1), y AS (SELECT zc r, count(*) n FROM c zc GROUP BY 1), p AS (SELECT coalesce(x.r, y.r) r, coalesce(x.n, 0) o, coalesce(y.n, 0) w FROM x FULL JOIN y ON x.r = y.r),
+k AS (SELECT r.k, sum(o) o, sum(w) w, sum(greatest(w - o, 0)) more, sum(greatest(o - w, 0)) less FROM p GROUP BY 1), f AS (SELECT count(*) n FROM k WHERE CASE WHEN k IS NULL THEN more + less > 0 ELSE greatest(w - 1, 0) > greatest(o - 1, 0) OR (o > 1 AND (w < o OR less > 0)) END)
+SELECT 'duplicates' report, n = 0 passed FROM f UNION ALL SELECT 'preserved', (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM c)) = 0 UNION ALL SELECT 'nothing_new', (SELECT count(*) FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM a)) = 0 UNION ALL SELECT 'same_rows', (SELECT count(*) FROM a) = (SELECT count(*) FROM c)""")
 def publication_bundle(spark, d):
     acc, cand = run_sql(spark, d, _ACC), run_sql(spark, d, _CAND)
-    kept = lambda x: R.lost_occurrences(acc, x).agg((F.count(F.lit(1)) == 0).alias("passed"))
-    return Q.publication_bundle({"duplicates": R.duplicate_report(acc, cand, F.col("k")), "preserved": kept(cand), "unchanged": kept(acc)})
+    kept = lambda x, y: R.lost_occurrences(x, y).agg((F.count(F.lit(1)) == 0).alias("passed"))
+    same = acc.agg(F.count(F.lit(1)).alias("a")).crossJoin(F.broadcast(cand.agg(F.count(F.lit(1)).alias("c")))).select((F.col("a") == F.col("c")).alias("passed"))  # one row beside one row
+    return Q.publication_bundle({"duplicates": R.duplicate_report(acc, cand, F.col("k")), "preserved": kept(acc, cand), "nothing_new": kept(cand, acc), "same_rows": same})

@@ -48,17 +48,59 @@ def events(pages: DataFrame, key: str, html: str) -> DataFrame:
     return out.groupBy(key, "url").agg(F.min_by("title", "at").alias("title"), F.min_by("event_date", "at").alias("event_date"))
 
 
-def card(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, position, ids and names of both sides, title bout, rounds of every bout of a card that has no result yet."""
+#: What the first cell of a finished bout's row says.
+DONE = ("win", "loss", "w", "l", "w l", "l w", "draw", "d", "d d", "draw draw", "nc", "nc nc", "no contest", "no contest no contest")
+#: Words that end in "weight" and name a class.
+CLASSES = ("straw", "fly", "bantam", "feather", "light", "welter", "middle", "light heavy", "heavy", "super heavy", "catch", "open")
+
+
+def _card_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """Every row of a card that has cells: position, whether it is finished, who is linked, and what else it says."""
     rows = pages.select(key, F.posexplode(F.filter(cut(F.col(html), "tr", "b-fight-details__table-row"), lambda r: F.contains(r, F.lit("<td")))).alias("position", "row"))
-    who, status = links(F.col("row"), "fighter-details/"), F.lower(plain(F.get(cut(F.col("row"), "td"), 0)))
-    done = status.rlike(r"^(?:win|loss|w|l|w l|l w|draw|d|d d|draw draw|nc|nc nc|no contest|no contest no contest)$")
+    cells = F.transform(cut(F.col("row"), "td"), plain)
     text = F.lower(plain(F.col("row")))
     title = F.col("row").rlike(r"(?i)<img[^>]*belt") | text.rlike("title bout|championship|interim")
-    side = lambda i, s: [stable_id(F.get(who, i)["url"]).alias(f"{s}_ref"), F.get(who, i)["text"].alias(f"{s}_name")]
-    out = rows.where(~done & (F.size(who) == 2)).select(key, "position", *side(0, "a"), *side(1, "b"), title.alias("title_bout"))
-    ok = out.where("a_ref <> b_ref and a_name <> '' and b_name <> ''")
-    return ok.withColumn("num_rounds", F.when(F.col("title_bout") | (F.col("position") == 0), 5).otherwise(3))
+    named = F.regexp_extract(F.array_join(cells, "\n"), rf"(?im)\b((?:women's )?(?:{'|'.join(sorted(CLASSES, key=len, reverse=True))}) ?weight)\b", 1)
+    out = rows.select(key, "position", links(F.col("row"), "fighter-details/").alias("who"), F.coalesce(F.lower(F.get(cells, 0)).isin(*DONE), F.lit(False)).alias("done"), title.alias("title_bout"), F.when(named != "", named).alias("weight_class"))
+    side = {f"{s}_{n}": x for i, s in enumerate("ab") for n, x in (("ref", stable_id(F.get("who", i)["url"])), ("name", F.get("who", i)["text"]))}
+    return out.withColumns(side).withColumn("num_rounds", F.when(F.col("title_bout") | (F.col("position") == 0), 5).otherwise(3))
+
+
+CARD = ["position", "a_ref", "a_name", "b_ref", "b_name", "title_bout", "num_rounds"]
+
+
+def card(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, position, ids and names of both sides, title bout, rounds of every bout of a card that has no result yet and names two sides; what cannot be read is left out (``reviewed_card`` says what)."""
+    ok = _card_rows(pages, key, html).where(~F.col("done") & (F.size("who") == 2)).where("a_ref <> b_ref and a_name <> '' and b_name <> ''")
+    return ok.select(key, *CARD)
+
+
+def reviewed_card(pages: DataFrame, key: str, html: str, title: str, date: str) -> DataFrame:
+    """key, fault and the columns of ``card`` with weight_class and main_event: each bout to come of a card that is accepted, or one row with the fault of a card that is not.
+
+    A card must show the ``title`` and, once, the ``date`` of its event. Faults, the first that holds:
+    title, date, incomplete_pair (a row to come without two named sides), repeated_pair (two sides
+    that are one, or a pair that stands twice), no_class, empty (no bouts at all). No part of a
+    refused card is taken.
+    """
+    h = F.col(html)
+    shown = plain(F.get(cut(F.get(cut(h, "h2", "b-content__title"), 0), "span"), 0))
+    facts = F.filter(F.transform(cut(h, "li", "b-list__box-list-item"), plain), lambda t: t.startswith("Date:"))
+    day = F.when(F.size(facts) == 1, page_date(F.trim(F.substring(F.get(facts, 0), 6, 100))))
+    heads = pages.select(key, F.coalesce(shown == F.col(title), F.lit(False)).alias("title_ok"), F.coalesce(day == F.col(date), F.lit(False)).alias("date_ok"))
+    rows = _card_rows(pages, key, html)
+    named = (F.size("who") == 2) & F.col("a_ref").isNotNull() & F.col("b_ref").isNotNull() & (F.coalesce("a_name", F.lit("")) != "") & (F.coalesce("b_name", F.lit("")) != "")
+    pair = F.when(~F.col("done"), F.array_sort(F.array("a_ref", "b_ref")).cast("string"))
+    to_come = lambda c: F.coalesce(F.max(F.when(~F.col("done"), c)), F.lit(False))
+    seen = rows.groupBy(key).agg(
+        to_come(~named).alias("incomplete"), (to_come(F.col("a_ref") == F.col("b_ref")) | (F.count(pair) > F.count_distinct(pair))).alias("repeated"), to_come(F.col("weight_class").isNull()).alias("no_class"), F.lit(True).alias("any"),
+    )
+    fault = F.when(~F.col("title_ok"), "title").when(~F.col("date_ok"), "date").when(F.col("incomplete"), "incomplete_pair").when(F.col("repeated"), "repeated_pair").when(F.col("no_class"), "no_class").when(F.col("any").isNull(), "empty")
+    judged = heads.join(seen, key, "left").select(key, fault.alias("fault"))
+    bouts = rows.where(~F.col("done")).select(key, *CARD, "weight_class", (F.col("position") == 0).alias("main_event"))
+    refused = judged.where("fault is not null")
+    accepted = bouts.join(judged.where("fault is null"), key)
+    return accepted.select(key, "fault", *bouts.columns[1:]).unionByName(refused, allowMissingColumns=True)
 
 
 #: Labels of a profile and the fields they fill.
@@ -117,7 +159,8 @@ def bout(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def rankings(pages: DataFrame, key: str, html: str, most: int = 15) -> DataFrame:
     """key, division, name, rank: the first ``most`` names of each division of a rankings page, names normalised."""
-    groups = F.slice(F.split(F.col(html), r'(?i)<div\b[^>]*\bview-grouping"[^>]*>'), 2, 1000)  # a page has some dozen divisions
+    parts = F.split(F.col(html), r'(?i)<div\b[^>]*\bview-grouping"[^>]*>')
+    groups = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     rows = pages.select(key, F.explode(groups).alias("g"))
     division = normalise(plain(F.get(cut(F.col("g"), "h4"), 0)))
     names = F.filter(F.transform(links_in_titles(F.col("g")), normalise), lambda n: F.length(n) > 0)

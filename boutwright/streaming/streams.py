@@ -91,10 +91,13 @@ def retained(snapshots: DataFrame, time: str, now, full_days: int, keep_days: in
 
 
 def run_to_files(spark: SparkSession, df: DataFrame, root: str) -> DataFrame:
-    """All that is available, in complete mode: each batch writes the whole result under its own id, and the last one counts."""
+    """All that is available, in complete mode: each batch writes the whole result under its own id, and the last one counts; the ones before the last two are deleted."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/result/batch={batch_id}")  # a replayed batch replaces itself
+        old = fs.Path(f"{root}/result/batch={batch_id - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     q = df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()

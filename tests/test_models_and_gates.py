@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from boutwright.operators import evaluation as E
 from boutwright.operators import fold_selection as S
 from boutwright.operators import learning as L
 from boutwright.operators import promotion as G
@@ -95,3 +96,17 @@ def test_a_better_candidate_passes_the_gate(spark):
     got = {r.candidate: r for r in G.selection_gate(df, "control", "part").collect()}
     assert got["better"].passed and got["better"].score > 0 and not got["worse"].passed and not got["worse"].calibration_improvement
     assert not {r.candidate: r for r in G.selection_gate(df.where("event_date < '2022-06-01' or event_date > '2024-09-20'"), "control", "part").collect()}["better"].fresh_data_credibility
+
+
+def test_unpaired_bootstrap_has_the_width_of_the_exact_variance(spark):
+    rng = random.Random(8)
+    arm = lambda shift, n, off: [(off + i, 1.0, shift + rng.gauss(0, 1)) for i in range(n)]
+    a, b = arm(0.1, 900, 0), arm(0.0, 600, 0)
+    make = lambda rows: spark.createDataFrame(rows, "bet long, stake double, pnl double")
+    r = E.unpaired_bootstrap(make(a), make(b), "bet", 1500).first()
+    mean = lambda rows: sum(x[2] for x in rows) / len(rows)
+    var = lambda rows: sum((x[2] - mean(rows)) ** 2 for x in rows) / len(rows) ** 2
+    sd = (var(a) + var(b)) ** 0.5
+    assert (r.n_a, r.n_b) == (900, 600) and r.roi_diff == pytest.approx(mean(a) - mean(b))
+    assert abs(r.high - r.low - 3.92 * sd) < 0.5 * sd and abs((r.high + r.low) / 2 - r.roi_diff) < 0.25 * sd
+    assert E.unpaired_bootstrap(make(a[:0]), make(b), "bet", 50).first().roi_a == 0
