@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,8 +39,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges = materialise(_stars(_stars(edges, True), False), "links")
-        if (now := _mark(edges)) == seen:
+        before, edges = edges, materialise(_stars(_stars(edges, True), False), "links")
+        now = _mark(edges)
+        discard(before)
+        if now == seen:
             break
         seen = now
     else:

@@ -44,29 +44,37 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(starts, zero, step, lambda a: a["n"])
 
 
+def _free(docs: DataFrame) -> str:
+    """A beginning that no column of ``docs`` has, for working columns."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    return p
+
+
 def rule_figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the figures and ``base_failed`` added."""
-    own = [c for c in docs.columns if c not in {*FIGURES, "n_lines", "base_failed"}]
-    t = F.col("__t")
-    step = docs.select(*own, text_or_empty(text).alias("__t"))
+    """``docs`` with the figures and ``base_failed`` added; columns of those names are replaced."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in {*FIGURES, "n_lines", "base_failed"}]
+    p = _free(docs)
+    t, w, ls, h, o, at = (f"{p}{c}" for c in "twlhop")
+    step = docs.select(*own, text_or_empty(f"`{text}`").alias(t))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    step = step.select(*own, words(t).alias("__w"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("__l"))
-    w = F.col("__w")
+    step = step.select(*own, words(F.col(t)).alias(w), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias(ls))
     window = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     step = step.select(
         *own,
         "n_symbols",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.size("__l").cast("long").alias("n_lines"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.slice(window, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))).alias("__h"),
+        F.size(ls).cast("long").alias("n_lines"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+        F.slice(window, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))).alias(h),
     )
     # most texts repeat no window: only the others are sorted
-    order = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("__o", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), order)).drop("__h")
-    step = step.withColumn("__p", _repeated(F.col("__o"))).drop("__o")
-    step = step.withColumn("n_repeat_words", F.coalesce(_covered(F.col("__p")), F.lit(0)).cast("long")).drop("__p")
+    order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    step = step.withColumn(o, F.when(F.size(F.array_distinct(h)) < F.size(h), order)).drop(h)
+    step = step.withColumn(at, _repeated(F.col(o))).drop(o)
+    step = step.withColumn("n_repeat_words", F.coalesce(_covered(F.col(at)), F.lit(0)).cast("long")).drop(at)
     return step.withColumn("base_failed", F.expr(f"{RULES['short']} or {RULES['repeats']}"))
 
 
@@ -87,25 +95,27 @@ def host_verdicts(figures: DataFrame, host: str = "source") -> DataFrame:
     return hosts
 
 
-def bad_hosts(rates: DataFrame, max_rate: float) -> DataFrame:
-    """Hosts with a shrunk rate above ``max_rate`` for any rule."""
+def bad_hosts(rates: DataFrame, max_rate: float, host: str, flag: str) -> DataFrame:
+    """Hosts with a shrunk rate above ``max_rate`` for any rule, marked by ``flag``."""
     bad = rates.where(F.greatest(*[F.col(f"rate_{k}") for k in RULES]) > max_rate)
-    return small(bad.select("__host", F.lit(True).alias("__bad")))
+    return small(bad.select(host, F.lit(True).alias(flag)))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (all by default) with rule figures, ``base_failed``, ``host_rejected`` and ``kept``.
 
     Figures are made once and written beside the columns kept; host sums and verdicts read them
-    back. No text is shuffled to its host, so a host with a third of all rows costs no more than
-    any other.
+    back. Bad hosts are broadcast where they are few, and no text is shuffled to its host then, so a
+    host with a third of all rows costs no more than any other.
     """
-    figures = rule_figures(docs.withColumn("__host", F.col(host)), text)
-    keep = [c for c in figures.columns if c != "__host" and (keep is None or c in {*keep, *FIGURES, "n_lines", "base_failed"})]
-    figures = materialise(figures.select(*[F.col(f"`{c}`") for c in keep], "__host"), "figures")
-    rates = host_verdicts(figures, "__host")
-    out = figures.join(bad_hosts(rates, max_rate), "__host", "left")
-    out = out.withColumn("host_rejected", F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
+    p = _free(docs)
+    own, flag = f"{p}host", f"{p}bad"
+    figures = rule_figures(docs.withColumn(own, F.col(f"`{host}`")), text)
+    keep = [c for c in figures.columns if c != own and (keep is None or c in {*keep, *FIGURES, "n_lines", "base_failed"})]
+    figures = materialise(figures.select(*[F.col(f"`{c}`") for c in keep if c not in ("host_rejected", "kept")], own), "figures")
+    rates = host_verdicts(figures, own)
+    out = figures.join(bad_hosts(rates, max_rate, own, flag), own, "left")
+    out = out.withColumn("host_rejected", F.coalesce(flag, F.lit(False))).drop(own, flag)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
@@ -116,7 +126,7 @@ def keep_good(docs: DataFrame, max_rate: float = 0.7) -> DataFrame:
     """
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"), "text", F.col("source").alias("__host"))
     flags = materialise(rule_figures(tagged.drop("__whole")).drop("text"), "figures")
-    bad = bad_hosts(host_verdicts(flags, "__host"), max_rate)
+    bad = bad_hosts(host_verdicts(flags, "__host"), max_rate, "__host", "__bad")
     # the row number keeps the filter above the figures; pushed below, it would copy their expressions
     out = rule_figures(tagged).select("__whole", "__host", "base_failed", F.monotonically_increasing_id().alias("__row"))
     out = out.where(~F.col("base_failed") & (F.col("__row") >= 0)).join(bad, "__host", "left")

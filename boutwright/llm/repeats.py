@@ -51,6 +51,8 @@ PASSAGE = 200
 GRAM = 16
 RARE, COMMON = 96, 24
 SEGMENT = 1 << 20
+#: A row of the parse holds spans below 65,536 and distances below 32,768 bytes; both stay below a window.
+MAX_WINDOW = 32_000
 #: Windows that are opened together if the string they share occurs again.
 PARTS = (64, 8, 1)
 
@@ -312,8 +314,18 @@ def _classed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return sure, known.where("open").select("key", "z", F.when(F.col("n") > 1, F.col("at").bitwiseOR(1)).otherwise(F.col("at")).alias("at"))
 
 
+def _check(window: int) -> None:
+    if not 2 * GRAM <= window <= MAX_WINDOW:
+        raise ValueError(f"a window of {window} bytes; between {2 * GRAM} and {MAX_WINDOW} can be taken")
+
+
 def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key and its spans (first, last window start) that start elsewhere too; texts with copies are left out."""
+    """key and its spans (first, last window start) that start elsewhere too; texts with copies are left out.
+
+    A window is at most ``MAX_WINDOW`` bytes: a span and its distance to the trigger must fit the
+    bits that a row of the parse has for them.
+    """
+    _check(window)
     parsed = materialise(texts.where(F.octet_length("text") >= window).mapInArrow(_parse_rows(window), ROW), "parse")
     again = parsed.where("z is not null").groupBy("z").agg(F.sum(1 + F.col("at") % 2).alias("n")).where("n > 1").select("z")
     rows = materialise(parsed.join(again, "z", "left_semi"), "parse-again")
@@ -338,12 +350,15 @@ OUTPUT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
 def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
     """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each document."""
+    _check(window)
     texts, seed = distinct_texts(docs, text)
-    spans = repeated_spans(texts, window)
-    joined = texts.join(spans, "key", "left").select("key", "text", "many", "spans")
-    found = joined.mapInArrow(_cut_rows(window), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    found = materialise(found.select(F.col("key").alias("__key"), F.struct(*OUTPUT).alias("__out")), "kept")
-    _forget(docs.sparkSession, texts.name, texts.stored_at)
+    try:
+        spans = repeated_spans(texts, window)
+        joined = texts.join(spans, "key", "left").select("key", "text", "many", "spans")
+        found = joined.mapInArrow(_cut_rows(window), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+        found = materialise(found.select(F.col("key").alias("__key"), F.struct(*OUTPUT).alias("__out")), "kept")
+    finally:
+        _forget(docs.sparkSession, texts.name, texts.stored_at)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep if c not in OUTPUT] or [F.lit(0).alias("__none")]).alias("__doc"), _key(text, seed).alias("__own"))
     return own.join(found, F.col("__own") == F.col("__key")).select("__doc.*", "__out.*").drop("__none")
 

@@ -315,6 +315,22 @@ def test_clashing_columns_and_empty_tables(spark, none):
         assert f(wide).columns == wide.columns
 
 
+def test_working_names_of_the_quality_rules_are_free(spark):
+    rows = [(i, f"text number {i} with some words " * 12, "h", "x") for i in range(4)]
+    slim = spark.createDataFrame(rows, "doc_id long, text string, source string, v string")
+    want = [tuple(r) for r in quality.quality_rules(slim.drop("v")).orderBy("doc_id").collect()]
+    for name in ("__t", "__w", "__l", "__h", "__o", "__p", "__host", "__bad", "___t", "kept"):
+        got = quality.quality_rules(slim.withColumnRenamed("v", name))
+        assert [tuple(r) for r in got.orderBy("doc_id").select("doc_id", "text", "source", *[c for c in quality.quality_rules(slim).columns if c not in ("doc_id", "text", "source", "v")]).collect()] == want, name
+        assert name in got.columns
+
+
+def test_windows_that_the_parse_cannot_hold_are_refused(spark, docs):
+    for window in (8, 40_000):
+        with pytest.raises(ValueError, match="window"):
+            repeats.without_repeats(docs, ["doc_id"], window=window)
+
+
 def test_very_long_texts(spark):
     """Texts beyond every inner chunk: 90,000 words."""
     rng = random.Random(9)
