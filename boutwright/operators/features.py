@@ -70,8 +70,11 @@ def rolled(rows: DataFrame, stats: tuple[str, ...] = ROLLED, half_life: float =
 
     Powers of two of a position would overflow along a career, so positions are cut into blocks.
     A row adds up its own block's earlier rows and the block before; what is older weighs less
-    than the last bit of a double. One sort and one shuffle serve all statistics.
+    than the last bit of a double. One sort and one shuffle serve all statistics. More than ``WIDE``
+    statistics, which would be hundreds of windows, go through one pass over the sorted rows instead.
     """
+    if len(stats) > WIDE:
+        return _rolled_wide(rows, stats, half_life)
     at = rows.withColumn("__i", F.row_number().over(entity()) - 1)
     at = at.withColumn("__b", F.floor(F.col("__i") / block)).withColumn("__p", F.pow(F.lit(2.0), (F.col("__i") % block) / half_life))
     own = Window.partitionBy("entity", "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,6 +94,40 @@ def rolled(rows: DataFrame, stats: tuple[str, ...] = ROLLED, half_life: float =
     return out.select(*rows.columns, *still)
 
 
+#: From how many statistics on sums are carried along the sorted rows instead of by windows.
+WIDE = 8
+
+
+def _rolled_wide(rows: DataFrame, stats: tuple[str, ...], half_life: float) -> DataFrame:
+    """As ``rolled``, by sums that are carried from row to row; a task keeps one participant's sums and no rows."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    k, fade = len(stats), 0.5 ** (1 / half_life)
+
+    def run(batches):
+        key, sums, weights, mean = None, np.zeros(k), np.zeros(k), np.full(k, np.nan)
+        for b in batches:
+            values = np.stack([b.column(f"v{j}").to_numpy(zero_copy_only=False) for j in range(k)], axis=1)
+            known = ~np.isnan(values)
+            values = np.where(known, values, 0.0)
+            out = np.empty_like(values)
+            for i, own in enumerate(b.column("key").to_pylist()):
+                if own != key:
+                    key, sums, weights, mean = own, np.zeros(k), np.zeros(k), np.full(k, np.nan)
+                out[i] = mean
+                sums, weights = (sums + values[i]) * fade, (weights + known[i]) * fade
+                # where nothing is new the mean stands still, however far both sums have faded
+                mean = np.where(known[i], sums / np.where(weights > 0, weights, 1.0), mean)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(out[:, j], from_pandas=True) for j in range(k))], ["row", *names])
+
+    names = [f"roll_{s}" for s in stats]
+    src = rows.select(F.struct("*").alias("row"), F.to_json(F.struct("entity")).alias("key"), F.col("event_date").alias("o1"), F.col("fight_id").alias("o2"), *[F.col(s).cast("double").alias(f"v{j}") for j, s in enumerate(stats)])
+    schema = T.StructType([src.schema["row"], *[T.StructField(n, T.DoubleType()) for n in names]])
+    return src.repartition("key").sortWithinPartitions("key", "o1", "o2").mapInArrow(run, schema).select("row.*", *names)
+
+
 def stance_code(s: Column) -> Column:
     """Code of a stance label; white space and case do not matter, unknown labels have none."""
     plain = F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))

@@ -170,3 +170,20 @@ def test_visible_rolling_equals_a_plain_loop(spark):
             else:
                 assert math.isclose(got[i][f"mean_{name}"], sum(v for _, v in pairs) / len(pairs), rel_tol=1e-9)
                 assert math.isclose(got[i][f"ewm_{name}"], sum(w * v for w, v in pairs) / sum(w for w, _ in pairs), rel_tol=1e-9)
+
+
+def test_many_statistics_roll_as_few_do(spark):
+    """The pass over sorted rows against the windows, with unknown stretches longer than any weight."""
+    from boutwright.operators import features as X
+
+    rng = random.Random(9)
+    stats = tuple(f"s{j}" for j in range(X.WIDE + 1))
+    data = [(i, rng.choice([1, 1, 1, 1, 2, None]), dt.date(2000, 1, 1) + dt.timedelta(days=rng.randint(0, 4000)), *[None if j == 0 and 30 < i < 6000 or rng.random() < 0.2 else rng.uniform(0, 9) for j in range(len(stats))]) for i in range(7000)]
+    df = spark.createDataFrame(data, "fight_id long, entity int, event_date date, " + ", ".join(f"{s} double" for s in stats)).repartition(4)
+    wide = {r.fight_id: r for r in X.rolled(df, stats).collect()}
+    few = {r.fight_id: r for r in X.rolled(df, stats[:2]).collect()}
+    assert len(wide) == len(few) == len(data)
+    for i, r in few.items():
+        for s in stats[:2]:
+            x, y = wide[i][f"roll_{s}"], r[f"roll_{s}"]
+            assert (x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-9))
