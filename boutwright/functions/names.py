@@ -1,4 +1,4 @@
-"""Person names: normalised and canonical keys, matching, ids and fight keys."""
+"""Person names: normalised and canonical keys, and matching."""
 
 from __future__ import annotations
 
@@ -91,25 +91,10 @@ def appears_in(name: Column, text: Column) -> Column:
     return F.concat(F.lit(" "), normalise(text), F.lit(" ")).contains(F.concat(F.lit(" "), normalise(name), F.lit(" "))) & (F.length(normalise(name)) > 0)
 
 
-def stable_id(url: Column) -> Column:
-    """16 hexadecimal digits at the end of a link or slug."""
-    got = F.regexp_extract(F.lower(F.trim(url)), r"(?:^|/)([0-9a-f]{16})/?$", 1)
-    return F.when(F.length(got) > 0, got)
-
-
-def fight_key(a: Column, b: Column, day: Column) -> Column:
-    return F.concat_ws("__", F.array_join(F.array_sort(F.array(normalise(a), normalise(b))), "__"), F.date_format(day, "yyyy-MM-dd"))
-
-
 def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(normalise(name), " ")), " ")
 
 
-def victory_method(text: Column) -> Column:
-    v = F.lower(text)
-    return F.when(v.rlike(r"decision|points|scorecards"), "dec").when(v.rlike(r"submission|tap|choke"), "sub").when(v.rlike(r"\b(t?ko|knockout|stoppage)\b"), "ko").otherwise("other")
-
-
 @F.pandas_udf(BooleanType())
 def fuzzy_same(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of 0.92 or more, with both outer tokens alike."""

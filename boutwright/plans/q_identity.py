@@ -105,3 +105,29 @@ def fuzzy_names(spark, d):
     )
     right = left.where(n > 0).select(edited.alias("name"))
     return M.matches(left, right)
+
+
+#: Names with suffixes, nicknames, accents and other spellings, and the canonical form of each.
+_SPELLED = {"Mike Jones Jr.": "michael jones", "Bobby Grén III": "king green", "Zack Buzukia 2nd": "zachary buzukja", "  José  Łukasz-Núñez ": "jose lukasz nunez", "O'Brien": "o brien", "Chuck Junior": "charles", "Robert Green": "king green", "Anna V": "anna"}
+_TOKENS, _NAMES = {"buzukia": "buzukja"}, {"robert green": "king green", "robert gren": "king green"}
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_PICK = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN {_quoted(n)}" for i, n in enumerate(_SPELLED)) + " END"
+_PICKED = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN {_quoted(c)}" for i, c in enumerate(_SPELLED.values())) + " END"
+
+
+@query(f"SELECT o_orderkey k, {_PICKED} || ' ' || o_custkey || 'x' canonical FROM orders")
+def canonical_names(spark, d):
+    """Suffixes out, long first names, other spellings of tokens and of whole names; the number that follows keeps names apart."""
+    names = F.array(*[F.lit(n) for n in _SPELLED])
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.get(names, (F.col("o_orderkey") % 8).cast("int")).alias("name"), "o_custkey")
+    return o.select("k", F.concat_ws(" ", N.canonical(F.col("name"), _TOKENS, _NAMES), F.concat("o_custkey", F.lit("x"))).alias("canonical"))
+
+
+@query("""WITH x AS (SELECT o_orderkey k, o_orderkey % 6 i, o_custkey % 3 j FROM orders) SELECT k, CASE i WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN j = 0 ELSE false END same FROM x""")
+def same_people(spark, d):
+    """Equal names, wholly reversed ones, and ones that are equal only in canonical form."""
+    o = table(spark, d, "orders")
+    i, j = F.col("o_orderkey") % 6, F.col("o_custkey") % 3
+    a = F.when(i == 2, "Mike Day Jr").otherwise("Ánn Bo  Cy")
+    b = F.when(i == 0, "ann bo cy").when(i == 1, "Cy Bo Ann").when(i == 2, "Day Michael").when(i == 3, "Bo Ann Cy").when(i == 4, F.when(j == 0, "Cy, Bo Ann").otherwise("Cy Ann")).otherwise("")
+    return o.select(F.col("o_orderkey").alias("k"), N.same_person(a, b).alias("same"))

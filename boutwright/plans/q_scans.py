@@ -144,3 +144,11 @@ def line_gates(spark, d):
 def kelly_stakes(spark, d):
     p, o = (F.col("l_partkey") % 65).cast("double") / 64, 1.5 + (F.col("l_suppkey") % 16).cast("double") / 8
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), S.kelly_stake(p, o, F.lit(100.0)).alias("stake"))
+
+
+@query("""WITH x AS (SELECT l_orderkey k, l_linenumber n, CAST(l_partkey % 5 AS DOUBLE) / 8 a, CASE WHEN l_suppkey % 7 > 0 THEN CAST(l_suppkey % 5 AS DOUBLE) / 8 END b FROM lineitem)
+SELECT k, n, round(CASE WHEN a + b = 0 THEN 0.5 ELSE a / (a + b) END, 6) fair, round(CASE WHEN a > 0 AND b > 0 THEN a / (a + b) END, 6) strict FROM x""")
+def fair_probabilities(spark, d):
+    """The book's share taken out of two prices: a half where both are nothing, or unknown where either is (strict)."""
+    a, b = (F.col("l_partkey") % 5).cast("double") / 8, F.when(F.col("l_suppkey") % 7 > 0, (F.col("l_suppkey") % 5).cast("double") / 8)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.round(S.remove_vig(a, b), 6).alias("fair"), F.round(S.no_vig(a, b), 6).alias("strict"))

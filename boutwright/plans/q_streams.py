@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import ledger
 from ..operators import lines as P
 from ..operators import quality as Q
 from ..operators import refresh as R
@@ -27,14 +28,16 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT event_id % 5000 AS key, count(*)::BIGINT n FROM (SELECT DISTINCT event_id % 5000 event_id FROM events) e GROUP BY 1")
+@query("""SELECT CASE WHEN event_id % 3 > 0 THEN 'x' || user_id ELSE strftime(CAST(ts AS DATE), '%Y-%m-%d') END || '|t' || (event_id % 50) || '|' || event_type || '|' || (event_id % 4) || '|' || (event_id % 2) AS key, 1::BIGINT n FROM events GROUP BY 1""")
 def stream_unique_activity(spark, d):
-    """Repeats of an activity key within two months are dropped by the stream."""
-    s = _stream(spark, d).withColumn("key", F.col("event_id") % 5000)
+    """Activities come several times, some without a transaction; repeats of an identity within two months are dropped by the stream."""
+    s = _stream(spark, d)
+    own = s.select(F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("X"), "user_id")).alias("tx"), F.to_date("ts").alias("at"), F.concat(F.lit("t"), F.col("event_id") % 50).alias("token"), F.col("event_type").alias("side"), (F.col("event_id") % 4).alias("size"), (F.col("event_id") % 2).alias("price"), "ts")
+    own = own.withColumn("key", ledger.activity_key(own))
     root = f"{_checkpoints(spark)}/activity-{uuid.uuid4().hex}"
-    q = streams.unique_activity(s, "key", "ts", "60 days").select("key", "ts").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q = streams.unique_activity(own, "key", "ts", "60 days").select("key", "ts").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("key long, ts timestamp").parquet(f"{root}/out").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("key string, ts timestamp").parquet(f"{root}/out").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT DISTINCT user_id k FROM events")

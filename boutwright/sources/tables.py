@@ -21,11 +21,6 @@ def aliased(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    df = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", enforceSchema=False)
-    return aliased(df, aliases or {})
-
-
 def with_provenance(df: DataFrame, kind: str, file: str | None = None, proven: tuple[str, ...] = ("odds_api",)) -> DataFrame:
     """Source kind and file, observation time, hours to the start and whether the price surely stood before it.
 
