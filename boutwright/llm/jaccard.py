@@ -126,7 +126,7 @@ def plausible(marks: DataFrame, named: DataFrame) -> DataFrame:
     copies = marks.where("name is not null").join(named.where("many > 1"), "name").where(F.col("row") != F.col("first")).select("row")
     single = without(marks.where("n > 1"), copies, {"row": F.col("row")})
     # both uses need both columns and no nulls, so the shuffle is done once
-    heads = single.select("row", F.explode("head").alias("shingle")).where("shingle is not null").repartition("shingle")
+    heads = single.select("row", F.explode("head").alias("shingle")).where("row is not null and shingle is not null").repartition("shingle")
     again = heads.groupBy("shingle").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("shingle")
     hits = heads.join(again, "shingle").groupBy("row").agg(F.count(F.lit(1)).alias("hits"))
     need = F.ceil(F.ceil(4 * F.col("n") / 5) / 10)  # needed(n)
@@ -137,7 +137,7 @@ def rare_first(docs: DataFrame, active: DataFrame, doc_id: str, text: str) -> Da
     """row, n and shingles (class of rarity, hash) that another active set holds too."""
     src = docs.select(F.col(f"`{doc_id}`").alias("own"), text_key(f"`{text}`").alias("own_key"), text_or_empty(f"`{text}`").alias("text"))
     found = src.join(small(active), F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key"))).select("row", "text")
-    rows = found.mapInArrow(_members, "row long, shingle long").where("shingle is not null").repartition("shingle")
+    rows = found.mapInArrow(_members, "row long, shingle long").where("row is not null and shingle is not null").repartition("shingle")
     # a row that the input repeats is counted twice; any count makes an order, and a <> b tells sets apart
     counts = rows.groupBy("shingle").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count(F.lit(1)).alias("df"))
     rarity = counts.where("a <> b").select("shingle", F.length(F.bin("df")).alias("rarity"))
