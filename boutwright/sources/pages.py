@@ -34,6 +34,12 @@ def links(html: Column, part: str) -> Column:
     return F.transform(F.arrays_zip(urls.alias("u"), texts.alias("t")), lambda x: F.struct(x["u"].alias("url"), plain(x["t"]).alias("text")))
 
 
+def one_person(shared_ids: bool) -> Column:
+    """Whether both sides are one: by their ids, or with ``shared_ids`` by their ids and names."""
+    same = F.col("a_ref") == F.col("b_ref")
+    return same & (F.col("a_name") == F.col("b_name")) if shared_ids else same
+
+
 def page_date(s: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(s, F.lit("MMMM dd, yyyy")), F.try_to_timestamp(s, F.lit("MMM dd, yyyy"))).cast("date")
 
@@ -54,14 +60,16 @@ DONE = ("win", "loss", "w", "l", "w l", "l w", "draw", "d", "d d", "draw draw",
 CLASSES = ("straw", "fly", "bantam", "feather", "light", "welter", "middle", "light heavy", "heavy", "super heavy", "catch", "open")
 
 
-def _card_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Every row of a card that has cells: position, whether it is finished, who is linked, and what else it says."""
-    rows = pages.select(key, F.posexplode(F.filter(cut(F.col(html), "tr", "b-fight-details__table-row"), lambda r: F.contains(r, F.lit("<td")))).alias("position", "row"))
+def _card_rows(pages: DataFrame, key: str, html: str, *keep: Column) -> DataFrame:
+    """Every row of a card that has cells: position, whether it is finished, who is linked, and what else it says; a card without any has one row without a position."""
+    # found first: beside the explosion they would be worked out for every row, and an inner one would find the rows three times
+    found = pages.select(key, *keep, F.filter(cut(F.col(html), "tr", "b-fight-details__table-row"), lambda r: F.contains(r, F.lit("<td"))).alias("__rows"))
+    rows = found.select(*[c for c in found.columns if c != "__rows"], F.posexplode_outer("__rows").alias("position", "row"))
     cells = F.transform(cut(F.col("row"), "td"), plain)
     text = F.lower(plain(F.col("row")))
     title = F.col("row").rlike(r"(?i)<img[^>]*belt") | text.rlike("title bout|championship|interim")
     named = F.regexp_extract(F.array_join(cells, "\n"), rf"(?im)\b((?:women's )?(?:{'|'.join(sorted(CLASSES, key=len, reverse=True))}) ?weight)\b", 1)
-    out = rows.select(key, "position", links(F.col("row"), "fighter-details/").alias("who"), F.coalesce(F.lower(F.get(cells, 0)).isin(*DONE), F.lit(False)).alias("done"), title.alias("title_bout"), F.when(named != "", named).alias("weight_class"))
+    out = rows.select(*[c for c in rows.columns if c != "row"], links(F.col("row"), "fighter-details/").alias("who"), F.coalesce(F.lower(F.get(cells, 0)).isin(*DONE), F.lit(False)).alias("done"), title.alias("title_bout"), F.when(named != "", named).alias("weight_class"))
     side = {f"{s}_{n}": x for i, s in enumerate("ab") for n, x in (("ref", stable_id(F.get("who", i)["url"])), ("name", F.get("who", i)["text"]))}
     return out.withColumns(side).withColumn("num_rounds", F.when(F.col("title_bout") | (F.col("position") == 0), 5).otherwise(3))
 
@@ -75,32 +83,32 @@ def card(pages: DataFrame, key: str, html: str) -> DataFrame:
     return ok.select(key, *CARD)
 
 
-def reviewed_card(pages: DataFrame, key: str, html: str, title: str, date: str) -> DataFrame:
+def reviewed_card(pages: DataFrame, key: str, html: str, title: str, date: str, shared_ids: bool = False) -> DataFrame:
     """key, fault and the columns of ``card`` with weight_class and main_event: each bout to come of a card that is accepted, or one row with the fault of a card that is not.
 
     A card must show the ``title`` and, once, the ``date`` of its event. Faults, the first that holds:
     title, date, incomplete_pair (a row to come without two named sides), repeated_pair (two sides
     that are one, or a pair that stands twice), no_class, empty (no bouts at all). No part of a
-    refused card is taken.
+    refused card is taken. ``key`` names one page; its rows are read once and meet in one shuffle.
     """
     h = F.col(html)
     shown = plain(F.get(cut(F.get(cut(h, "h2", "b-content__title"), 0), "span"), 0))
     facts = F.filter(F.transform(cut(h, "li", "b-list__box-list-item"), plain), lambda t: t.startswith("Date:"))
-    day = F.when(F.size(facts) == 1, page_date(F.trim(F.substring(F.get(facts, 0), 6, 100))))
-    heads = pages.select(key, F.coalesce(shown == F.col(title), F.lit(False)).alias("title_ok"), F.coalesce(day == F.col(date), F.lit(False)).alias("date_ok"))
-    rows = _card_rows(pages, key, html)
+    day = F.get(F.transform(facts, lambda t: page_date(F.trim(F.substring(t, 6, 100)))), 0)
+    day_ok = F.coalesce(F.size(facts) == 1, F.lit(False)) & F.coalesce(day == F.col(date), F.lit(False))
+    rows = _card_rows(pages, key, html, F.coalesce(shown == F.col(title), F.lit(False)).alias("title_ok"), day_ok.alias("date_ok"))
+    to_come = F.col("position").isNotNull() & ~F.col("done")
     named = (F.size("who") == 2) & F.col("a_ref").isNotNull() & F.col("b_ref").isNotNull() & (F.coalesce("a_name", F.lit("")) != "") & (F.coalesce("b_name", F.lit("")) != "")
-    pair = F.when(~F.col("done"), F.array_sort(F.array("a_ref", "b_ref")).cast("string"))
-    to_come = lambda c: F.coalesce(F.max(F.when(~F.col("done"), c)), F.lit(False))
+    pair = F.when(to_come, F.array_sort(F.array("a_ref", "b_ref")).cast("string"))
+    held = lambda c: F.coalesce(F.max(F.when(to_come, c)), F.lit(False))
+    bout = F.struct(*CARD, "weight_class", (F.col("position") == 0).alias("main_event"))
     seen = rows.groupBy(key).agg(
-        to_come(~named).alias("incomplete"), (to_come(F.col("a_ref") == F.col("b_ref")) | (F.count(pair) > F.count_distinct(pair))).alias("repeated"), to_come(F.col("weight_class").isNull()).alias("no_class"), F.lit(True).alias("any"),
+        F.every("title_ok").alias("title_ok"), F.every("date_ok").alias("date_ok"), held(~named).alias("incomplete"), (held(one_person(shared_ids)) | (F.count(pair) > F.size(F.collect_set(pair)))).alias("repeated"),
+        held(F.col("weight_class").isNull()).alias("no_class"), (F.count("position") > 0).alias("any"), F.collect_list(F.when(to_come, bout)).alias("bouts"),
     )
-    fault = F.when(~F.col("title_ok"), "title").when(~F.col("date_ok"), "date").when(F.col("incomplete"), "incomplete_pair").when(F.col("repeated"), "repeated_pair").when(F.col("no_class"), "no_class").when(F.col("any").isNull(), "empty")
-    judged = heads.join(seen, key, "left").select(key, fault.alias("fault"))
-    bouts = rows.where(~F.col("done")).select(key, *CARD, "weight_class", (F.col("position") == 0).alias("main_event"))
-    refused = judged.where("fault is not null")
-    accepted = bouts.join(judged.where("fault is null"), key)
-    return accepted.select(key, "fault", *bouts.columns[1:]).unionByName(refused, allowMissingColumns=True)
+    fault = F.when(~F.col("title_ok"), "title").when(~F.col("date_ok"), "date").when(F.col("incomplete"), "incomplete_pair").when(F.col("repeated"), "repeated_pair").when(F.col("no_class"), "no_class").when(~F.col("any"), "empty")
+    judged = seen.select(key, fault.alias("fault"), "bouts")
+    return judged.select(key, "fault", F.inline_outer(F.when(F.col("fault").isNull(), F.col("bouts")))).where("fault is not null or position is not null")
 
 
 #: Labels of a profile and the fields they fill.
