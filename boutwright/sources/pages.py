@@ -77,9 +77,12 @@ def _card_rows(pages: DataFrame, key: str, html: str, *keep: Column) -> DataFram
 CARD = ["position", "a_ref", "a_name", "b_ref", "b_name", "title_bout", "num_rounds"]
 
 
-def card(pages: DataFrame, key: str, html: str) -> DataFrame:
+def card(pages: DataFrame, key: str, html: str, shared_ids: bool = False) -> DataFrame:
     """key, position, ids and names of both sides, title bout, rounds of every bout of a card that has no result yet and names two sides; what cannot be read is left out (``reviewed_card`` says what)."""
-    ok = _card_rows(pages, key, html).where(~F.col("done") & (F.size("who") == 2)).where("a_ref <> b_ref and a_name <> '' and b_name <> ''")
+    rows = _card_rows(pages, key, html).where("position is not null")
+    # an array of one row keeps the filter from working all columns out again
+    read = rows.select(key, F.inline(F.array(F.struct(*CARD, "done", F.size("who").alias("sides")))))
+    ok = read.where(~F.col("done") & (F.col("sides") == 2) & ~one_person(shared_ids)).where("a_ref is not null and b_ref is not null and a_name <> '' and b_name <> ''")
     return ok.select(key, *CARD)
 
 

@@ -20,7 +20,7 @@ def shared(tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["reviewed_cards"])
+@pytest.mark.parametrize("name", ["reviewed_cards", "card_pages"])
 def test_one_profile_under_two_names(spark, shared, name):
     d, con = shared
     assert same(spark, con, q_pages.QUERIES[name], q_pages.SQL[name], d) == ""
@@ -39,6 +39,8 @@ def test_one_profile_is_one_person_unless_asked(spark):
     faults = lambda **k: {r["page"]: r["fault"] for r in P.reviewed_card(df, "page", "html", "title", "day", **k).collect()}
     assert faults() == {1: None, 2: "repeated_pair", 3: "repeated_pair", 4: "empty", 5: "incomplete_pair"}
     assert faults(shared_ids=True) == {1: None, 2: None, 3: "repeated_pair", 4: "empty", 5: "incomplete_pair"}
+    kept = lambda **k: {r["page"] for r in P.card(df, "page", "html", **k).collect()}
+    assert kept() == {1} and kept(shared_ids=True) == {1, 2}
 
 
 def test_cards_are_read_once_without_joins(spark, shared):
