@@ -171,11 +171,13 @@ def bout(pages: DataFrame, key: str, html: str, shared_ids: bool = False) -> Dat
 def rankings(pages: DataFrame, key: str, html: str, most: int = 15) -> DataFrame:
     """key, division, name, rank: the first ``most`` names of each division of a rankings page, names normalised."""
     parts = F.split(F.col(html), r'(?i)<div\b[^>]*\bview-grouping"[^>]*>')
-    groups = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    rows = pages.select(key, F.explode(groups).alias("g"))
+    groups = F.filter(parts, lambda _, i: i > 0)
+    rows = pages.select(key, F.explode_outer(groups).alias("g"))
     division = normalise(plain(F.get(cut(F.col("g"), "h4"), 0)))
     names = F.filter(F.transform(links_in_titles(F.col("g")), normalise), lambda n: F.length(n) > 0)
-    out = rows.select(key, division.alias("division"), F.posexplode(F.slice(names, 1, most)).alias("at", "name")).where("division <> ''")
+    # read first: beside the explosion the division would be worked out for every name, and an inner one would read the names three times
+    read = rows.select(key, division.alias("division"), F.slice(names, 1, most).alias("__names")).where("division <> ''")
+    out = read.select(key, "division", F.posexplode_outer("__names").alias("at", "name")).where("name is not null")
     return out.groupBy(key, "division", "name").agg((F.max("at") + 1).alias("rank"))
 
 

@@ -46,3 +46,10 @@ def test_one_profile_is_one_person_unless_asked(spark):
 def test_cards_are_read_once_without_joins(spark, shared):
     plan = q_pages.QUERIES["reviewed_cards"](spark, shared[0])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_rankings_keep_positions_of_named_rows(spark):
+    cell = lambda n: f'<td class="views-field-title"><a>{n}</a></td>'
+    html = '<div class="view-grouping"><h4>Fly</h4>' + cell("A") + cell("...") + cell("B") + cell("A") + '</div><div class="view-grouping"><h4></h4>' + cell("C") + '</div><div class="view-grouping"><h4>Open</h4></div>'
+    df = spark.createDataFrame([(1, html), (2, "no list")], "page int, html string")
+    assert {tuple(r) for r in P.rankings(df, "page", "html").collect()} == {(1, "fly", "a", 3), (1, "fly", "b", 2)}
