@@ -164,10 +164,10 @@ def boosted_walk_forward(spark, d):
     """Boosted trees against logistic regression over time-series folds: no SQL; tested to beat a coin."""
     p = predictions(spark, d).select("event_id", "bout_id", "event_date", F.col("target").cast("double").alias("target"), "prob_a", "market_a", F.col("fights_a").cast("double").alias("fights_a"), "price")
     p = p.withColumn("prob_a", F.when(F.col("bout_id") % 9 > 0, F.col("prob_a")))
-    features, folds = ["prob_a", "market_a", "fights_a", "price"], L.time_series_folds(p, "event_id", "event_date", 2)
-    out = None
+    features, out = ["prob_a", "market_a", "fights_a", "price"], None
+    dealt = L.with_folds(p, L.time_series_folds(p, "event_id", "event_date", 2), "event_id", [*features, "target"])
     for k in (1, 2):
-        part = lambda x: p.join(folds.where((F.col("fold") == k) & (F.col("part") == x)).select("event_id"), "event_id")  # noqa: B023, E731
+        part = lambda x: L.rows_of(dealt, k, x)  # noqa: B023, E731
         for name, model in (("boosted", L.boosted(part("train"), features)), ("logistic", L.logistic(part("train").na.fill(0.5), features))):
             s = E.losses(L.predicted(model, part("test").na.fill(0.5), ["target"]), [], "target", "prob").withColumns({"fold": F.lit(k), "model": F.lit(name)})
             out = s if out is None else out.unionByName(s)
