@@ -19,3 +19,13 @@ def test_folds_are_dealt_once(spark):
             assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
             want = df.join(folds.where((F.col("fold") == fold) & (F.col("part") == part)).select("pair"), "pair").select("pair", "x", "target")
             assert sorted(got.collect()) == sorted(want.collect()) != []
+
+
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    seen = []
+    real = learning.F.pmod
+    monkeypatch.setattr(learning.F, "pmod", lambda a, b: seen.append(str(b)) or real(a, b))
+    monkeypatch.setattr(learning, "SLICE_ROWS", 6)
+    df = _rows(spark)
+    learning.permutation_ranking(learning.logistic(df, ["x"]), df, ["x"], "x")
+    assert any("100" in s for s in seen)
