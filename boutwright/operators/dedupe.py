@@ -24,8 +24,11 @@ def collapse_bouts(rows: DataFrame) -> DataFrame:
 
 def reconcile(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row a bout: methods that differ become null, results that differ drop the bout."""
-    g = rows.groupBy(*keys).agg(F.count_distinct("method").alias("__m"), F.count_distinct("result").alias("__r"), F.min("method").alias("method"), F.min("result").alias("result"), F.count(F.lit(1)).alias("n_rows"))
-    return g.where("__r <= 1").withColumn("method", F.when(F.col("__m") <= 1, F.col("method"))).drop("__m", "__r")
+    # least and largest tell whether values differ; counting distinct ones would copy every row twice more
+    ends = [f(c).alias(n) for c in ("method", "result") for f, n in ((F.min, c), (F.max, f"__{c}"))]
+    g = rows.groupBy(*keys).agg(*ends, F.count(F.lit(1)).alias("n_rows"))
+    out = g.where("result is null or result = __result").withColumn("method", F.when(F.col("method") == F.col("__method"), F.col("method")))
+    return out.select(*keys, "method", "result", "n_rows")
 
 
 def keep_last_source(frames: list[DataFrame], keys: list[str], order: Column) -> DataFrame:

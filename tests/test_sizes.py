@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boutwright.operators import learning
+from boutwright.operators import dedupe, learning
 
 
 def _rows(spark):
@@ -29,3 +29,10 @@ def test_slices_grow_with_the_rows(spark, monkeypatch):
     df = _rows(spark)
     learning.permutation_ranking(learning.logistic(df, ["x"]), df, ["x"], "x")
     assert any("100" in s for s in seen)
+
+
+def test_conflicts_without_copies_of_rows(spark):
+    rows = [(1, "ko", "win"), (1, "ko", "win"), (2, "ko", "win"), (2, "sub", "win"), (3, "ko", "win"), (3, "ko", "loss"), (4, None, None), (5, None, "win"), (5, "ko", None), (5, "ko", "win")]
+    out = dedupe.reconcile(spark.createDataFrame(rows, "k int, method string, result string"), ["k"])
+    assert {tuple(r) for r in out.collect()} == {(1, "ko", "win", 2), (2, None, "win", 2), (4, None, None, 1), (5, "ko", "win", 3)}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
