@@ -46,6 +46,31 @@ def test_fuzzy_join_equals_all_pairs(spark):
     assert len([1 for *_, k in want if k == "similar"]) <= met < len(a) * len(b) / 50
 
 
+def test_common_words_alone_bring_no_names_together(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(5, 8)))
+    names = {f"the {word()} {word()}" for _ in range(600)} | {f"{word()} {word()} attion" for _ in range(600)}
+    near = {x[:-1] + "q" for x in sorted(names)[::40]}
+    make = lambda rows: spark.createDataFrame([(n,) for n in sorted(rows)], "key string")
+    got = M.meetings(make(names), make(names | near)).distinct()
+    assert got.count() < len(names) ** 2 / 30  # half of all pairs share a whole word
+    assert {tuple(r) for r in got.collect()} >= {(x, x[:-1] + "q") for x in sorted(names)[::40]} | {(x, x) for x in names}
+
+
+def test_cut_names_meet_whenever_they_are_near():
+    rng = random.Random(8)
+    for _ in range(4000):
+        x = "".join(rng.choice("ab c"[: rng.choice([2, 4])]) for _ in range(rng.randint(4, 60)))
+        y = list(x)
+        for _ in range(rng.randint(0, M._changes(len(x), len(x)))):
+            i = rng.randrange(len(y) + 1)
+            y[i : i + 1] = rng.choice([[], y[i : i + 1] + ["a"]])
+        y = "".join(y)
+        common = sum(b.size for b in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+        if y and len(x) + len(y) - 2 * common <= M._changes(len(x), len(y)):
+            assert M._cut(x, 0) & M._met(y, 0), (x, y)
+
+
 def _store(spark, root):
     rows = []
     for i in range(3000):
