@@ -168,14 +168,35 @@ def elo(bouts: DataFrame, pool: str | None = None, k: float = 32.0, start: float
     """fight_id, event_date and each side's id and rating before and after its bout; K is half as much again below five bouts, a draw counts a half.
 
     A rating couples both participants, so bouts are folded in time order; one rating holds over all
-    bouts. Bouts are sorted on the cluster and streamed through the fold, which keeps two numbers a
-    participant and no bouts: memory grows with the participants alone. ``pool`` names a column that
-    splits participants who never meet (leagues), whose bouts are then folded side by side.
+    bouts. The bouts of each month are sorted side by side and packed; the packs, which are few and
+    small, are put in order and streamed through the fold, which keeps two numbers a participant and
+    no bouts. Ratings are written as they come, so the fold's task hands nothing to a shuffle.
+    ``pool`` names a column that splits participants who never meet (leagues), whose bouts are then
+    folded side by side.
     """
+    from ..sources.tables import written
+
+    def pack(batches):
+        seq = 0
+        for b in batches:
+            keys = list(zip(b.column("pool").to_pylist(), b.column("month").to_pylist()))
+            at = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[at]:
+                    part, sink = b.slice(at, i - at), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([part.column("pool")[:1], part.column("month")[:1], pa.array([seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pool", "month", "seq", "bouts"])
+                    at, seq = i, seq + 1
+
+    def unpacked(batches):
+        for b in batches:
+            for x in b.column("bouts"):
+                yield from pa.ipc.open_stream(x.as_buffer())
 
     def fold(batches):
         state: dict = {}
-        for b in batches:
+        for b in unpacked(batches):
             keys = b.column("pool").to_pylist()
             ids = list(zip(keys, b.column("a_id").to_pylist())), list(zip(keys, b.column("b_id").to_pylist()))
             out = [[], [], [], []]
@@ -191,12 +212,15 @@ def elo(bouts: DataFrame, pool: str | None = None, k: float = 32.0, start: float
             kept = {c: b.column(c) for c in ("fight_id", "event_date", "a_id", "b_id")}
             yield pa.RecordBatch.from_pydict(kept | {n: pa.array(c, pa.float64()) for n, c in zip(("elo_a", "elo_b", "after_a", "after_b"), out)})
 
-    cols = bouts.select((F.col(pool) if pool else F.lit(0)).alias("pool"), "fight_id", "event_date", "a_id", "b_id", "winner")
-    ordered = cols.repartition("pool").sortWithinPartitions("event_date", "fight_id") if pool else cols.repartition(1).sortWithinPartitions("event_date", "fight_id")
+    cols = bouts.select((F.col(pool) if pool else F.lit(0)).alias("pool"), F.trunc("event_date", "month").alias("month"), "fight_id", "event_date", "a_id", "b_id", "winner")
+    # a month of a pool is in one task, so its packs count on in the order of its bouts
+    packs = cols.repartition("pool", "month").sortWithinPartitions("pool", "month", "event_date", "fight_id")
+    packs = packs.mapInArrow(pack, cols.select("pool", "month").schema.add("seq", "long").add("bouts", "binary"))
+    ordered = (packs.repartition("pool") if pool else packs.repartition(1)).sortWithinPartitions("month", "seq")
     kept = cols.select("fight_id", "event_date", "a_id", "b_id").schema
     for n in ("elo_a", "elo_b", "after_a", "after_b"):
         kept = kept.add(n, "double")
-    return ordered.mapInArrow(fold, kept)
+    return written(ordered.mapInArrow(fold, kept), "ratings")
 
 
 def rating_rows(ratings: DataFrame) -> DataFrame:

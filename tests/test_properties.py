@@ -94,6 +94,18 @@ def test_elo_against_loop(spark):
     assert len(split) == len(got) and all(split[k] == pytest.approx(v) for k, v in one.items())
 
 
+def test_elo_in_small_packs_hands_on_written_ratings(spark):
+    b = fixtures.bouts(spark, SF)
+    want = {r.fight_id: (r.elo_a, r.after_b) for r in H.elo(b).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # several packs a month
+    try:
+        out = H.elo(b)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.fight_id: (r.elo_a, r.after_b) for r in out.collect()} == want and len(want) > 100
+    assert "Exchange" not in out._jdf.queryExecution().toString()  # the fold's one task feeds no shuffle
+
+
 def test_sweep_against_loop(spark):
     data = [("p", dt.date(2020, 1, 1) + dt.timedelta(days=i), i, 0.4 + i % 5 / 20, 1.8 + i % 3 / 2, i % 2) for i in range(40)]
     df = spark.createDataFrame(data, "pool string, event_date date, bet_id int, prob double, odds double, won int")
