@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,14 +37,24 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def normalise(name: Column) -> Column:
     """Lower case, no accents, words of letters, digits and underscores, single spaces."""
-    s = F.lower(F.translate(F.regexp_replace(name, r"\p{M}+", ""), ACCENTED, PLAIN))
-    single = {k: v for k, v in SPECIAL.items() if len(v) == 1}
-    s = F.translate(s, "".join(single), "".join(single.values()))
-    for k, v in SPECIAL.items():
-        s = F.replace(s, F.lit(k), F.lit(v)) if len(v) > 1 else s
-    return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", " "))
+
+    def folded(x: Column) -> Column:
+        s = F.lower(F.translate(F.regexp_replace(x, r"\p{M}+", ""), ACCENTED, PLAIN))
+        single = {k: v for k, v in SPECIAL.items() if len(v) == 1}
+        s = F.translate(s, "".join(single), "".join(single.values()))
+        for k, v in SPECIAL.items():
+            s = F.replace(s, F.lit(k), F.lit(v)) if len(v) > 1 else s
+        return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", " "))
+
+    # plain letters need none of the folding
+    return _let(name, lambda x: F.when(F.length(x) == F.octet_length(x), F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9_]+", " "))).otherwise(folded(x)))
 
 
 @F.pandas_udf(StringType())
@@ -72,9 +83,17 @@ def _looked_up(x: Column, table: dict[str, str]) -> Column:
 
 
 def _long_form(name: Column) -> Column:
-    tokens = F.filter(F.split(normalise(name), " "), lambda t: ~t.isin(*SUFFIXES))
-    long = _looked_up(F.get(tokens, 0), NICKNAMES)
-    return F.when(F.size(tokens) > 0, F.array_join(F.concat(F.array(long), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))), " "))
+    return long_form(normalise(name))
+
+
+def long_form(normalised: Column) -> Column:
+    """The canonical name of a normalised one."""
+
+    def joined(tokens: Column) -> Column:
+        long = _looked_up(F.get(tokens, 0), NICKNAMES)
+        return F.when(F.size(tokens) > 0, F.array_join(F.concat(F.array(long), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))), " "))
+
+    return _let(F.filter(F.split(normalised, " "), lambda t: ~t.isin(*SUFFIXES)), joined)
 
 
 def same_person(a: Column, b: Column) -> Column:
