@@ -28,6 +28,39 @@ def last(n: int, *keys: str) -> Window:
     return entity(*keys).rowsBetween(-n, -1)
 
 
+def whole_keys(batches, name: str = "key"):
+    """Sorted batches as tables that hold whole keys, each with the first rows of its keys (and its length at the end); a key that goes on in the next batch is held until it ends."""
+    held: list[pa.RecordBatch] = []
+
+    def table():
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t, [0, *_changes(t.column(name).combine_chunks()), t.num_rows]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(name)
+        if held and held[-1].column(name)[-1].as_py() != keys[0].as_py():
+            yield table()
+            held = []
+        last = max(_changes(keys), default=0)
+        if last:
+            held.append(b.slice(0, last))
+            yield table()
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield table()
+
+
+def _changes(keys: pa.Array) -> list[int]:
+    """Where a key differs from the one before it; keys have no nulls."""
+    import pyarrow.compute as pc
+
+    differs = pc.not_equal(keys.slice(1), keys.slice(0, max(0, len(keys) - 1)))
+    return (differs.to_numpy(zero_copy_only=False).nonzero()[0] + 1).tolist()
+
+
 def result_of(winner: Column, own: Column, other: Column) -> Column:
     """win or loss where the winner is a side; anything else, unknown included, is a draw."""
     return F.when(winner == own, "win").when(winner == other, "loss").otherwise("draw")
@@ -81,8 +114,13 @@ def loss_methods(rows: DataFrame) -> DataFrame:
 
 def both_sides(bouts: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Participant columns back on the bout as a_* and b_* (one grouped pass, no two joins)."""
+    return bouts.join(side_by_side(rows, columns), "fight_id", "left")
+
+
+def side_by_side(rows: DataFrame, columns: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """Both participants' rows as one row a bout: ``columns`` as a_* and b_*; ``carried`` stand alike in both rows."""
     pick = lambda s: [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for c in columns]
-    return bouts.join(rows.groupBy("fight_id").agg(*pick("a"), *pick("b")), "fight_id", "left")
+    return rows.groupBy("fight_id").agg(*[F.first(c).alias(c) for c in carried], *pick("a"), *pick("b"))
 
 
 def differences(df: DataFrame, columns: list[str]) -> DataFrame:

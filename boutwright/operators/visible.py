@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .history import whole_keys
+
 BLOCK = 64
 
 
@@ -62,21 +64,52 @@ class Visible:
         return n, sums
 
 
+#: Careers of up to as many rows are taken as a matrix of rows by earlier rows, in slices of bounded memory.
+DENSE, CELLS = 4096, 1 << 20
+
+
 def _career(day: np.ndarray, captured: np.ndarray, values: np.ndarray, half_life: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Visible rows, their means and their decayed means before each row; rows stand in the order of the career."""
     n, k = values.shape
+    many, sums = (_dense if n <= DENSE else _blocks)(day, captured, values, half_life)
+    s, w, total, count = sums.transpose(1, 0, 2)
+    mean, ewm = np.full((n, k), np.nan), np.full((n, k), np.nan)
+    has = count > 0
+    mean[has], ewm[has] = total[has] / count[has], s[has] / w[has]
+    return many, mean, ewm
+
+
+def _dense(day: np.ndarray, captured: np.ndarray, values: np.ndarray, half_life: float) -> tuple[np.ndarray, np.ndarray]:
+    """Visible rows before each row and their four sums, by products of matrices."""
+    n, k = values.shape
+    known = ~np.isnan(values)
+    both = np.concatenate((np.where(known, values, 0.0), known), axis=1)
+    fade = (0.5 ** (1 / half_life)) ** np.arange(n)
+    many, sums = np.zeros(n, np.int64), np.zeros((n, 4, k))
+    step = max(16, min(96, CELLS // n))  # a slice takes no columns after its rows
+    for a in range(0, n, step):
+        b = min(a + step, n)
+        seen = (captured[:b] < day[a:b, None]) & (np.arange(b) < np.arange(a, b)[:, None])
+        upto = np.cumsum(seen, axis=1, dtype=np.int32)
+        many[a:b] = upto[:, -1]
+        sums[a:b, :2] = (np.where(seen, fade[upto[:, -1:] - upto], 0.0) @ both[:b]).reshape(-1, 2, k)
+        sums[a:b, 2:] = (seen.astype(float) @ both[:b]).reshape(-1, 2, k)
+    return many, sums
+
+
+def _blocks(day: np.ndarray, captured: np.ndarray, values: np.ndarray, half_life: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_dense``, for careers too long for a matrix."""
+    n, k = values.shape
     seen = Visible(values, half_life)
-    many, mean, ewm = np.zeros(n, np.int64), np.full((n, k), np.nan), np.full((n, k), np.nan)
+    many, sums = np.zeros(n, np.int64), np.zeros((n, 4, k))
     shows = np.argsort(captured, kind="stable")
     at = 0
     for i in np.argsort(day, kind="stable").tolist():
         while at < n and captured[shows[at]] < day[i]:
             seen.show(int(shows[at]))
             at += 1
-        many[i], (s, w, total, count) = seen.before(i)
-        has = count > 0
-        mean[i, has], ewm[i, has] = total[has] / count[has], s[has] / w[has]
-    return many, mean, ewm
+        many[i], sums[i] = seen.before(i)
+    return many, sums
 
 
 def visible_rolling(rows: DataFrame, captured: str, stats: tuple[str, ...], half_life: float = 3.0, entity: str = "entity", date: str = "event_date", tie: str = "fight_id") -> DataFrame:
@@ -90,35 +123,21 @@ def visible_rolling(rows: DataFrame, captured: str, stats: tuple[str, ...], half
     k = len(stats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
+        for t, starts in whole_keys(batches):
             day = t.column("day").fill_null(-never).to_numpy().copy()
             shown = t.column("shown").to_numpy().copy()
             shown[day == -never] = never
-            values = np.stack([t.column(f"v{j}").cast(pa.float64()).to_numpy(zero_copy_only=False) for j in range(k)], axis=1) if k else np.zeros((len(day), 0))
-            many, mean, ewm = _career(day, shown, values, half_life)
+            values = np.stack([t.column(f"v{j}").to_numpy() for j in range(k)], axis=1) if k else np.zeros((len(day), 0))
+            found = [_career(day[a:b], shown[a:b], values[a:b], half_life) for a, b in zip(starts, starts[1:])]
+            many, mean, ewm = (np.concatenate(x) for x in zip(*found))
             cols = [pa.array(many)] + [pa.array(m[:, j], from_pandas=True) for j in range(k) for m in (mean, ewm)]
-            return pa.RecordBatch.from_arrays([t.column("row").combine_chunks(), *cols], names)
-
-        for b in batches:
-            keys = b.column("key").to_pylist()
-            at = 0
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[at]:
-                    if held and held[-1].column("key")[0].as_py() != keys[at]:
-                        yield flush()
-                        held = []
-                    held.append(b.slice(at, i - at))
-                    at = i
-        if held:
-            yield flush()
+            yield pa.RecordBatch.from_arrays([t.column("row").combine_chunks(), *cols], names)
 
     names = ["row", "n_visible", *[f"{p}_{s}" for s in stats for p in ("mean", "ewm")]]
     day = F.unix_micros(F.col(date).cast("timestamp"))
     shown = F.when(F.col(captured).isNull(), F.lit(-never)).otherwise(F.unix_micros(F.col(captured).cast("timestamp")))
-    src = rows.select(F.struct("*").alias("row"), F.to_json(F.struct(entity)).alias("key"), day.alias("day"), shown.alias("shown"), F.col(tie).alias("tie"), *[F.col(s).cast("double").alias(f"v{j}") for j, s in enumerate(stats)])
+    # what the pass reads is made after the sort, so only the rows themselves are shuffled
+    ordered = rows.repartition(F.col(entity)).sortWithinPartitions(entity, date, tie)
+    src = ordered.select(F.struct("*").alias("row"), F.to_json(F.struct(entity)).alias("key"), day.alias("day"), shown.alias("shown"), *[F.col(s).cast("double").alias(f"v{j}") for j, s in enumerate(stats)])
     schema = T.StructType([src.schema["row"], T.StructField("n_visible", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[2:]]])
-    ordered = src.repartition("key").sortWithinPartitions("key", "day", "tie")
-    return ordered.mapInArrow(run, schema).select("row.*", *names[1:])
+    return src.mapInArrow(run, schema).select("row.*", *names[1:])

@@ -130,6 +130,7 @@ def visible_rolling(spark, d):
     """Means and decayed means of what had been captured before each bout; captures come up to 900 days late, a fifth are undated."""
     captured = F.when(F.col("fight_id") % 5 > 0, F.date_add("event_date", (F.col("fight_id") % 900).cast("int")))
     rows = _long(spark, d).withColumns({"captured": captured, "opp": F.when(F.col("fight_id") % 7 > 0, F.col("opp_landed"))})
+    rows = rows.select("fight_id", "side", "entity", "event_date", "captured", "landed", "opp")
     out = V.visible_rolling(rows, "captured", ("landed", "opp"))
     return out.select("fight_id", "side", "n_visible", *[r6(c).alias(c) for c in ("mean_landed", "ewm_landed", "mean_opp", "ewm_opp")])
 

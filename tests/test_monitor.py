@@ -187,3 +187,19 @@ def test_many_statistics_roll_as_few_do(spark):
         for s in stats[:2]:
             x, y = wide[i][f"roll_{s}"], r[f"roll_{s}"]
             assert (x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-9))
+
+
+def test_visible_careers_cost_no_pass_a_row(monkeypatch):
+    """Usual careers are taken as matrices, in slices, and agree with the blocks that long ones take."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    day = np.sort(rng.integers(0, 500, 300))
+    captured, values = day + rng.choice([-(10**9), 0, 3, 200], 300), np.where(rng.random((300, 2)) < 0.2, np.nan, rng.random((300, 2)))
+    monkeypatch.setattr(V, "DENSE", 0)
+    want = V._career(day, captured, values, 3.0)
+    monkeypatch.setattr(V, "DENSE", 300)
+    monkeypatch.setattr(V, "CELLS", 7000)
+    monkeypatch.setattr(V, "Visible", None)
+    for x, y in zip(want, V._career(day, captured, values, 3.0)):
+        assert np.allclose(x, y, rtol=1e-12, equal_nan=True)
