@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import before, differences, entity
+from .history import before, differences, entity, whole_keys
 
 #: Statistics of a bout that are rolled, in the contract's order.
 BASE = ("slpm", "sapm", "str_acc", "str_def", "td_avg", "td_acc", "td_def", "sub_avg", "sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted", "kd", "sub_att", "rev", "ctrl_seconds")
@@ -65,16 +65,18 @@ def participant_rows(bouts: DataFrame, minutes: Column, carried: tuple[str, ...]
     return bouts.select("fight_id", "event_date", *carried, both).select("fight_id", "event_date", *carried, "x.*")
 
 
-def rolled(rows: DataFrame, stats: tuple[str, ...] = ROLLED, half_life: float = 3.0, block: int = 240) -> DataFrame:
+def rolled(rows: DataFrame, stats: tuple[str, ...] = ROLLED, half_life: float = 3.0, block: int = 240, keep: tuple[str, ...] | None = None) -> DataFrame:
     """roll_* of every statistic: exponentially weighted means of strictly earlier rows; positions of unknown values count.
 
     Powers of two of a position would overflow along a career, so positions are cut into blocks.
     A row adds up its own block's earlier rows and the block before; what is older weighs less
     than the last bit of a double. One sort and one shuffle serve all statistics. More than ``WIDE``
     statistics, which would be hundreds of windows, go through one pass over the sorted rows instead.
+    ``keep`` names the columns of ``rows`` that are returned (all, if it is not given).
     """
+    keep = tuple(rows.columns) if keep is None else keep
     if len(stats) > WIDE:
-        return _rolled_wide(rows, stats, half_life)
+        return _rolled_wide(rows, stats, half_life, keep)
     at = rows.withColumn("__i", F.row_number().over(entity()) - 1)
     at = at.withColumn("__b", F.floor(F.col("__i") / block)).withColumn("__p", F.pow(F.lit(2.0), (F.col("__i") % block) / half_life))
     own = Window.partitionBy("entity", "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,41 +93,57 @@ def rolled(rows: DataFrame, stats: tuple[str, ...] = ROLLED, half_life: float =
     out = at.select(*rows.columns, *means)
     # between unknown values the mean stands still: a whole block of them takes the last known one
     still = [F.coalesce(F.col(f"__m_{s}"), F.last(f"__m_{s}", ignorenulls=True).over(before())).alias(f"roll_{s}") for s in stats]
-    return out.select(*rows.columns, *still)
+    return out.select(*keep, *still)
 
 
 #: From how many statistics on sums are carried along the sorted rows instead of by windows.
 WIDE = 8
 
 
-def _rolled_wide(rows: DataFrame, stats: tuple[str, ...], half_life: float) -> DataFrame:
-    """As ``rolled``, by sums that are carried from row to row; a task keeps one participant's sums and no rows."""
+#: Rows of one participant whose sums are made by one product of matrices.
+STEP = 64
+
+
+def _faded_means(values, half_life: float):
+    """Decayed means of the rows before each row of one participant; where nothing is new the mean stands still, however far its sums have faded."""
+    import numpy as np
+
+    (n, k), fade = values.shape, 0.5 ** (1 / half_life)
+    known = ~np.isnan(values)
+    both, sums, carried = np.concatenate((np.where(known, values, 0.0), known), axis=1), np.empty((n, 2 * k)), np.zeros(2 * k)
+    ahead = np.arange(STEP + 1)[:, None] - np.arange(STEP)
+    weight, left = np.where(ahead > 0, fade ** np.maximum(ahead, 0), 0.0), fade ** np.arange(STEP + 1)[:, None]
+    for a in range(0, n, STEP):
+        m = min(STEP, n - a)
+        out = weight[: m + 1, :m] @ both[a : a + m] + left[: m + 1] * carried
+        sums[a : a + m], carried = out[:m], out[m]
+    fresh = np.zeros((n, k), bool)
+    fresh[1:] = known[:-1]
+    mean = np.full((n, k), np.nan)
+    np.divide(sums[:, :k], sums[:, k:], out=mean, where=fresh)
+    return np.take_along_axis(mean, np.maximum.accumulate(np.where(fresh, np.arange(n)[:, None], 0), axis=0), axis=0)
+
+
+def _rolled_wide(rows: DataFrame, stats: tuple[str, ...], half_life: float, keep: tuple[str, ...]) -> DataFrame:
+    """As ``rolled``, by sums that are carried along the sorted rows; a task keeps the rows of some participants."""
     import numpy as np
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    k, fade = len(stats), 0.5 ** (1 / half_life)
+    k = len(stats)
 
     def run(batches):
-        key, sums, weights, mean = None, np.zeros(k), np.zeros(k), np.full(k, np.nan)
-        for b in batches:
-            values = np.stack([b.column(f"v{j}").to_numpy(zero_copy_only=False) for j in range(k)], axis=1)
-            known = ~np.isnan(values)
-            values = np.where(known, values, 0.0)
-            out = np.empty_like(values)
-            for i, own in enumerate(b.column("key").to_pylist()):
-                if own != key:
-                    key, sums, weights, mean = own, np.zeros(k), np.zeros(k), np.full(k, np.nan)
-                out[i] = mean
-                sums, weights = (sums + values[i]) * fade, (weights + known[i]) * fade
-                # where nothing is new the mean stands still, however far both sums have faded
-                mean = np.where(known[i], sums / np.where(weights > 0, weights, 1.0), mean)
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(out[:, j], from_pandas=True) for j in range(k))], ["row", *names])
+        for t, starts in whole_keys(batches):
+            values = np.stack([t.column(f"v{j}").to_numpy() for j in range(k)], axis=1)
+            means = np.concatenate([_faded_means(values[a:b], half_life).T for a, b in zip(starts, starts[1:])], axis=1)
+            yield pa.RecordBatch.from_arrays([t.column("row").combine_chunks(), *(pa.array(m, from_pandas=True) for m in means)], ["row", *names])
 
     names = [f"roll_{s}" for s in stats]
-    src = rows.select(F.struct("*").alias("row"), F.to_json(F.struct("entity")).alias("key"), F.col("event_date").alias("o1"), F.col("fight_id").alias("o2"), *[F.col(s).cast("double").alias(f"v{j}") for j, s in enumerate(stats)])
+    # what the pass reads is made after the sort, so only the kept columns and the statistics are shuffled
+    ordered = rows.repartition("entity").sortWithinPartitions("entity", "event_date", "fight_id")
+    src = ordered.select(F.struct(*keep).alias("row"), F.to_json(F.struct("entity")).alias("key"), *[F.col(s).cast("double").alias(f"v{j}") for j, s in enumerate(stats)])
     schema = T.StructType([src.schema["row"], *[T.StructField(n, T.DoubleType()) for n in names]])
-    return src.repartition("key").sortWithinPartitions("key", "o1", "o2").mapInArrow(run, schema).select("row.*", *names)
+    return src.mapInArrow(run, schema).select("row.*", *names)
 
 
 def stance_code(s: Column) -> Column:

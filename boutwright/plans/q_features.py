@@ -116,10 +116,11 @@ SELECT b.fight_id, {', '.join(f'round({_DA[k]}, 6) a_{k}, round({_DB[k]}, 6) b_{
 FROM sb b JOIN ro ea ON ea.fight_id = b.fight_id AND ea.side = 'a' JOIN ro eb ON eb.fight_id = b.fight_id AND eb.side = 'b' JOIN cc ca ON ca.fight_id = b.fight_id AND ca.side = 'a' JOIN cc cb ON cb.fight_id = b.fight_id AND cb.side = 'b'""")
 def feature_matrix(spark, d):
     """Rolled statistics, counters and derived matchup features of every bout."""
-    b = stat_bouts(spark, d)
-    rows = H.prior_counts(X.rolled(X.participant_rows(b, F.col("n_rounds") * 5.0), _NEED))
+    ages, kept = ("a_age", "b_age"), ("fight_id", "event_date", "method", "n_rounds", "side", "entity", "result")
+    rows = X.participant_rows(stat_bouts(spark, d), F.col("n_rounds") * 5.0, ("method", "n_rounds", *ages))
+    rows = H.prior_counts(X.rolled(rows, _NEED, keep=(*kept, *ages)))
     names = [*[f"roll_{s}" for s in _NEED], "wins", "losses", "wins_ko", "wins_sub", "wins_dec", "days_since"]
-    out = X.matchup(H.both_sides(b.select("fight_id", "a_age", "b_age"), rows, names))
+    out = X.matchup(H.side_by_side(rows, names, ages))
     out = H.differences(out, [f"roll_{k}" for k in _DIFF])
     shown = [f"{p}_{k}" for k in X.DERIVED for p in ("a", "b", "diff")] + [f"diff_roll_{k}" for k in _DIFF] + ["pace_mismatch"]
     return out.select("fight_id", *[r6(c).alias(c) for c in shown])

@@ -107,3 +107,16 @@ def test_window_status_and_selections(spark):
 def test_summary_of_duplicates_and_priorities(spark):
     parts = [spark.createDataFrame([(1, 10), (2, 20)], "k int, v int"), spark.createDataFrame([(2, 21)], "k int, v int")]
     assert sorted((r.k, r.v) for r in D.keep_last_source(parts, ["k"], F.asc("v")).collect()) == [(1, 10), (2, 21)]
+
+
+def test_wide_roll_returns_what_is_kept(spark):
+    from boutwright.operators import features as X
+
+    stats = tuple(f"s{j}" for j in range(X.WIDE + 1))
+    df = spark.range(100).select(F.col("id").alias("fight_id"), (F.col("id") % 2).alias("entity"), F.expr("date_add(DATE '2020-01-01', CAST(id AS INT))").alias("event_date"), *[F.col("id").cast("double").alias(s) for s in stats])
+    out = X.rolled(df, stats, keep=("fight_id",))
+    assert out.columns == ["fight_id", *[f"roll_{s}" for s in stats]]
+    means = {r.fight_id: r.roll_s0 for r in out.collect()}
+    assert means[0] is None and means[2] == 0.0
+    w = [0.5 ** (i / 3) for i in range(49)]
+    assert abs(means[98] - sum(x * v for x, v in zip(w, range(96, -1, -2))) / sum(w)) < 1e-9
