@@ -84,7 +84,7 @@ def bout_rates(spark, d):
 def rolled_statistics(spark, d):
     """All 55 rolled statistics of both participants before each bout."""
     rows = X.participant_rows(stat_bouts(spark, d), F.col("n_rounds") * 5.0)
-    return X.rolled(rows).select("fight_id", "side", *[r6(f"roll_{s}").alias(f"roll_{s}") for s in X.ROLLED])
+    return X.rolled(rows, keep=("fight_id", "side")).select("fight_id", "side", *[r6(f"roll_{s}").alias(f"roll_{s}") for s in X.ROLLED])
 
 
 _NEED = ("slpm", "sapm", "str_def", "td_def", "sig_str_landed", "ctrl_seconds", "opp_kd", "opp_sig_str_landed", "opp_sig_str_attempted", "won")
