@@ -30,64 +30,80 @@ def turned(df: DataFrame, cond: Column) -> DataFrame:
     return df.withColumns({c: F.when(cond, F.col(o)).otherwise(F.col(c)) for x, y in pairs for c, o in ((x, y), (y, x))})
 
 
-def first_of(frames: list[DataFrame]) -> DataFrame:
-    """All bouts of the keyed frames; of one that several have, the first frame's row."""
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more.join(out.select("__key"), "__key", "left_anti"), allowMissingColumns=True)
-    return out
-
-
-def _beside(old: DataFrame, new: DataFrame, how: str) -> tuple[DataFrame, Column, Column]:
-    """Bouts of both, the newer row as ``n``, turned to the older one's sides."""
-    o = old.select(F.col("__key"), F.col("__a").alias("__oa"), F.struct(*old.columns).alias("o"))
-    both = new.join(o, "__key", how)
-    n = turned(both, F.col("__oa").isNotNull() & (F.col("__oa") != F.col("__a"))).select("__key", F.struct(*new.columns).alias("n"), "o")
-    return n, F.col("o"), F.col("n")
-
-
-def merged_fields(old: DataFrame, new: DataFrame, prefer_new: list[str]) -> DataFrame:
-    """Keyed bouts of either source, field by field: ``prefer_new`` from the newer where it knows them, all others from the older first; sides as in the older."""
-    both, o, n = _beside(old, new, "full")
-    fields = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c != "__key"]
-
-    def pick(c: str) -> Column:
-        if c not in old.columns:
-            return n[c]
-        if c not in new.columns:
-            return o[c]
-        if c in (*SIDES, "__a", "__b", "row_id"):
-            return F.when(o.isNotNull(), o[c]).otherwise(n[c])
-        return F.coalesce(n[c], o[c]) if c in prefer_new else F.coalesce(o[c], n[c])
-
-    return both.select("__key", *[pick(c).alias(c) for c in fields])
-
-
-def with_older_market(old: DataFrame, new: DataFrame, market: list[str]) -> DataFrame:
-    """The newer bouts as they are; only unknown ``market`` fields are filled from the older source, turned to the newer one's sides."""
-    o = old.select("__key", F.col("__a").alias("__oa"), *[F.col(c).alias(f"__o_{c}") for c in market])
-    both = new.join(o, "__key", "left")
-    other = lambda c: ("b" if c[0] == "a" else "a") + c[1:]
-    same = F.col("__oa") == F.col("__a")
-    fill = {c: F.coalesce(F.col(c) if c in new.columns else F.lit(None), F.when(same, F.col(f"__o_{c}")).otherwise(F.col(f"__o_{other(c)}") if other(c) in market else F.col(f"__o_{c}"))) for c in market}
-    return both.withColumns(fill).select(*new.columns, *[c for c in market if c not in new.columns])
+#: The eight sets.
+VARIANTS = ("legacy_only", "pulled_all", "append_only", "pulled_plus_legacy_market", "hybrid_legacy_first", "hybrid_pulled_from_overlap", "best_of_both_fields", "best_of_both_full_history")
+
+
+def variant_rows(old: DataFrame, new: DataFrame, overlap: str, prefer_new: list[str], market: list[str]) -> DataFrame:
+    """All eight sets as one table of ``variant`` and the fields of both sources (null where a set's source has no such field).
+
+    ``overlap`` is the day from which the newer source is trusted beside the older one. Both sources
+    are keyed once and meet in one join; a bout's own two rows and the older source's first and last
+    day decide which sets it is in and with which fields. Where a set takes a field from both, it
+    comes from the newer row for ``prefer_new`` where that knows it, for all others from the older
+    row first; unknown ``market`` fields of the newer rows may be filled from the older.
+    """
+    fields = [c for c in dict.fromkeys([*old.columns, *new.columns])]
+    has_old, has_new, types = set(old.columns), set(new.columns), dict(new.dtypes) | dict(old.dtypes)
+    keyed_old, keyed_new = keyed(old), keyed(new)
+    o = keyed_old.select("__key", F.struct("__a", *old.columns).alias("o"))
+    n = keyed_new.select("__key", F.struct("__a", *new.columns).alias("n"))
+    ends = keyed_old.agg(F.max("event_date").alias("last"), F.min("event_date").alias("first"))
+    both = o.join(n, "__key", "full").crossJoin(F.broadcast(ends))  # one row of dates
+    in_old, in_new, day = F.col("o").isNotNull(), F.col("n").isNotNull(), F.coalesce("n.event_date", "o.event_date")
+    opposite = in_old & in_new & (F.col("o.__a") != F.col("n.__a"))
+    unknown = lambda c: F.lit(None).cast(types[c])
+
+    def partner(c: str, have: set[str]) -> str:
+        swap = {"a_": "b_", "b_": "a_"}
+        x = {SIDES[0]: SIDES[1], SIDES[1]: SIDES[0]}.get(c) or (swap[c[:2]] + c[2:] if c[:2] in swap else c)
+        return x if x in have else c
+
+    def older(c: str) -> Column:
+        return F.col(f"o.{c}") if c in has_old else unknown(c)
+
+    def newer(c: str) -> Column:
+        return F.col(f"n.{c}") if c in has_new else unknown(c)
+
+    def turned(c: str) -> Column:
+        """The newer row's field on the older one's sides."""
+        return F.when(opposite, F.col(f"n.{partner(c, has_new)}")).otherwise(F.col(f"n.{c}")) if c in has_new else unknown(c)
+
+    def filled(c: str) -> Column:
+        if c not in market:
+            return newer(c)
+        other = partner(c, set(market))
+        return F.coalesce(newer(c), F.when(opposite, older(other)).otherwise(older(c)))
+
+    def merged(c: str, in_new: Column) -> Column:
+        x, y = older(c), F.when(in_new, turned(c))
+        if c in (*SIDES, "row_id"):
+            return F.when(in_old, x if c in has_old else y).otherwise(y)
+        return F.coalesce(y, x) if c in prefer_new else F.coalesce(x, y)
+
+    def row(of) -> Column:
+        return F.struct(*[of(c).alias(c) for c in fields])
+
+    from_cut = day >= F.lit(overlap).cast("date")
+    later, since = in_new & (day > F.col("last")), in_new & (day >= F.col("first"))
+    either = F.when(in_old, row(older)).otherwise(row(newer))
+    sets = {
+        "legacy_only": F.when(in_old, row(older)),
+        "pulled_all": F.when(in_new, row(newer)),
+        "append_only": F.when(in_old, row(older)).when(later, row(newer)),
+        "pulled_plus_legacy_market": F.when(in_new, row(filled)),
+        "hybrid_legacy_first": either,
+        "hybrid_pulled_from_overlap": F.when(~from_cut & in_old, row(older)).when(from_cut & in_new, row(newer)),
+        "best_of_both_fields": F.when(~from_cut & in_old, row(older)).when(from_cut, row(lambda c: merged(c, in_new))),
+        "best_of_both_full_history": F.when(in_old | since, row(lambda c: merged(c, since))),
+    }
+    listed = F.array(*[F.struct(F.lit(v).alias("variant"), sets[v].alias("x")) for v in VARIANTS])
+    return both.select(F.explode(F.filter(listed, lambda s: s["x"].isNotNull())).alias("s")).select("s.variant", "s.x.*")
 
 
 def dataset_variants(old: DataFrame, new: DataFrame, overlap: str, prefer_new: list[str], market: list[str]) -> dict[str, DataFrame]:
-    """The eight sets by name; ``overlap`` is the day from which the newer source is trusted beside the older one."""
-    old, new = keyed(old), keyed(new)
-    from_cut, day = F.col("event_date") >= F.lit(overlap).cast("date"), F.col("event_date")
-    ends = old.agg(F.max("event_date").alias("last"), F.min("event_date").alias("first"))
-    later = new.join(F.broadcast(ends)).where(F.col("last").isNotNull() & (day > F.col("last"))).drop("last", "first")  # one row of dates
-    since = new.join(F.broadcast(ends)).where(F.col("first").isNotNull() & (day >= F.col("first"))).drop("last", "first")
-    out = {
-        "legacy_only": old,
-        "pulled_all": new,
-        "append_only": first_of([old, later]),
-        "pulled_plus_legacy_market": with_older_market(old, new, market),
-        "hybrid_legacy_first": first_of([old, new]),
-        "hybrid_pulled_from_overlap": old.where(~from_cut).unionByName(new.where(from_cut), allowMissingColumns=True),
-        "best_of_both_fields": old.where(~from_cut).unionByName(merged_fields(old.where(from_cut), new.where(from_cut), prefer_new), allowMissingColumns=True),
-        "best_of_both_full_history": merged_fields(old, since, prefer_new),
-    }
-    return {k: df.drop("__key", "__a", "__b") for k, df in out.items()}
+    """The eight sets of ``variant_rows`` by name."""
+    rows = variant_rows(old, new, overlap, prefer_new, market)
+    of_old, of_new = old.columns, [*new.columns, *[c for c in market if c not in new.columns]]
+    columns = {"legacy_only": of_old, "pulled_all": new.columns, "pulled_plus_legacy_market": of_new}
+    return {v: rows.where(F.col("variant") == v).select(*columns.get(v, rows.columns[1:])) for v in VARIANTS}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import variants as V
+from ..sources.tables import written
 from .fixtures import BOUTS, bouts, run_sql
 
 QUERIES, SQL = {}, {}
@@ -41,10 +42,6 @@ UNION ALL SELECT 'best_of_both_fields', {_SHOW} FROM o WHERE event_date < DATE '
 UNION ALL SELECT 'best_of_both_full_history', * FROM ({_merged("SELECT * FROM o", "SELECT * FROM f WHERE event_date >= (SELECT min(event_date) FROM o)")}) q)
 SELECT variant, fighter_a, fighter_b, a_kd, b_kd, method, round(a_odds, 6) a_odds, round(b_odds, 6) b_odds FROM v""")
 def dataset_variants(spark, d):
-    b = bouts(spark, d)
-    sets = V.dataset_variants(run_sql(spark, d, _OLD, bouts=b), run_sql(spark, d, _NEW, bouts=b), _CUT, ["a_kd", "b_kd", "method"], ["a_odds", "b_odds"])
-    out = None
-    for name, df in sets.items():
-        part = df.select(F.lit(name).alias("variant"), "fighter_a", "fighter_b", "a_kd", "b_kd", "method", F.round("a_odds", 6).alias("a_odds"), F.round("b_odds", 6).alias("b_odds"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    b = written(bouts(spark, d), "bouts")  # both sources and the older one's days read it
+    rows = V.variant_rows(run_sql(spark, d, _OLD, bouts=b), run_sql(spark, d, _NEW, bouts=b), _CUT, ["a_kd", "b_kd", "method"], ["a_odds", "b_odds"])
+    return rows.select("variant", "fighter_a", "fighter_b", "a_kd", "b_kd", "method", F.round("a_odds", 6).alias("a_odds"), F.round("b_odds", 6).alias("b_odds"))

@@ -120,3 +120,22 @@ def test_wide_roll_returns_what_is_kept(spark):
     assert means[0] is None and means[2] == 0.0
     w = [0.5 ** (i / 3) for i in range(49)]
     assert abs(means[98] - sum(x * v for x, v in zip(w, range(96, -1, -2))) / sum(w)) < 1e-9
+
+
+def test_variants_meet_in_one_join(spark):
+    import datetime as dt
+
+    from boutwright.operators import variants
+
+    schema = "row_id int, event_date date, fighter_a string, fighter_b string, a_kd int, b_kd int, xx_kd int"
+    old = spark.sql("SELECT 1 row_id, DATE '2020-01-01' event_date, 'A' fighter_a, 'B' fighter_b, 1 a_kd, 2 b_kd, 0.5D a_odds, CAST(NULL AS DOUBLE) b_odds")
+    new = spark.createDataFrame([(1, dt.date(2020, 1, 1), "b", "a", 20, 10, 7), (2, dt.date(2021, 1, 1), "c", "d", 5, 6, 8)], schema)
+    rows = variants.variant_rows(old, new, "2020-01-01", ["a_kd"], ["a_odds", "b_odds"])
+    assert sum(rows._jdf.queryExecution().optimizedPlan().toString().count(j) for j in ("Join FullOuter", "Join LeftOuter", "Join LeftAnti")) == 1
+    got = {(r.variant, r.fighter_a): (r.a_kd, r.b_kd, r.xx_kd, r.a_odds, r.b_odds) for r in rows.collect()}
+    c = {(v, "c"): (5, 6, 8, None, None) for v in variants.VARIANTS if v != "legacy_only"}
+    a = {(v, "A"): (1, 2, None, 0.5, None) for v in ("legacy_only", "append_only", "hybrid_legacy_first")}
+    b = {("pulled_all", "b"): (20, 10, 7, None, None), ("hybrid_pulled_from_overlap", "b"): (20, 10, 7, None, None), ("pulled_plus_legacy_market", "b"): (20, 10, 7, None, 0.5)}
+    assert got == {**c, **a, **b, **{(v, "A"): (10, 2, 7, 0.5, None) for v in ("best_of_both_fields", "best_of_both_full_history")}}
+    sets = variants.dataset_variants(old, new, "2020-01-01", ["a_kd"], ["a_odds", "b_odds"])
+    assert sets["pulled_all"].columns == new.columns and sets["legacy_only"].columns == old.columns
