@@ -139,3 +139,14 @@ def test_variants_meet_in_one_join(spark):
     assert got == {**c, **a, **b, **{(v, "A"): (10, 2, 7, 0.5, None) for v in ("best_of_both_fields", "best_of_both_full_history")}}
     sets = variants.dataset_variants(old, new, "2020-01-01", ["a_kd"], ["a_odds", "b_odds"])
     assert sets["pulled_all"].columns == new.columns and sets["legacy_only"].columns == old.columns
+
+
+def test_rounds_are_drawn_once_for_a_comparison(spark):
+    """Both models come from one pass over the rows, and looked-up weights are the searched ones."""
+    df = spark.range(60).select("id", (F.col("id") % 2).alias("target"), (F.col("id") % 7 / 10).alias("p"), (F.col("id") % 5 / 10).alias("q"))
+    out = E.metric_comparison(E.bootstrap_metrics(df, "id", probs=("p", "q"), rounds=20), "p", "q")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert out.count() == len(E.METRICS)
+    draws = E.poisson_weights(np.arange(3000), 200, 1)
+    share = np.bincount(draws.astype(int).ravel(), minlength=4)[:4] / draws.size
+    assert np.allclose(share, [np.exp(-1) / x for x in (1, 1, 2, 6)], atol=2e-3)
