@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def appended(accepted: DataFrame, delta: DataFrame) -> DataFrame:
     """Accepted rows as they are, inherited duplicates included, and the delta's rows under the accepted header; columns the delta lacks are null, others it has are left out."""
@@ -126,6 +128,9 @@ def card_changes(old: DataFrame, new: DataFrame, complete: bool = True) -> DataF
     """
     side = lambda df, s: df.select(*[F.col(c).alias(f"{s}{c}") for c in ("key", "event", "day", "a_id", "b_id")], F.concat_ws("|", F.least("a_id", "b_id"), F.greatest("a_id", "b_id")).alias(f"{s}pair"))
     both = side(old, "o_").join(side(new, "n_"), F.col("o_key") == F.col("n_key"), "full")
+    # only what differs is looked at again: it is written once, as every kind of change reads it
+    differs = "o_key is null or n_key is null or (o_a_id = n_b_id and o_b_id = n_a_id) or not (o_day <=> n_day)"
+    both = written(both.where(differs), "card-differences")
     same = both.where("o_key is not null and n_key is not null")
     turned = same.where("o_a_id = n_b_id and o_b_id = n_a_id").select(F.col("o_key").alias("old_key"), F.col("n_key").alias("new_key"), F.lit("reversed").alias("change"))
     moved = same.where("not (o_day <=> n_day)").select(F.col("o_key").alias("old_key"), F.col("n_key").alias("new_key"), F.lit("rescheduled").alias("change"))

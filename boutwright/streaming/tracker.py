@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import refresh as R
 from ..sources import commits
+from ..sources.tables import written
 
 #: Fixed values, in millionths of a probability: a sharp move, a step that counts as steady, a move with a direction, the growth that alerts again.
 SHARP, STEADY, DIRECTED, AGAIN = 50_000, 5_000, 20_000, 50_000
@@ -108,7 +109,7 @@ def monitor_cards(spark: SparkSession, feed: str, root: str, checkpoint: str):
                 old, complete = scan, True
             else:
                 old = commits.read_frame(spark, root, last, "card", scan.schema)
-            changes = R.card_changes(old, scan, complete)
+            changes = written(R.card_changes(old, scan, complete), "card-changes")  # the card reads it too
             notice = R.short_notice(old, scan)
             card = scan
             if not complete:

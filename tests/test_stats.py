@@ -150,3 +150,13 @@ def test_rounds_are_drawn_once_for_a_comparison(spark):
     draws = E.poisson_weights(np.arange(3000), 200, 1)
     share = np.bincount(draws.astype(int).ravel(), minlength=4)[:4] / draws.size
     assert np.allclose(share, [np.exp(-1) / x for x in (1, 1, 2, 6)], atol=2e-3)
+
+
+def test_cards_are_compared_once(spark):
+    """What differs is written once and read by every kind of change, so no plan compares the cards again."""
+    schema = "key int, event int, day string, a_id int, b_id int"
+    old = spark.createDataFrame([(1, 7, "d", 1, 2), (2, 7, "d", 1, 3), (3, 7, "d", 5, 4)], schema)
+    new = spark.createDataFrame([(1, 7, "d", 2, 1), (2, 7, "e", 1, 3), (4, 8, "d", 1, 6)], schema)
+    out = R.card_changes(old, new)
+    assert "Join FullOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.old_key or 0, r.new_key or 0, r.change) for r in out.collect()) == [(0, 4, "added"), (1, 1, "reversed"), (2, 2, "rescheduled"), (3, 0, "removed")]
