@@ -49,12 +49,12 @@ def line_alerts(stream: DataFrame, market: str, time: str, prob: str, late: str
         s = json.loads(state.get[0]) if state.exists else {"n": 0, "alerts": {}, "pending": {}, "t": None}
         pending = s["pending"]
         if not state.hasTimedOut:
-            for f in frames:
-                known = f[f["p"].notna()]
-                sums = known.groupby("t")["p"].agg(["sum", "count"])
-                for t, total, count in zip(sums.index.tolist(), sums["sum"].tolist(), sums["count"].tolist()):
-                    old = pending.get(str(t), (0.0, 0))
-                    pending[str(t)] = (old[0] + total, old[1] + count)
+            for f in frames:  # a market has a few rows in a batch: plain numbers are quicker than frames of them
+                for t, p in zip(f["t"].tolist(), f["p"].tolist()):
+                    if None not in (t, p) and t == t and p == p:  # times beside an unknown one come as floats
+                        at_ = str(int(t))
+                        total, count = pending.get(at_, (0.0, 0))
+                        pending[at_] = (total + p, count + 1)
         now, out = state.getCurrentWatermarkMs(), []
         for t in sorted(map(int, pending)):
             if t < now:
@@ -68,7 +68,8 @@ def line_alerts(stream: DataFrame, market: str, time: str, prob: str, late: str
             due = min(map(int, pending)) if pending else end
             if due is not None:
                 state.setTimeoutTimestamp(max(due, now + 1))
-        yield pd.DataFrame([(key[0], *row) for row in out], columns=["k", "t", "kind", "direction", "movement", "opening", "current", "n_snapshots"])
+        if out:
+            yield pd.DataFrame([(key[0], *row) for row in out], columns=["k", "t", "kind", "direction", "movement", "opening", "current", "n_snapshots"])
 
     at = F.col(time).cast("timestamp")
     src = stream.select(F.col(market).alias("k"), at.alias("at"), F.unix_millis(at).alias("t"), F.col(prob).cast("double").alias("p")).withWatermark("at", late)

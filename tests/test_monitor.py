@@ -150,6 +150,16 @@ def test_incomplete_scans_remove_nothing_and_replays_change_nothing(spark, tmp_p
     assert rows(notice) == [(1, 21, 22, 99, 5)]
 
 
+def test_quotes_without_a_time_or_a_price_are_passed_over(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(1, t0, 0.5), (1, None, 0.9), (1, t0 + dt.timedelta(hours=1), 0.6), (1, t0 + dt.timedelta(hours=2), None), (2, t0 + dt.timedelta(days=9), 0.5)]
+    spark.createDataFrame(data, "market int, t timestamp, p double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("market int, t timestamp, p double").parquet(str(tmp_path / "in"))
+    out = tracker.line_alerts(src, "market", "t", "p", "1 hour")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.market, r.kind, r.n_snapshots) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()] == [(1, "sharp", 2)]
+
+
 # visible histories ----------------------------------------------------------------------------
 def test_visible_rolling_equals_a_plain_loop(spark):
     rng, data = random.Random(2), []
