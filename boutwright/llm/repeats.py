@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``window`` bytes that covers it also starts anywhere else in the corpus
 (another place of the same text included; matches never cross texts). The window is 400 bytes by
-default; the pipeline takes ``PASSAGE``.
+default; the pipeline takes ``PASSAGE``, the query both.
 
 1. Equal texts collapse to one row with a count: a table bucketed by the text's key, so no later
    step shuffles texts again.
@@ -18,6 +18,10 @@ default; the pipeline takes ``PASSAGE``.
    they share and by their whole string; then into parts of 8 and into single windows.
 4. Covered bytes are cut out of each distinct text, and every document takes its text's result.
 
+A shorter ``passage`` may be judged beside the window. It comes first: all strings of ``passage``
+bytes inside a window that starts elsewhere start elsewhere too, so step 2 for the window then reads
+only runs of such strings (and texts with copies, whole).
+
 A suffix array of the whole dictionary or parse would have to stand in one task; classes by
 (z, f) give the same equalities with partial aggregation, and skewed keys only meet in joins,
 which Spark splits. z is a 64-bit polynomial hash, f the XXH3 of all bytes: a wrong z costs time,
@@ -171,14 +175,39 @@ def _batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "z": pa.array(z.view(np.int64), mask=none), "f": pa.array(f.view(np.int64)), "at": pa.array(at.astype(np.int64))})
 
 
-def _parse_rows(window: int):
-    """Rows of the parse; spans known to repeat within their segment have no z."""
+def _stretches(spans: list[dict], least: int) -> list[tuple[int, int]]:
+    """First and last start of each unbroken run of more than ``least`` starts; spans are in any order."""
+    runs = []
+    for a, b in sorted((s["first"], s["last"]) for s in spans):
+        if runs and a <= runs[-1][1] + 1:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return [(a, b) for a, b in runs if b - a >= least]
+
+
+def _pieces(data: bytes, window: int, runs: list[tuple[int, int]] | None) -> Iterator[tuple[int, np.ndarray]]:
+    """The segments of ``data``, or what they hold of the runs of window starts; each such start is in exactly one."""
+    for base, seg in segments(data, window):
+        for a, b in [(base, base + len(seg) - window)] if runs is None else runs:
+            a, b = max(a, base), min(b, base + len(seg) - window)
+            if a <= b:
+                yield a, seg[a - base : b - base + window]
+
+
+def _parse_rows(window: int, passage: int | None = None):
+    """Rows of the parse; spans known to repeat within their segment have no z. With ``passage``, a text without copies is read where its ``spans`` of that many bytes leave room for a window."""
+    room = window - (passage or window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
-            for key, x, many in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist()):
-                for at, seg in segments(x.as_py().encode("utf-8", "surrogatepass"), window):
+            spans = b.column("spans").to_pylist() if passage else [None] * len(b)
+            for key, x, many, found in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist(), spans):
+                runs = [(i, j - room) for i, j in _stretches(found or [], room)] if passage and not many else None
+                if runs == []:
+                    continue
+                for at, seg in _pieces(x.as_py().encode("utf-8", "surrogatepass"), window, runs):
                     z, f, first, last, gap, twice, sure = parse(seg, window)
                     out.append((np.full(len(z), key), z, f, _packed_at(first + at, last + at, last + gap + at, twice | many), np.zeros(len(z), bool)))
                     if len(sure) and not many:
@@ -250,22 +279,29 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(left), removed, runs
 
 
-def _cut_rows(window: int):
+def _cut_text(data: bytes, many: int, spans: list[dict] | None, window: int) -> tuple[bytes, int, int]:
+    if many and len(data) >= window:
+        return cut(data, [(0, len(data))])
+    return cut(data, [(s["first"], s["last"] + window) for s in spans or ()])
+
+
+def _cut_rows(window: int, passage: int | None = None):
+    """The columns of OUTPUT, and with ``passage`` those of PASSAGE_OUTPUT; passage_text is null where it equals kept_text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, gone, runs, sha, text = [], [], [], [], []
-            for x, many, spans in zip(b.column("text"), b.column("many").to_pylist(), b.column("spans").to_pylist()):
+            out = {c: [] for c in ["key", *OUTPUT, *(PASSAGE_OUTPUT if passage else [])]}
+            passages = b.column("passages").to_pylist() if passage else [None] * len(b)
+            for key, x, many, spans, shorter in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist(), b.column("spans").to_pylist(), passages):
                 data = x.as_py().encode("utf-8", "surrogatepass")
-                found = [(s["first"], s["last"] + window) for s in spans or ()]
-                if many and len(data) >= window:
-                    found = [(0, len(data))]
-                kept, removed, n = cut(data, found)
-                size.append(len(data))
-                gone.append(removed)
-                runs.append(n)
-                sha.append(hashlib.sha256(kept).hexdigest())
-                text.append(kept.decode("utf-8", "ignore"))  # a cut inside a character leaves no half of it
-            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(text, pa.string())})
+                kept, removed, runs = _cut_text(data, many, spans, window)
+                row = [key, len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")]  # a cut inside a character leaves no half of it
+                if passage:
+                    left, removed, runs = _cut_text(data, many, shorter, passage)
+                    row += [removed, runs, None if left == kept else left.decode("utf-8", "ignore")]
+                for values, value in zip(out.values(), row):
+                    values.append(value)
+            yield pa.RecordBatch.from_pydict({c: pa.array(values, pa.string() if c in TEXTS else pa.int64()) for c, values in out.items()})
 
     return run
 
@@ -319,14 +355,18 @@ def _check(window: int) -> None:
         raise ValueError(f"a window of {window} bytes; between {2 * GRAM} and {MAX_WINDOW} can be taken")
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int = WINDOW, shorter: DataFrame | None = None, passage: int | None = None) -> DataFrame:
     """key and its spans (first, last window start) that start elsewhere too; texts with copies are left out.
 
     A window is at most ``MAX_WINDOW`` bytes: a span and its distance to the trigger must fit the
-    bits that a row of the parse has for them.
+    bits that a row of the parse has for them. ``shorter`` are the spans of a window of ``passage``
+    bytes, where those are known.
     """
     _check(window)
-    parsed = materialise(texts.where(F.octet_length("text") >= window).mapInArrow(_parse_rows(window), ROW), "parse")
+    long = texts.where(F.octet_length("text") >= window)
+    if shorter is not None:
+        long = long.join(shorter, "key", "left").where("many = 1 or spans is not null").select("key", "text", "many", "spans")
+    parsed = materialise(long.mapInArrow(_parse_rows(window, None if shorter is None else passage), ROW), "parse")
     again = parsed.where("z is not null").groupBy("z").agg(F.sum(1 + F.col("at") % 2).alias("n")).where("n > 1").select("z")
     rows = materialise(parsed.join(again, "z", "left_semi"), "parse-again")
     sure = [materialise(parsed.where("z is null").select("key", *_span(F.col("at"))), "within-segments")]
@@ -346,21 +386,36 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 OUTPUT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+PASSAGE_OUTPUT = ["passage_removed", "passage_spans", "passage_text"]
+TEXTS = {"kept_sha256", "kept_text", "passage_text"}
 
 
-def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each document."""
+def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, passage: int | None = None) -> DataFrame:
+    """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each document.
+
+    With ``passage``, a shorter window, also what it removes: passage_removed, passage_spans and passage_text.
+    """
     _check(window)
+    if passage is not None:
+        _check(passage)
+        if passage >= window:
+            raise ValueError(f"a passage of {passage} bytes; it has to be shorter than the window of {window}")
+    names = OUTPUT + (PASSAGE_OUTPUT if passage else [])
     texts, seed = distinct_texts(docs, text)
     try:
-        spans = repeated_spans(texts, window)
+        shorter = materialise(repeated_spans(texts, passage), "passages") if passage else None
+        spans = repeated_spans(texts, window, shorter, passage)
         joined = texts.join(spans, "key", "left").select("key", "text", "many", "spans")
-        found = joined.mapInArrow(_cut_rows(window), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-        found = materialise(found.select(F.col("key").alias("__key"), F.struct(*OUTPUT).alias("__out")), "kept")
+        if passage:
+            joined = joined.join(shorter.withColumnRenamed("spans", "passages"), "key", "left")
+        schema = ", ".join(f"{c} {'string' if c in TEXTS else 'long'}" for c in ["key", *names])
+        found = joined.mapInArrow(_cut_rows(window, passage), schema)
+        found = materialise(found.select(F.col("key").alias("__key"), F.struct(*names).alias("__out")), "kept")
     finally:
         _forget(docs.sparkSession, texts.name, texts.stored_at)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep if c not in OUTPUT] or [F.lit(0).alias("__none")]).alias("__doc"), _key(text, seed).alias("__own"))
-    return own.join(found, F.col("__own") == F.col("__key")).select("__doc.*", "__out.*").drop("__none")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep if c not in names] or [F.lit(0).alias("__none")]).alias("__doc"), _key(text, seed).alias("__own"))
+    out = own.join(found, F.col("__own") == F.col("__key")).select("__doc.*", "__out.*").drop("__none")
+    return out.withColumn("passage_text", F.coalesce("passage_text", "kept_text")) if passage else out
 
 
 def cut_documents(docs: DataFrame, window: int = PASSAGE) -> DataFrame:
@@ -374,4 +429,5 @@ def cut_documents(docs: DataFrame, window: int = PASSAGE) -> DataFrame:
 
 
 def op4_repeats(spark, sf_dir):
-    return without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    """By the contract's window; passages of over 50 words are often shorter than that, and are cut out beside it."""
+    return without_repeats(table(spark, sf_dir, "documents"), ["doc_id"], passage=PASSAGE)

@@ -208,6 +208,39 @@ def test_repeats_at_the_window_and_over_segments(spark):
     assert bag(got) == bag((i, *r[:3], hashlib.sha256(r[3]).hexdigest()) for i, r in enumerate(cut_all(texts)))
 
 
+def test_passages_beside_the_window(spark, docs):
+    """Both windows by brute force; runs of passages within, at and above a window, in copies and over the edge of a segment."""
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    far, edge = noise(2000), noise(900)
+    texts = [noise(50) + far[a:b] + noise(70) for a, b in ((0, 199), (0, 200), (150, 550), (600, 999), (600, 1400), (1000, 2000), (1100, 1500), (1399, 1799))]
+    texts += [noise((1 << 20) - 450) + edge + noise(900), noise(90) + edge, "é" + edge[:420], edge[300:500], edge[300:500], far, far, "ab" * 450, "c" * 250, None, ""]
+    mine = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for df, rows in ((mine, texts), (docs, [t for _, t in ROWS])):
+        got = repeats.without_repeats(df, ["doc_id"], passage=repeats.PASSAGE)
+        assert got.columns == ["doc_id", *repeats.OUTPUT, *repeats.PASSAGE_OUTPUT]
+        both = zip(cut_all(rows), cut_all(rows, repeats.PASSAGE))
+        want = [(*w[:3], hashlib.sha256(w[3]).hexdigest(), w[3].decode("utf-8", "ignore"), *p[1:3], p[3].decode("utf-8", "ignore")) for w, p in both]
+        assert bag(got.drop("doc_id").collect()) == bag(want)
+    with pytest.raises(ValueError):
+        repeats.without_repeats(mine, ["doc_id"], passage=repeats.WINDOW)
+
+
+def test_passages_of_over_fifty_words_are_cut_out(spark, tmp_path):
+    """Passages shorter than the contract's window, which leaves them alone."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 6))) for _ in range(n))
+    passages = [words(52 + k) for k in range(8)]
+    assert all(200 <= len(x) + 2 < 400 for x in passages)
+    rows = [(2 * i + j, f"{words(80)} {x} {words(60)}") for i, x in enumerate(passages) for j in (0, 1)] + [(100 + i, words(150)) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in repeats.op4_repeats(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_text) == (len(text), 0, text)
+        assert (got[i].passage_text == text) == (got[i].passage_removed == 0) == (i >= 100)
+        assert i >= 100 or passages[i // 2] not in got[i].passage_text and got[i].passage_removed >= len(passages[i // 2])
+
+
 # 5 --------------------------------------------------------------------------------------------
 def test_main_text_of_a_page():
     long = "This is a sentence of the article with some length. " * 8
