@@ -103,19 +103,29 @@ def observed_overlay(frame: DataFrame, overlay: DataFrame, key: str, columns: li
     return out.withColumns({c: F.when(mine, F.col(f"__{c}")).otherwise(F.coalesce(c, f"__{c}")) for c in columns}).select(*frame.columns, *marks)
 
 
-def method_probabilities(outcomes: DataFrame, key: str, price: str = "price") -> DataFrame:
-    """Mean implied probability of each side and method of a bout; outcomes have side (a, b) and method (ko, sub, dec)."""
-    p = S.american_to_prob(F.col(price))
-    return outcomes.groupBy(key).agg(*[F.avg(F.when((F.col("side") == s) & (F.col("method") == m), p)).alias(f"{s}_{m}_prob") for s in "ab" for m in ("ko", "sub", "dec")])
+#: Rows that one task gathers into means, which stand in its memory.
+TASK_ROWS = 250_000
+
+
+def method_probabilities(outcomes: DataFrame, *keys: str, price: str = "price") -> DataFrame:
+    """Mean implied probability of each side and method of a bout; outcomes have side (a, b) and method (ko, sub, dec).
+
+    The first key is the bout, others tell its captures apart. Rows are dealt by the bout over as many
+    tasks as their number asks for; shrunk by means first, they would be packed into a few large tasks.
+    """
+    sc = outcomes.sparkSession.sparkContext
+    which = F.array_position(F.array(*[F.lit(c) for c in METHODS]), F.concat("side", F.lit("_"), "method", F.lit("_prob"))).cast("int")
+    rows = outcomes.select(*keys, which.alias("__which"), S.american_to_prob(F.col(price)).alias("__p"))
+    rows = rows.repartition(max(sc.defaultParallelism, -(-outcomes.count() // TASK_ROWS)), keys[0])
+    return rows.groupBy(*keys).agg(*[F.avg(F.when(F.col("__which") == i, F.col("__p"))).alias(c) for i, c in enumerate(METHODS, 1)])
 
 
 METHODS = tuple(f"{s}_{m}_prob" for s in "ab" for m in ("ko", "sub", "dec"))
 
 
-def merged_methods(old: DataFrame, new: DataFrame, key: str, columns: tuple[str, ...] = METHODS) -> DataFrame:
-    """Two results of a bout: the mean where both have a value, else the one that has."""
-    x = old.select(key, *columns).unionByName(new.select(key, *columns))
-    return x.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns])
+def merged_methods(results: DataFrame, key: str, columns: tuple[str, ...] = METHODS) -> DataFrame:
+    """Results of a bout's captures, one row each: the mean of those that have a value."""
+    return results.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def latest_key(history: DataFrame, pair: str, key: str) -> DataFrame:

@@ -125,9 +125,7 @@ def method_probabilities(spark, d):
 @query(f"WITH {_OUT}, pt AS (SELECT k, ls, {_AVG} FROM ip GROUP BY 1, 2) SELECT k, {', '.join(f'round(avg({c}), 6) {c}' for c in P.METHODS)} FROM pt GROUP BY 1")
 def methods_merged(spark, d):
     """Two captures of the same bouts (open and closed lines), merged."""
-    o = _outcomes(spark, d)
-    one, two = (P.method_probabilities(o.where(F.col("ls") == s), "k") for s in ("O", "F"))
-    return P.merged_methods(one, two, "k").select("k", *[r6(c).alias(c) for c in P.METHODS])
+    return P.merged_methods(P.method_probabilities(_outcomes(spark, d), "k", "ls"), "k").select("k", *[r6(c).alias(c) for c in P.METHODS])
 
 
 @query("""WITH h AS (SELECT event_id, user_id % 20 pair, concat(user_id % 20, '-', event_type) key, ts, CASE WHEN event_type <> 'signup' THEN date_trunc('day', ts) + INTERVAL 2 DAY END starts_at FROM events), p AS (SELECT pair, key, max(starts_at) s, max(ts) t FROM h GROUP BY 1, 2),

@@ -1,8 +1,10 @@
 """Sizes that must not grow faster than the input: folds, slices and conflicts in one pass."""
 
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
-from boutwright.operators import dedupe, learning
+from boutwright.operators import dedupe, learning, lines
 
 
 def _rows(spark):
@@ -36,3 +38,22 @@ def test_conflicts_without_copies_of_rows(spark):
     out = dedupe.reconcile(spark.createDataFrame(rows, "k int, method string, result string"), ["k"])
     assert {tuple(r) for r in out.collect()} == {(1, "ko", "win", 2), (2, None, "win", 2), (4, None, None, 1), (5, "ko", "win", 3)}
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_method_means_are_dealt_over_tasks_by_the_rows(spark, monkeypatch):
+    """Groups of one task stay few however many bouts there are; the means equal a plain loop's."""
+    monkeypatch.setattr(lines, "TASK_ROWS", 100)
+    say = {0: "ko", 1: "sub", 2: "dec", 3: "other", 4: None}
+    rows = [(i % 701, None if i % 11 == 0 else "ab"[i % 2], say[i * 7 // 3 % 5], None if i % 13 == 0 else float((-1) ** i * (100 + i % 90)), "OF"[i // 701 % 2] if i % 17 else None) for i in range(6000)]
+    got = lines.merged_methods(lines.method_probabilities(spark.createDataFrame(rows, "k int, side string, method string, price double, ls string"), "k", "ls"), "k")
+    assert got.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 50
+    mean = lambda x: sum(x) / len(x) if x else None
+    seen = defaultdict(list)
+    for k, s, m, p, ls in rows:
+        if p is not None:
+            seen[k, f"{s}_{m}_prob", ls].append(100 / (p + 100) if p > 0 else -p / (100 - p))
+    for r in got.collect():
+        for c in lines.METHODS:
+            want = mean([mean(x) for at in ("O", "F", None) if (x := seen[r.k, c, at])])
+            assert r[c] is None if want is None else abs(r[c] - want) < 1e-12
+    assert got.count() == 701
