@@ -92,7 +92,15 @@ class Rolling:
         self.view = memoryview(np.ascontiguousarray(seg))
 
     def at(self, start: np.ndarray, length) -> np.ndarray:
-        h = (self.sums[start + length] - self.sums[start]) * self.down[start]
+        return self._mixed((self.sums[start + length] - self.sums[start]) * self.down[start])
+
+    def every(self, length: int) -> np.ndarray:
+        """``at`` of all starts in order."""
+        h = self.sums[length:] - self.sums[:-length]
+        return self._mixed(np.multiply(h, self.down[: len(h)], out=h))
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= _MIX
         return h ^ (h >> np.uint64(32))
@@ -123,7 +131,7 @@ def _next(marks: np.ndarray, n: int) -> np.ndarray:
 def parse(seg: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """z, f, first and last window start and distance from there to the trigger of each row of one segment's parse, whether the segment itself repeats it, and spans of windows it repeats."""
     roll, n, reach = Rolling(seg), len(seg) - window + 1, reach_of(window)
-    level = roll.at(np.arange(len(seg) - GRAM + 1), GRAM) >> np.uint64(32)
+    level = roll.every(GRAM) >> np.uint64(32)
     starts = np.arange(n)
     rare = _next(np.flatnonzero(level < (1 << 32) // RARE), n)
     anchor = np.where(rare - starts <= reach, rare, -1)
@@ -175,15 +183,18 @@ def _batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "z": pa.array(z.view(np.int64), mask=none), "f": pa.array(f.view(np.int64)), "at": pa.array(at.astype(np.int64))})
 
 
-def _stretches(spans: list[dict], least: int) -> list[tuple[int, int]]:
-    """First and last start of each unbroken run of more than ``least`` starts; spans are in any order."""
-    runs = []
-    for a, b in sorted((s["first"], s["last"]) for s in spans):
-        if runs and a <= runs[-1][1] + 1:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    return [(a, b) for a, b in runs if b - a >= least]
+def _spans_of(lists: pa.ListArray, gap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First and last starts of each row's spans in order, those with at most ``gap`` between them united."""
+    ends, flat = lists.offsets.to_numpy(), lists.flatten()
+    ends = ends - ends[0]
+    firsts, lasts = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last"))
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        order = np.argsort(firsts[i:j])
+        first, last = firsts[i:j][order], np.maximum.accumulate(lasts[i:j][order])
+        if j - i > 1:
+            new = first[1:] > last[:-1] + gap
+            first, last = first[np.append(True, new)], last[np.append(new, True)]
+        yield first, last
 
 
 def _pieces(data: bytes, window: int, runs: list[tuple[int, int]] | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -202,9 +213,9 @@ def _parse_rows(window: int, passage: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
-            spans = b.column("spans").to_pylist() if passage else [None] * len(b)
+            spans = _spans_of(b.column("spans"), 1) if passage else [None] * len(b)
             for key, x, many, found in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist(), spans):
-                runs = [(i, j - room) for i, j in _stretches(found or [], room)] if passage and not many else None
+                runs = [(i, j - room) for i, j in zip(*(x.tolist() for x in found)) if j - i >= room] if passage and not many else None
                 if runs == []:
                     continue
                 for at, seg in _pieces(x.as_py().encode("utf-8", "surrogatepass"), window, runs):
@@ -279,10 +290,10 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(left), removed, runs
 
 
-def _cut_text(data: bytes, many: int, spans: list[dict] | None, window: int) -> tuple[bytes, int, int]:
+def _cut_text(data: bytes, many: int, spans: tuple[np.ndarray, np.ndarray], window: int) -> tuple[bytes, int, int]:
     if many and len(data) >= window:
         return cut(data, [(0, len(data))])
-    return cut(data, [(s["first"], s["last"] + window) for s in spans or ()])
+    return cut(data, list(zip(spans[0].tolist(), (spans[1] + window).tolist())))
 
 
 def _cut_rows(window: int, passage: int | None = None):
@@ -291,8 +302,8 @@ def _cut_rows(window: int, passage: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {c: [] for c in ["key", *OUTPUT, *(PASSAGE_OUTPUT if passage else [])]}
-            passages = b.column("passages").to_pylist() if passage else [None] * len(b)
-            for key, x, many, spans, shorter in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist(), b.column("spans").to_pylist(), passages):
+            passages = _spans_of(b.column("passages"), passage) if passage else [None] * len(b)
+            for key, x, many, spans, shorter in zip(b.column("key").to_pylist(), b.column("text"), b.column("many").to_pylist(), _spans_of(b.column("spans"), window), passages):
                 data = x.as_py().encode("utf-8", "surrogatepass")
                 kept, removed, runs = _cut_text(data, many, spans, window)
                 row = [key, len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")]  # a cut inside a character leaves no half of it
