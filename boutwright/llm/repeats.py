@@ -354,8 +354,8 @@ def _classed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("rid", F.xxhash64("key", "at"))
     pairs = rows.groupBy("z", "f").agg(F.sum(1 + F.col("at") % 2).alias("n"), F.min("rid").alias("rep"))
     kinds = pairs.groupBy("z").agg((F.count(F.lit(1)) > 1).alias("mixed"))
-    pairs = pairs.join(kinds, "z").where("n > 1 or mixed")
-    known = rows.join(pairs, ["z", "f"]).withColumn("open", F.expr("mixed and rid = rep")).where("open or at % 2 = 0")
+    pairs = pairs.join(kinds.hint("shuffle_hash"), "z").where("n > 1 or mixed")
+    known = rows.join(pairs.hint("shuffle_hash"), ["z", "f"]).withColumn("open", F.expr("mixed and rid = rep")).where("open or at % 2 = 0")
     known = materialise(known.select("key", "z", "at", "n", "open"), name)
     sure = known.where("n > 1 and at % 2 = 0").select("key", *_span(F.col("at")))
     return sure, known.where("open").select("key", "z", F.when(F.col("n") > 1, F.col("at").bitwiseOR(1)).otherwise(F.col("at")).alias("at"))
@@ -379,7 +379,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, shorter: DataFrame |
         long = long.join(shorter, "key", "left").where("many = 1 or spans is not null").select("key", "text", "many", "spans")
     parsed = materialise(long.mapInArrow(_parse_rows(window, None if shorter is None else passage), ROW), "parse")
     again = parsed.where("z is not null").groupBy("z").agg(F.sum(1 + F.col("at") % 2).alias("n")).where("n > 1").select("z")
-    rows = materialise(parsed.join(again, "z", "left_semi"), "parse-again")
+    rows = materialise(parsed.join(again.hint("shuffle_hash"), "z", "left_semi"), "parse-again")
     sure = [materialise(parsed.where("z is null").select("key", *_span(F.col("at"))), "within-segments")]
     discard(parsed)
     for size in PARTS:
