@@ -123,7 +123,8 @@ def _keyed(names: DataFrame, side: str) -> DataFrame:
 def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (left_key, right_key) of ``key`` columns that share a key, once for each key they share; no similar pair is lost."""
     long = lambda df: df.where((F.length("key") >= LEAST_CHARS) & F.col("key").contains(" "))
-    return _keyed(long(left), "left_key").join(_keyed(long(right), "right_key"), "met").select("left_key", "right_key")
+    # a name has hundreds of keys, which Spark takes for one: by its estimate it would send them all through the driver
+    return _keyed(long(left), "left_key").join(_keyed(long(right), "right_key").hint("merge"), "met").select("left_key", "right_key")
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -142,9 +143,11 @@ def matches(left: DataFrame, right: DataFrame, left_name: str = "name", right_na
     a, b = _keys(left, left_name), _keys(right, right_name)
     turned = F.array_join(F.reverse(F.split("left_key", " ")), " ")
     l, r = a.withColumnRenamed("key", "left_key"), b.withColumnRenamed("key", "right_key")
+    r = r.hint("merge")  # names grow with the tables
     same = l.join(r, F.col("left_key") == F.col("right_key")).withColumn("kind", F.lit("same"))
     back = l.withColumn("turned", turned).join(r, (F.col("turned") == F.col("right_key")) & (F.col("turned") != F.col("left_key"))).drop("turned").withColumn("kind", F.lit("reversed"))
     strict = same.unionByName(back)
-    alike = _spread(candidates(a, b)).where(N.fuzzy_same(F.col("left_key"), F.col("right_key")))
-    alike = alike.join(strict.select("left_key", "right_key"), ["left_key", "right_key"], "left_anti").withColumn("kind", F.lit("similar"))
+    # written, or the ratio would be worked out once for each key that a pair shares
+    near = _spread(written(candidates(a, b), "candidates"))
+    alike = near.where(N.fuzzy_same(F.col("left_key"), F.col("right_key"))).join(strict.select("left_key", "right_key").hint("merge"), ["left_key", "right_key"], "left_anti").withColumn("kind", F.lit("similar"))
     return strict.unionByName(alike)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from boutwright.functions import names as N
 from boutwright.operators import name_matching as M
+from boutwright.plans import q_identity
 from boutwright.sources import line_store as L
+from tests.conftest import DATA
 
 
 def _alike(x, y):
@@ -57,6 +59,12 @@ def test_common_words_alone_bring_no_names_together(spark):
     assert {tuple(r) for r in got.collect()} >= {(x, x[:-1] + "q") for x in sorted(names)[::40]} | {(x, x) for x in names}
 
 
+def test_names_and_their_keys_never_pass_the_driver(spark):
+    plan = q_identity.QUERIES["fuzzy_names"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert plan.count("fuzzy_same") == 1 and "keys(" not in plan  # the ratio is worked out after the pairs stand once each
+
+
 def test_cut_names_meet_whenever_they_are_near():
     rng = random.Random(8)
     for _ in range(4000):
