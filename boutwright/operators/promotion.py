@@ -11,9 +11,9 @@ from .evaluation import calibration_bins, calibration_error, losses
 CORE, YEARLY, FRESH_ROWS, SLICE, DRAWDOWN, CLV_SLACK, ALPHA = 0.05, 0.10, 20, 0.10, 2.0, 0.01, 0.25
 
 
-def arm_metrics(scores: DataFrame, keys: list[str], y: str = "target", p: str = "prob") -> DataFrame:
-    """n, brier, log_loss, accuracy and ece by ``keys``."""
-    return losses(scores, keys, y, p).join(calibration_error(calibration_bins(scores, keys, y, p), keys), keys)
+def arm_metrics(scores: DataFrame, keys: list[str], y: str = "target", p: str = "prob", weight: str | None = None) -> DataFrame:
+    """n, brier, log_loss, accuracy and ece by ``keys``; a row stands for ``weight`` rows."""
+    return losses(scores, keys, y, p, weight).join(calibration_error(calibration_bins(scores, keys, y, p, weight=weight), keys), keys)
 
 
 def _relative(new: Column, old: Column) -> Column:

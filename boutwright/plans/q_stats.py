@@ -165,10 +165,14 @@ def boosted_walk_forward(spark, d):
     p = predictions(spark, d).select("event_id", "bout_id", "event_date", F.col("target").cast("double").alias("target"), "prob_a", "market_a", F.col("fights_a").cast("double").alias("fights_a"), "price")
     p = p.withColumn("prob_a", F.when(F.col("bout_id") % 9 > 0, F.col("prob_a")))
     features, out = ["prob_a", "market_a", "fights_a", "price"], None
-    dealt = L.with_folds(p, L.time_series_folds(p, "event_id", "event_date", 2), "event_id", [*features, "target"])
+    dealt = L.with_series(p, "event_id", "event_date", [*features, "target"], 2)
     for k in (1, 2):
-        part = lambda x: L.rows_of(dealt, k, x)  # noqa: B023, E731
-        for name, model in (("boosted", L.boosted(part("train"), features)), ("logistic", L.logistic(part("train").na.fill(0.5), features))):
-            s = E.losses(L.predicted(model, part("test").na.fill(0.5), ["target"]), [], "target", "prob").withColumns({"fold": F.lit(k), "model": F.lit(name)})
+        train, test = L.rows_of(dealt, k, "train"), L.rows_of(dealt, k, "test").na.fill(0.5)
+        binned = L.bins(train, features)
+        a, b = (L.cells(x, binned, features, ["target"]) for x in (train, test))
+        boosted = L.after_rounds(L.trees(a, features), b, features, [20]).withColumnRenamed("prob_20", "prob")
+        logistic = L.predicted(L.logistic(train.na.fill(0.5), features), test, ["target"])
+        for name, scored, weight in (("boosted", boosted, "weight"), ("logistic", logistic, None)):
+            s = E.losses(scored, [], "target", "prob", weight).withColumns({"fold": F.lit(k), "model": F.lit(name)})
             out = s if out is None else out.unionByName(s)
     return _shown(out.select("fold", "model", "n", "brier", "log_loss", "accuracy"))
