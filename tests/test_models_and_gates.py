@@ -69,6 +69,19 @@ def test_cross_fitted_calibration_lowers_the_error_of_a_skewed_model(spark):
     assert ece["calibrated"].ece < 0.6 * ece["prob"].ece and ece["calibrated"].brier < ece["prob"].brier
 
 
+def test_calibration_over_cells_is_that_of_the_rows(spark):
+    df = spark.range(4000).selectExpr("id", "id DIV 2 grp", "CAST(id % 17 AS DOUBLE) x", "CAST(id * 7 % 5 AS DOUBLE) junk", "CAST(xxhash64(id) % 20 + id % 17 > 9 AS DOUBLE) target")
+    train, test, features, fit = df.where("id < 3000"), df.where("id >= 3000"), ["x", "junk"], partial(L.boosted, rounds=3, depth=2)
+    binned = L.bins(train, features)
+    a, b = L.cells(train.withColumn("part", L.part_of("grp")), binned, features, ["part", "target"]), L.cells(test, binned, features, ["target"])
+    rows = L.cross_calibrated(train, test, features, "grp", ["target"], fit=fit).withColumn("k", F.lit(1))
+    cells = L.cross_calibrated(a, b, features, "grp", ["target", "weight"], fit=fit, weight="weight").withColumn("k", F.lit(1))
+    assert b.count() < 200
+    for p in ("prob", "calibrated"):
+        want, got = G.arm_metrics(rows, ["k"], p=p).first(), G.arm_metrics(cells, ["k"], p=p, weight="weight").first()
+        assert got.n == want.n == 1000 and tuple(got) == pytest.approx(tuple(want), abs=1e-9)
+
+
 @pytest.mark.parametrize(
     "name, column, values",
     [
