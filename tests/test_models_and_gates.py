@@ -69,6 +69,16 @@ def test_cross_fitted_calibration_lowers_the_error_of_a_skewed_model(spark):
     assert ece["calibrated"].ece < 0.6 * ece["prob"].ece and ece["calibrated"].brier < ece["prob"].brier
 
 
+def test_the_search_takes_all_features_and_folds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "searched", lambda dealt, *a: seen.append((dealt, *a)) or spark.createDataFrame([("1", "1", 0.25)], "rounds string, depth string, brier double"))
+    registry.queries()["parameter_search"](spark, f"{DATA}/sf0.001")
+    dealt, features, folds, grid = seen[0]
+    assert features == ["prob_a", "market_a", "fights_a", "fights_b", "price"] and folds == [1, 2, 3, 4, 5] and len(grid["rounds"]) * len(grid["depth"]) == 9 and max(grid["rounds"]) == 20 and max(grid["depth"]) == 4
+    rows = {r["segment"]: r["count"] for r in dealt.groupBy("segment").count().collect()}
+    assert sorted(rows) == [0, 1, 2, 3, 4, 5] and sum(rows.values()) == spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").count()
+
+
 def test_calibration_over_cells_is_that_of_the_rows(spark):
     df = spark.range(4000).selectExpr("id", "id DIV 2 grp", "CAST(id % 17 AS DOUBLE) x", "CAST(id * 7 % 5 AS DOUBLE) junk", "CAST(xxhash64(id) % 20 + id % 17 > 9 AS DOUBLE) target")
     train, test, features, fit = df.where("id < 3000"), df.where("id >= 3000"), ["x", "junk"], partial(L.boosted, rounds=3, depth=2)
