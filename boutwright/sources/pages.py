@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.identity import stable_id
-from ..functions.names import normalise
+from ..functions.names import _let, normalise
 
 
 def cut(html: Column, tag: str, mark: str = "") -> Column:
     """Inner markup of every ``tag`` whose start tag holds ``mark``, in page order; tags of the same name must not nest."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*{mark}[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(_cut(tag, mark)), F.lit(1))
+
+
+def _cut(tag: str, mark: str = "") -> str:
+    return rf"(?is)<{tag}\b[^>]*{mark + '[^>]*' if mark else ''}>(.*?)</{tag}\s*>"
 
 
 def plain(html: Column) -> Column:
     """Text of a piece of markup: tags out, the common references decoded, white space squeezed."""
-    t = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
-    for ref, ch in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ref), F.lit(ch))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+    def decoded(t: Column) -> Column:
+        out = t
+        for ref, ch in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(ref), F.lit(ch))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    # most pieces are a word or two, without markup
+    text = _let(html, lambda x: F.when(F.contains(x, F.lit("<")), F.regexp_replace(x, r"(?s)<[^>]*>", " ")).otherwise(x))
+    return F.trim(F.regexp_replace(_let(text, decoded), r"\s+", " "))
 
 
 def links(html: Column, part: str) -> Column:
@@ -137,35 +147,39 @@ COUNTS, PAIRS, BREAKDOWN = {1: "kd", 7: "sub_att", 8: "rev"}, {2: "sig_str", 4:
 def bout(pages: DataFrame, key: str, html: str, shared_ids: bool = False) -> DataFrame:
     """key, sides, result, method, round, time and statistics of a bout's page, and ``fault``: why it cannot be accepted, if so."""
     h = F.col(html)
-    persons = cut(h, "h3", "b-fight-details__person-name")
-    who = lambda i: F.get(links(F.get(persons, i), "fighter-details/"), 0)
-    status = F.transform(cut(h, "i", "b-fight-details__person-status"), lambda s: F.upper(plain(s)))
-    facts = F.transform(cut(h, "p", "b-fight-details__text"), plain)
-    fact = lambda label: F.get(F.transform(F.filter(facts, lambda t: F.lower(t).startswith(label + ":")), lambda t: F.trim(F.regexp_replace(t, r"^[^:]*:", ""))), 0)
-    bodies = F.transform(cut(h, "tbody"), lambda b: cut(F.get(cut(b, "tr"), 0), "td"))
-    cells = lambda rule: F.transform(F.get(F.filter(bodies, rule), 0), lambda c: F.transform(cut(c, "p"), plain))
-    out = pages.select(
-        key, who(0)["text"].alias("a_name"), who(1)["text"].alias("b_name"), stable_id(who(0)["url"]).alias("a_ref"), stable_id(who(1)["url"]).alias("b_ref"),
-        F.array_join(F.slice(status, 1, 2), "/").alias("outcome"), fact("method").alias("method"), fact("round").alias("round"), fact("time").alias("time"),
+    # three steps, each of which uses what the one before found more than once: in one, the page would be searched again for every use
+    found = pages.select(
+        key, cut(h, "h3", "b-fight-details__person-name").alias("persons"), cut(h, "i", "b-fight-details__person-status").alias("status"), cut(h, "p", "b-fight-details__text").alias("facts"),
+        F.transform(cut(h, "tbody"), lambda b: cut(F.regexp_extract(b, _cut("tr"), 1), "td")).alias("bodies"),
+    )
+    who = lambda i: F.get(links(F.get("persons", i), "fighter-details/"), 0)
+    outcome = F.array_join(F.transform(F.slice("status", 1, 2), lambda s: F.upper(plain(s))), "/")
+    found = found.select(key, who(0).alias("a"), who(1).alias("b"), outcome.alias("outcome"), F.transform("facts", plain).alias("facts"), "bodies")
+    fact = lambda label: F.get(F.transform(F.filter("facts", lambda t: F.lower(t).startswith(label + ":")), lambda t: F.trim(F.regexp_replace(t, r"^[^:]*:", ""))), 0)
+    cells = lambda rule: F.transform(F.get(F.filter("bodies", rule), 0), lambda c: F.transform(cut(c, "p"), plain))
+    out = found.select(
+        key, F.col("a.text").alias("a_name"), F.col("b.text").alias("b_name"), stable_id(F.col("a.url")).alias("a_ref"), stable_id(F.col("b.url")).alias("b_ref"),
+        "outcome", fact("method").alias("method"), fact("round").alias("round"), fact("time").alias("time"),
         cells(lambda c: F.size(c) >= 10).alias("__t"), cells(lambda c: F.size(c) == 9).alias("__b"),
     )
     value = lambda t, col, i: F.get(F.get(F.col(t), col), i)
+    # pairs are read in one array: a column each would make one method too long for Java to compile
+    pairs = [(t, c, i) for i in (0, 1) for t, table in (("__t", PAIRS), ("__b", BREAKDOWN)) for c in table]
+    read = F.transform(F.array(*[value(*x) for x in pairs]), lambda v: F.struct(S.landed(v).alias("landed"), S.attempted(v).alias("attempted")))
+    out = out.withColumns({"result": S.official_result(F.col("outcome"), F.col("method")), "__pairs": read})
     cols: dict[str, Column] = {}
     for i, s in enumerate("ab"):
         cols |= {f"{s}_{n}": value("__t", c, i).try_cast("double") for c, n in COUNTS.items()} | {f"{s}_ctrl_seconds": S.clock_seconds(value("__t", 9, i))}
         for t, table in (("__t", PAIRS), ("__b", BREAKDOWN)):
-            cols |= {f"{s}_{n}_landed": S.landed(value(t, c, i)) for c, n in table.items()} | {f"{s}_{n}_attempted": S.attempted(value(t, c, i)) for c, n in table.items()}
-    out = out.withColumn("result", S.official_result(F.col("outcome"), F.col("method"))).withColumns(cols)
-    pairs_ok = F.lit(True)
-    for s in "ab":
-        for n in (*PAIRS.values(), *BREAKDOWN.values()):
-            pairs_ok = pairs_ok & F.coalesce(F.col(f"{s}_{n}_landed") <= F.col(f"{s}_{n}_attempted"), F.lit(False))
+            cols |= {f"{s}_{n}_{x}": F.get("__pairs", pairs.index((t, c, i)))[x] for x in ("landed", "attempted") for c, n in table.items()}
+    out = out.withColumns(cols)
+    pairs_ok = F.forall("__pairs", lambda x: F.coalesce(x["landed"] <= x["attempted"], F.lit(False)))
     fault = (
         F.when(F.col("a_ref").isNull() | F.col("b_ref").isNull() | one_person(shared_ids), "participants").when(F.col("result.quarantined"), "result").when(F.col("__t").isNull(), "no_totals").when(F.col("__b").isNull(), "no_breakdown")
         .when(~pairs_ok, "statistics").when(F.coalesce(F.length("method"), F.lit(0)) == 0, "method").when(~F.coalesce(F.col("round").rlike("^[1-5]$") & F.col("time").rlike(r"^[0-5]:[0-5]\d$"), F.lit(False)), "chronology")
     )
     winner = F.when(F.col("result.winner_side") == "a", F.col("a_name")).when(F.col("result.winner_side") == "b", F.col("b_name"))
-    return out.withColumn("fault", fault).withColumn("winner", winner).withColumn("result_class", F.col("result.kind")).drop("__t", "__b", "result")
+    return out.withColumn("fault", fault).withColumn("winner", winner).withColumn("result_class", F.col("result.kind")).drop("__t", "__b", "__pairs", "result")
 
 
 def rankings(pages: DataFrame, key: str, html: str, most: int = 15) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from boutwright.plans import q_pages
 from boutwright.sources import pages as P
 from tests.compare import same
+from tests.conftest import DATA
 
 #: An order whose key is its customer's plus 500,000: its page links one profile for two people.
 ROWS = "SELECT CAST(k AS BIGINT) o_orderkey, CAST(c AS BIGINT) o_custkey, TIMESTAMP '1996-03-05' o_orderdate FROM (VALUES (552154, 52154), (553795, 53795), (7, 3), (500022, 22), (500010, 10)) t(k, c)"
@@ -48,6 +50,21 @@ def test_cards_are_read_once_without_joins(spark, shared):
     assert "Join" not in plan and "Broadcast" not in plan
 
 
+def test_a_bout_page_is_searched_once_for_each_kind_and_pages_are_dealt(spark):
+    df = q_pages.QUERIES["bout_pages"](spark, f"{DATA}/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for mark in ("person-name", "person-status", "details__text", "<tbody", "<tr"):
+        assert plan.count(rf"{mark}[^>]*>(.*?)" if "<" not in mark else rf"{mark}\b[^>]*>(.*?)") == 1, mark
+    for name in ("bout_pages", "card_pages", "reviewed_cards", "profile_pages"):
+        assert "RoundRobinPartitioning(8)" in q_pages.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_text_is_squeezed_and_decoded(spark):
+    rows = ["a", " a  b\n", "<b>a</b>&amp;lt;", "&lt;b&gt;", "a&nbsp;&quot;x&#39;", "", None, "<i></i>", "1 < 2 & 3"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").repartition(1).sortWithinPartitions("i").select(P.plain(F.col("x"))).collect()]
+    assert got == ["a", "a b", "a &lt;", "<b>", "a \"x'", "", None, "", "1 < 2 & 3"]
+
+
 def test_rankings_keep_positions_of_named_rows(spark):
     cell = lambda n: f'<td class="views-field-title"><a>{n}</a></td>'
     html = '<div class="view-grouping"><h4>Fly</h4>' + cell("A") + cell("...") + cell("B") + cell("A") + '</div><div class="view-grouping"><h4></h4>' + cell("C") + '</div><div class="view-grouping"><h4>Open</h4></div>'
